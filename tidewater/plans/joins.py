@@ -1,0 +1,33 @@
+"""Join helpers that keep broadcasts behind a measured size bound."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows above which a lookup side is joined by shuffle instead of broadcast.
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def bounded_lookup(
+    big: DataFrame,
+    small: DataFrame,
+    on: str | Sequence[str] | object,
+    how: str = "left",
+    max_rows: int = DEFAULT_BROADCAST_ROWS,
+) -> DataFrame:
+    """Join ``big`` with a lookup side that is broadcast only when it is small.
+
+    The lookup side is materialised once (memory, spilling to disk; lost
+    blocks are recomputed from lineage) and counted. At or below
+    ``max_rows`` it is broadcast, so the big side is never shuffled; above
+    it, the join is left to a shuffle join, where AQE's skew handling splits
+    hot keys of the big side.
+    """
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    n = small.count()
+    side = F.broadcast(small) if n <= max_rows else small
+    return big.join(side, on, how)
