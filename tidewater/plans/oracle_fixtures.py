@@ -58,6 +58,7 @@ DEPS: dict[str, tuple[str, ...]] = {
 }
 
 
+
 def _closure(names) -> list[str]:
     out: list[str] = []
 
@@ -78,3 +79,15 @@ def with_fixtures(sql: str, *names: str) -> str:
         names = tuple(n for n in CTE if re.search(rf"\b{n}\b", sql))
     parts = [f"{n} AS ({CTE[n].strip()})" for n in _closure(names)]
     return "WITH " + ",\n".join(parts) + "\n" + sql.strip()
+
+CTE.update({
+    "doc_messages": "SELECT doc_id AS seq, lang AS tenant_id, source AS dataset_id, text AS data FROM documents",
+    # Telemetry payloads: compact object, text, pretty-printed object, array.
+    "telemetry": r"""
+SELECT event_id, CASE event_id % 4
+    WHEN 0 THEN props
+    WHEN 1 THEN 'user ' || user_id || ' ' || event_type
+    WHEN 2 THEN '{' || chr(10) || '  "k": ' || user_id || ',' || chr(10) || '  "t": "' || event_type || ' \"x\" y",' || chr(10) || '  "n": [1, 2]' || chr(10) || '}'
+    ELSE '[' || user_id || ', 2]' END AS data
+FROM events""",
+})

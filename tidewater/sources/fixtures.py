@@ -282,3 +282,17 @@ def tenants(spark: SparkSession, sf: str) -> DataFrame:
         E("CASE WHEN n_nationkey = 5 THEN 404 WHEN n_nationkey = 6 THEN 500 ELSE 200 END").cast("int").alias("status_code"),
         E("CASE WHEN n_nationkey = 5 OR n_nationkey = 6 THEN NULL ELSE n_nationkey % 4 <> 3 END").alias("active"),
     )
+
+
+def telemetry(spark: SparkSession, sf: str) -> DataFrame:
+    """Telemetry payloads: compact object, text, pretty-printed object, array."""
+    e = table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
+    pretty = E("concat('{', '\\n', '  \"k\": ', user_id, ',', '\\n', '  \"t\": \"', event_type, "
+               "' \\\\\"x\\\\\" y\",', '\\n', '  \"n\": [1, 2]', '\\n', '}')")
+    data = (
+        F.when(E("event_id % 4 = 0"), F.col("props"))
+        .when(E("event_id % 4 = 1"), E("concat('user ', user_id, ' ', event_type)"))
+        .when(E("event_id % 4 = 2"), pretty)
+        .otherwise(E("concat('[', user_id, ', 2]')"))
+    )
+    return e.select("event_id", data.alias("data"))
