@@ -44,4 +44,6 @@ def load_all() -> None:
     """Import every query module so their registrations run."""
     from . import (  # noqa: F401
         framing_queries,
+        parsing_queries,
+        spool_queries,
     )

@@ -78,7 +78,10 @@ def with_fixtures(sql: str, *names: str) -> str:
     if not names:
         names = tuple(n for n in CTE if re.search(rf"\b{n}\b", sql))
     parts = [f"{n} AS ({CTE[n].strip()})" for n in _closure(names)]
-    return "WITH " + ",\n".join(parts) + "\n" + sql.strip()
+    body = sql.strip()
+    if body[:5].upper() == "WITH ":
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(parts) + "\n" + body
 
 CTE.update({
     "doc_messages": "SELECT doc_id AS seq, lang AS tenant_id, source AS dataset_id, text AS data FROM documents",
@@ -91,3 +94,83 @@ SELECT event_id, CASE event_id % 4
     ELSE '[' || user_id || ', 2]' END AS data
 FROM events""",
 })
+
+CTE.update({
+    "syslog_messages": r"""
+SELECT event_id AS seq, ts, '10.0.' || (user_id % 4) || '.' || (user_id % 250) AS source_ip,
+  CASE event_id % 4
+    WHEN 0 THEN '<' || (event_id % 192) || '>1 ' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ' host' || (user_id % 10) || ' '
+                || event_type || ' ' || user_id || ' ID' || (event_id % 50) || ' [ex@32473 iut="3"] '
+                || 'user ' || user_id || ' did ' || event_type
+    WHEN 1 THEN '<' || (event_id % 192) || '>1 ' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ' host' || (user_id % 10) || ' '
+                || event_type || ' - - - ' || 'user ' || user_id || ' did ' || event_type
+    WHEN 2 THEN '<' || (event_id % 192) || '>' || strftime(ts, '%b') || ' ' || lpad(CAST(day(ts) AS VARCHAR), 2, ' ')
+                || ' ' || strftime(ts, '%H:%M:%S') || ' host' || (user_id % 10) || ' ' || event_type || '['
+                || user_id || ']: ' || 'user ' || user_id || ' did ' || event_type
+    ELSE 'plain user ' || user_id || ' did ' || event_type END AS data
+FROM events""",
+})
+
+CTE.update({
+    "spool_files": """
+SELECT tenant_id || '--' || dataset_id || '--' || okey || '--' || data_hint AS id, *,
+  tenant_id || '/' || dataset_id || '/' || state || '/' || tenant_id || '--' || dataset_id || '--' || okey || '--' || data_hint || '.gz' AS path
+FROM (SELECT o_orderkey AS okey,
+  'tenant' || (o_custkey % 11) AS tenant_id,
+  'ds' || substring(o_orderpriority, 1, 1) AS dataset_id,
+  CASE o_orderkey % 3 WHEN 0 THEN 'ndjson' WHEN 1 THEN 'raw' ELSE 'csv' END AS data_hint,
+  CASE o_orderstatus WHEN 'O' THEN 'queue' WHEN 'F' THEN 'dlq' ELSE 'retry' END AS state,
+  CASE WHEN o_orderkey % 50 = 0 THEN 'success' WHEN o_orderstatus = 'O' THEN 'pending'
+       WHEN o_orderstatus = 'F' THEN 'dlq' ELSE 'retry' END AS status,
+  CAST(round(o_totalprice) AS BIGINT) AS size,
+  o_orderdate AS created_at,
+  o_orderdate + to_seconds(o_orderkey) AS mod_time,
+  CAST(o_orderkey % 7 AS INT) AS retry_count,
+  CAST(o_orderkey % 1000 + 1 AS INT) AS line_count,
+  'tok' || (o_custkey % 3) AS bearer_token,
+  CASE o_orderkey % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'size_limit_reached'
+       WHEN 2 THEN 'service_shutdown' ELSE 'line_limit_reached' END AS trigger_reason,
+  CASE o_orderstatus WHEN 'F' THEN 'Exceeded retry limit' WHEN 'P' THEN 'HTTP 503' ELSE '' END AS failure_reason
+FROM orders)""",
+    "spool_listing": """
+SELECT path, size AS length, mod_time AS modificationTime FROM spool_files WHERE okey % 13 <> 0
+UNION ALL
+SELECT tenant_id || '/' || dataset_id || '/' || state || '/' || id || '.meta', CAST(200 + okey % 50 AS BIGINT), mod_time
+FROM spool_files WHERE state IN ('retry', 'dlq')""",
+    "attempts": """
+SELECT l_orderkey AS okey,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS attempt_no,
+  CAST(CASE CAST(l_quantity AS INT) % 10 WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 400 WHEN 3 THEN 401
+       WHEN 4 THEN 404 WHEN 5 THEN 413 WHEN 6 THEN 429 WHEN 7 THEN 500 WHEN 8 THEN 503 ELSE NULL END AS INT) AS status_code,
+  l_shipdate AS ts
+FROM lineitem""",
+    "tenants": """
+SELECT 'tenant' || n_nationkey AS tenant_id,
+  CAST(CASE WHEN n_nationkey = 5 THEN 404 WHEN n_nationkey = 6 THEN 500 ELSE 200 END AS INT) AS status_code,
+  CASE WHEN n_nationkey = 5 OR n_nationkey = 6 THEN NULL ELSE n_nationkey % 4 <> 3 END AS active
+FROM nation WHERE n_nationkey < 10""",
+})
+DEPS.update({"spool_listing": ("spool_files",)})
+
+CTE.update({
+    "listing_p": """
+SELECT path, length, modificationTime, split_part(path, '/', 1) AS tenant_id, split_part(path, '/', 2) AS dataset_id,
+  split_part(path, '/', 3) AS state, split_part(path, '/', 4) AS file, suffix(path, '.meta') AS is_meta
+FROM spool_listing""",
+})
+DEPS.update({"listing_p": ("spool_listing",)})
+
+OUTCOME_SQL = """(CASE WHEN {c} IS NULL THEN 'transient' WHEN {c} BETWEEN 200 AND 299 THEN 'success'
+  WHEN {c} IN (400, 401, 403, 404, 410, 413, 422) THEN 'permanent' WHEN {c} = 429 THEN 'transient'
+  WHEN {c} BETWEEN 400 AND 499 THEN 'permanent' ELSE 'transient' END)"""
+REASON_SQL = """(CASE WHEN {c} IS NULL THEN 'HTTP request failed: network error'
+  ELSE 'HTTP ' || {c} || ' from receiver: (empty response body)' END)"""
+GATE_SQL = "coalesce(NOT (t.status_code IN (404, 410) OR (t.status_code = 200 AND t.active = false)), true)"
+
+
+def outcome_sql(c: str) -> str:
+    return OUTCOME_SQL.format(c=c)
+
+
+def reason_sql(c: str) -> str:
+    return REASON_SQL.format(c=c)

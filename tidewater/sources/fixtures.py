@@ -141,12 +141,18 @@ ATTEMPT_STATUS_SQL = (
 )
 
 
+ATTEMPT_ORDER = ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     """Delivery attempts: one per line item of the order whose file it is."""
-    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+               "l_quantity", "l_extendedprice", "l_shipdate")
+    # Attempts are numbered chronologically per file (line numbers repeat).
+    w = Window.partitionBy("l_orderkey").orderBy(*ATTEMPT_ORDER)
     return li.select(
         F.col("l_orderkey").alias("okey"),
-        F.col("l_linenumber").alias("attempt_no"),
+        F.row_number().over(w).alias("attempt_no"),
         E(ATTEMPT_STATUS_SQL).cast("int").alias("status_code"),
         F.col("l_shipdate").alias("ts"),
     )
@@ -154,7 +160,7 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 
 def raw_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Raw landing files: key, order key and size, for batch packing."""
-    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag",
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
                "l_linestatus", "l_extendedprice", "l_shipdate")
     return li.select(
         E("concat('t', l_suppkey % 10)").alias("tenant_id"),
@@ -163,6 +169,8 @@ def raw_sizes(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_shipdate").alias("ts"),
         F.col("l_orderkey").alias("okey"),
         F.col("l_linenumber").alias("lno"),
+        F.col("l_partkey").alias("pkey"),
+        F.col("l_suppkey").alias("skey"),
         E("cast(round(l_extendedprice) as bigint)").alias("size"),
         E("(l_orderkey + l_linenumber) % 2 = 0").alias("ends_nl"),
     )
@@ -296,3 +304,19 @@ def telemetry(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(E("concat('[', user_id, ', 2]')"))
     )
     return e.select("event_id", data.alias("data"))
+
+
+def spool_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """File listing of the spool: data files (some missing) and ``.meta`` files.
+
+    Same shape as a ``binaryFile`` scan with content pruned:
+    ``(path, length, modificationTime)``.
+    """
+    f = spool_files(spark, sf)
+    data = f.where("okey % 13 <> 0").select(
+        "path", F.col("size").alias("length"), F.col("mod_time").alias("modificationTime"))
+    meta = f.where("state IN ('retry', 'dlq')").select(
+        E("concat(tenant_id, '/', dataset_id, '/', state, '/', id, '.meta')").alias("path"),
+        E("200 + okey % 50").cast("long").alias("length"),
+        F.col("mod_time").alias("modificationTime"))
+    return data.unionByName(meta)
