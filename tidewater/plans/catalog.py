@@ -46,4 +46,5 @@ def load_all() -> None:
         framing_queries,
         parsing_queries,
         spool_queries,
+        packing_queries,
     )

@@ -79,6 +79,8 @@ def with_fixtures(sql: str, *names: str) -> str:
         names = tuple(n for n in CTE if re.search(rf"\b{n}\b", sql))
     parts = [f"{n} AS ({CTE[n].strip()})" for n in _closure(names)]
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body
@@ -174,3 +176,12 @@ def outcome_sql(c: str) -> str:
 
 def reason_sql(c: str) -> str:
     return REASON_SQL.format(c=c)
+
+CTE.update({
+    "raw_sizes": """
+SELECT 't' || (l_suppkey % 10) AS tenant_id, l_returnflag AS dataset_id,
+  CASE l_linestatus WHEN 'O' THEN 'ndjson' ELSE 'raw' END AS data_hint,
+  l_shipdate AS ts, l_orderkey AS okey, l_linenumber AS lno, l_partkey AS pkey, l_suppkey AS skey,
+  CAST(round(l_extendedprice) AS BIGINT) AS size, (l_orderkey + l_linenumber) % 2 = 0 AS ends_nl
+FROM lineitem""",
+})
