@@ -47,4 +47,5 @@ def load_all() -> None:
         parsing_queries,
         spool_queries,
         packing_queries,
+        config_queries,
     )

@@ -77,6 +77,8 @@ def with_fixtures(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the fixture CTEs it names (and their deps)."""
     if not names:
         names = tuple(n for n in CTE if re.search(rf"\b{n}\b", sql))
+    if not names:
+        return sql.strip()
     parts = [f"{n} AS ({CTE[n].strip()})" for n in _closure(names)]
     body = sql.strip()
     if body[:15].upper() == "WITH RECURSIVE ":
@@ -185,3 +187,44 @@ SELECT 't' || (l_suppkey % 10) AS tenant_id, l_returnflag AS dataset_id,
   CAST(round(l_extendedprice) AS BIGINT) AS size, (l_orderkey + l_linenumber) % 2 = 0 AS ends_nl
 FROM lineitem""",
 })
+
+_SEG = ("CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'udp' WHEN 'BUILDING' THEN 'syslog' WHEN 'FURNITURE' THEN 'http' "
+        "WHEN 'MACHINERY' THEN 'kafka' ELSE '' END")
+CTE.update({
+    # JON-01 result, flattened: one row per active dataset with a source type.
+    "configs_flat": f"""
+SELECT {_SEG} AS type, 'ds' || c_custkey || '-tenant' || n_nationkey AS name, c_custkey AS pos,
+  CASE WHEN c_custkey % 13 = 0 THEN 'override' || c_custkey ELSE 'tenant' || n_nationkey END AS tenant_id,
+  'ds' || c_custkey AS dataset_id, 'global-token' AS bearer_token, CAST(1024 + c_custkey AS VARCHAR) AS port,
+  '0.0.0.0' AS host
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+WHERE c_custkey % 4 <> 0 AND {_SEG} <> ''""",
+    "local_inputs": f"""
+SELECT c_custkey AS pos, {_SEG} AS type, 'in' || c_custkey AS name,
+  CASE WHEN c_custkey % 17 = 0 THEN '' WHEN c_custkey % 19 = 0 THEN 'Admin' ELSE 'ds' || (c_custkey % 400) END AS dataset_id,
+  CASE WHEN c_custkey % 23 = 0 THEN 'x' WHEN c_custkey % 29 = 0 THEN '70000' ELSE CAST(1024 + c_custkey % 700 AS VARCHAR) END AS port,
+  CASE WHEN c_custkey % 3 = 0 THEN 'tenant' || (c_custkey % 5) END AS tenant_id,
+  CASE WHEN c_custkey % 4 = 0 THEN 'tok' || c_custkey END AS bearer_token,
+  CASE WHEN c_custkey % 11 = 0 THEN CAST(c_custkey * 7 AS VARCHAR) END AS buffer_size
+FROM customer""",
+    "old_ports": f"SELECT CAST(1024 + c_custkey AS INT) AS port, {_SEG} || '[ds' || c_custkey || ']' AS plugin FROM customer",
+    "new_ports": f"""
+SELECT CAST(1024 + c_custkey AS INT) AS port,
+  {_SEG} || '[ds' || c_custkey || CASE WHEN c_custkey % 7 = 0 THEN '-v2' ELSE '' END || ']' AS plugin
+FROM customer WHERE c_custkey % 9 <> 0
+UNION ALL
+SELECT CAST(20000 + c_custkey AS INT), {_SEG} || '[extra' || c_custkey || ']' FROM customer WHERE c_custkey % 5 = 0""",
+    "proxies": """
+SELECT 'inst' || n_nationkey AS instance, 'http://host' || (n_nationkey * 4) || ':' || (8000 + n_nationkey % 7) || '/' AS receiver_url,
+  CAST(CASE n_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 5000000 ELSE 50000000 END AS BIGINT) AS max_bytes
+FROM nation""",
+    "receivers": """
+SELECT s_suppkey AS pos, 'host' || s_suppkey || ':' || (8000 + s_suppkey % 5) AS instance_api,
+  CASE WHEN s_suppkey = 0 THEN 0 ELSE CAST(round(s_acctbal * 1000) AS BIGINT) END AS max_payload_size
+FROM supplier""",
+    "poll_log": """
+SELECT event_id, ts, 'inst' || (user_id % 8) AS instance,
+  CAST(CASE event_type WHEN 'click' THEN 200 WHEN 'error' THEN 401 WHEN 'signup' THEN 403 WHEN 'view' THEN 404 ELSE 500 END AS INT) AS status,
+  props AS config
+FROM events""",
+})

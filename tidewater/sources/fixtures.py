@@ -183,7 +183,8 @@ SEGMENT_SOURCE_SQL = (
 
 
 def control_doc(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested control documents: one tenant per nation, its customers as datasets."""
+    """Nested control documents: one tenant per nation, its customers as
+    datasets (paged: one row per tenant and page of up to 64 datasets)."""
     n = table(spark, sf, "nation", "n_nationkey")
     c = table(spark, sf, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     ds = c.select(
@@ -201,10 +202,14 @@ def control_doc(spark: SparkSession, sf: str) -> DataFrame:
             ).alias("config"),
             F.col("c_custkey").alias("pos"),
         ).alias("ds"),
-    ).groupBy("nk").agg(F.sort_array(F.collect_list("ds")).alias("datasets"))
+        # A tenant's datasets are paged (at most 64 per document row) so no
+        # row ever nests an unbounded group.
+        E("c_custkey div 64").alias("page"),
+    ).groupBy("nk", "page").agg(F.collect_list("ds").alias("datasets"))
     return n.join(ds, n.n_nationkey == ds.nk, "left").select(
         E("concat('tenant', n_nationkey)").alias("tenant_id"),
         E("n_nationkey % 5 <> 0").alias("active"),
+        F.coalesce("page", F.lit(0).cast("long")).alias("page"),
         F.coalesce("datasets", E("array()").cast(ds.schema["datasets"].dataType)).alias("datasets"),
     )
 
@@ -320,3 +325,49 @@ def spool_listing(spark: SparkSession, sf: str) -> DataFrame:
         E("200 + okey % 50").cast("long").alias("length"),
         F.col("mod_time").alias("modificationTime"))
     return data.unionByName(meta)
+
+
+def proxies(spark: SparkSession, sf: str) -> DataFrame:
+    """Proxy instances: receiver URL and configured batch max bytes."""
+    n = table(spark, sf, "nation", "n_nationkey")
+    return n.select(
+        E("concat('inst', n_nationkey)").alias("instance"),
+        E("concat('http://host', n_nationkey * 4, ':', 8000 + n_nationkey % 7, '/')").alias("receiver_url"),
+        E("CASE n_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 5000000 ELSE 50000000 END").cast("long").alias("max_bytes"),
+    )
+
+
+def local_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Locally configured inputs (position, type, name, config map)."""
+    c = table(spark, sf, "customer", "c_custkey", "c_mktsegment")
+    cfg = E(
+        "map_concat(map('dataset_id', CASE WHEN c_custkey % 17 = 0 THEN '' WHEN c_custkey % 19 = 0 THEN 'Admin' "
+        "ELSE concat('ds', c_custkey % 400) END, "
+        "'port', CASE WHEN c_custkey % 23 = 0 THEN 'x' WHEN c_custkey % 29 = 0 THEN '70000' "
+        "ELSE cast(1024 + c_custkey % 700 as string) END), "
+        "CASE WHEN c_custkey % 3 = 0 THEN map('tenant_id', concat('tenant', c_custkey % 5)) ELSE map() END, "
+        "CASE WHEN c_custkey % 4 = 0 THEN map('bearer_token', concat('tok', c_custkey)) ELSE map() END, "
+        "CASE WHEN c_custkey % 11 = 0 THEN map('buffer_size', cast(c_custkey * 7 as string)) ELSE map() END)"
+    )
+    return c.select(
+        F.col("c_custkey").alias("pos"),
+        E(SEGMENT_SOURCE_SQL).alias("type"),
+        E("concat('in', c_custkey)").alias("name"),
+        cfg.alias("config"),
+    )
+
+
+def port_maps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Old and new port -> plugin assignments (drops, renames, additions)."""
+    c = table(spark, sf, "customer", "c_custkey", "c_mktsegment")
+    typ = E(SEGMENT_SOURCE_SQL)
+    old = c.select(E("cast(1024 + c_custkey as int)").alias("port"),
+                   F.concat(typ, F.lit("[ds"), F.col("c_custkey").cast("string"), F.lit("]")).alias("plugin"))
+    kept = c.where("c_custkey % 9 <> 0").select(
+        E("cast(1024 + c_custkey as int)").alias("port"),
+        F.concat(typ, F.lit("[ds"), F.col("c_custkey").cast("string"),
+                 F.when(E("c_custkey % 7 = 0"), F.lit("-v2")).otherwise(F.lit("")), F.lit("]")).alias("plugin"))
+    added = c.where("c_custkey % 5 = 0").select(
+        E("cast(20000 + c_custkey as int)").alias("port"),
+        F.concat(typ, F.lit("[extra"), F.col("c_custkey").cast("string"), F.lit("]")).alias("plugin"))
+    return old, kept.unionByName(added)
