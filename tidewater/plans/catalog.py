@@ -48,4 +48,5 @@ def load_all() -> None:
         spool_queries,
         packing_queries,
         config_queries,
+        monitor_queries,
     )

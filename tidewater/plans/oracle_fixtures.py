@@ -228,3 +228,27 @@ SELECT event_id, ts, 'inst' || (user_id % 8) AS instance,
   props AS config
 FROM events""",
 })
+
+CTE.update({
+    "port_counters": """
+SELECT event_id, ts, CAST(1000 + user_id % 6 AS INT) AS port,
+  CAST(CASE WHEN CAST(ts AS DATE) = DATE '2024-01-15' THEN 0
+       ELSE sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY 1000 + user_id % 6 ORDER BY ts, event_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS BIGINT) AS drops
+FROM events""",
+    "host_counters": """
+SELECT event_id, ts, host,
+  CAST(sum(u) OVER w AS BIGINT) AS "user", CAST(sum(s) OVER w AS BIGINT) AS system,
+  CAST(count(*) OVER w * 10 AS BIGINT) AS idle, CAST(sum(io) OVER w AS BIGINT) AS iowait
+FROM (SELECT event_id, ts, 'host' || (user_id % 5) AS host,
+        CASE WHEN event_type IN ('click', 'view') THEN CAST(round(value) AS BIGINT) ELSE 0 END AS u,
+        CASE WHEN event_type = 'error' THEN CAST(round(value) AS BIGINT) ELSE 0 END AS s,
+        CASE WHEN event_type = 'purchase' THEN 3 ELSE 0 END AS io FROM events)
+WINDOW w AS (PARTITION BY host ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "error_reports": """
+SELECT event_id, ts, CASE WHEN event_type = 'signup' THEN 'resolve' ELSE 'report' END AS kind,
+  'type' || (user_id % 3) AS error_type, 'ds' || (user_id % 5) AS dataset_id, 'tenant' || (user_id % 7) AS tenant_id,
+  CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_type = 'error' THEN 'critical' ELSE 'warning' END AS severity,
+  event_type || ' from user ' || user_id AS message
+FROM events""",
+})
