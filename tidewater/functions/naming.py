@@ -144,11 +144,51 @@ def mask_config(config) -> Column:
 
 
 def to_int(value) -> Column:
-    """Numeric coercion of a variant (PRJ-09): ints as-is, floats truncated.
+    """Numeric coercion of a variant (PRJ-09): integers as-is, floating
+    values truncated toward zero, anything else not ok.
 
-    Returns a struct ``(value int, ok boolean)``; non-numbers give ok=false.
+    Returns a struct ``(value long, ok boolean)``. (Integers beyond 2^53 keep
+    their digits: the variant holds them exactly.)
     """
     v = _c(value)
-    numeric = F.schema_of_variant(v).rlike(r"\A(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
-    iv = F.try_variant_get(v, "$", "double").cast("long").cast("int")
-    return F.struct(F.when(numeric, iv).alias("value"), F.coalesce(numeric, F.lit(False)).alias("ok"))
+    t = F.schema_of_variant(v)
+    integral = t.rlike(r"\A(TINYINT|SMALLINT|INT|BIGINT)\z")
+    fractional = t.rlike(r"\A(FLOAT|DOUBLE|DECIMAL)")
+    iv = F.when(integral, F.try_variant_get(v, "$", "bigint")).when(
+        fractional, F.try_variant_get(v, "$", "double").try_cast("long"))
+    ok = F.coalesce(integral | fractional, F.lit(False)) & iv.isNotNull()
+    return F.struct(F.when(ok, iv).alias("value"), ok.alias("ok"))
+
+
+def ip_text(b) -> Column:
+    """PRJ-10: 4-byte IPv4 / 16-byte IPv6 address text; other lengths as
+    base64. IPv4-mapped IPv6 prints as dotted IPv4; otherwise groups are
+    lower-case hex without leading zeros and the longest run of two or more
+    zero groups (the first on ties) becomes ``::``. Built from a ``when``
+    chain over the 28 possible runs: no UDF."""
+    x = _c(b)
+    n = F.octet_length(x)
+
+    def byte(i: int) -> Column:
+        return F.conv(F.hex(F.substring(x, i + 1, 1)), 16, 10)
+
+    def group(i: int) -> Column:
+        return F.lower(F.conv(F.hex(F.substring(x, 2 * i + 1, 2)), 16, 16))
+
+    hexg = [group(i) for i in range(8)]
+    zero = [F.substring(x, 2 * i + 1, 2) == F.unhex(F.lit("0000")) for i in range(8)]
+    v6 = F.concat_ws(":", *hexg)
+    runs = [(ln, i) for ln in range(8, 1, -1) for i in range(0, 9 - ln)]
+    chain = None
+    for ln, i in runs:
+        cond = zero[i]
+        for j in range(i + 1, i + ln):
+            cond = cond & zero[j]
+        text = F.concat(F.concat_ws(":", *hexg[:i]) if i else F.lit(""), F.lit("::"),
+                        F.concat_ws(":", *hexg[i + ln:]) if i + ln < 8 else F.lit(""))
+        chain = F.when(cond, text) if chain is None else chain.when(cond, text)
+    v6 = chain.otherwise(v6)
+    v4 = F.concat_ws(".", *[byte(i) for i in range(4)])
+    mapped = F.concat_ws(".", *[byte(i) for i in range(12, 16)])
+    is_mapped = F.substring(x, 1, 12) == F.unhex(F.lit("00000000000000000000FFFF"))
+    return F.when(n == 4, v4).when((n == 16) & is_mapped, mapped).when(n == 16, v6).otherwise(F.base64(x))

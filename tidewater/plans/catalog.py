@@ -49,4 +49,5 @@ def load_all() -> None:
         packing_queries,
         config_queries,
         monitor_queries,
+        naming_queries,
     )

@@ -252,3 +252,21 @@ SELECT event_id, ts, CASE WHEN event_type = 'signup' THEN 'resolve' ELSE 'report
   event_type || ' from user ' || user_id AS message
 FROM events""",
 })
+
+CTE.update({
+    "http_requests": """
+SELECT page_id AS seq, CASE WHEN page_id % 6 = 5 THEN 'GET' ELSE 'POST' END AS method, '/ingest' AS path,
+  CASE WHEN page_id % 7 = 3 THEN 'Bearer bad' ELSE 'Bearer secret' END AS auth_header,
+  url AS x_source, 'r' || page_id AS x_request_id, 'ua/' || (page_id % 3) AS user_agent,
+  CAST(CASE WHEN page_id % 11 = 0 THEN 100 ELSE strlen(html) END AS BIGINT) AS declared_length, html AS body
+FROM pages""",
+    "raw_names": """
+SELECT l_orderkey AS okey, l_linenumber AS lno, l_partkey AS pkey,
+  CASE l_linenumber % 6
+    WHEN 0 THEN n || '.ndjson' WHEN 1 THEN n || '.log' WHEN 2 THEN n || '.csv' WHEN 3 THEN n || '.txt'
+    WHEN 4 THEN n ELSE 'old_' || l_orderkey || '.xml' END AS name,
+  CAST(l_quantity AS INT) + CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END AS actual_lines
+FROM (SELECT *, CAST(epoch_us(l_shipdate) * 1000 + l_partkey AS VARCHAR) || '_' || CAST(round(l_extendedprice) AS BIGINT)
+              || '_' || CASE WHEN l_partkey % 13 = 0 THEN 'x' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS n
+      FROM lineitem)""",
+})

@@ -371,3 +371,73 @@ def port_maps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         E("cast(20000 + c_custkey as int)").alias("port"),
         F.concat(typ, F.lit("[extra"), F.col("c_custkey").cast("string"), F.lit("]")).alias("plugin"))
     return old, kept.unionByName(added)
+
+
+def nats_records(spark: SparkSession, sf: str) -> DataFrame:
+    """NATS-shaped records: subject, optional reply, data, multi-value headers."""
+    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "props")
+    return e.select(
+        F.col("event_id").alias("seq"), E("concat('events.', event_type)").alias("subject"),
+        E("CASE WHEN event_id % 3 = 0 THEN concat('inbox.', user_id) ELSE '' END").alias("reply"),
+        F.col("props").alias("data"), "ts",
+        E("map('Trace', array(concat('t', event_id), 'x'), 'Empty', cast(array() as array<string>))").alias("headers"))
+
+
+def sqs_records(spark: SparkSession, sf: str) -> DataFrame:
+    """SQS-shaped messages from documents (some bodies NULL)."""
+    d = table(spark, sf, "documents", "doc_id", "text")
+    return d.select(
+        F.col("doc_id").alias("seq"), E("concat('m', doc_id)").alias("message_id"),
+        E("CASE WHEN doc_id % 17 = 0 THEN NULL ELSE text END").alias("body"),
+        E("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id)").alias("ts"))
+
+
+def kinesis_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinesis-shaped records: shard and sequence number."""
+    e = table(spark, sf, "events", "event_id", "ts", "user_id", "props")
+    return e.select(E("concat('shard-', user_id % 4)").alias("shard_id"), F.col("event_id").alias("sequence_number"),
+                    F.col("props").alias("data"), "ts")
+
+
+def http_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Webhook requests from pages: method, headers, declared length, body."""
+    p = table(spark, sf, "pages", "page_id", "url", "html")
+    return p.select(
+        F.col("page_id").alias("seq"),
+        E("CASE WHEN page_id % 6 = 5 THEN 'GET' ELSE 'POST' END").alias("method"),
+        F.lit("/ingest").alias("path"),
+        E("map('Authorization', CASE WHEN page_id % 7 = 3 THEN 'Bearer bad' ELSE 'Bearer secret' END, "
+          "'Content-Type', 'text/html', 'User-Agent', concat('ua/', page_id % 3), "
+          "'X-Request-Id', concat('r', page_id), 'X-Source', url)").alias("headers"),
+        E("CASE WHEN page_id % 11 = 0 THEN 100 ELSE octet_length(html) END").cast("long").alias("declared_length"),
+        F.col("html").alias("body"),
+        E("concat('10.1.0.', page_id % 250)").alias("remote_addr"),
+        E("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id)").alias("ts"))
+
+
+def multipart_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Multipart socket messages from pages (topic + payload frames)."""
+    p = table(spark, sf, "pages", "page_id", "url", "html")
+    return p.select(
+        F.col("page_id").alias("seq"),
+        E("CASE page_id % 3 WHEN 1 THEN 'PULL' ELSE 'SUB' END").alias("socket_type"),
+        E("CASE WHEN page_id % 2 = 0 THEN array(url, html) ELSE array(html) END").alias("parts"))
+
+
+def raw_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw-file names ``{nanos}_{bytes}_{lines}.{ext}`` (with odd variants)
+    and the line count actually found in each file."""
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
+               "l_shipdate")
+    n = E("concat(cast(unix_micros(cast(l_shipdate as timestamp)) * 1000 + l_partkey as string), '_', "
+          "cast(round(l_extendedprice) as bigint), '_', "
+          "CASE WHEN l_partkey % 13 = 0 THEN 'x' ELSE cast(cast(l_quantity as int) as string) END)")
+    name = (F.when(E("l_linenumber % 6 = 0"), F.concat(n, F.lit(".ndjson")))
+            .when(E("l_linenumber % 6 = 1"), F.concat(n, F.lit(".log")))
+            .when(E("l_linenumber % 6 = 2"), F.concat(n, F.lit(".csv")))
+            .when(E("l_linenumber % 6 = 3"), F.concat(n, F.lit(".txt")))
+            .when(E("l_linenumber % 6 = 4"), n)
+            .otherwise(E("concat('old_', l_orderkey, '.xml')")))
+    return li.select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("lno"),
+                     F.col("l_partkey").alias("pkey"), name.alias("name"),
+                     E("cast(l_quantity as int) + CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END").alias("actual_lines"))
