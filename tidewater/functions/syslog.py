@@ -12,7 +12,6 @@ from .text import rfc3339
 RFC5424 = r"(?d)^<(\d+)>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(?:\[.*?\]\s+)?(.*)$"
 RFC3164 = r"(?d)^<(\d+)>(\w{3}\s+\d+\s+\d+:\d+:\d+)\s+(\S+)\s+(\S+?):\s*(.*)$"
 
-_NULL = F.lit(None).cast("string")
 
 
 def parse_syslog(line, mode: str = "auto") -> Column:
