@@ -50,4 +50,5 @@ def load_all() -> None:
         config_queries,
         monitor_queries,
         naming_queries,
+        flow_queries,
     )

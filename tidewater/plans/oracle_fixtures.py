@@ -270,3 +270,31 @@ FROM (SELECT *, CAST(epoch_us(l_shipdate) * 1000 + l_partkey AS VARCHAR) || '_'
               || '_' || CASE WHEN l_partkey % 13 = 0 THEN 'x' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS n
       FROM lineitem)""",
 })
+
+
+def _hx(expr: str, width: int = 2) -> str:
+    return f"lpad(hex({expr}), {width}, '0')"
+
+
+# Rendered expectations of the flow fixtures (computed from the formulas,
+# not from the bytes, so the byte decoding is what the oracle checks).
+CTE.update({
+    "sflow_expected": """
+SELECT o_orderkey AS packet_id, l_linenumber AS lno, l_partkey AS pkey, l_suppkey AS skey,
+  5 AS version, '10.' || (o_custkey % 256) || '.' || (o_orderkey % 256) || '.1' AS agent_ip,
+  100 + o_orderkey % 7 AS sampling_rate, o_orderkey % 48 AS input_if, o_custkey % 48 AS output_if,
+  CASE WHEN k = 0 THEN 1 WHEN k = 1 THEN 6 WHEN k = 2 AND o_orderkey % 5 <> 0 THEN 17 END AS protocol,
+  CASE WHEN k = 0 THEN 64 + l_linenumber END AS frame_length,
+  CASE WHEN k = 0 AND v IN (0, 1) THEN (CASE WHEN v = 0 THEN '10' ELSE '69' END) || '.' || (l_partkey % 256) || '.' || (l_suppkey % 256) || '.' || l_linenumber
+       WHEN k = 1 THEN '172.16.' || (l_partkey % 256) || '.' || (l_suppkey % 256)
+       WHEN k = 2 AND o_orderkey % 5 <> 0 THEN CASE WHEN l_partkey % 65536 = 0 THEN '2001:db8::' ELSE '2001:db8::' || lower(printf('%x', l_partkey % 65536)) END END AS src_ip,
+  CASE WHEN k = 0 AND v IN (0, 1) THEN '192.168.' || (l_orderkey % 256) || '.' || (l_partkey % 200)
+       WHEN k = 1 THEN '172.17.' || (l_orderkey % 256) || '.' || l_linenumber
+       WHEN k = 2 AND o_orderkey % 5 <> 0 THEN '2001:db8::1' END AS dst_ip,
+  CASE WHEN k = 0 AND v IN (0, 1) AND l_partkey % 3 IN (0, 1) AND l_suppkey % 7 <> 0 AND l_partkey % 65536 <> 0 THEN l_partkey % 65536
+       WHEN k = 1 OR (k = 2 AND o_orderkey % 5 <> 0) THEN l_partkey % 65536 END AS src_port,
+  CASE WHEN k = 0 AND v IN (0, 1) AND l_partkey % 3 IN (0, 1) AND (l_suppkey * 7) % 65536 <> 0 THEN (l_suppkey * 7) % 65536
+       WHEN k = 1 OR (k = 2 AND o_orderkey % 5 <> 0) THEN 443 END AS dst_port
+FROM (SELECT *, l_linenumber % 4 AS k, (l_partkey // 3) % 4 AS v FROM lineitem) l
+JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey % 11 <> 0""",
+})

@@ -441,3 +441,119 @@ def raw_names(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("lno"),
                      F.col("l_partkey").alias("pkey"), name.alias("name"),
                      E("cast(l_quantity as int) + CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END").alias("actual_lines"))
+
+
+def _hx(expr: str, width: int = 2) -> str:
+    return f"lpad(hex({expr}), {width}, '0')"
+
+
+def _ip_header_sql(first: str) -> str:
+    return ("concat(CASE WHEN l_suppkey % 2 = 0 THEN '45' ELSE '46' END, '0000540000400040', "
+            "CASE l_partkey % 3 WHEN 0 THEN '06' WHEN 1 THEN '11' ELSE '01' END, '0000', "
+            f"{first}, {_hx('l_partkey % 256')}, {_hx('l_suppkey % 256')}, {_hx('l_linenumber')}, "
+            f"'C0A8', {_hx('l_orderkey % 256')}, {_hx('l_partkey % 200')}, "
+            "CASE WHEN l_suppkey % 2 = 1 THEN '01010101' ELSE '' END, "
+            f"{_hx('CASE WHEN l_suppkey % 7 = 0 THEN 0 ELSE l_partkey % 65536 END', 4)}, {_hx('(l_suppkey * 7) % 65536', 4)})")
+
+
+SFLOW_HEADER_SQL = (
+    "CASE (l_partkey div 3) % 4 "
+    f"WHEN 0 THEN concat('AABBCCDDEEFF1122334455660800', {_ip_header_sql(chr(39) + '0A' + chr(39))}) "
+    f"WHEN 1 THEN {_ip_header_sql(chr(39) + '45' + chr(39))} "
+    "WHEN 2 THEN concat('AABBCCDDEEFF11223344556686DD60000000', repeat('00', 36)) "
+    f"ELSE substring(concat('AABBCCDDEEFF1122334455660800', {_ip_header_sql(chr(39) + '0A' + chr(39))}), 1, 38) END"
+)
+
+
+def flow_packets(spark: SparkSession, sf: str) -> DataFrame:
+    """Decoded sFlow packets: one per order, one sample with the order's
+    line items as flow records (header / IPv4 / IPv6 / other)."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey")
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+               "l_extendedprice")
+    rec = F.struct(
+        F.col("l_linenumber").alias("lno"), F.col("l_partkey").alias("pkey"), F.col("l_suppkey").alias("skey"),
+        F.col("l_quantity").alias("qty"),
+        E("CASE l_linenumber % 4 WHEN 0 THEN 'header' WHEN 1 THEN 'ipv4' WHEN 2 THEN 'ipv6' ELSE 'other' END").alias("kind"),
+        E("CASE WHEN l_linenumber % 4 = 0 THEN 1 WHEN l_linenumber % 4 = 1 THEN 6 WHEN l_linenumber % 4 = 2 THEN 17 END")
+        .cast("int").alias("protocol"),
+        E("64 + l_linenumber").cast("int").alias("frame_length"),
+        F.unhex(E(SFLOW_HEADER_SQL)).alias("header"),
+        F.unhex(E(f"CASE l_linenumber % 4 WHEN 1 THEN concat('AC10', {_hx('l_partkey % 256')}, {_hx('l_suppkey % 256')}) "
+                  f"WHEN 2 THEN concat('20010DB8', repeat('0', 20), {_hx('l_partkey % 65536', 4)}) END")).alias("src_ip"),
+        F.unhex(E(f"CASE l_linenumber % 4 WHEN 1 THEN concat('AC11', {_hx('l_orderkey % 256')}, {_hx('l_linenumber')}) "
+                  "WHEN 2 THEN concat('20010DB8', repeat('0', 23), '1') END")).alias("dst_ip"),
+        E("CASE WHEN l_linenumber % 4 IN (1, 2) THEN cast(l_partkey % 65536 as int) END").alias("src_port"),
+        E("CASE WHEN l_linenumber % 4 IN (1, 2) THEN 443 END").cast("int").alias("dst_port"),
+    )
+    # At most a handful of line items per order: a bounded group.
+    recs = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(rec)).alias("records"))
+    j = o.join(recs, o.o_orderkey == recs.l_orderkey, "left")
+    sample = F.struct(
+        E("CASE WHEN o_orderkey % 5 = 0 THEN 'expanded' ELSE 'flow' END").alias("kind"),
+        E("cast(100 + o_orderkey % 7 as int)").alias("sampling_rate"),
+        E("cast(o_orderkey % 48 as int)").alias("input_if"),
+        E("cast(o_custkey % 48 as int)").alias("output_if"),
+        F.coalesce("records", F.array().cast(recs.schema["records"].dataType)).alias("records"))
+    return j.select(
+        F.col("o_orderkey").alias("packet_id"), F.lit(5).alias("version"),
+        F.unhex(E(f"concat('0A', {_hx('o_custkey % 256')}, {_hx('o_orderkey % 256')}, '01')")).alias("agent_ip"),
+        F.col("o_orderkey").alias("sequence_number"),
+        F.when(E("o_orderkey % 11 = 0"), F.slice(F.array(sample), 1, 0)).otherwise(F.array(sample)).alias("samples"))
+
+
+def ipfix_packets(spark: SparkSession, sf: str) -> DataFrame:
+    """Decoded IPFIX packets: one per order, one flow message per line item;
+    every ninth packet is template-only (no flows)."""
+    o = table(spark, sf, "orders", "o_orderkey")
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+               "l_extendedprice", "l_shipdate")
+    flow = F.struct(
+        F.col("l_linenumber").alias("_lno"), F.col("l_partkey").alias("_pkey"), F.col("l_suppkey").alias("_skey"),
+        F.lit("IPFIX").alias("Type"),
+        E("unix_micros(cast(l_shipdate as timestamp)) * 1000").alias("TimeReceivedNs"),
+        E("cast(l_linenumber as long)").alias("SequenceNum"),
+        E("CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE 100 END").cast("long").alias("SamplingRate"),
+        F.unhex(F.lit("0A000001")).alias("SamplerAddress"),
+        F.unhex(E(f"CASE l_linenumber % 3 WHEN 0 THEN concat('0A00', {_hx('l_partkey % 256')}, {_hx('l_suppkey % 256')}) "
+                  f"WHEN 1 THEN concat('20010DB8', repeat('0', 20), {_hx('l_partkey % 65536', 4)}) ELSE '' END")).alias("SrcAddr"),
+        F.unhex(E(f"concat('C0A8', {_hx('l_orderkey % 256')}, '01')")).alias("DstAddr"),
+        E("cast(round(l_extendedprice) as long)").alias("Bytes"),
+        E("cast(l_quantity as long)").alias("Packets"),
+        E("CASE WHEN l_linenumber % 3 = 1 THEN 34525 ELSE 2048 END").cast("long").alias("Etype"),
+        E("CASE l_partkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 17 ELSE 0 END").cast("long").alias("Proto"),
+        E("CASE WHEN l_partkey % 3 = 2 THEN 0 ELSE l_partkey % 65536 END").cast("long").alias("SrcPort"),
+        E("CASE WHEN l_suppkey % 5 = 0 THEN 0 ELSE 443 END").cast("long").alias("DstPort"),
+        E("l_orderkey % 10").cast("long").alias("InIf"),
+        F.lit(0).cast("long").alias("OutIf"),
+        E("(l_suppkey % 3) * 64512").cast("long").alias("SrcAs"),
+        F.lit(0).cast("long").alias("DstAs"),
+        F.unhex(E("CASE WHEN l_partkey % 4 = 0 THEN '' ELSE '0A0000FE' END")).alias("NextHop"),
+        E("CASE WHEN l_suppkey % 2 = 0 THEN cast(array() as array<long>) ELSE array(cast(l_suppkey as long)) END").alias("BgpCommunities"),
+        E("CASE WHEN l_partkey % 5 = 0 THEN cast(array() as array<long>) ELSE array(64512L, 65000L) END").alias("AsPath"),
+        E("CASE WHEN l_linenumber = 1 THEN 64 ELSE 0 END").cast("long").alias("ForwardingStatus"),
+    )
+    flows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(flow)).alias("flows"))
+    j = o.join(flows, o.o_orderkey == flows.l_orderkey, "left")
+    return j.select(F.col("o_orderkey").alias("packet_id"),
+                    F.when(E("o_orderkey % 9 = 0") | F.col("flows").isNull(),
+                           F.expr("filter(flows, x -> false)")).otherwise(F.col("flows")).alias("flows"))
+
+
+def netflow_packets(spark: SparkSession, sf: str) -> DataFrame:
+    """Decoded NetFlow v9 packets: header fields and one data flow set of
+    the order's line items."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    recs = li.groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("InIf"), F.col("l_partkey").alias("SrcPort"),
+                                             F.col("l_quantity").cast("long").alias("Packets")))).alias("records"))
+    j = o.join(recs, o.o_orderkey == recs.l_orderkey, "left")
+    return j.select(
+        F.col("o_orderkey").alias("packet_id"), F.lit(9).alias("Version"),
+        F.coalesce(F.size("records"), F.lit(0)).alias("Count"),
+        (F.col("o_orderkey") * 1000).alias("SystemUptime"),
+        F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("UnixSeconds"),
+        F.col("o_orderkey").alias("SequenceNumber"), (F.col("o_custkey") % 16).alias("SourceId"),
+        F.when(F.col("records").isNull(), F.array().cast("array<struct<Id:int,Records:array<struct<InIf:int,SrcPort:bigint,Packets:bigint>>>>"))
+        .otherwise(F.array(F.struct(F.lit(256).alias("Id"), F.col("records").alias("Records")))).alias("FlowSets"))
