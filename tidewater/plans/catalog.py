@@ -51,4 +51,5 @@ def load_all() -> None:
         monitor_queries,
         naming_queries,
         flow_queries,
+        stream_queries,
     )
