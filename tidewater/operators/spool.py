@@ -16,41 +16,48 @@ from ..functions import naming as N
 
 STATES = ("raw", "queue", "retry", "dlq", "meta")
 
-# Layout presets: regex over the path relative to the spool root, and the
-# partition columns a writer uses for the same layout (SNK-02).
-LAYOUTS = {
-    "tenant_dataset": r"^([^/]+)/([^/]+)/([^/]+)/([^/]+)$",
-    "date_tenant": r"^\d{4}/\d{2}/\d{2}/([^/]+)/([^/]+)/([^/]+)/([^/]+)$",
-    "protocol_tenant": r"^[^/]+/([^/]+)/([^/]+)/([^/]+)/([^/]+)$",
-    "flat": r"^()()([^/]+)/([^/]+)$",
+# Layout presets: number of path segments and the positions (1-based) of
+# tenant, dataset, state and file; ``date_tenant`` also checks its date part.
+LAYOUT_SEGMENTS = {
+    "tenant_dataset": (4, 1, 2, 3, 4),
+    "date_tenant": (7, 4, 5, 6, 7),
+    "protocol_tenant": (5, 2, 3, 4, 5),
+    "flat": (2, None, None, 1, 2),
 }
 
 
-def parse_spool_path(path: Column, layout: str = "tenant_dataset", root: str = "") -> Column:
-    """SRC-10: tenant, dataset, state and file name from a spool path.
-
-    For the ``flat`` layout tenant and dataset come from the
-    ``tenant--dataset--nanos--hint`` file name. Unknown layouts are an error.
-    """
-    if layout not in LAYOUTS:
+def spool_path_columns(path: Column, layout: str = "tenant_dataset", root: str = "") -> list[Column]:
+    """SRC-10: tenant_id, dataset_id, state, file and a validity flag from a
+    spool path (string split, no regex). For ``flat`` tenant and dataset
+    come from the ``tenant--dataset--nanos--hint`` file name. Unknown
+    layouts are an error."""
+    if layout not in LAYOUT_SEGMENTS:
         raise ValueError(f"unsupported spooling organization: {layout!r}")
-    rel = F.regexp_replace(path, "^" + _quote(root.rstrip("/") + "/"), "") if root else path
-    rx = LAYOUTS[layout]
-    f = F.regexp_extract(rel, rx, 4)
-    tenant, dataset = F.regexp_extract(rel, rx, 1), F.regexp_extract(rel, rx, 2)
+    rel = path
+    if root:
+        prefix = root.rstrip("/") + "/"
+        rel = F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path)
+    parts = F.split(rel, "/", -1)
+    n, ti, di, si, fi = LAYOUT_SEGMENTS[layout]
+    f = F.element_at(parts, fi)
     if layout == "flat":
-        parts = F.split(f, "--", -1)
-        tenant, dataset = parts.getItem(0), parts.getItem(1)
-    ok = rel.rlike(rx)
-    return F.when(ok, F.struct(
-        tenant.alias("tenant_id"), dataset.alias("dataset_id"),
-        F.regexp_extract(rel, rx, 3).alias("state"), f.alias("file"),
-    ))
+        name = F.split(f, "--", -1)
+        tenant, dataset = F.element_at(name, 1), F.element_at(name, 2)
+    else:
+        tenant, dataset = F.element_at(parts, ti), F.element_at(parts, di)
+    # Segments of a file listing are never empty, so the segment count (and
+    # the date prefix for ``date_tenant``) is the whole validity test.
+    ok = F.size(parts) == n
+    if layout == "date_tenant":
+        ok = ok & rel.rlike(r"^\d{4}/\d{2}/\d{2}/")
+    return [tenant.alias("tenant_id"), dataset.alias("dataset_id"), F.element_at(parts, si).alias("state"),
+            f.alias("file"), ok.alias("_ok")]
 
 
-def _quote(s: str) -> str:
-    import re
-    return re.escape(s)
+def parse_spool_path(path: Column, layout: str = "tenant_dataset", root: str = "") -> Column:
+    """SRC-10 as one struct (NULL when the path does not fit the layout)."""
+    cols = spool_path_columns(path, layout, root)
+    return F.when(cols[-1], F.struct(*cols[:-1]))
 
 
 def with_path_parts(listing: DataFrame, layout: str = "tenant_dataset", root: str = "") -> DataFrame:
@@ -59,10 +66,9 @@ def with_path_parts(listing: DataFrame, layout: str = "tenant_dataset", root: st
     Directories named ``meta`` and ``dlq`` are never datasets; rows whose
     path does not fit the layout are dropped.
     """
-    p = parse_spool_path(F.col("path"), layout, root)
+    cols = spool_path_columns(F.col("path"), layout, root)
     return (
-        listing.withColumn("_p", p).where(F.col("_p").isNotNull())
-        .select("*", "_p.*").drop("_p")
+        listing.select("*", *cols).where(F.col("_ok")).drop("_ok")
         .where(~F.col("dataset_id").isin("meta", "dlq"))
         .withColumn("is_meta", F.col("file").endswith(".meta"))
     )
@@ -84,19 +90,27 @@ def dlq_stats(listing: DataFrame) -> DataFrame:
     """AGG-01: queue / DLQ files and bytes per dataset, tenant and in total.
 
     Retry files are not counted. ``level`` is 0 for datasets, 1 for tenants,
-    2 for the grand total (ROLLUP). Oldest files are by modification time.
+    3 for the grand total (ROLLUP grouping id). Oldest files are by
+    modification time (name breaks ties). Rows are aggregated per dataset
+    first (partial/final hash aggregate); the rollup then runs over that
+    small table, so raw rows are never expanded per grouping set.
     """
     d = data_files(listing).where(F.col("state").isin("queue", "dlq"))
     q, dl = F.col("state") == "queue", F.col("state") == "dlq"
-    return d.rollup("tenant_id", "dataset_id").agg(
+    oldest = F.struct(F.col("modificationTime"), F.col("file"))
+    per = d.groupBy("tenant_id", "dataset_id").agg(
+        F.count_if(q).alias("qf"), F.sum(F.when(q, F.col("length"))).alias("qb"),
+        F.count_if(dl).alias("df"), F.sum(F.when(dl, F.col("length"))).alias("db"),
+        F.min(F.when(q, oldest)).alias("oq"), F.min(F.when(dl, oldest)).alias("od"))
+    r = per.rollup("tenant_id", "dataset_id").agg(
         F.grouping_id().cast("int").alias("level"),
-        F.count_if(q).alias("queue_files"),
-        F.coalesce(F.sum(F.when(q, F.col("length"))), F.lit(0)).cast("long").alias("queue_bytes"),
-        F.count_if(dl).alias("dlq_files"),
-        F.coalesce(F.sum(F.when(dl, F.col("length"))), F.lit(0)).cast("long").alias("dlq_bytes"),
-        _oldest("file", "modificationTime", q).alias("oldest_queue_file"),
-        _oldest("file", "modificationTime", dl).alias("oldest_dlq_file"),
-    )
+        F.sum("qf").cast("long").alias("queue_files"),
+        F.coalesce(F.sum("qb"), F.lit(0)).cast("long").alias("queue_bytes"),
+        F.sum("df").cast("long").alias("dlq_files"),
+        F.coalesce(F.sum("db"), F.lit(0)).cast("long").alias("dlq_bytes"),
+        F.min("oq").alias("oq"), F.min("od").alias("od"))
+    return r.select("tenant_id", "dataset_id", "level", "queue_files", "queue_bytes", "dlq_files", "dlq_bytes",
+                    F.col("oq.file").alias("oldest_queue_file"), F.col("od.file").alias("oldest_dlq_file"))
 
 
 def directory_counts(listing: DataFrame, suffix: str = "") -> DataFrame:

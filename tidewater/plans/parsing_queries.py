@@ -34,10 +34,10 @@ FROM (SELECT *, trim(data) AS d, regexp_matches(trim(data), '{P5}') AS m5,
 def q_syslog(spark, sf):
     """PAR-01..03: auto-mode syslog parsing, fields read back from the NDJSON."""
     p = parsing.parse_syslog_messages(fx.syslog_messages(spark, sf))
-    j = F.col("ndjson")
     fields = ("priority", "version", "syslog_timestamp", "hostname", "app_name", "proc_id",
               "msg_id", "tag", "message", "rfc", "source_ip", "timestamp")
-    return p.select("seq", *[F.get_json_object(j, f"$.{f}").alias(f) for f in fields])
+    schema = ", ".join(f"{f} string" for f in fields)
+    return p.select("seq", F.from_json("ndjson", schema).alias("j")).select("seq", *[F.col(f"j.{f}") for f in fields])
 
 
 @register("par01_rfc5424_only", with_fixtures(f"""
