@@ -54,18 +54,21 @@ def ordered_fold(
     step: Callable[[object, dict[str, np.ndarray]], tuple[object, dict[str, np.ndarray]]],
     init: Callable[[], object],
     out_fields: Sequence[T.StructField],
+    keep_values: bool = False,
 ) -> DataFrame:
     """Run ``step`` over each key's rows in order; returns keys, order and
     the step's output columns.
 
     ``step(state, arrays) -> (state, outputs)`` is called with the arrays
     of one contiguous run of a key (a key can span several Arrow batches;
-    its state is carried across them).
+    its state is carried across them). ``keep_values`` also returns the
+    (narrow) value columns, so callers that only aggregate need no join.
     """
     keys, order, values = list(keys), list(order), list(values)
     narrow = df.select(*keys, *order, *values)
     in_schema = narrow.schema
-    out_schema = T.StructType([in_schema[c] for c in keys + order] + list(out_fields))
+    passed = keys + order + (values if keep_values else [])
+    out_schema = T.StructType([in_schema[c] for c in passed] + list(out_fields))
     arrow_out = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in out_schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +88,7 @@ def ordered_fold(
                 state, o = step(state, {c: v[a:b] for c, v in vals.items()})
                 for name, arr in o.items():
                     outs[name].append(arr)
-            cols = [rb.column(c) for c in keys + order]
+            cols = [rb.column(c) for c in passed]
             cols += [pa.array(np.concatenate(outs[f.name]), type=_arrow_type(f.dataType)) for f in out_fields]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow_out)
 
@@ -145,13 +148,15 @@ def pack_by_size(
     ends_nl: str | None = "ends_nl",
     hint: str = "data_hint",
     max_batch_bytes: int = DEFAULT_MAX_BATCH_BYTES,
+    keep_sizes: bool = False,
 ) -> DataFrame:
     """PAK-01: greedy size packing per key in file order.
 
     Before adding a file, the batch is closed when it is non-empty and the
     estimated compressed size ``(acc + len) // 5`` exceeds the limit. For
     line-based hints a missing final newline adds one byte to the batch.
-    Returns keys, order columns and ``batch_no`` (0-based per key).
+    Returns keys, order columns and ``batch_no`` (0-based per key); with
+    ``keep_sizes`` also ``len`` and ``w`` (bytes the file adds to its batch).
     """
     limit = max_batch_bytes if max_batch_bytes > 0 else DEFAULT_MAX_BATCH_BYTES
     add_nl = F.col(hint).isin(*LINE_BASED_HINTS) & (F.col(size) > 0)
@@ -160,7 +165,7 @@ def pack_by_size(
     d = raw.withColumn("len", F.col(size).cast("long")).withColumn(
         "w", F.col(size).cast("long") + F.when(add_nl, 1).otherwise(0))
     return ordered_fold(d, keys, order, ["len", "w"], _size_step(limit), lambda: (0, 0),
-                        [T.StructField("batch_no", T.LongType())])
+                        [T.StructField("batch_no", T.LongType())], keep_values=keep_sizes)
 
 
 # --- PAK-02: trigger packing ------------------------------------------------------

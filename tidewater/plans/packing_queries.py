@@ -17,7 +17,7 @@ QUOTA = 150_000
 
 def _pack(spark, sf):
     raw = fx.raw_sizes(spark, sf)
-    return packing.pack_by_size(raw, order=ORDER, max_batch_bytes=MAX_BATCH_BYTES), raw
+    return packing.pack_by_size(raw, order=ORDER, max_batch_bytes=MAX_BATCH_BYTES, keep_sizes=True), raw
 
 
 @register("pak01_size_packing", with_fixtures(f"""
@@ -39,12 +39,9 @@ SELECT tenant_id, dataset_id, data_hint, batch_no, count(*) AS files, CAST(sum(w
 FROM r GROUP BY ALL"""))
 def q_size_packing(spark, sf):
     """PAK-01: greedy 5:1-estimated size packing per (tenant, dataset, hint)."""
-    assign, raw = _pack(spark, sf)
+    assign, _ = _pack(spark, sf)
     keys = ["tenant_id", "dataset_id", "data_hint"]
-    j = assign.join(raw, keys + list(ORDER), "inner")
-    w = F.col("size") + F.when(F.col("data_hint").isin("ndjson", "csv", "tsv", "syslog", "apache", "nginx", "iis", "squid")
-                               & (F.col("size") > 0) & ~F.col("ends_nl"), 1).otherwise(0)
-    return j.groupBy(*keys, "batch_no").agg(F.count(F.lit(1)).alias("files"), F.sum(w).cast("long").alias("bytes"))
+    return assign.groupBy(*keys, "batch_no").agg(F.count(F.lit(1)).alias("files"), F.sum("w").cast("long").alias("bytes"))
 
 
 def _trigger_input(spark, sf):
