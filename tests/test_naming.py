@@ -89,6 +89,8 @@ def test_ip_text_matches_reference_formatting(spark):
             b = bytes(16)
         vals.append(b)
     got = _col(spark, [bytearray(v) for v in vals], N.ip_text, "v binary")
+    df = spark.createDataFrame([(bytearray(v),) for v in vals], "v binary")
+    assert [r.t for r in N.with_ip_text(df, "v", "t").collect()] == got
     for b, g in zip(vals, got):
         if len(b) == 4:
             exp = str(ipaddress.IPv4Address(b))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -160,35 +160,70 @@ def to_int(value) -> Column:
     return F.struct(F.when(ok, iv).alias("value"), ok.alias("ok"))
 
 
+def _ipv6_text(x: Column) -> Column:
+    """RFC 5952 text of 16 address bytes (regex form, for single uses):
+    hex groups without leading zeros, then the longest run of two or more
+    zero groups (the leftmost on ties) becomes ``::``."""
+    g = F.regexp_replace(F.lower(F.hex(x)), r"(.{4})(?=.)", "$1:")
+    g = F.regexp_replace(g, r"(^|:)0{1,3}(?=[0-9a-f])", "$1")
+    out = None
+    for ln in range(8, 1, -1):
+        run = "(?:^|:)" + "0:" * (ln - 1) + "0(?::|$)"
+        cond = g.rlike(run)
+        text = F.regexp_replace(g, r"^(.*?)" + run + "(.*)$", "$1::$2")
+        out = F.when(cond, text) if out is None else out.when(cond, text)
+    return out.otherwise(g)
+
+
+def with_ip_text(df: DataFrame, src: str, out: str) -> DataFrame:
+    """PRJ-10 as projection steps (same result as ``ip_text``).
+
+    Intermediate values (hex, group string, the seven run positions) are
+    separate projections, so each is computed once per row and the
+    generated code stays small when several addresses are rendered in one
+    operator.
+    """
+    t = f"_ip_{out}"
+    x = F.col(src)
+    d = df.withColumn(f"{t}_h", F.hex(x))
+    hx = F.col(f"{t}_h")
+    d = d.withColumn(f"{t}_g", F.concat_ws(":", *[F.lower(F.conv(F.substring(hx, 4 * i + 1, 4), 16, 16))
+                                                  for i in range(8)]))
+    d = d.withColumn(f"{t}_f", F.concat(F.lit(":"), F.col(f"{t}_g"), F.lit(":")))
+    framed = F.col(f"{t}_f")
+    d = d.select("*", *[F.locate(":" + "0:" * ln, framed).alias(f"{t}_p{ln}") for ln in range(8, 1, -1)])
+    v6 = None
+    for ln in range(8, 1, -1):
+        pos = F.col(f"{t}_p{ln}")
+        right = F.substring(framed, pos + (2 * ln + 1), F.lit(64))
+        text = F.concat(F.substring(framed, F.lit(2), pos - 2), F.lit("::"),
+                        F.substring(right, F.lit(1), F.length(right) - 1))
+        v6 = F.when(pos > 0, text) if v6 is None else v6.when(pos > 0, text)
+    v6 = v6.otherwise(F.col(f"{t}_g"))
+    n = F.length(hx) / 2
+
+    def byte(i: int) -> Column:
+        return F.conv(F.substring(hx, 2 * i + 1, 2), 16, 10)
+
+    mapped = F.substring(hx, 1, 24) == F.lit("00000000000000000000FFFF")
+    text = (F.when(n == 4, F.concat_ws(".", *[byte(i) for i in range(4)]))
+            .when((n == 16) & mapped, F.concat_ws(".", *[byte(i) for i in range(12, 16)]))
+            .when(n == 16, v6).otherwise(F.base64(x)))
+    return d.withColumn(out, text).drop(f"{t}_h", f"{t}_g", f"{t}_f", *[f"{t}_p{ln}" for ln in range(8, 1, -1)])
+
+
 def ip_text(b) -> Column:
     """PRJ-10: 4-byte IPv4 / 16-byte IPv6 address text; other lengths as
     base64. IPv4-mapped IPv6 prints as dotted IPv4; otherwise groups are
     lower-case hex without leading zeros and the longest run of two or more
-    zero groups (the first on ties) becomes ``::``. Built from a ``when``
-    chain over the 28 possible runs: no UDF."""
+    zero groups (the first on ties) becomes ``::``. No UDF."""
     x = _c(b)
     n = F.octet_length(x)
 
     def byte(i: int) -> Column:
         return F.conv(F.hex(F.substring(x, i + 1, 1)), 16, 10)
 
-    def group(i: int) -> Column:
-        return F.lower(F.conv(F.hex(F.substring(x, 2 * i + 1, 2)), 16, 16))
-
-    hexg = [group(i) for i in range(8)]
-    zero = [F.substring(x, 2 * i + 1, 2) == F.unhex(F.lit("0000")) for i in range(8)]
-    v6 = F.concat_ws(":", *hexg)
-    runs = [(ln, i) for ln in range(8, 1, -1) for i in range(0, 9 - ln)]
-    chain = None
-    for ln, i in runs:
-        cond = zero[i]
-        for j in range(i + 1, i + ln):
-            cond = cond & zero[j]
-        text = F.concat(F.concat_ws(":", *hexg[:i]) if i else F.lit(""), F.lit("::"),
-                        F.concat_ws(":", *hexg[i + ln:]) if i + ln < 8 else F.lit(""))
-        chain = F.when(cond, text) if chain is None else chain.when(cond, text)
-    v6 = chain.otherwise(v6)
     v4 = F.concat_ws(".", *[byte(i) for i in range(4)])
     mapped = F.concat_ws(".", *[byte(i) for i in range(12, 16)])
     is_mapped = F.substring(x, 1, 12) == F.unhex(F.lit("00000000000000000000FFFF"))
-    return F.when(n == 4, v4).when((n == 16) & is_mapped, mapped).when(n == 16, v6).otherwise(F.base64(x))
+    return F.when(n == 4, v4).when((n == 16) & is_mapped, mapped).when(n == 16, _ipv6_text(x)).otherwise(F.base64(x))

@@ -12,44 +12,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.naming import ip_text
+from ..functions.naming import with_ip_text
 
 
-def _byte(b: Column, pos: Column | int) -> Column:
-    """Unsigned byte at 0-based position ``pos`` (NULL past the end)."""
+def _hex_byte(hx: Column, pos: Column | int) -> Column:
+    """Unsigned byte at 0-based ``pos`` of a hex string (NULL past the end)."""
     p = F.lit(pos) if isinstance(pos, int) else pos
-    one = F.substring(b, p + 1, F.lit(1))
-    return F.when(F.octet_length(one) == 1, F.conv(F.hex(one), 16, 10).cast("int"))
+    two = F.substring(hx, p * 2 + 1, F.lit(2))
+    return F.when(F.length(two) == 2, F.conv(two, 16, 10).cast("int"))
 
 
-def decode_ipv4_header(h: Column) -> Column:
-    """PAR-05: addresses and TCP/UDP ports from a raw sampled header.
-
-    Offset: 14 when bytes 12-13 are the IPv4 ethertype, 0 when byte 12 is
-    0x45, else 14 (headers shorter than 14 bytes start at 0). NULL unless
-    20 header bytes follow the offset and the version nibble is 4. Ports
-    need IHL + 4 bytes and protocol 6 or 17; zero ports are dropped.
-    """
-    n = F.octet_length(h)
-    b12, b13 = _byte(h, 12), _byte(h, 13)
-    off = F.when(n >= 14, F.when((b12 == 8) & (b13 == 0), 14).when(b12 == 0x45, 0).otherwise(14)).otherwise(0)
-    v = _byte(h, off)
+def _header_fields(hx: Column, off: Column) -> Column:
+    n = F.length(hx) / 2
+    v = _hex_byte(hx, off)
     ok = (n >= off + 20) & (F.shiftright(v, 4) == 4)
     ihl = v.bitwiseAND(F.lit(15)) * 4
-    proto = _byte(h, off + 9)
+    proto = _hex_byte(hx, off + 9)
 
     def ip(start: int) -> Column:
-        return F.concat_ws(".", *[_byte(h, off + start + i).cast("string") for i in range(4)])
+        return F.concat_ws(".", *[_hex_byte(hx, off + start + i).cast("string") for i in range(4)])
 
     has_ports = (n >= off + ihl + 4) & proto.isin(6, 17)
-    sport = _byte(h, off + ihl) * 256 + _byte(h, off + ihl + 1)
-    dport = _byte(h, off + ihl + 2) * 256 + _byte(h, off + ihl + 3)
+    sport = F.conv(F.substring(hx, (off + ihl) * 2 + 1, F.lit(4)), 16, 10).cast("int")
+    dport = F.conv(F.substring(hx, (off + ihl + 2) * 2 + 1, F.lit(4)), 16, 10).cast("int")
     return F.when(ok, F.struct(
         ip(12).alias("src_ip"), ip(16).alias("dst_ip"),
         F.when(has_ports & (sport != 0), sport).alias("src_port"),
         F.when(has_ports & (dport != 0), dport).alias("dst_port")))
 
 
+def _header_offset(hx: Column) -> Column:
+    n = F.length(hx) / 2
+    b12, b13 = _hex_byte(hx, 12), _hex_byte(hx, 13)
+    return F.when(n >= 14, F.when((b12 == 8) & (b13 == 0), 14).when(b12 == 0x45, 0).otherwise(14)).otherwise(0)
+
+
+def decode_ipv4_header(h: Column) -> Column:
+    """PAR-05: addresses and TCP/UDP ports from a raw sampled header.
+
+    Offset: 14 when bytes 12-13 are the IPv4 ethertype, 0 when byte 12 is
+    0x45, else 14 (headers shorter than 14 bytes start at 0). NULL unless
+    20 header bytes follow the offset and the version nibble is 4. Ports
+    need IHL + 4 bytes and protocol 6 or 17; zero ports are dropped.
+    """
+    hx = F.hex(h)
+    return _header_fields(hx, _header_offset(hx))
+
+
+def with_decoded_header(df: DataFrame, header: Column, out: str = "hdr") -> DataFrame:
+    """PAR-05 as a DataFrame step: the hex form and the offset are computed
+    once per row in their own projections, keeping generated code small."""
+    d = df.withColumn("_hx", F.hex(header))
+    d = d.withColumn("_off", _header_offset(F.col("_hx")))
+    return d.withColumn(out, _header_fields(F.col("_hx"), F.col("_off"))).drop("_hx", "_off")
+
+
 def flatten_sflow(packets: DataFrame) -> DataFrame:
     """PAR-04: one flat row per flow record, or one packet-level row when a
     packet carries no records at all.
@@ -60,26 +77,28 @@ def flatten_sflow(packets: DataFrame) -> DataFrame:
     fields are absent from the ``ndjson`` rendering.
     """
     n_rec = F.aggregate(F.coalesce("samples", F.array()), F.lit(0), lambda acc, s: acc + F.size(s["records"]))
-    p = packets.withColumn("n_records", n_rec)
-    agent = ip_text(F.col("agent_ip"))
+    p = with_ip_text(packets.withColumn("n_records", n_rec), "agent_ip", "agent_txt")
     pkt = p.where(F.col("n_records") == 0).select(
         "packet_id", F.struct(
-            F.col("version"), agent.alias("agent_ip"), F.col("sequence_number"),
+            F.col("version"), F.col("agent_txt").alias("agent_ip"), F.col("sequence_number"),
             F.size("samples").alias("samples_count")).alias("row"))
-    s = p.where(F.col("n_records") > 0).select("packet_id", "version", "agent_ip", F.explode("samples").alias("s"))
+    s = p.where(F.col("n_records") > 0).select("packet_id", "version", F.col("agent_txt").alias("agent_ip"),
+                                               F.explode("samples").alias("s"))
     r = s.select("packet_id", "version", "agent_ip", "s.kind", "s.sampling_rate", "s.input_if", "s.output_if",
                  F.explode("s.records").alias("r"))
-    hdr = decode_ipv4_header(F.col("r.header"))
+    r = with_decoded_header(r, F.col("r.header"), "hdr")
+    r = with_ip_text(with_ip_text(r, "r.src_ip", "src_txt"), "r.dst_ip", "dst_txt")
+    hdr = F.col("hdr")
     kind = F.col("r.kind")
     is_hdr, is4 = kind == "header", kind == "ipv4"
     is6 = (kind == "ipv6") & (F.col("kind") == "flow")
     rows = r.select("packet_id", F.struct(
-        F.col("version"), ip_text(F.col("agent_ip")).alias("agent_ip"), F.col("sampling_rate"),
+        F.col("version"), F.col("agent_ip"), F.col("sampling_rate"),
         F.col("input_if"), F.col("output_if"),
         F.when(is_hdr | is4 | is6, F.col("r.protocol")).alias("protocol"),
         F.when(is_hdr, F.col("r.frame_length")).alias("frame_length"),
-        F.when(is_hdr, hdr["src_ip"]).when(is4 | is6, ip_text(F.col("r.src_ip"))).alias("src_ip"),
-        F.when(is_hdr, hdr["dst_ip"]).when(is4 | is6, ip_text(F.col("r.dst_ip"))).alias("dst_ip"),
+        F.when(is_hdr, hdr["src_ip"]).when(is4 | is6, F.col("src_txt")).alias("src_ip"),
+        F.when(is_hdr, hdr["dst_ip"]).when(is4 | is6, F.col("dst_txt")).alias("dst_ip"),
         F.when(is_hdr, hdr["src_port"]).when(is4 | is6, F.col("r.src_port")).alias("src_port"),
         F.when(is_hdr, hdr["dst_port"]).when(is4 | is6, F.col("r.dst_port")).alias("dst_port"),
         F.col("r.lno").alias("lno"), F.col("r.pkey").alias("pkey"), F.col("r.skey").alias("skey"),
@@ -116,6 +135,9 @@ def ipfix_rows(packets: DataFrame, flows: str = "flows") -> DataFrame:
     when non-zero / non-empty, addresses rendered as text."""
     f = packets.select("packet_id", F.explode(flows).alias("f"))
     present = set(f.schema["f"].dataType.fieldNames())
+    for name, kind in IPFIX_FIELDS:
+        if kind == "addr" and name in present:
+            f = with_ip_text(f, f"f.{name}", f"_txt_{name}")
     cols = [F.col("f.Type").alias("Type")]
     for name, kind in IPFIX_FIELDS:
         if name not in present:
@@ -124,7 +146,7 @@ def ipfix_rows(packets: DataFrame, flows: str = "flows") -> DataFrame:
         if kind == "num":
             cols.append(F.when(c > 0, c).alias(name))
         elif kind == "addr":
-            cols.append(F.when(F.octet_length(c) > 0, ip_text(c)).alias(name))
+            cols.append(F.when(F.octet_length(c) > 0, F.col(f"_txt_{name}")).alias(name))
         else:
             cols.append(F.when(F.size(c) > 0, c).alias(name))
     return f.select("packet_id", F.struct(*cols).alias("row"))
