@@ -37,11 +37,11 @@ def space_alerts(usage: DataFrame, used: str = "used_bytes", cap: str = "max_byt
 
 
 def alert_records(df: DataFrame, severity: Column, title: Column, message: Column, details: Column,
-                  ts: Column, service: str = "tidewater", version: str = "0.1.0") -> DataFrame:
+                  ts: Column, service: str = "tidewater", version: str = "0.1.0", keep=()) -> DataFrame:
     """ALR-03: shape rows into the alert/report record (severity defaults
-    to ``error`` when missing)."""
+    to ``error`` when missing); ``keep`` carries identifying columns."""
     return df.select(
-        F.coalesce(severity, F.lit("error")).alias("severity"), title.alias("title"), message.alias("message"),
+        *keep, F.coalesce(severity, F.lit("error")).alias("severity"), title.alias("title"), message.alias("message"),
         details.alias("details"), F.lit(service).alias("service"), F.lit(version).alias("version"),
         ts.alias("timestamp"))
 

@@ -187,9 +187,63 @@ def q_size_percentiles(spark, sf):
     return f.groupBy("tenant_id").agg(F.percentile_approx("size", [0.5, 0.9, 0.99], 10000).alias("p"))
 
 
-@register("agg17_open_batches")
+def _open_batches_sql() -> str:
+    from .packing_queries import PAK02_SQL
+    return f"""
+SELECT tenant_id, dataset_id, count(*) AS open_batches, CAST(sum(messages) AS BIGINT) AS messages,
+  CAST(sum(bytes) AS BIGINT) AS bytes,
+  CAST(epoch(TIMESTAMP '{AS_OF}') AS BIGINT) - epoch_us(min(first_ts)) // 1000000 AS age_s
+FROM ({PAK02_SQL}) b WHERE trigger_reason = 'service_shutdown' GROUP BY ALL"""
+
+
+@register("agg17_open_batches", _open_batches_sql())
 def q_open_batches(spark, sf):
     """AGG-17: open (never closed) trigger batches per dataset, from PAK-02."""
     m = fx.messages(spark, sf).select("tenant_id", "dataset_id", "ts", "seq", F.octet_length("data").alias("size"))
     b = packing.pack_by_triggers(m, max_lines=50, max_bytes=4000, timeout_s=3 * 3600)
     return monitor.open_batch_stats(b, F.to_timestamp(F.lit(AS_OF)))
+
+
+@register("alr03_alert_records", with_fixtures("""
+SELECT event_id, coalesce(severity, 'error') AS severity, 'Error: ' || error_type AS title, message,
+  'tenant=' || tenant_id || ' dataset=' || dataset_id AS details, 'tidewater' AS service, '0.1.0' AS version,
+  strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp
+FROM error_reports WHERE kind = 'report'"""))
+def q_alert_records(spark, sf):
+    """ALR-03: error reports shaped into alert records."""
+    from ..functions.text import rfc3339
+    from ..operators import alerts
+    r = fx.error_reports(spark, sf).where("kind = 'report'")
+    a = alerts.alert_records(r, F.col("severity"), F.concat(F.lit("Error: "), F.col("error_type")), F.col("message"),
+                             F.concat(F.lit("tenant="), F.col("tenant_id"), F.lit(" dataset="), F.col("dataset_id")),
+                             rfc3339("ts"), keep=["event_id"])
+    return a
+
+
+@register("alr04_health_report", with_fixtures("""
+WITH st AS (
+  SELECT port, arg_max(status, (ts, event_id)) AS status FROM (
+    SELECT port, ts, event_id, CASE WHEN drops > 0 AND base IS NOT NULL AND drops > base THEN 'degraded' ELSE 'healthy' END AS status
+    FROM (SELECT *, last_value(CASE WHEN drops > 0 THEN drops END IGNORE NULLS) OVER (PARTITION BY port ORDER BY ts, event_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM port_counters)) GROUP BY port),
+tp AS (SELECT port, count(*) AS messages, CAST(sum(drops) AS BIGINT) AS bytes,
+         CAST(greatest((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000, 1) AS BIGINT) AS uptime_s FROM port_counters GROUP BY port),
+inv AS (SELECT CAST(1000 + user_id % 6 AS INT) AS port, count(DISTINCT event_type) AS datasets FROM events GROUP BY 1)
+SELECT st.port AS instance, st.status = 'healthy' AS healthy, st.status, tp.messages, tp.bytes, tp.uptime_s,
+  CAST(tp.bytes AS DOUBLE) / CAST(tp.uptime_s AS DOUBLE) AS bytes_per_sec, CAST(tp.messages AS DOUBLE) / CAST(tp.uptime_s AS DOUBLE) AS messages_per_sec,
+  inv.datasets
+FROM st LEFT JOIN tp USING (port) LEFT JOIN inv USING (port)"""))
+def q_health_report(spark, sf):
+    """ALR-04: per-instance (port) health record: latest status, throughput,
+    assigned datasets."""
+    from ..operators import alerts
+    pc = fx.port_counters(spark, sf)
+    readings = pc.select(F.col("port").alias("instance"), "event_id", "ts", "drops", F.lit(0).alias("expected"),
+                         F.lit(0).alias("running"))
+    st = monitor.service_status(readings).join(readings.select("instance", "event_id", "ts"), ["instance", "event_id"])
+    latest = st.groupBy("instance").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    tp = monitor.throughput(pc.withColumnRenamed("port", "instance"), "instance", "ts", "drops")
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    inv = ev.groupBy((F.col("user_id") % 6 + 1000).cast("int").alias("instance")).agg(
+        F.count_distinct("event_type").alias("datasets"))
+    return alerts.health_report(latest, tp, inv, key="instance")

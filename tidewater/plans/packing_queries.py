@@ -49,7 +49,7 @@ def _trigger_input(spark, sf):
     return m.select("tenant_id", "dataset_id", "ts", "seq", F.octet_length("data").cast("long").alias("size"))
 
 
-@register("pak02_trigger_packing", with_fixtures(f"""
+PAK02_SQL = with_fixtures(f"""
 WITH RECURSIVE items AS (
   SELECT tenant_id, dataset_id, ts, epoch_us(ts) AS tus, CAST(strlen(data) AS BIGINT) AS len,
     row_number() OVER (PARTITION BY tenant_id, dataset_id ORDER BY ts, seq) AS rn
@@ -72,7 +72,10 @@ per AS (SELECT r.tenant_id, r.dataset_id, r.bn AS batch_no, count(*) AS messages
 SELECT p.tenant_id, p.dataset_id, p.batch_no, p.messages, p.bytes, p.first_ts, p.last_ts,
   CASE WHEN p.cl = 1 THEN 'line_limit_reached' WHEN p.cl = 2 THEN 'size_limit_reached'
        WHEN n.batch_no IS NOT NULL THEN 'timeout' ELSE 'service_shutdown' END AS trigger_reason
-FROM per p LEFT JOIN per n ON n.tenant_id = p.tenant_id AND n.dataset_id = p.dataset_id AND n.batch_no = p.batch_no + 1"""))
+FROM per p LEFT JOIN per n ON n.tenant_id = p.tenant_id AND n.dataset_id = p.dataset_id AND n.batch_no = p.batch_no + 1""")
+
+
+@register("pak02_trigger_packing", PAK02_SQL)
 def q_trigger_packing(spark, sf):
     """PAK-02: line / byte / idle-gap triggers per (tenant, dataset)."""
     return packing.pack_by_triggers(_trigger_input(spark, sf), max_lines=MAX_LINES, max_bytes=MAX_BYTES,
