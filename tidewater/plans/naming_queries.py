@@ -328,3 +328,23 @@ def q_source_archive(spark, sf):
     m = S.delivery_manifest(files, "https://recv.example", global_token="g")
     arch = S.source_archive(m, step)
     return arch.select("id", "archive_path", F.md5("headers_text").alias("headers_md5"))
+
+
+@register("agg10_topic_partitions", """
+SELECT event_type AS topic, count(*) AS received, CAST(sum(strlen(props)) AS BIGINT) AS bytes,
+  CAST(arg_max(user_id % 4, (ts, event_id)) AS INT) AS last_partition
+FROM events GROUP BY event_type""")
+def q_topic_partitions(spark, sf):
+    """AGG-10: per Kafka topic: messages, bytes and the last partition seen."""
+    r = fx.kafka_records(spark, sf)
+    return r.groupBy("topic").agg(
+        F.count(F.lit(1)).alias("received"), F.sum(F.octet_length("value")).cast("long").alias("bytes"),
+        F.max_by("partition", F.struct("timestamp", "event_id")).alias("last_partition"))
+
+
+@register("agg10_subject_counts", """
+SELECT 'events.' || event_type AS subject, count(*) AS received FROM events GROUP BY 1""")
+def q_subject_counts(spark, sf):
+    """AGG-10: per NATS subject message counts (from the message metadata)."""
+    m = A.nats_to_messages(fx.nats_records(spark, sf), "t", "d")
+    return m.groupBy(F.element_at("metadata", F.lit("subject")).alias("subject")).agg(F.count(F.lit(1)).alias("received"))
