@@ -48,14 +48,20 @@ def first_line_detection(
 ) -> DataFrame:
     """FMT-06 memo: per key, is the *first* auto-mode line valid JSON?
 
-    A partial/final hash aggregate keeps one candidate per key per task, so
-    only O(keys) rows cross the shuffle whatever the skew of a key.
+    Two hash aggregates on fixed-width columns, no sort of the lines:
+    (1) the first message (min ``seq``) of each key — partial aggregation
+    leaves one row per key and task, whatever the skew; (2) only the lines
+    of those first messages are kept (left-semi join on a size-checked
+    broadcast) and their first line picked. Only that small set is ever
+    sorted.
     """
     auto = lines.where(is_auto_mode(F.col(mode))) if mode in lines.columns else lines
-    first = auto.groupBy(*keys).agg(
-        F.min_by(F.col("line"), F.struct(*[F.col(c) for c in order])).alias("first_line")
-    )
-    return first.select(*keys, T.is_valid_json("first_line").alias("detected_json"))
+    k = list(keys)
+    msg, pos = order[0], order[1]
+    first_msg = auto.groupBy(*k).agg(F.min(msg).alias(msg))
+    firsts = bounded_lookup(auto.select(*k, msg, pos, "line"), first_msg, k + [msg], "left_semi")
+    first = firsts.groupBy(*k).agg(F.min_by(F.col("line"), F.col(pos)).alias("first_line"))
+    return first.select(*k, T.is_valid_json("first_line").alias("detected_json"))
 
 
 def detect_and_wrap(
@@ -109,11 +115,27 @@ def stamp_line(line, stamp_ms, key: str = STAMP_KEY) -> Column:
 
 def stamp(df: DataFrame, line: str = "out", hint: str = "data_hint", ts: str = "ts",
           key: str = STAMP_KEY, into: str = "stamped") -> DataFrame:
-    """FMT-14: stamp lines of ``ndjson`` / ``json`` hints with ingest millis."""
+    """FMT-14: stamp lines of ``ndjson`` / ``json`` hints with ingest millis.
+
+    Staged projections: only lines of a stamped hint that look like an
+    object after trimming are parsed, and the parse (one array-wrapped
+    variant, from which the object map is read) plus the strict-validity
+    check are computed once per row.
+    """
+    l = F.col(line)
+    cand = F.col(hint).isin(*STAMPED_HINTS)
+    d = df.withColumn("_st_t", F.when(cand, T.unicode_trim(l)))
+    t = F.col("_st_t")
+    looks = t.startswith("{") & t.endswith("}")
+    d = d.withColumn("_st_arr", F.when(looks, F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))))
+    obj = F.try_variant_get(F.col("_st_arr"), "$[0]", "map<string,variant>")
+    strict = F.try_parse_json(F.concat(F.lit('{"x":'), t, F.lit("}"))).isNotNull()
+    d = d.withColumn("_st_obj", F.when(F.col("_st_arr").isNotNull() & strict, obj))
     ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    return df.withColumn(
-        into, F.when(F.col(hint).isin(*STAMPED_HINTS), stamp_line(line, ms, key)).otherwise(F.col(line))
-    )
+    kept = F.map_filter(F.col("_st_obj"), lambda k, v: F.lower(k) != key.lower())
+    stamped = F.to_json(F.map_concat(kept, F.create_map(F.lit(key), F.parse_json(ms.cast("string")))))
+    return d.withColumn(into, F.when(F.col("_st_obj").isNotNull(), stamped).otherwise(l)) \
+        .drop("_st_t", "_st_arr", "_st_obj")
 
 
 def format_by_hint(line, hint) -> Column:
