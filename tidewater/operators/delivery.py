@@ -115,13 +115,17 @@ def replay(files: DataFrame, attempts: DataFrame, tenants: DataFrame | None = No
     attempts (no per-pass loop): first success, first outcome, attempt count.
     """
     o = delivery_outcome(F.col("status_code"))
+    # Fixed-width aggregation buffers only (outcome as a small int), so the
+    # per-file aggregate is a partial/final hash aggregate, not a sort.
+    oc = F.when(o == "success", 0).when(o == "permanent", 1).otherwise(2)
     per_file = attempts.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_attempts"),
-        F.min_by(o, F.col("attempt_no")).alias("first_outcome"),
+        F.min_by(oc, F.col("attempt_no")).alias("first_oc"),
         F.min_by(F.col("status_code"), F.col("attempt_no")).alias("first_code"),
         F.min(F.when(o == "success", F.col("attempt_no"))).alias("first_success_no"),
         F.max_by(F.col("status_code"), F.col("attempt_no")).alias("last_code"),
-    )
+    ).withColumn("first_outcome", F.element_at(F.array(F.lit("success"), F.lit("permanent"), F.lit("transient")),
+                                               F.col("first_oc") + 1)).drop("first_oc")
     q = files.where(F.col("state") == "queue")
     q = with_tenant_gate(q, tenants) if tenants is not None else q.withColumn("tenant_active", F.lit(True))
     j = q.join(per_file, key, "left").withColumn("n_attempts", F.coalesce("n_attempts", F.lit(0)))

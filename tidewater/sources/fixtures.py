@@ -85,7 +85,7 @@ def syslog_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def kafka_records(spark: SparkSession, sf: str) -> DataFrame:
     """Kafka-shaped records: key, value, topic, partition, offset, headers."""
-    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "props")
+    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "props", spread_input=False)
     w = Window.partitionBy("topic", "partition").orderBy("event_id")
     return (
         e.select(
@@ -147,7 +147,7 @@ ATTEMPT_ORDER = ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quan
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     """Delivery attempts: one per line item of the order whose file it is."""
     li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-               "l_quantity", "l_extendedprice", "l_shipdate")
+               "l_quantity", "l_extendedprice", "l_shipdate", spread_input=False)
     # Attempts are numbered chronologically per file (line numbers repeat).
     w = Window.partitionBy("l_orderkey").orderBy(*ATTEMPT_ORDER)
     return li.select(
@@ -161,7 +161,7 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 def raw_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Raw landing files: key, order key and size, for batch packing."""
     li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
-               "l_linestatus", "l_extendedprice", "l_shipdate")
+               "l_linestatus", "l_extendedprice", "l_shipdate", spread_input=False)
     return li.select(
         E("concat('t', l_suppkey % 10)").alias("tenant_id"),
         F.col("l_returnflag").alias("dataset_id"),
@@ -186,7 +186,7 @@ def control_doc(spark: SparkSession, sf: str) -> DataFrame:
     """Nested control documents: one tenant per nation, its customers as
     datasets (paged: one row per tenant and page of up to 64 datasets)."""
     n = table(spark, sf, "nation", "n_nationkey")
-    c = table(spark, sf, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    c = table(spark, sf, "customer", "c_custkey", "c_nationkey", "c_mktsegment", spread_input=False)
     ds = c.select(
         F.col("c_nationkey").alias("nk"),
         F.struct(
@@ -226,7 +226,7 @@ def receivers(spark: SparkSession, sf: str) -> DataFrame:
 
 def port_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Per-port cumulative drop counters, reset to zero on one day."""
-    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type")
+    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", spread_input=False)
     w = Window.partitionBy("port").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return e.select(
         "event_id", "ts", E("cast(1000 + user_id % 6 as int)").alias("port"),
@@ -240,7 +240,7 @@ def port_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 def host_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Cumulative CPU tick counters per host."""
-    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value")
+    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value", spread_input=False)
     w = Window.partitionBy("host").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     v = E("cast(round(value) as bigint)")
     return e.select(
@@ -468,9 +468,9 @@ SFLOW_HEADER_SQL = (
 def flow_packets(spark: SparkSession, sf: str) -> DataFrame:
     """Decoded sFlow packets: one per order, one sample with the order's
     line items as flow records (header / IPv4 / IPv6 / other)."""
-    o = table(spark, sf, "orders", "o_orderkey", "o_custkey")
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", spread_input=False)
     li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-               "l_extendedprice")
+               "l_extendedprice", spread_input=False)
     rec = F.struct(
         F.col("l_linenumber").alias("lno"), F.col("l_partkey").alias("pkey"), F.col("l_suppkey").alias("skey"),
         F.col("l_quantity").alias("qty"),
@@ -505,9 +505,9 @@ def flow_packets(spark: SparkSession, sf: str) -> DataFrame:
 def ipfix_packets(spark: SparkSession, sf: str) -> DataFrame:
     """Decoded IPFIX packets: one per order, one flow message per line item;
     every ninth packet is template-only (no flows)."""
-    o = table(spark, sf, "orders", "o_orderkey")
+    o = table(spark, sf, "orders", "o_orderkey", spread_input=False)
     li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-               "l_extendedprice", "l_shipdate")
+               "l_extendedprice", "l_shipdate", spread_input=False)
     flow = F.struct(
         F.col("l_linenumber").alias("_lno"), F.col("l_partkey").alias("_pkey"), F.col("l_suppkey").alias("_skey"),
         F.lit("IPFIX").alias("Type"),
@@ -543,8 +543,8 @@ def ipfix_packets(spark: SparkSession, sf: str) -> DataFrame:
 def netflow_packets(spark: SparkSession, sf: str) -> DataFrame:
     """Decoded NetFlow v9 packets: header fields and one data flow set of
     the order's line items."""
-    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate", spread_input=False)
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", spread_input=False)
     recs = li.groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("InIf"), F.col("l_partkey").alias("SrcPort"),
                                              F.col("l_quantity").cast("long").alias("Packets")))).alias("records"))

@@ -43,11 +43,16 @@ def spread(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return df.repartition(slots)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Read one driver table, optionally pruned to ``columns``."""
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread_input: bool = True) -> DataFrame:
+    """Read one driver table, optionally pruned to ``columns``.
+
+    ``spread_input=False`` when the caller shuffles right away (a window,
+    an aggregate or a fold repartitions by key anyway), so no extra
+    round-robin exchange is added.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
     df = df.select(*columns) if columns else df
-    return spread(spark, df, path)
+    return spread(spark, df, path) if spread_input else df
