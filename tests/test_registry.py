@@ -61,6 +61,19 @@ def test_periodic_job_and_ingest_stream(spark, tmpdir_path):
     assert landed.count() == ingest.land_lines(msgs).count()
     assert set(landed.columns) >= {"tenant_id", "dataset_id", "stamped", "wrapped"}
 
+    # foreachBatch landing with the detection memo as a table: two runs over
+    # one checkpoint give the batch result.
+    half = msgs.approxQuantile("seq", [0.5], 0.0)[0]
+    src2 = os.path.join(tmpdir_path, "msgs2")
+    msgs.where(F.col("seq") < half).coalesce(1).write.parquet(src2)
+    sink2, ck2 = os.path.join(tmpdir_path, "raw2"), os.path.join(tmpdir_path, "ckpt2")
+    jobs.ingest_stream_batches(spark, src2, msgs.schema, sink2, ck2).awaitTermination(300)
+    msgs.where(F.col("seq") >= half).coalesce(1).write.mode("append").parquet(src2)
+    jobs.ingest_stream_batches(spark, src2, msgs.schema, sink2, ck2).awaitTermination(300)
+    got = {(r.seq, r.line_no): r.wrapped for r in spark.read.parquet(sink2).collect()}
+    exp = {(r.seq, r.line_no): r.wrapped for r in ingest.land_lines(msgs).collect()}
+    assert got == exp
+
     seen = []
 
     def job(batch_df, batch_id):

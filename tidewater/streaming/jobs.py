@@ -70,13 +70,17 @@ class StickyFormatProcessor(StatefulProcessor):
         self.fmt = handle.getValueState("fmt", "is_json boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
         if self.fmt.exists():
+            # Known key: stream chunk by chunk, nothing is buffered.
             decided = bool(self.fmt.get()[0])
-        else:
-            first = pdf.sort_values(["seq", "line_no"], kind="stable").iloc[0]
-            decided = _strict_json(first["line"])
-            self.fmt.update((decided,))
+            for pdf in rows:
+                yield pdf.assign(detected_json=decided)
+            return
+        # New key: its first line may be in any chunk of this micro-batch.
+        pdf = pd.concat(list(rows), ignore_index=True)
+        first = pdf.sort_values(["seq", "line_no"], kind="stable").iloc[0]
+        decided = _strict_json(first["line"])
+        self.fmt.update((decided,))
         yield pdf.assign(detected_json=decided)
 
     def close(self) -> None:
@@ -101,7 +105,8 @@ def sticky_detect_stream(lines: DataFrame, keys=("input", "tenant_id", "dataset_
 
 def ingest_stream(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
                   available_now: bool = True, max_files_per_trigger: int = 1000):
-    """STR-01: continuous landing of messages into a partitioned raw table."""
+    """STR-01: continuous landing of messages into a partitioned raw table
+    (exactly-once file sink; sticky detection in operator state)."""
     prepare_streaming(spark)
     msgs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
     lines = sticky_detect_stream(framing.split_lines(msgs))
@@ -112,6 +117,52 @@ def ingest_stream(spark: SparkSession, source: str, schema: T.StructType, sink:
     return w.start()
 
 
+def land_micro_batch(batch: DataFrame, batch_id: int, state_path: str, sink: str,
+                     keys=("input", "tenant_id", "dataset_id")) -> None:
+    """STR-01/03 as a ``foreachBatch`` step with the detection memo kept as a
+    table (all JVM, no per-key buffering).
+
+    Decisions of earlier batches are read from ``state_path``; keys first
+    seen in this batch are decided by the batch operator and appended. Both
+    writes replace only this batch's partition (``batch_id``), so a retried
+    batch rewrites its own output instead of duplicating it.
+    """
+    spark = batch.sparkSession
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    lines = framing.split_lines(batch)
+    k = list(keys)
+    try:
+        prior = spark.read.parquet(state_path).where(F.col("batch_id") < batch_id).select(*k, "detected_json")
+    except Exception:  # noqa: BLE001 - no state written yet
+        prior = None
+    fresh = framing.first_line_detection(lines, k)
+    if prior is not None:
+        fresh = fresh.join(prior.select(*k), k, "left_anti")
+    fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch_id").parquet(state_path)
+    det = spark.read.parquet(state_path).where(F.col("batch_id") <= batch_id).select(*k, "detected_json")
+    j = framing.bounded_lookup(lines, det, k, "left")
+    m = F.coalesce(F.col("data_format"), F.lit(""))
+    wrapped = F.when(m == "ndjson", F.lit(False)).when(m == "text", F.lit(True)).otherwise(~F.col("detected_json"))
+    out = (j.withColumn("wrapped", wrapped)
+           .withColumn("out", F.when(F.col("wrapped"), TX.wrap_text("line", "ts")).otherwise(F.col("line")))
+           .drop("detected_json"))
+    out = framing.stamp(out, line="out", hint="data_hint", ts="ts").withColumn("batch_id", F.lit(batch_id))
+    out.write.mode("overwrite").partitionBy("batch_id", "tenant_id", "dataset_id").parquet(sink)
+
+
+def ingest_stream_batches(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
+                          available_now: bool = True, max_files_per_trigger: int = 1000):
+    """STR-01 with ``land_micro_batch``: the detection memo lives in a table
+    under the checkpoint, so hot keys never gather in one Python worker."""
+    prepare_streaming(spark)
+    state = checkpoint.rstrip("/") + "/detections"
+    msgs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
+    w = msgs.writeStream.foreachBatch(lambda df, bid: land_micro_batch(df, bid, state, sink)) \
+        .option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
 # --- STR-02: trigger batching -----------------------------------------------------
 
 BATCH_EVENT_SCHEMA = T.StructType([
