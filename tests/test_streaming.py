@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidewater.operators import delivery, framing, packing
@@ -11,11 +13,21 @@ from tidewater.streaming import jobs
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def few_state_partitions(spark):
+    """Stateful test queries run with two state partitions (fast startup)."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def _run(df, name, tmp):
     q = (df.writeStream.format("parquet").option("path", os.path.join(tmp, name))
          .option("checkpointLocation", os.path.join(tmp, name + "_ckpt")).outputMode("append")
          .trigger(availableNow=True).start())
-    q.awaitTermination(300)
+    if not q.awaitTermination(300):
+        q.stop()
     return q
 
 
@@ -80,3 +92,31 @@ def test_window_twins(spark, tmpdir_path):
                                           <= F.lit(horizon - dt.timedelta(minutes=10)))
     key = ["window_start", "tenant_id", "dataset_id", "messages", "bytes"]
     assert sorted(tuple(r) for r in got.select(*key).collect()) == sorted(tuple(r) for r in batch.select(*key).collect())
+
+
+def test_trigger_batching_idle_timer(spark, tmpdir_path):
+    """With an idle timeout the open batch of every key closes by timer
+    (processing time, continuous trigger) where the batch twin flushes it."""
+    import time
+    jobs.prepare_streaming(spark)
+    m = fx.messages(spark, SF).select("tenant_id", "dataset_id", "seq", "ts", F.octet_length("data").alias("size"))
+    stream = _stage(spark, m.coalesce(1), tmpdir_path, "tt")
+    out = os.path.join(tmpdir_path, "tto")
+    q = (jobs.trigger_batches_stream(stream, max_lines=20, timeout_s=2).writeStream.format("parquet")
+         .option("path", out).option("checkpointLocation", out + "_ckpt").outputMode("append")
+         .trigger(processingTime="2 seconds").start())
+    deadline = time.time() + 120
+    b = packing.pack_by_triggers(m, max_lines=20)
+    want = b.where("trigger_reason = 'service_shutdown'").count()
+    got = 0
+    while time.time() < deadline and got < want:
+        time.sleep(3)
+        try:
+            got = spark.read.parquet(out).where("trigger_reason = 'timeout'").count()
+        except Exception:  # noqa: BLE001 - nothing written yet
+            got = 0
+    q.stop()
+    ev = spark.read.parquet(out)
+    assert got == want
+    assert ev.where("trigger_reason = 'line_limit_reached'").count() == \
+        b.where("trigger_reason = 'line_limit_reached'").count()

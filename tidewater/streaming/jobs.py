@@ -221,11 +221,18 @@ class TriggerBatchProcessor(StatefulProcessor):
 
 
 def trigger_batches_stream(messages: DataFrame, max_lines: int = 0, max_bytes: int = 0, timeout_s: int = 0) -> DataFrame:
-    """STR-02 over a message stream with ``size`` (bytes) per message."""
+    """STR-02 over a message stream with ``size`` (bytes) per message.
+
+    The idle timeout uses processing-time timers, which fire on a
+    continuous (``processingTime``) trigger; an ``availableNow`` run stops
+    before wall-clock timers can fire, so finish such runs with
+    ``close_open_batches`` (the shutdown flush)."""
     return messages.select("tenant_id", "dataset_id", "seq", "ts", F.col("size").cast("long")) \
         .groupBy("tenant_id", "dataset_id").transformWithStateInPandas(
             statefulProcessor=TriggerBatchProcessor(max_lines, max_bytes, timeout_s * 1000),
-            outputStructType=BATCH_EVENT_SCHEMA, outputMode="Append", timeMode="ProcessingTime")
+            outputStructType=BATCH_EVENT_SCHEMA, outputMode="Append",
+            # Timers only when an idle timeout is configured.
+            timeMode="ProcessingTime" if timeout_s > 0 else "None")
 
 
 def close_open_batches(events: DataFrame) -> DataFrame:
