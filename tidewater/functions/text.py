@@ -15,7 +15,8 @@ WS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
 _BLANK = r"\A" + WS + r"*\z"
 _TRIM = r"\A" + WS + r"+|" + WS + r"+\z"
 
-# Hints whose records are newline-terminated lines when files are combined.
+# Hints whose records are newline-terminated lines when
+# files are combined.
 LINE_BASED_HINTS = ("ndjson", "csv", "tsv", "syslog", "apache", "nginx", "iis", "squid")
 
 

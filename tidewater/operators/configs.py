@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import ident
 from ..plans.joins import bounded_lookup
 
+# Default listen host, input types that need a port, poll
+# statuses that count as auth failures, back-off cap (minutes), failures
+# that open the circuit, and the batch size assumed when none is set.
 DEFAULT_HOST = "0.0.0.0"
 DATAGRAM_TYPES = ("udp", "syslog", "netflow", "sflow", "ipfix", "ebpf")
 AUTH_FAILURES = (401, 403, 404)
@@ -100,7 +103,19 @@ def port_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("port", kind.alias("change"), msg.alias("message")).where(F.col("change").isNotNull())
 
 
-def receiver_limits(proxies: DataFrame, receivers: DataFrame, max_receivers: int = 100_000) -> DataFrame:
+def _fragments(s: Column) -> Column:
+    """Every substring of ``s`` (the empty one included), de-duplicated.
+
+    Quadratic in the length, which is that of a ``host:port`` address; it
+    turns "contains" into an equality, so matching is an equi-join.
+    """
+    n = F.greatest(F.length(s), F.lit(1))
+    subs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
+        F.sequence(i, n), lambda j: F.substring(s, i, j - i + 1))))
+    return F.array_union(F.array(F.lit("")), subs)
+
+
+def receiver_limits(proxies: DataFrame, receivers: DataFrame) -> DataFrame:
     """JON-06: effective batch byte limit per proxy from receiver limits.
 
     The receiver URL (scheme and trailing ``/`` removed) matches the first
@@ -109,16 +124,24 @@ def receiver_limits(proxies: DataFrame, receivers: DataFrame, max_receivers: int
     proxies use the smallest positive receiver limit. When the current
     limit (1 MiB if unset) is at least 95 % of the receiver's, it becomes
     90 % of it (float arithmetic truncated, as the original).
+
+    The three match rules are equi-joins: "contains" is equality with one
+    of the other side's substrings, the port rule is equality with the
+    part after the last ``:``. No pair of rows is compared blindly.
     """
     url = F.regexp_replace(F.regexp_replace(F.col("receiver_url"), r"^https?://", ""), r"/$", "")
     p = proxies.withColumn("url", url).withColumn(
         "url_port", F.when(F.instr("url", ":") > 0, F.substring_index("url", ":", -1)).otherwise(F.lit("")))
     r = receivers.select(F.col("pos").alias("r_pos"), "instance_api", "max_payload_size")
-    n = r.count()
-    side = F.broadcast(r) if n <= max_receivers else r
-    cond = (F.col("url").contains(F.col("instance_api")) | F.col("instance_api").contains(F.col("url"))
-            | ((F.col("url_port") != "") & F.col("instance_api").endswith(F.concat(F.lit(":"), F.col("url_port")))))
-    matched = p.join(side, cond, "inner").groupBy("instance").agg(
+    cand = ["instance", "r_pos", "instance_api", "max_payload_size"]
+    in_url = p.select("instance", F.explode(_fragments(F.col("url"))).alias("frag")).join(
+        r, F.col("frag") == F.col("instance_api")).select(*cand)
+    in_api = r.select("*", F.explode(_fragments(F.col("instance_api"))).alias("frag")).join(
+        p.select("instance", "url"), F.col("frag") == F.col("url")).select(*cand)
+    by_port = p.where(F.col("url_port") != "").select("instance", "url_port").join(
+        r.withColumn("api_port", F.when(F.instr("instance_api", ":") > 0, F.substring_index("instance_api", ":", -1))),
+        F.col("url_port") == F.col("api_port")).select(*cand)
+    matched = in_url.unionByName(in_api).unionByName(by_port).groupBy("instance").agg(
         F.min_by(F.struct("instance_api", "max_payload_size"), F.col("r_pos")).alias("m"))
     # One scalar: the smallest positive receiver limit (fallback for unmatched proxies).
     min_limit = r.where("max_payload_size > 0").agg(F.min("max_payload_size")).first()[0]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.naming import delivery_outcome
 from ..plans.joins import bounded_lookup
 
+# Failure texts and reasons recorded on state transitions.
 EMPTY_BODY = "(empty response body)"
 NETWORK_ERROR = "HTTP request failed: network error"
 DLQ_REPLAY_REASON = "Retrieved from DLQ for retry"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.joins import bounded_lookup
 
+# The stamp key and the hints whose lines are stamped.
 DETECT_KEYS = ("input", "tenant_id", "dataset_id")
 ORDER = ("seq", "line_no")
 STAMP_KEY = "BfTs"

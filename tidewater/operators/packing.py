@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import LINE_BASED_HINTS
 
+# Default batch limit and the assumed compression ratio.
 DEFAULT_MAX_BATCH_BYTES = 9 * 1024 * 1024
 COMPRESSION_RATIO = 5
 
