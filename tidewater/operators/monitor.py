@@ -22,15 +22,19 @@ DAY_US = 86_400 * 1_000_000
 HISTOGRAM_BOUNDS = (0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000)
 
 
+HOUR_US = 3_600 * 1_000_000
+
+
 def rolling_count(events: DataFrame, partition: Sequence[str], ts: str, id_cols: Sequence[str],
-                  window_us: int = DAY_US, out: str = "count_24h") -> DataFrame:
+                  window_us: int = DAY_US, out: str = "count_24h", bucket_us: int = HOUR_US) -> DataFrame:
     """WIN-01: per event, the number of events in ``(t - window, t]`` of its
     partition (ties at ``t`` included, an event exactly ``window`` old
     excluded).
 
     Computed as ``N(<= t) - N(<= t - window)`` where both counts are
     running sums over the union of events (weight 1) and probes (weight 0,
-    ordered after events at equal time) — two-level, bucketed by day.
+    ordered after events at equal time) — two-level, bucketed by
+    ``bucket_us`` (an hour), so a hot key spreads over many tasks.
     """
     part, ids = list(partition), list(id_cols)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -39,7 +43,7 @@ def rolling_count(events: DataFrame, partition: Sequence[str], ts: str, id_cols:
     hi = base.select(*part, *ids, "_t", F.lit(0).alias("_w"), F.lit(1).alias("_kind"))
     lo = base.select(*part, *ids, (F.col("_t") - window_us).alias("_t"), F.lit(0).alias("_w"), F.lit(2).alias("_kind"))
     u = ev.unionByName(hi).unionByName(lo)
-    r = exclusive_running_sum(u, "_w", part, ["_t", "_kind", *ids], F.floor(F.col("_t") / DAY_US), "_n")
+    r = exclusive_running_sum(u, "_w", part, ["_t", "_kind", *ids], F.floor(F.col("_t") / bucket_us), "_n")
     probes = r.where(F.col("_kind") > 0).groupBy(*part, *ids).agg(
         F.max(F.when(F.col("_kind") == 1, F.col("_n"))).alias("_hi"),
         F.max(F.when(F.col("_kind") == 2, F.col("_n"))).alias("_lo"))
