@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ident
 from ..plans.joins import bounded_lookup
+from ..plans.prefix import last_non_null, previous_value, running_sum
 
 # Default listen host, input types that need a port, poll
 # statuses that count as auth failures, back-off cap (minutes), failures
@@ -225,34 +226,47 @@ def _normalised_json(s: Column) -> Column:
     return F.to_json(F.try_parse_json(s))
 
 
+def _hour(ts: str) -> Column:
+    return F.date_trunc("hour", F.col(ts).cast("timestamp"))
+
+
 def config_changes(polls: DataFrame, key: str = "instance", order=("ts", "event_id")) -> DataFrame:
     """WIN-06: for each successful poll, did the (key-sorted, compact)
     config differ from the previously applied one? The first applied config
-    is a change. Hash = SHA-256 of the normalised JSON."""
+    is a change. Hash = SHA-256 of the normalised JSON; the previous hash is
+    a two-level lag."""
     ok = polls.where(F.col("status") == 200).withColumn("hash", F.sha2(_normalised_json(F.col("config")), 256))
-    w = Window.partitionBy(key).orderBy(*order)
-    return ok.select(key, *[c for c in order if c != "ts"], "hash",
-                     F.coalesce(F.lag("hash").over(w) != F.col("hash"), F.lit(True)).alias("changed"))
+    d = previous_value(ok, F.col("hash"), [key], list(order), _hour(order[0]), "_prev")
+    return d.select(key, *[c for c in order if c != "ts"], "hash",
+                    F.coalesce(F.col("_prev") != F.col("hash"), F.lit(True)).alias("changed"))
 
 
 def effective_config(polls: DataFrame, key: str = "instance", order=("ts", "event_id")) -> DataFrame:
     """WIN-08: the config in force after each poll — the last successfully
     applied one (failed polls keep it; NULL before the first success)."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    eff = F.last(F.when(F.col("status") == 200, F.col("config")), ignorenulls=True).over(w)
-    return polls.select(key, *[c for c in order if c != "ts"], "status", eff.alias("effective_config"))
+    d = last_non_null(polls, F.when(F.col("status") == 200, F.col("config")), [key], list(order), _hour(order[0]),
+                      "effective_config")
+    return d.select(key, *[c for c in order if c != "ts"], "status", "effective_config")
 
 
 def auth_backoff(polls: DataFrame, key: str = "instance", order=("ts", "event_id"),
                  poll_interval_s: int = 60) -> DataFrame:
     """WIN-05: consecutive auth failures (401/403/404; a 200 resets, other
     codes are ignored), back-off 1, 2, 4 … 30 minutes, circuit open from 5
-    failures, effective interval. Gaps-and-islands with two windows."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = polls.withColumn("island", F.sum(F.when(F.col("status") == 200, 1).otherwise(0)).over(w))
-    wi = Window.partitionBy(key, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("failures", F.sum(F.when(F.col("status").isin(*AUTH_FAILURES), 1).otherwise(0)).over(wi))
-    n = F.col("failures")
+    failures, effective interval.
+
+    Gaps and islands with two-level running sums: the island is the running
+    count of successes; the failures of a row are the running failure count
+    minus its value at the success that opened the island.
+    """
+    d = polls.withColumn("_ok", F.when(F.col("status") == 200, 1).otherwise(0)) \
+        .withColumn("_fail", F.when(F.col("status").isin(*AUTH_FAILURES), 1).otherwise(0))
+    b = _hour(order[0])
+    d = running_sum(d, "_ok", [key], list(order), b, "island")
+    d = running_sum(d, "_fail", [key], list(order), b, "_fails")
+    starts = d.where(F.col("_ok") == 1).select(key, "island", F.col("_fails").alias("_start"))
+    d = bounded_lookup(d, starts, [key, "island"], "left")
+    n = (F.col("_fails") - F.coalesce(F.col("_start"), F.lit(0)))
     backoff = F.when(n > 0, F.least(F.pow(F.lit(2), n - 1).cast("long"), F.lit(MAX_BACKOFF_MIN))).otherwise(0)
     open_ = n >= CIRCUIT_OPEN_AFTER
     return d.select(key, *[c for c in order if c != "ts"], "status", n.cast("int").alias("failures"),

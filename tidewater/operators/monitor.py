@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import delivery_outcome
-from ..plans.prefix import exclusive_running_sum
+from ..plans.prefix import exclusive_running_sum, last_non_null, previous_value
 
 DAY_US = 86_400 * 1_000_000
 # Default explicit histogram bucket upper bounds (inclusive).
@@ -50,13 +50,18 @@ def rolling_count(events: DataFrame, partition: Sequence[str], ts: str, id_cols:
     return probes.select(*part, *ids, (F.col("_hi") - F.col("_lo")).cast("long").alias(out))
 
 
+def _hour(ts: str) -> Column:
+    return F.date_trunc("hour", F.col(ts).cast("timestamp"))
+
+
 def port_drop_events(counters: DataFrame, key: str = "port", order=("ts", "event_id")) -> DataFrame:
     """WIN-02: per reading, new drops since the previous reading of the port
     (the first baseline is 0), and ``resolved`` when drops return to zero
-    after being positive."""
-    w = Window.partitionBy(key).orderBy(*order)
-    last = F.lag("drops", 1, 0).over(w)
-    return counters.select(
+    after being positive. The previous reading comes from a two-level lag
+    (hour buckets), so a busy port is not sorted in one task."""
+    d = previous_value(counters, F.col("drops"), [key], list(order), _hour(order[0]), "_last")
+    last = F.coalesce(F.col("_last"), F.lit(0))
+    return d.select(
         key, *[c for c in order if c != "ts"], "drops",
         F.when(F.col("drops") > last, F.col("drops") - last).otherwise(0).cast("long").alias("new_drops"),
         ((F.col("drops") == 0) & (last > 0)).alias("resolved"))
@@ -65,27 +70,31 @@ def port_drop_events(counters: DataFrame, key: str = "port", order=("ts", "event
 def service_status(readings: DataFrame, key: str = "instance", order=("ts", "event_id")) -> DataFrame:
     """WIN-03: unhealthy (inputs expected, none running) / degraded (total
     drops above the previous *positive* reading; the first positive reading
-    only sets the baseline) / healthy."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    base = F.last(F.when(F.col("drops") > 0, F.col("drops")), ignorenulls=True).over(w)
+    only sets the baseline) / healthy. The baseline is a two-level "last
+    non-null before" over positive readings."""
+    d = last_non_null(readings, F.when(F.col("drops") > 0, F.col("drops")), [key], list(order), _hour(order[0]),
+                      "_base", include_current=False)
+    base = F.col("_base")
     unhealthy = (F.col("expected") > 0) & (F.col("running") == 0)
     degraded = (F.col("drops") > 0) & base.isNotNull() & (F.col("drops") > base)
     status = F.when(unhealthy, F.lit("unhealthy")).when(degraded, F.lit("degraded")).otherwise(F.lit("healthy"))
-    return readings.select(key, *[c for c in order if c != "ts"], status.alias("status"))
+    return d.select(key, *[c for c in order if c != "ts"], status.alias("status"))
 
 
 def cpu_usage(counters: DataFrame, key: str = "host", order=("ts", "event_id")) -> DataFrame:
     """WIN-04: CPU used % and iowait % from cumulative tick counters (first
-    reading of a host, or no tick change: 0)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    d = {c: F.col(c) - F.lag(c).over(w) for c in ("user", "system", "idle", "iowait")}
-    total = d["user"] + d["system"] + d["idle"] + d["iowait"]
-    idle = d["idle"] + d["iowait"]
+    reading of a host, or no tick change: 0). Previous counters come from a
+    two-level lag."""
+    ticks = ("user", "system", "idle", "iowait")
+    d = previous_value(counters, F.struct(*ticks), [key], list(order), _hour(order[0]), "_prev")
+    delta = {c: F.col(c) - F.col(f"_prev.{c}") for c in ticks}
+    total = delta["user"] + delta["system"] + delta["idle"] + delta["iowait"]
+    idle = delta["idle"] + delta["iowait"]
     ok = total.isNotNull() & (total > 0)
-    return counters.select(
+    return d.select(
         key, *[c for c in order if c != "ts"],
         F.when(ok, (total - idle).cast("double") / total.cast("double") * 100).otherwise(0.0).alias("cpu_used_pct"),
-        F.when(ok, d["iowait"].cast("double") / total.cast("double") * 100).otherwise(0.0).alias("cpu_iowait_pct"))
+        F.when(ok, delta["iowait"].cast("double") / total.cast("double") * 100).otherwise(0.0).alias("cpu_iowait_pct"))
 
 
 def error_queue(reports: DataFrame, capacity: int = 1000, order=("ts", "event_id")) -> DataFrame:

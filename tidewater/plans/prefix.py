@@ -37,3 +37,71 @@ def exclusive_running_sum(
     wr = Window.partitionBy(*part, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return j.withColumn(out, (F.col("_boff") + F.coalesce(F.sum(value).over(wr), F.lit(0))).cast("long")) \
         .drop("_boff", "_bucket")
+
+
+def previous_value(
+    df: DataFrame,
+    value: Column,
+    partition: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    out: str,
+) -> DataFrame:
+    """Add ``out`` = ``value`` of the previous row (within ``partition``, in
+    ``order``), NULL for the first row — a ``lag`` in two levels.
+
+    The last value of every (partition, bucket) is found by an aggregate,
+    shifted one bucket with a window over that small table and joined back;
+    inside a bucket an ordinary ``lag`` applies, so no task ever sorts a
+    whole partition. ``bucket`` must be non-decreasing in ``order``.
+    """
+    part = list(partition)
+    key = F.struct(*[F.col(c) for c in order])
+    d = df.withColumn("_bucket", bucket).withColumn("_pv", value)
+    last = d.groupBy(*part, "_bucket").agg(F.max_by("_pv", key).alias("_blast"))
+    wb = (Window.partitionBy(*part) if part else Window.partitionBy()).orderBy("_bucket")
+    carry = last.select(*part, "_bucket", F.lag("_blast").over(wb).alias("_carry"))
+    j = bounded_lookup(d, carry, [*part, "_bucket"], "inner")
+    w = Window.partitionBy(*part, "_bucket").orderBy(*order)
+    first_in_bucket = F.lag(F.lit(1)).over(w).isNull()
+    prev = F.when(first_in_bucket, F.col("_carry")).otherwise(F.lag("_pv").over(w))
+    return j.withColumn(out, prev).drop("_bucket", "_pv", "_carry")
+
+
+def last_non_null(
+    df: DataFrame,
+    value: Column,
+    partition: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    out: str,
+    include_current: bool = True,
+) -> DataFrame:
+    """Add ``out`` = the last non-NULL ``value`` up to each row (or strictly
+    before it), in two levels like ``previous_value``."""
+    part = list(partition)
+    key = F.struct(*[F.col(c) for c in order])
+    d = df.withColumn("_bucket", bucket).withColumn("_lv", value)
+    last = d.where(F.col("_lv").isNotNull()).groupBy(*part, "_bucket").agg(F.max_by("_lv", key).alias("_blast"))
+    buckets = d.select(*part, "_bucket").distinct().join(last, [*part, "_bucket"], "left")
+    wb = (Window.partitionBy(*part) if part else Window.partitionBy()).orderBy("_bucket") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    carry = buckets.select(*part, "_bucket", F.last("_blast", ignorenulls=True).over(wb).alias("_carry"))
+    j = bounded_lookup(d, carry, [*part, "_bucket"], "inner")
+    end = 0 if include_current else -1
+    w = Window.partitionBy(*part, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    within = F.last("_lv", ignorenulls=True).over(w)
+    return j.withColumn(out, F.coalesce(within, F.col("_carry"))).drop("_bucket", "_lv", "_carry")
+
+
+def running_sum(
+    df: DataFrame,
+    value: str,
+    partition: Sequence[str],
+    order: Sequence[str | Column],
+    bucket: Column,
+    out: str,
+) -> DataFrame:
+    """Inclusive running sum (exclusive sum plus the row's own value)."""
+    r = exclusive_running_sum(df, value, partition, order, bucket, "_excl")
+    return r.withColumn(out, (F.col("_excl") + F.coalesce(F.col(value), F.lit(0))).cast("long")).drop("_excl")

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.prefix import exclusive_running_sum, running_sum
 from .tables import table
 
 E = F.expr
@@ -86,7 +87,6 @@ def syslog_messages(spark: SparkSession, sf: str) -> DataFrame:
 def kafka_records(spark: SparkSession, sf: str) -> DataFrame:
     """Kafka-shaped records: key, value, topic, partition, offset, headers."""
     e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "props", spread_input=False)
-    w = Window.partitionBy("topic", "partition").orderBy("event_id")
     return (
         e.select(
             "event_id",
@@ -98,7 +98,12 @@ def kafka_records(spark: SparkSession, sf: str) -> DataFrame:
             E("array(named_struct('key', 'trace', 'value', concat('t', event_id)), "
               "named_struct('key', 'src', 'value', concat('u', user_id)))").alias("headers"),
         )
-        .withColumn("offset", F.row_number().over(w).cast("long") - 1)
+        .withColumn("_one", F.lit(1))
+        # offset = rows before this one in its (topic, partition): a two-level
+        # running count, so a busy partition is not sorted in one task
+        .transform(lambda d: exclusive_running_sum(d, "_one", ["topic", "partition"], ["event_id"],
+                                                   F.floor(F.col("event_id") / 65536), "offset"))
+        .drop("_one")
     )
 
 
@@ -225,36 +230,35 @@ def receivers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def port_counters(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-port cumulative drop counters, reset to zero on one day."""
+    """Per-port cumulative drop counters, reset to zero on one day (the
+    running count is two-level, bucketed by hour)."""
     e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", spread_input=False)
-    w = Window.partitionBy("port").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select(
+    d = e.select(
         "event_id", "ts", E("cast(1000 + user_id % 6 as int)").alias("port"),
         E("CASE WHEN event_type = 'error' THEN 1 ELSE 0 END").alias("is_err"),
-    ).select(
+    )
+    d = running_sum(d, "is_err", ["port"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts").cast("timestamp")), "_n")
+    return d.select(
         "event_id", "ts", "port",
-        F.when(E("to_date(ts) = date'2024-01-15'"), F.lit(0).cast("long"))
-        .otherwise(F.sum("is_err").over(w).cast("long")).alias("drops"),
+        F.when(E("to_date(ts) = date'2024-01-15'"), F.lit(0).cast("long")).otherwise(F.col("_n")).alias("drops"),
     )
 
 
 def host_counters(spark: SparkSession, sf: str) -> DataFrame:
-    """Cumulative CPU tick counters per host."""
+    """Cumulative CPU tick counters per host (two-level running sums)."""
     e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value", spread_input=False)
-    w = Window.partitionBy("host").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     v = E("cast(round(value) as bigint)")
-    return e.select(
+    d = e.select(
         "event_id", "ts", E("concat('host', user_id % 5)").alias("host"),
         F.when(E("event_type IN ('click', 'view')"), v).otherwise(0).alias("u"),
         F.when(E("event_type = 'error'"), v).otherwise(0).alias("s"),
         F.when(E("event_type = 'purchase'"), 3).otherwise(0).alias("io"),
-    ).select(
-        "event_id", "ts", "host",
-        F.sum("u").over(w).cast("long").alias("user"),
-        F.sum("s").over(w).cast("long").alias("system"),
-        (F.count(F.lit(1)).over(w) * 10).cast("long").alias("idle"),
-        F.sum("io").over(w).cast("long").alias("iowait"),
+        F.lit(10).alias("tick"),
     )
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    for src, out in (("u", "user"), ("s", "system"), ("tick", "idle"), ("io", "iowait")):
+        d = running_sum(d, src, ["host"], ["ts", "event_id"], hour, out)
+    return d.select("event_id", "ts", "host", "user", "system", "idle", "iowait")
 
 
 POLL_STATUS_SQL = (
