@@ -171,16 +171,17 @@ def immediate_upload(files: DataFrame, attempt: DataFrame, capacity: int | None
     """STM-04: immediate upload of fresh batches: success -> removed, any
     failure -> retry; beyond ``capacity`` in-flight batches per dataset
     (oldest first) -> retry with ``channel_capacity_exceeded``."""
-    from pyspark.sql import Window
+    from ..plans.prefix import exclusive_running_sum
     f = files.where(F.col("state") == "queue")
     a = attempt.select(key, "status_code")
     j = f.join(a, key, "left")
     o = delivery_outcome(F.col("status_code"))
     full = F.lit(False)
     if capacity is not None:
-        w = Window.partitionBy("tenant_id", "dataset_id").orderBy("created_at", "id")
-        j = j.withColumn("_slot", F.row_number().over(w))
-        full = F.col("_slot") > capacity
+        # slot = batches before this one in its dataset (two-level count)
+        j = exclusive_running_sum(j.withColumn("_one", F.lit(1)), "_one", ["tenant_id", "dataset_id"],
+                                  ["created_at", "id"], F.to_date("created_at"), "_before")
+        full = F.col("_before") >= capacity
     state = F.when(full, F.lit("retry")).when(o == "success", F.lit("removed")).otherwise(F.lit("retry"))
     reason = F.when(full, F.lit("channel_capacity_exceeded")).when(o == "success", F.lit(None).cast("string")) \
         .otherwise(failure_reason(F.col("status_code")))

@@ -201,9 +201,13 @@ def list_dlq(files: DataFrame, listing: DataFrame, tenant: str = "", dataset: st
 
 
 def oldest_first(files: DataFrame, partition=("tenant_id",)) -> DataFrame:
-    """SRT-02: rank files oldest-first per partition (id breaks ties)."""
-    w = Window.partitionBy(*partition).orderBy("created_at", "id")
-    return files.withColumn("age_rank", F.row_number().over(w))
+    """SRT-02: rank files oldest-first per partition (id breaks ties); the
+    rank is a two-level running count, so a large tenant is not sorted in
+    one task."""
+    from ..plans.prefix import exclusive_running_sum
+    r = exclusive_running_sum(files.withColumn("_one", F.lit(1)), "_one", list(partition), ["created_at", "id"],
+                              F.to_date("created_at"), "_before")
+    return r.withColumn("age_rank", (F.col("_before") + 1).cast("int")).drop("_one", "_before")
 
 
 def pair_data_and_meta(listing: DataFrame) -> tuple[DataFrame, DataFrame]:
