@@ -35,10 +35,11 @@ def spread(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     operator in one task, so it is repartitioned to the default
     parallelism. The decision uses only file metadata (no data is read).
     """
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    if _input_bytes(spark, path) < SPREAD_MIN_BYTES:
+    try:
+        slots = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= slots or _input_bytes(spark, path) < SPREAD_MIN_BYTES:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD / JVM access (e.g. a remote session): read as-is
         return df
     return df.repartition(slots)
 
