@@ -208,3 +208,13 @@ def q_line_count(spark, sf):
     """FMT-16: non-blank line count per document payload."""
     d = fx.doc_messages(spark, sf)
     return d.select("seq", T.non_blank_line_count("data").alias("line_count"))
+
+
+@register("fmt07_detect_with_reset", with_fixtures("""
+SELECT input, tenant_id, dataset_id, epoch, CASE WHEN json_valid(line) THEN 'ndjson' ELSE 'text' END AS format
+FROM (SELECT *, seq // 2500 AS epoch FROM lines WHERE data_format NOT IN ('ndjson', 'text'))
+QUALIFY row_number() OVER (PARTITION BY input, tenant_id, dataset_id, epoch ORDER BY seq, line_no) = 1"""))
+def q_detect_with_reset(spark, sf):
+    """FMT-07: the memo cleared every 2500 messages (epoch in the key)."""
+    lines = framing.split_lines(fx.messages(spark, sf)).withColumn("epoch", (F.col("seq") / 2500).cast("long"))
+    return framing.detection_table(lines, epoch="epoch")
