@@ -131,15 +131,21 @@ def directory_counts(listing: DataFrame, suffix: str = "") -> DataFrame:
 
 def detailed_stats(files: DataFrame) -> DataFrame:
     """AGG-03: per (tenant, dataset) and rolled up: count, size, oldest and
-    newest creation, and the status breakdown as columns."""
+    newest creation, and the status breakdown as columns. Rows are reduced
+    per dataset first; the rollup runs over those partials."""
     st = F.col("status")
-    return files.rollup("tenant_id", "dataset_id").agg(
+    statuses = ("pending", "retry", "dlq", "success")
+    per = files.groupBy("tenant_id", "dataset_id").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"),
+        F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"),
+        *[F.count_if(st == s).alias(f"n_{s}") for s in statuses])
+    return per.rollup("tenant_id", "dataset_id").agg(
         F.grouping_id().cast("int").alias("level"),
-        F.count(F.lit(1)).alias("files"),
-        F.sum("size").cast("long").alias("bytes"),
-        F.min("created_at").alias("oldest"),
-        F.max("created_at").alias("newest"),
-        *[F.count_if(st == s).alias(f"n_{s}") for s in ("pending", "retry", "dlq", "success")],
+        F.sum("files").cast("long").alias("files"),
+        F.sum("bytes").cast("long").alias("bytes"),
+        F.min("oldest").alias("oldest"),
+        F.max("newest").alias("newest"),
+        *[F.sum(f"n_{s}").cast("long").alias(f"n_{s}") for s in statuses],
     )
 
 
@@ -152,10 +158,12 @@ def stats_lookup(stats: DataFrame, requested: DataFrame, keys=("tenant_id",)) ->
 
 
 def tenant_sizes(listing: DataFrame) -> DataFrame:
-    """AGG-13: bytes of all data files per tenant, plus the total (level 1)."""
-    return data_files(listing).rollup("tenant_id").agg(
+    """AGG-13: bytes of all data files per tenant, plus the total (level 1);
+    per-tenant partials first, then the rollup over them."""
+    per = data_files(listing).groupBy("tenant_id").agg(F.sum("length").alias("b"))
+    return per.rollup("tenant_id").agg(
         F.grouping_id().cast("int").alias("level"),
-        F.sum("length").cast("long").alias("bytes"),
+        F.sum("b").cast("long").alias("bytes"),
     )
 
 
