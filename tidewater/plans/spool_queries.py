@@ -371,11 +371,11 @@ def q_dlq_alerts(spark, sf):
 @register("alr02_space_alerts", with_fixtures("""
 SELECT tenant_id, used_bytes, max_bytes,
   CASE WHEN used_bytes * 100 > max_bytes * 95 THEN 'critical' ELSE 'high' END AS severity
-FROM (SELECT tenant_id, CAST(sum(length) AS BIGINT) AS used_bytes, CAST(400000000 AS BIGINT) AS max_bytes
+FROM (SELECT tenant_id, CAST(sum(length) AS BIGINT) AS used_bytes, CAST(340000000 AS BIGINT) AS max_bytes
       FROM listing_p WHERE NOT is_meta GROUP BY 1)
 WHERE used_bytes * 100 > max_bytes * 85"""))
 def q_space_alerts(spark, sf):
-    """ALR-02: per-tenant space alerts against a 400 MB quota."""
+    """ALR-02: per-tenant space alerts against a 340 MB quota."""
     u = spool.tenant_sizes(_listing(spark, sf)).where("level = 0").select(
-        "tenant_id", F.col("bytes").alias("used_bytes"), F.lit(400_000_000).cast("long").alias("max_bytes"))
+        "tenant_id", F.col("bytes").alias("used_bytes"), F.lit(340_000_000).cast("long").alias("max_bytes"))
     return alerts.space_alerts(u)
