@@ -27,7 +27,8 @@ def split_lines(df: DataFrame, data: str = "data", keep_blank: bool = False) ->
     payload column is replaced, so wide payloads are not carried twice.
     """
     cols = [c for c in df.columns if c != data]
-    out = df.select(*cols, F.posexplode(F.split(F.col(data), "\n", -1)).alias("line_no", "line"))
+    out = df.select(*cols, F.posexplode(F.split(F.col(data), "\n", -1)).alias("line_no", "line")) \
+        .withColumn("line_no", F.col("line_no").cast("long"))
     return out if keep_blank else out.where(~T.is_blank("line"))
 
 

@@ -203,7 +203,7 @@ def list_dlq(files: DataFrame, listing: DataFrame, tenant: str = "", dataset: st
     w = Window.orderBy("tenant_id", "dataset_id", "id")  # at most limit+1 rows
     ranked = top.withColumn("rank", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
     return ranked.where(F.col("rank") <= limit).select(
-        "rank", "tenant_id", "dataset_id", "id", "file", "size",
+        F.col("rank").cast("long").alias("rank"), "tenant_id", "dataset_id", "id", "file", "size",
         F.when(F.col("n") > limit, F.lit(f"{limit}+")).otherwise(F.col("n").cast("string")).alias("count_label"),
     )
 

@@ -39,21 +39,21 @@ def q_sflow_packets(spark, sf):
 
 @register("par06_ipfix", """
 SELECT l_orderkey AS packet_id, l_linenumber AS lno, l_partkey AS pkey, 'IPFIX' AS "Type",
-  CASE WHEN l_partkey % 2 = 1 THEN 100 END AS "SamplingRate", '10.0.0.1' AS "SamplerAddress",
+  CAST(CASE WHEN l_partkey % 2 = 1 THEN 100 END AS BIGINT) AS "SamplingRate", '10.0.0.1' AS "SamplerAddress",
   CASE l_linenumber % 3 WHEN 0 THEN '10.0.' || (l_partkey % 256) || '.' || (l_suppkey % 256)
        WHEN 1 THEN CASE WHEN l_partkey % 65536 = 0 THEN '2001:db8::' ELSE '2001:db8::' || lower(printf('%x', l_partkey % 65536)) END END AS "SrcAddr",
   '192.168.' || (l_orderkey % 256) || '.1' AS "DstAddr",
   CAST(round(l_extendedprice) AS BIGINT) AS "Bytes", CAST(l_quantity AS BIGINT) AS "Packets",
-  CASE WHEN l_linenumber % 3 = 1 THEN 34525 ELSE 2048 END AS "Etype",
-  CASE l_partkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 17 END AS "Proto",
+  CAST(CASE WHEN l_linenumber % 3 = 1 THEN 34525 ELSE 2048 END AS BIGINT) AS "Etype",
+  CAST(CASE l_partkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 17 END AS BIGINT) AS "Proto",
   CASE WHEN l_partkey % 3 <> 2 AND l_partkey % 65536 <> 0 THEN l_partkey % 65536 END AS "SrcPort",
-  CASE WHEN l_suppkey % 5 <> 0 THEN 443 END AS "DstPort",
+  CAST(CASE WHEN l_suppkey % 5 <> 0 THEN 443 END AS BIGINT) AS "DstPort",
   CASE WHEN l_orderkey % 10 <> 0 THEN l_orderkey % 10 END AS "InIf",
   CASE WHEN l_suppkey % 3 <> 0 THEN (l_suppkey % 3) * 64512 END AS "SrcAs",
   CASE WHEN l_partkey % 4 <> 0 THEN '10.0.0.254' END AS "NextHop",
   CASE WHEN l_suppkey % 2 = 1 THEN CAST(l_suppkey AS VARCHAR) END AS "BgpCommunities",
   CASE WHEN l_partkey % 5 <> 0 THEN '64512,65000' END AS "AsPath",
-  CASE WHEN l_linenumber = 1 THEN 64 END AS "ForwardingStatus"
+  CAST(CASE WHEN l_linenumber = 1 THEN 64 END AS BIGINT) AS "ForwardingStatus"
 FROM lineitem WHERE l_orderkey % 9 <> 0 AND l_orderkey IN (SELECT o_orderkey FROM orders)""")
 def q_ipfix(spark, sf):
     """PAR-06 + PAR-07: IPFIX flow rows, zero / empty fields dropped,

@@ -162,7 +162,7 @@ def q_kafka(spark, sf):
 
 @register("src03_nats", """
 SELECT event_id AS seq, 'events.' || event_type AS subject, CASE WHEN event_id % 3 = 0 THEN 'inbox.' || user_id END AS reply,
-  'q1' AS queue_group, 't' || event_id AS header_trace, NULL AS header_empty, CAST(map_size_hint AS BIGINT) AS metadata_keys
+  'q1' AS queue_group, 't' || event_id AS header_trace, CAST(NULL AS VARCHAR) AS header_empty, CAST(map_size_hint AS BIGINT) AS metadata_keys
 FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 5 ELSE 4 END AS map_size_hint FROM events)""")
 def q_nats(spark, sf):
     """SRC-03: NATS records -> messages (first header value, optional reply)."""

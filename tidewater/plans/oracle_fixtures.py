@@ -143,7 +143,7 @@ SELECT tenant_id || '/' || dataset_id || '/' || state || '/' || id || '.meta', C
 FROM spool_files WHERE state IN ('retry', 'dlq')""",
     "attempts": """
 SELECT l_orderkey AS okey,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS attempt_no,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS attempt_no,
   CAST(CASE CAST(l_quantity AS INT) % 10 WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 400 WHEN 3 THEN 401
        WHEN 4 THEN 404 WHEN 5 THEN 413 WHEN 6 THEN 429 WHEN 7 THEN 500 WHEN 8 THEN 503 ELSE NULL END AS INT) AS status_code,
   l_shipdate AS ts
