@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import delivery_outcome
+from ..plans.joins import bounded_lookup
 from ..plans.prefix import exclusive_running_sum, last_non_null, previous_value
 
 DAY_US = 86_400 * 1_000_000
@@ -110,7 +111,7 @@ def open_errors(reports: DataFrame, keys=("error_type", "dataset_id")) -> DataFr
     their (type, dataset); severity defaults to ``error``."""
     rep = reports.where(F.col("kind") == "report")
     res = reports.where(F.col("kind") == "resolve").groupBy(*keys).agg(F.max("ts").alias("resolved_at"))
-    j = rep.join(res, list(keys), "left")
+    j = bounded_lookup(rep, res, list(keys), "left")
     return j.where(F.col("resolved_at").isNull() | (F.col("ts") > F.col("resolved_at"))) \
         .withColumn("severity", F.coalesce("severity", F.lit("error")))
 

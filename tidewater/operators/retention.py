@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import bounded_lookup
 from ..plans.prefix import exclusive_running_sum
 from . import spool
 
@@ -45,7 +46,7 @@ def tenant_cleanup(files: DataFrame, listing: DataFrame, max_tenant_bytes: int,
         "tenant_id", (F.col("tenant_bytes") - F.coalesce("success_bytes", F.lit(0))).alias("size_after_success"))
     rest = cand.where(F.col("status") != "success")
     ranked = exclusive_running_sum(rest, "size", ["tenant_id"], ["created_at", "id"], _day("created_at"), "removed_before")
-    by_size = ranked.join(after1, "tenant_id", "inner").where(
+    by_size = bounded_lookup(ranked, after1, "tenant_id", "inner").where(
         F.col("size_after_success") - F.col("removed_before") > F.lit(max_tenant_bytes)).select("id")
     removed = [cand.where(F.col("status") == "success").select("id", F.lit(1).alias("pass"))]
     removed.append(by_size.select("id", F.lit(2).alias("pass")))
@@ -54,7 +55,7 @@ def tenant_cleanup(files: DataFrame, listing: DataFrame, max_tenant_bytes: int,
         counts = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         r = exclusive_running_sum(rest.withColumn("one", F.lit(1)), "one", keys, ["created_at", "id"],
                                   _day("created_at"), "older")
-        r = r.join(counts, keys, "inner")
+        r = bounded_lookup(r, counts, keys, "inner")
         removed.append(r.where(F.col("older") < F.col("n") - max_files_per_dataset).select("id", F.lit(3).alias("pass")))
     u = removed[0]
     for x in removed[1:]:
