@@ -102,3 +102,16 @@ def test_quota_admission(spark):
            packing.quota_admission(df, max_bytes=100).orderBy("tenant_id", "ts").collect()]
     # 10+60=70 ok; +50=120 rejected; +30=100 ok; +1=101 rejected; u: 200 > 100 rejected
     assert got == [("t", 1, True), ("t", 2, False), ("t", 3, True), ("t", 4, False), ("u", 1, False)]
+
+
+def test_size_packing_sub_key_is_opt_in(spark):
+    rows = [("t", 1, 0, 30), ("t", 2, 0, 30), ("t", 3, 1, 30), ("t", 4, 1, 30)]
+    df = spark.createDataFrame(rows, "tenant_id string, ts long, hour long, size long").withColumn(
+        "dataset_id", F.lit("d")).withColumn("data_hint", F.lit("raw"))
+    seq = [r.batch_no for r in packing.pack_by_size(df, order=["ts"], ends_nl=None, max_batch_bytes=20)
+           .orderBy("ts").collect()]
+    split = [(r.hour, r.batch_no) for r in packing.pack_by_size(df, order=["ts"], ends_nl=None, max_batch_bytes=20,
+                                                                 sub_key="hour").orderBy("ts").collect()]
+    # limit 20 -> close when acc + len >= 105: 30+30+30 = 90 + 30 = 120 closes before the 4th item
+    assert seq == [0, 0, 0, 1]
+    assert split == [(0, 0), (0, 0), (1, 0), (1, 0)]  # batches restart per sub-key

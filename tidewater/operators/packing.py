@@ -150,6 +150,7 @@ def pack_by_size(
     hint: str = "data_hint",
     max_batch_bytes: int = DEFAULT_MAX_BATCH_BYTES,
     keep_sizes: bool = False,
+    sub_key: str | None = None,
 ) -> DataFrame:
     """PAK-01: greedy size packing per key in file order.
 
@@ -158,6 +159,11 @@ def pack_by_size(
     line-based hints a missing final newline adds one byte to the batch.
     Returns keys, order columns and ``batch_no`` (0-based per key); with
     ``keep_sizes`` also ``len`` and ``w`` (bytes the file adds to its batch).
+
+    ``sub_key`` (opt-in, off by default) adds a column such as the hour of
+    the file to the key: a hot dataset then folds in parallel per sub-key,
+    at the price that no batch spans two sub-keys (batch boundaries differ
+    from the sequential rule, which is why it is not the default).
     """
     limit = max_batch_bytes if max_batch_bytes > 0 else DEFAULT_MAX_BATCH_BYTES
     add_nl = F.col(hint).isin(*LINE_BASED_HINTS) & (F.col(size) > 0)
@@ -165,7 +171,8 @@ def pack_by_size(
         add_nl = add_nl & ~F.col(ends_nl)
     d = raw.withColumn("len", F.col(size).cast("long")).withColumn(
         "w", F.col(size).cast("long") + F.when(add_nl, 1).otherwise(0))
-    return ordered_fold(d, keys, order, ["len", "w"], _size_step(limit), lambda: (0, 0),
+    fold_keys = list(keys) + ([sub_key] if sub_key else [])
+    return ordered_fold(d, fold_keys, order, ["len", "w"], _size_step(limit), lambda: (0, 0),
                         [T.StructField("batch_no", T.LongType())], keep_values=keep_sizes)
 
 
