@@ -240,12 +240,14 @@ def pack_by_triggers(
     timeout_us = int(timeout_s) * 1_000_000
     rows = ordered_fold(d, keys, order, ["ts_us", "len"], _trigger_step(max_lines, max_bytes, timeout_us),
                         lambda: (0, 0, 0, 0),
-                        [T.StructField("batch_no", T.LongType()), T.StructField("close", T.LongType())])
-    sizes = d.select(*keys, *order, "len", F.col(ts).alias("_ts"))
-    j = rows.join(sizes, list(keys) + list(order), "inner")
-    per = j.groupBy(*keys, "batch_no").agg(
+                        [T.StructField("batch_no", T.LongType()), T.StructField("close", T.LongType())],
+                        keep_values=True)
+    ts_type = messages.schema[ts].dataType.simpleString()
+    per = rows.groupBy(*keys, "batch_no").agg(
         F.count(F.lit(1)).alias("messages"), F.sum("len").cast("long").alias("bytes"),
-        F.min("_ts").alias("first_ts"), F.max("_ts").alias("last_ts"), F.max("close").alias("close"))
+        F.min("ts_us").alias("_f"), F.max("ts_us").alias("_l"), F.max("close").alias("close")) \
+        .withColumn("first_ts", F.timestamp_micros("_f").cast(ts_type)) \
+        .withColumn("last_ts", F.timestamp_micros("_l").cast(ts_type)).drop("_f", "_l")
     # A batch not closed by count/bytes was closed by the idle gap before the
     # next batch of its key, or is the last open batch (flushed at shutdown).
     nxt = per.select(*keys, (F.col("batch_no") - 1).alias("batch_no"), F.lit(True).alias("has_next"))
