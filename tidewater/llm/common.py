@@ -40,14 +40,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is in ``keep``, one row per id.
+def keep_rows(docs: DataFrame, keep: DataFrame, digest: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is in ``keep``.
 
-    A repeated row comes back once; NULL ids match NULL ids. ``keep`` holds
-    each id once and is the hashed side, so the texts are shuffled once and
-    not sorted before the join.
+    With ``digest``, a column over ``docs``, the column ``digest`` of ``keep``
+    must agree as well. A repeated row comes back once; NULL ids match NULL
+    ids, and rows without an id are told apart by their text. ``keep`` is the
+    hashed side, so the texts are shuffled once and not sorted for the join.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_k")
-    left = docs.select("*", key)
-    right = keep.select(key).hint("shuffle_hash")
-    return left.join(right, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    tell = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("_tell")
+    left = docs.select("*", key, tell, *([digest.alias("_digest")] if digest is not None else []))
+    on = ["_k"] + ["_digest"] * (digest is not None)
+    right = keep.select(key, *([F.col("digest").alias("_digest")] if digest is not None else [])).distinct()
+    return left.join(right.hint("shuffle_hash"), on, "left_semi").dropDuplicates([*on, "_tell"]).drop(*on, "_tell")

@@ -177,4 +177,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that repeat a text; all columns stay."""
-    return keep_rows(docs, exact_groups(docs).where("kept").select("doc_id"))
+    keep = exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("digest"))
+    return keep_rows(docs, keep, F.sha2(normalised(F.col("text")), 256))

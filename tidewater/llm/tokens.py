@@ -27,17 +27,19 @@ def default_path() -> str:
 class UnitEncoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str | None):
+    def __init__(self, path: str | None, plain: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
+        # plain: the strings of special ids are ordinary text.
+        self.tokenizer.encode_special_tokens = plain
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         self.memo: dict[bytes, bytes] = {}
         # Strings that the tokenizer takes as single ids before it lower-cases.
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _alone(self, unit: bytes) -> bytes:
         import numpy as np
@@ -74,9 +76,8 @@ class UnitEncoder:
         for t in texts:
             if not t:
                 split.append([])
-            elif b"<|" in t and any(s in t for s in self.special):
-                split.append(t.split())
-            elif b"<|" in t:
+            elif self.special and b"<|" in t:
+                # Lower-casing must neither make nor break a special string.
                 split.append([u if b"<|" in u else u.lower() for u in t.split()])
             else:
                 split.append(t.lower().split())
@@ -94,15 +95,15 @@ class UnitEncoder:
         return [b"".join(map(memo.__getitem__, units)) for units in split]
 
 
-def worker_encoder(path: str | None) -> UnitEncoder:
+def worker_encoder(path: str | None, plain: bool = False) -> UnitEncoder:
     """This Python worker's encoder: its memo lives on from task to task."""
     import sys
     import types
 
     store = sys.modules.setdefault("_tidewater_worker", types.ModuleType("_tidewater_worker")).__dict__
-    if ("encoder", path) not in store:
-        store["encoder", path] = UnitEncoder(path)
-    return store["encoder", path]
+    if ("encoder", path, plain) not in store:
+        store["encoder", path, plain] = UnitEncoder(path, plain)
+    return store["encoder", path, plain]
 
 
 def batches(column, most_bytes: int = 4 << 20):
