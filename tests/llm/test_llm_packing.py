@@ -30,8 +30,16 @@ def test_units_give_the_ids_of_whole_texts(tokenizer):
         assert got[-1] == b""
 
 
+def test_given_documents(spark, tokenizer):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    got = tokens.UnitEncoder(None).encode_many([t.encode() for t in texts])
+    assert all(np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+               for t, raw in zip(texts, got))
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_UNITS", 10)
+    monkeypatch.setattr(tokens, "MEMO_PARTS", 10)
     enc = tokens.UnitEncoder(None)
     one = enc.encode_many([b" ".join(b"w%d" % i for i in range(50))])
     assert enc.encode_many([b" ".join(b"w%d" % i for i in range(50))]) == one

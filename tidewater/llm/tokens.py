@@ -10,7 +10,8 @@ entries.
 
 from __future__ import annotations
 
-MEMO_UNITS = 500_000
+MEMO_UNITS = 800_000
+MEMO_PARTS = 500_000
 # Longer units are encoded by themselves and not remembered.
 MEMO_UNIT_BYTES = 64
 # Stands between units encoded in one call; a unit that holds it goes alone.
@@ -29,6 +30,7 @@ class UnitEncoder:
 
     def __init__(self, path: str | None, plain: bool = False):
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -37,7 +39,13 @@ class UnitEncoder:
         # plain: the strings of special ids are ordinary text.
         self.tokenizer.encode_special_tokens = plain
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+        # The memo below does better than the model's own, which locks.
+        self.tokenizer.model._resize_cache(0)
         self.memo: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        # Visible ASCII without the apostrophe (contractions), Latin-1 letters.
+        self.plain_text = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
+        self.parts_of = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
         # Strings that the tokenizer takes as single ids before it lower-cases.
         self.special = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -47,27 +55,46 @@ class UnitEncoder:
         ids = self.tokenizer.encode(unit.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, units: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new units; the short ones are encoded many at a time."""
+    def _together(self, units: list[str]) -> list[bytes]:
+        """Ids of short units without the mark, many to a call."""
         import numpy as np
 
-        out, short = {}, []
-        for u in units:
-            if len(u) > MEMO_UNIT_BYTES or b"\x02" in u:
-                out[u] = self._alone(u)
-            else:
-                short.append(u)
-        for i in range(0, len(short), 400 * 64):
-            part = short[i:i + 400 * 64]
+        out = []
+        for i in range(0, len(units), 400 * 64):
+            part = units[i:i + 400 * 64]
             groups = [part[j:j + 400] for j in range(0, len(part), 400)]
-            texts = [f" {MARK} ".join(u.decode("utf-8", "replace") for u in g) for g in groups]
-            for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            texts = [f" {MARK} ".join(g) for g in groups]
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                 ids = np.array(e.ids, dtype="<u4")
                 ends = np.flatnonzero(ids == self.mark) * 4
                 raw = ids.tobytes()
                 starts = [0, *(ends + 4).tolist()]
-                for u, s, t in zip(g, starts, [*ends.tolist(), len(raw)], strict=True):
-                    out[u] = raw[s:t]
+                out += [raw[s:t] for s, t in zip(starts, [*ends.tolist(), len(raw)])]
+        return out
+
+    def _learn(self, units: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new units. Those of plain letters, digits and signs are cut
+        where the tokenizer cuts, and their parts have a memo of their own:
+        words come with many different signs."""
+        out, short, cut = {}, [], []
+        for u in units:
+            if len(u) > MEMO_UNIT_BYTES or b"\x02" in u:
+                out[u] = self._alone(u)
+                continue
+            text = u.decode("utf-8", "replace")
+            if self.plain_text(text) and not (self.special and "<|" in text):
+                cut.append((u, self.parts_of(text.lower())))
+            else:
+                short.append((u, text))
+        for (u, _), raw in zip(short, self._together([t for _, t in short]), strict=True):
+            out[u] = raw
+        if len(self.parts) > MEMO_PARTS:
+            self.parts = {}
+        new = list({p for _, parts in cut for p in parts if p not in self.parts})
+        self.parts.update(zip(new, self._together(new), strict=True))
+        known = self.parts
+        for u, parts in cut:
+            out[u] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
         return out
 
     def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
