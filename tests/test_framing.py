@@ -55,15 +55,15 @@ def test_wrap_text_envelope(spark):
 
 
 def test_stamp_rules(spark):
-    rows = [('{"bfts":1,"BFTS":2,"a":null}', "ndjson"), ("[1]", "ndjson"), ("null", "ndjson"), ("text", "json"),
+    rows = [('{"ingest_ms":1,"INGEST_MS":2,"a":null}', "ndjson"), ("[1]", "ndjson"), ("null", "ndjson"), ("text", "json"),
             ("{}", "ndjson"), ('{"a":1}', "csv"), ('{"a":1} x', "ndjson")]
     df = spark.createDataFrame(rows, "line string, data_hint string").withColumn(
         "ts", F.to_timestamp(F.lit("2024-01-01 00:00:00.123456")))
     out = [r.stamped for r in framing.stamp(df, line="line").collect()]
     ms = 1704067200123
-    assert json.loads(out[0]) == {"a": None, "BfTs": ms}
+    assert json.loads(out[0]) == {"a": None, "ingest_ms": ms}
     assert out[1:4] == ["[1]", "null", "text"]
-    assert json.loads(out[4]) == {"BfTs": ms}
+    assert json.loads(out[4]) == {"ingest_ms": ms}
     assert out[5] == '{"a":1}'
     assert out[6] == '{"a":1} x'
 

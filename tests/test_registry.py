@@ -28,7 +28,13 @@ def test_input_catalog(spark):
     c = registry.input_catalog(spark)
     assert c.count() == len(registry.INPUT_CATALOG)
     fields = c.select("name", F.explode("fields").alias("f")).where("name = 'syslog'")
-    assert sorted(r.f.name for r in fields.collect()) == ["host", "port"]
+    assert sorted(r.f.name for r in fields.collect()) == ["host", "port", "read_buffer_size"]
+    assert all(r.f.description for r in c.select(F.explode("fields").alias("f")).collect())
+    cfg = spark.createDataFrame([(1, "kafka", "k", {"brokers": "b", "topics": "t", "auto_offset_reset": "first"}),
+                                 (2, "udp", "u", {"port": "1"}), (3, "own", "o", {"x": "y"})],
+                                "pos long, type string, name string, config map<string,string>")
+    got = sorted((r.pos, r.error) for r in registry.config_field_errors(cfg).collect())
+    assert got == [(1, "auto_offset_reset: no such option"), (1, "group_id: needed")]
 
 
 def test_formatters(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ MAX_ID_BYTES = 64
 RESERVED_NAMES = (
     "tmp", "temp", "cache", "log", "logs", "var", "etc", "bin", "usr", "opt",
     "udp", "tcp", "http", "https", "ftp", "ssh", "syslog",
-    "proxy", "receiver", "piper", "api", "admin", "root", "system",
+    "api", "admin", "root", "system",
     "meta", "metadata", "config", "settings", "status", "health",
     "con", "prn", "aux", "nul", "com1", "com2", "com3", "com4", "com5", "com6", "com7", "com8", "com9",
     "lpt1", "lpt2", "lpt3", "lpt4", "lpt5", "lpt6", "lpt7", "lpt8", "lpt9",
@@ -23,12 +25,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def is_reserved(name) -> Column:
-    """VAL-02: reserved name, case-insensitive."""
-    return F.lower(_c(name)).isin(*RESERVED_NAMES)
+def is_reserved(name, application: Sequence[str] = ()) -> Column:
+    """VAL-02: reserved name, case-insensitive; ``application`` adds the names
+    that an application keeps for itself."""
+    return F.lower(_c(name)).isin(*RESERVED_NAMES, *[w.lower() for w in application])
 
 
-def identifier_error(value, what: str = "tenant_id") -> Column:
+def identifier_error(value, application: Sequence[str] = ()) -> Column:
     """VAL-01: NULL when valid, else the error code
     (``empty`` / ``too_long`` / ``pattern`` / ``reserved``)."""
     v = _c(value)
@@ -36,7 +39,7 @@ def identifier_error(value, what: str = "tenant_id") -> Column:
         F.when(v.isNull() | (v == ""), F.lit("empty"))
         .when(F.octet_length(v) > MAX_ID_BYTES, F.lit("too_long"))
         .when(~v.rlike(ID_PATTERN), F.lit("pattern"))
-        .when(is_reserved(v), F.lit("reserved"))
+        .when(is_reserved(v, application), F.lit("reserved"))
     )
 
 

@@ -160,23 +160,11 @@ def to_int(value) -> Column:
     return F.struct(F.when(ok, iv).alias("value"), ok.alias("ok"))
 
 
-def _ipv6_text(x: Column) -> Column:
-    """RFC 5952 text of 16 address bytes (regex form, for single uses):
-    hex groups without leading zeros, then the longest run of two or more
-    zero groups (the leftmost on ties) becomes ``::``."""
-    g = F.regexp_replace(F.lower(F.hex(x)), r"(.{4})(?=.)", "$1:")
-    g = F.regexp_replace(g, r"(^|:)0{1,3}(?=[0-9a-f])", "$1")
-    out = None
-    for ln in range(8, 1, -1):
-        run = "(?:^|:)" + "0:" * (ln - 1) + "0(?::|$)"
-        cond = g.rlike(run)
-        text = F.regexp_replace(g, r"^(.*?)" + run + "(.*)$", "$1::$2")
-        out = F.when(cond, text) if out is None else out.when(cond, text)
-    return out.otherwise(g)
-
-
 def with_ip_text(df: DataFrame, src: str, out: str) -> DataFrame:
-    """PRJ-10 as projection steps (same result as ``ip_text``).
+    """PRJ-10: 4-byte IPv4 / 16-byte IPv6 address text; other lengths as
+    base64. IPv4-mapped IPv6 prints as dotted IPv4; otherwise groups are
+    lower-case hex without leading zeros and the longest run of two or more
+    zero groups (the first on ties) becomes ``::``. No UDF.
 
     Intermediate values (hex, group string, the seven run positions) are
     separate projections, so each is computed once per row and the
@@ -210,20 +198,3 @@ def with_ip_text(df: DataFrame, src: str, out: str) -> DataFrame:
             .when((n == 16) & mapped, F.concat_ws(".", *[byte(i) for i in range(12, 16)]))
             .when(n == 16, v6).otherwise(F.base64(x)))
     return d.withColumn(out, text).drop(f"{t}_h", f"{t}_g", f"{t}_f", *[f"{t}_p{ln}" for ln in range(8, 1, -1)])
-
-
-def ip_text(b) -> Column:
-    """PRJ-10: 4-byte IPv4 / 16-byte IPv6 address text; other lengths as
-    base64. IPv4-mapped IPv6 prints as dotted IPv4; otherwise groups are
-    lower-case hex without leading zeros and the longest run of two or more
-    zero groups (the first on ties) becomes ``::``. No UDF."""
-    x = _c(b)
-    n = F.octet_length(x)
-
-    def byte(i: int) -> Column:
-        return F.conv(F.hex(F.substring(x, i + 1, 1)), 16, 10)
-
-    v4 = F.concat_ws(".", *[byte(i) for i in range(4)])
-    mapped = F.concat_ws(".", *[byte(i) for i in range(12, 16)])
-    is_mapped = F.substring(x, 1, 12) == F.unhex(F.lit("00000000000000000000FFFF"))
-    return F.when(n == 4, v4).when((n == 16) & is_mapped, mapped).when(n == 16, _ipv6_text(x)).otherwise(F.base64(x))

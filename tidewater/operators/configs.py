@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ident
-from ..plans.joins import bounded_lookup
-from ..plans.prefix import last_non_null, previous_value, running_sum
+from ..plans.prefix import last_non_null, previous_value, running_sums
 
 # Default listen host, input types that need a port, poll
 # statuses that count as auth failures, back-off cap (minutes), failures
@@ -30,9 +29,10 @@ DEFAULT_BATCH_BYTES = 1_048_576
 def expand_control_doc(doc: DataFrame, bearer_token: str = "") -> DataFrame:
     """JON-01: tenants x datasets -> one input config per active dataset
     with a source type. ``config`` = base keys overlaid by the dataset's
-    custom map (custom wins), ``host`` defaulted. Tenant ``active`` is not
-    consulted (only the dataset's)."""
-    t = doc.select(F.col("tenant_id"), F.explode("datasets").alias("d"))
+    custom map (custom wins), ``host`` defaulted. The name joins the display
+    names of dataset and tenant. Tenant ``active`` is not consulted (only the
+    dataset's)."""
+    t = doc.select(F.col("tenant_id"), F.col("tenant_name"), F.explode("datasets").alias("d"))
     d = t.where(F.col("d.active") & (F.coalesce(F.col("d.config.source.type"), F.lit("")) != ""))
     base = F.create_map(F.lit("tenant_id"), F.col("tenant_id"), F.lit("dataset_id"), F.col("d.dataset_id"),
                         F.lit("bearer_token"), F.lit(bearer_token))
@@ -42,7 +42,7 @@ def expand_control_doc(doc: DataFrame, bearer_token: str = "") -> DataFrame:
         .otherwise(F.map_concat(merged, F.create_map(F.lit("host"), F.lit(DEFAULT_HOST))))
     return d.select(
         F.col("d.config.source.type").alias("type"),
-        F.concat(F.col("d.dataset_id"), F.lit("-"), F.col("tenant_id")).alias("name"),
+        F.concat_ws("-", F.coalesce("d.name", F.lit("")), F.coalesce("tenant_name", F.lit(""))).alias("name"),
         F.col("tenant_id").alias("doc_tenant"),
         F.col("d.pos").alias("pos"),
         with_host.alias("config"),
@@ -66,41 +66,59 @@ def port_of(config: Column) -> Column:
     return F.element_at(config, F.lit("port")).try_cast("int")
 
 
+def last_by_port(ports: DataFrame, *columns: str) -> DataFrame:
+    """One row per port: of several rows (in order of ``pos``) the last."""
+    last = ports.groupBy("port").agg(F.max_by(F.struct(*columns), F.struct("pos", *columns)).alias("_last"))
+    return last.select("port", *[F.col(f"_last.{c}") for c in columns])
+
+
+def config_ports(configs: DataFrame) -> DataFrame:
+    """Port extraction: (pos, port, plugin) of every config with a positive
+    port; ``plugin`` is ``type[name]``."""
+    plugin = F.concat(F.col("type"), F.lit("["), F.col("name"), F.lit("]"))
+    return configs.select("pos", port_of(F.col("config")).alias("port"), plugin.alias("plugin")).where("port > 0")
+
+
 def port_datasets(configs: DataFrame) -> DataFrame:
-    """JON-03 build side: port -> dataset id, for positive ports."""
-    return configs.select(port_of(F.col("config")).alias("port"),
-                          F.element_at("config", F.lit("dataset_id")).alias("dataset_id")).where("port > 0")
+    """JON-03 build side: port -> tenant and dataset id, for the ports of
+    datagram inputs; the last config of a port wins."""
+    d = configs.where(F.col("type").isin(*DATAGRAM_TYPES)).select(
+        "pos", port_of(F.col("config")).alias("port"),
+        F.element_at("config", F.lit("tenant_id")).alias("tenant_id"),
+        F.element_at("config", F.lit("dataset_id")).alias("dataset_id"))
+    return last_by_port(d.where("port > 0"), "tenant_id", "dataset_id")
 
 
 def attribute_ports(counters: DataFrame, port_map: DataFrame) -> DataFrame:
-    """JON-03: left lookup of the dataset owning each counter's port
-    (``unknown`` when unmapped); the map is broadcast behind a size check."""
-    j = bounded_lookup(counters, port_map, "port", "left")
+    """JON-03: left lookup of the tenant and dataset owning each counter's
+    port (``unknown`` dataset when unmapped)."""
+    j = counters.join(port_map, "port", "left")
     return j.withColumn("dataset_id", F.coalesce("dataset_id", F.lit("unknown")))
 
 
 def port_conflicts(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """JON-04: ports used by a local input and a remote config (inner join);
-    the remote side takes precedence."""
-    l = local.select(F.col("port"), F.col("plugin").alias("local_plugin")).where("port > 0")
+    """JON-04: remote configs whose port a local input uses as well; the
+    remote side takes precedence. Of several local inputs the last counts."""
+    l = last_by_port(local.where("port > 0"), "plugin").withColumnRenamed("plugin", "local_plugin")
     r = remote.select(F.col("port"), F.col("plugin").alias("remote_plugin")).where("port > 0")
     return l.join(r, "port", "inner").select(
         "port", "local_plugin", "remote_plugin",
-        F.format_string("Port %d: local '%s' vs remote '%s' - REMOTE TAKES PRECEDENCE",
+        F.format_string("port %d is claimed by local input %s and remote config %s; the remote one is used",
                         "port", "local_plugin", "remote_plugin").alias("message"))
 
 
 def port_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """JON-05: removed / added / reassigned ports (full outer join)."""
-    o = old.select("port", F.col("plugin").alias("old_plugin"))
-    n = new.select("port", F.col("plugin").alias("new_plugin"))
+    """JON-05: removed / added / reassigned ports (full outer join); of
+    several rows of a port the last one counts."""
+    o = last_by_port(old, "plugin").withColumnRenamed("plugin", "old_plugin")
+    n = last_by_port(new, "plugin").withColumnRenamed("plugin", "new_plugin")
     j = o.join(n, "port", "full_outer")
     kind = (F.when(F.col("new_plugin").isNull(), F.lit("removed"))
             .when(F.col("old_plugin").isNull(), F.lit("added"))
             .when(F.col("old_plugin") != F.col("new_plugin"), F.lit("reassigned")))
-    msg = (F.when(kind == "removed", F.format_string("Port %d removed (was: %s)", "port", "old_plugin"))
-           .when(kind == "added", F.format_string("Port %d added (new: %s)", "port", "new_plugin"))
-           .when(kind == "reassigned", F.format_string("Port %d reassigned: %s → %s", "port", "old_plugin", "new_plugin")))
+    msg = (F.when(kind == "removed", F.format_string("port %d: %s is gone", "port", "old_plugin"))
+           .when(kind == "added", F.format_string("port %d: %s is new", "port", "new_plugin"))
+           .when(kind == "reassigned", F.format_string("port %d: %s gave way to %s", "port", "old_plugin", "new_plugin")))
     return j.select("port", kind.alias("change"), msg.alias("message")).where(F.col("change").isNotNull())
 
 
@@ -116,13 +134,13 @@ def _fragments(s: Column) -> Column:
     return F.array_union(F.array(F.lit("")), subs)
 
 
-def receiver_limits(proxies: DataFrame, receivers: DataFrame) -> DataFrame:
-    """JON-06: effective batch byte limit per proxy from receiver limits.
+def receiver_limits(instances: DataFrame, receivers: DataFrame) -> DataFrame:
+    """JON-06: effective batch byte limit per instance from receiver limits.
 
     The receiver URL (scheme and trailing ``/`` removed) matches the first
     receiver (by position) whose ``instance_api`` contains it or is
     contained in it, or that ends with ``:<port>`` of the URL. Unmatched
-    proxies use the smallest positive receiver limit. When the current
+    instances use the smallest positive receiver limit. When the current
     limit (1 MiB if unset) is at least 95 % of the receiver's, it becomes
     90 % of it (float arithmetic truncated, as the original).
 
@@ -131,7 +149,7 @@ def receiver_limits(proxies: DataFrame, receivers: DataFrame) -> DataFrame:
     part after the last ``:``. No pair of rows is compared blindly.
     """
     url = F.regexp_replace(F.regexp_replace(F.col("receiver_url"), r"^https?://", ""), r"/$", "")
-    p = proxies.withColumn("url", url).withColumn(
+    p = instances.withColumn("url", url).withColumn(
         "url_port", F.when(F.instr("url", ":") > 0, F.substring_index("url", ":", -1)).otherwise(F.lit("")))
     r = receivers.select(F.col("pos").alias("r_pos"), "instance_api", "max_payload_size")
     cand = ["instance", "r_pos", "instance_api", "max_payload_size"]
@@ -144,7 +162,7 @@ def receiver_limits(proxies: DataFrame, receivers: DataFrame) -> DataFrame:
         F.col("url_port") == F.col("api_port")).select(*cand)
     matched = in_url.unionByName(in_api).unionByName(by_port).groupBy("instance").agg(
         F.min_by(F.struct("instance_api", "max_payload_size"), F.col("r_pos")).alias("m"))
-    # One scalar: the smallest positive receiver limit (fallback for unmatched proxies).
+    # One scalar: the smallest positive receiver limit (fallback for unmatched instances).
     min_limit = r.where("max_payload_size > 0").agg(F.min("max_payload_size")).first()[0]
     cur = F.when(F.col("max_bytes") <= 0, F.lit(DEFAULT_BATCH_BYTES)).otherwise(F.col("max_bytes"))
     j = p.join(matched, "instance", "left")
@@ -210,14 +228,14 @@ def reload_errors(configs: DataFrame) -> DataFrame:
     port = F.coalesce(port_of(cfg), F.lit(0))
     checks = [
         F.when(F.map_contains_key(cfg, "port") & ((port < 1) | (port > 65535)),
-               F.format_string("%s: invalid port %d (must be 1-65535)", who, port)),
+               F.format_string("%s: port %d is outside 1-65535", who, port)),
     ]
     for field in ("buffer_size", "read_buffer_size"):
         b = F.coalesce(F.element_at(cfg, F.lit(field)).try_cast("long"), F.lit(0))
         checks.append(F.when(F.map_contains_key(cfg, field) & ((b < 1024) | (b > 1073741824)),
-                             F.format_string(f"%s: invalid {field} %d (must be 1KB-1GB)", who, b)))
+                             F.format_string(f"%s: {field} %d is outside 1 KiB-1 GiB", who, b)))
     checks.append(F.when(F.col("type").isin(*DATAGRAM_TYPES) & ~F.map_contains_key(cfg, "port"),
-                         F.format_string("%s: missing required port", who)))
+                         F.format_string("%s: a port is needed", who)))
     errs = F.array_compact(F.array(*checks))
     return configs.select("pos", "type", "name", errs.alias("errors"))
 
@@ -226,17 +244,13 @@ def _normalised_json(s: Column) -> Column:
     return F.to_json(F.try_parse_json(s))
 
 
-def _hour(ts: str) -> Column:
-    return F.date_trunc("hour", F.col(ts).cast("timestamp"))
-
-
 def config_changes(polls: DataFrame, key: str = "instance", order=("ts", "event_id")) -> DataFrame:
     """WIN-06: for each successful poll, did the (key-sorted, compact)
     config differ from the previously applied one? The first applied config
     is a change. Hash = SHA-256 of the normalised JSON; the previous hash is
     a two-level lag."""
     ok = polls.where(F.col("status") == 200).withColumn("hash", F.sha2(_normalised_json(F.col("config")), 256))
-    d = previous_value(ok, F.col("hash"), [key], list(order), _hour(order[0]), "_prev")
+    d = previous_value(ok, F.col("hash"), [key], list(order), "_prev")
     return d.select(key, *[c for c in order if c != "ts"], "hash",
                     F.coalesce(F.col("_prev") != F.col("hash"), F.lit(True)).alias("changed"))
 
@@ -244,7 +258,7 @@ def config_changes(polls: DataFrame, key: str = "instance", order=("ts", "event_
 def effective_config(polls: DataFrame, key: str = "instance", order=("ts", "event_id")) -> DataFrame:
     """WIN-08: the config in force after each poll — the last successfully
     applied one (failed polls keep it; NULL before the first success)."""
-    d = last_non_null(polls, F.when(F.col("status") == 200, F.col("config")), [key], list(order), _hour(order[0]),
+    d = last_non_null(polls, F.when(F.col("status") == 200, F.col("config")), [key], list(order),
                       "effective_config")
     return d.select(key, *[c for c in order if c != "ts"], "status", "effective_config")
 
@@ -255,17 +269,14 @@ def auth_backoff(polls: DataFrame, key: str = "instance", order=("ts", "event_id
     codes are ignored), back-off 1, 2, 4 … 30 minutes, circuit open from 5
     failures, effective interval.
 
-    Gaps and islands with two-level running sums: the island is the running
-    count of successes; the failures of a row are the running failure count
-    minus its value at the success that opened the island.
+    The failures of a row are the running failure count minus its value at
+    the last success.
     """
     d = polls.withColumn("_ok", F.when(F.col("status") == 200, 1).otherwise(0)) \
         .withColumn("_fail", F.when(F.col("status").isin(*AUTH_FAILURES), 1).otherwise(0))
-    b = _hour(order[0])
-    d = running_sum(d, "_ok", [key], list(order), b, "island")
-    d = running_sum(d, "_fail", [key], list(order), b, "_fails")
-    starts = d.where(F.col("_ok") == 1).select(key, "island", F.col("_fails").alias("_start"))
-    d = bounded_lookup(d, starts, [key, "island"], "left")
+    d = running_sums(d, {"_fails": F.col("_fail")}, [key], list(order))
+    # The running failure count never falls, so the last success's is known.
+    d = last_non_null(d, F.when(F.col("_ok") == 1, F.col("_fails")), [key], list(order), "_start")
     n = (F.col("_fails") - F.coalesce(F.col("_start"), F.lit(0)))
     backoff = F.when(n > 0, F.least(F.pow(F.lit(2), n - 1).cast("long"), F.lit(MAX_BACKOFF_MIN))).otherwise(0)
     open_ = n >= CIRCUIT_OPEN_AFTER

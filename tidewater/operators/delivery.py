@@ -16,19 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import delivery_outcome
-from ..plans.joins import bounded_lookup
 
-# Failure texts and reasons recorded on state transitions.
-EMPTY_BODY = "(empty response body)"
-NETWORK_ERROR = "HTTP request failed: network error"
-DLQ_REPLAY_REASON = "Retrieved from DLQ for retry"
-INACTIVE_REASON = "tenant inactive or not found"
+# Failure texts and reasons recorded on state transitions.
+EMPTY_BODY = "no response body"
+NETWORK_ERROR = "no response: network error"
+DLQ_REPLAY_REASON = "taken back from the dead-letter area"
+INACTIVE_REASON = "no active tenant"
 
 
 def failure_reason(status_code: Column) -> Column:
     """Failure text of an attempt: receiver reason for HTTP, else network."""
     return F.when(status_code.isNull(), F.lit(NETWORK_ERROR)).otherwise(
-        F.format_string("HTTP %d from receiver: %s", status_code, F.lit(EMPTY_BODY)))
+        F.format_string("receiver answered %d: %s", status_code, F.lit(EMPTY_BODY)))
 
 
 def active_tenants(tenants: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def active_tenants(tenants: DataFrame) -> DataFrame:
 
 def with_tenant_gate(files: DataFrame, tenants: DataFrame) -> DataFrame:
     """Attach ``tenant_active`` (missing tenants fail open)."""
-    return bounded_lookup(files, active_tenants(tenants), "tenant_id", "left") \
+    return files.join(active_tenants(tenants), "tenant_id", "left") \
         .withColumn("tenant_active", F.coalesce("tenant_active", F.lit(True)))
 
 
@@ -50,26 +49,28 @@ def queue_step(files: DataFrame, attempt: DataFrame, tenants: DataFrame | None =
 
     Inactive tenant -> dlq (no attempt); 2xx -> delivered; permanent -> dlq
     with retry_count 0 and trigger ``permanent_failure``; transient or
-    network -> retry with retry_count 1 and trigger ``upload_failed``.
+    network -> retry with retry_count 1 and trigger ``upload_failed``. A file
+    without an attempt in this pass stays as it is.
     """
     q = files.where(F.col("state") == "queue")
     if tenants is not None:
         q = with_tenant_gate(q, tenants)
     else:
         q = q.withColumn("tenant_active", F.lit(True))
-    a = attempt.select(key, "status_code", F.col("ts").alias("attempt_ts"))
+    a = attempt.select(key, "status_code", F.col("ts").alias("attempt_ts"), F.lit(True).alias("attempted"))
     j = q.join(a, key, "left")
     o = delivery_outcome(F.col("status_code"))
     inactive = ~F.col("tenant_active")
+    waits = F.col("attempted").isNull()
     new_state = (
-        F.when(inactive, F.lit("dlq")).when(o == "success", F.lit("delivered"))
+        F.when(inactive, F.lit("dlq")).when(waits, F.lit("queue")).when(o == "success", F.lit("delivered"))
         .when(o == "permanent", F.lit("dlq")).otherwise(F.lit("retry"))
     )
     return j.select(
         "id", key, "tenant_id", "dataset_id", new_state.alias("new_state"),
         F.when(new_state == "retry", F.lit(1)).when(new_state == "dlq", F.lit(0))
         .otherwise(F.col("retry_count")).alias("retry_count"),
-        F.when(inactive, F.lit(INACTIVE_REASON)).when(o == "success", F.lit(None).cast("string"))
+        F.when(inactive, F.lit(INACTIVE_REASON)).when(waits | (o == "success"), F.lit(None).cast("string"))
         .otherwise(failure_reason(F.col("status_code"))).alias("failure_reason"),
         F.when(new_state == "dlq", F.lit("permanent_failure")).when(new_state == "retry", F.lit("upload_failed"))
         .otherwise(F.col("trigger_reason")).alias("trigger_reason"),
@@ -83,12 +84,14 @@ def retry_step(files: DataFrame, attempt: DataFrame, max_retries: int = 5, key:
     retry_count >= max -> dlq ``max_retries_exceeded`` (no attempt);
     success -> delivered; any failure -> retry_count + 1 and last_retry =
     attempt time. A permanent failure does not move a retry file to the DLQ
-    unless ``strict_permanent``.
+    unless ``strict_permanent``. A file without an attempt in this pass stays
+    as it is.
     """
     r = files.where(F.col("state") == "retry")
-    a = attempt.select(key, "status_code", F.col("ts").alias("attempt_ts"))
+    a = attempt.select(key, "status_code", F.col("ts").alias("attempt_ts"), F.lit(True).alias("attempted"))
     j = r.join(a, key, "left")
-    o = delivery_outcome(F.col("status_code"))
+    waits = F.col("attempted").isNull()
+    o = F.when(~waits, delivery_outcome(F.col("status_code")))
     exhausted = F.col("retry_count") >= max_retries
     new_state = F.when(exhausted, F.lit("dlq")).when(o == "success", F.lit("delivered"))
     if strict_permanent:
@@ -96,11 +99,11 @@ def retry_step(files: DataFrame, attempt: DataFrame, max_retries: int = 5, key:
     new_state = new_state.otherwise(F.lit("retry"))
     return j.select(
         "id", key, "tenant_id", "dataset_id", new_state.alias("new_state"),
-        F.when(exhausted, F.col("retry_count")).when(o == "success", F.col("retry_count"))
+        F.when(exhausted | waits | (o == "success"), F.col("retry_count"))
         .otherwise(F.col("retry_count") + 1).alias("retry_count"),
-        F.when(exhausted, F.lit("max_retries_exceeded")).when(o == "success", F.lit(None).cast("string"))
+        F.when(exhausted, F.lit("max_retries_exceeded")).when(waits | (o == "success"), F.lit(None).cast("string"))
         .otherwise(failure_reason(F.col("status_code"))).alias("failure_reason"),
-        F.when(exhausted | (o == "success"), F.col("last_retry") if "last_retry" in files.columns else F.lit(None))
+        F.when(exhausted | waits | (o == "success"), F.col("last_retry") if "last_retry" in files.columns else F.lit(None))
         .otherwise(F.col("attempt_ts")).alias("last_retry"),
     )
 
@@ -180,7 +183,7 @@ def immediate_upload(files: DataFrame, attempt: DataFrame, capacity: int | None
     if capacity is not None:
         # slot = batches before this one in its dataset (two-level count)
         j = exclusive_running_sum(j.withColumn("_one", F.lit(1)), "_one", ["tenant_id", "dataset_id"],
-                                  ["created_at", "id"], F.to_date("created_at"), "_before")
+                                  ["created_at", "id"], "_before")
         full = F.col("_before") >= capacity
     state = F.when(full, F.lit("retry")).when(o == "success", F.lit("removed")).otherwise(F.lit("retry"))
     reason = F.when(full, F.lit("channel_capacity_exceeded")).when(o == "success", F.lit(None).cast("string")) \

@@ -69,21 +69,24 @@ def with_decoded_header(df: DataFrame, header: Column, out: str = "hdr") -> Data
 
 def flatten_sflow(packets: DataFrame) -> DataFrame:
     """PAR-04: one flat row per flow record, or one packet-level row when a
-    packet carries no records at all.
+    packet carries no flow records. Records of other samples (counters) are
+    not flows.
 
     Header records give protocol, frame length and the decoded header
     fields; decoded IPv4 / IPv6 records give their addresses, ports and
     protocol (expanded samples do not carry IPv6 records' fields). NULL
     fields are absent from the ``ndjson`` rendering.
     """
-    n_rec = F.aggregate(F.coalesce("samples", F.array()), F.lit(0), lambda acc, s: acc + F.size(s["records"]))
+    flow = lambda s: s["kind"].isin("flow", "expanded")
+    n_rec = F.aggregate(F.coalesce("samples", F.array()), F.lit(0),
+                        lambda acc, s: acc + F.when(flow(s), F.greatest(F.size(s["records"]), F.lit(0))).otherwise(0))
     p = with_ip_text(packets.withColumn("n_records", n_rec), "agent_ip", "agent_txt")
     pkt = p.where(F.col("n_records") == 0).select(
         "packet_id", F.struct(
             F.col("version"), F.col("agent_txt").alias("agent_ip"), F.col("sequence_number"),
             F.size("samples").alias("samples_count")).alias("row"))
     s = p.where(F.col("n_records") > 0).select("packet_id", "version", F.col("agent_txt").alias("agent_ip"),
-                                               F.explode("samples").alias("s"))
+                                               F.explode(F.filter("samples", flow)).alias("s"))
     r = s.select("packet_id", "version", "agent_ip", "s.kind", "s.sampling_rate", "s.input_if", "s.output_if",
                  F.explode("s.records").alias("r"))
     r = with_decoded_header(r, F.col("r.header"), "hdr")

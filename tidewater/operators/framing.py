@@ -11,12 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.joins import bounded_lookup
 
 # The stamp key and the hints whose lines are stamped.
 DETECT_KEYS = ("input", "tenant_id", "dataset_id")
 ORDER = ("seq", "line_no")
-STAMP_KEY = "BfTs"
+STAMP_KEY = "ingest_ms"
 STAMPED_HINTS = ("ndjson", "json")
 
 
@@ -50,20 +49,36 @@ def first_line_detection(
 ) -> DataFrame:
     """FMT-06 memo: per key, is the *first* auto-mode line valid JSON?
 
-    Two hash aggregates on fixed-width columns, no sort of the lines:
-    (1) the first message (min ``seq``) of each key — partial aggregation
-    leaves one row per key and task, whatever the skew; (2) only the lines
-    of those first messages are kept (left-semi join on a size-checked
-    broadcast) and their first line picked. Only that small set is ever
-    sorted.
+    One aggregate: each task keeps one line per key, whatever the skew.
     """
     auto = lines.where(is_auto_mode(F.col(mode))) if mode in lines.columns else lines
-    k = list(keys)
-    msg, pos = order[0], order[1]
-    first_msg = auto.groupBy(*k).agg(F.min(msg).alias(msg))
-    firsts = bounded_lookup(auto.select(*k, msg, pos, "line"), first_msg, k + [msg], "left_semi")
-    first = firsts.groupBy(*k).agg(F.min_by(F.col("line"), F.col(pos)).alias("first_line"))
-    return first.select(*k, T.is_valid_json("first_line").alias("detected_json"))
+    first = auto.groupBy(*keys).agg(F.min_by("line", F.struct(*order)).alias("first_line"))
+    return first.select(*keys, T.is_valid_json("first_line").alias("detected_json"))
+
+
+def message_detection(
+    messages: DataFrame,
+    keys: Sequence[str] = DETECT_KEYS,
+    order: str = ORDER[0],
+    mode: str = "data_format",
+    data: str = "data",
+) -> DataFrame:
+    """FMT-06 memo from whole messages: the first non-blank line of each
+    message competes, so no line is exploded for the decision."""
+    lines = F.filter(F.split(F.col(data), "\n", -1), lambda l: ~T.is_blank(l))
+    auto = messages.where(is_auto_mode(F.col(mode))) if mode in messages.columns else messages
+    heads = auto.select(*keys, order, F.try_element_at(lines, F.lit(1)).alias("line")).where(F.col("line").isNotNull())
+    first = heads.groupBy(*keys).agg(F.min_by("line", F.struct(order, "line")).alias("first_line"))
+    return first.select(*keys, T.is_valid_json("first_line").alias("detected_json"))
+
+
+def with_detection(lines: DataFrame, detection: DataFrame, keys: Sequence[str] = DETECT_KEYS) -> DataFrame:
+    """Attach ``detected_json`` by key; NULL keys meet NULL keys."""
+    d = detection.select(*[F.col(k).alias(f"_d_{k}") for k in keys], "detected_json")
+    on = F.lit(True)
+    for k in keys:
+        on = on & lines[k].eqNullSafe(F.col(f"_d_{k}"))
+    return lines.join(d, on, "left").drop(*[f"_d_{k}" for k in keys])
 
 
 def detect_and_wrap(
@@ -72,13 +87,15 @@ def detect_and_wrap(
     order: Sequence[str] = ORDER,
     mode: str = "data_format",
     ts: str = "ts",
+    detection: DataFrame | None = None,
 ) -> DataFrame:
     """FMT-03 + FMT-05 + FMT-06: dispatch on mode, sticky auto-detect, wrap text.
 
     Adds ``wrapped`` (bool) and ``out`` (the line as it is landed).
+    ``detection`` is the memo, made from the lines when not given.
     """
-    det = first_line_detection(lines, keys, order, mode)
-    j = bounded_lookup(lines, det, list(keys), "left")
+    det = detection if detection is not None else first_line_detection(lines, keys, order, mode)
+    j = with_detection(lines, det, keys)
     m = F.coalesce(F.col(mode), F.lit(""))
     wrapped = F.when(m == "ndjson", F.lit(False)).when(m == "text", F.lit(True)).otherwise(~F.col("detected_json"))
     return (
@@ -101,20 +118,6 @@ def detection_table(lines: DataFrame, keys: Sequence[str] = DETECT_KEYS, epoch:
     )
 
 
-def stamp_line(line, stamp_ms, key: str = STAMP_KEY) -> Column:
-    """FMT-14 on one line: JSON objects get every case variant of the stamp
-    key removed and the canonical key added (epoch millis). Arrays, scalars,
-    ``null`` and invalid JSON are returned unchanged. Output is compact JSON.
-    """
-    l = F.col(line) if isinstance(line, str) else line
-    t = T.unicode_trim(l)
-    obj = F.try_variant_get(F.try_parse_json(t), "$", "map<string,variant>")
-    kept = F.map_filter(obj, lambda k, v: F.lower(k) != key.lower())
-    stamp = F.create_map(F.lit(key), F.parse_json(F.col(stamp_ms).cast("string") if isinstance(stamp_ms, str) else stamp_ms.cast("string")))
-    stamped = F.to_json(F.map_concat(kept, stamp))
-    return F.when(T.is_valid_json(t) & obj.isNotNull(), stamped).otherwise(l)
-
-
 def stamp(df: DataFrame, line: str = "out", hint: str = "data_hint", ts: str = "ts",
           key: str = STAMP_KEY, into: str = "stamped") -> DataFrame:
     """FMT-14: stamp lines of ``ndjson`` / ``json`` hints with ingest millis.
@@ -157,8 +160,8 @@ def telemetry_accept(df: DataFrame, data: str = "data") -> DataFrame:
 
     The payload is NUL- and whitespace-trimmed; empty payloads are dropped.
     Single-line ``{…}`` payloads pass untouched (no parse); other single-line
-    payloads must parse as a JSON object and are re-serialised compactly,
-    else they are dropped; multi-line payloads are compacted without parsing
+    payloads must parse as a JSON object (or be ``null``) and are
+    re-serialised compactly, else they are dropped; multi-line payloads are compacted without parsing
     (FMT-12). Adds ``accepted`` and ``out``.
     """
     p = T.unicode_trim(T.trim_nul(F.col(data)))
@@ -168,7 +171,7 @@ def telemetry_accept(df: DataFrame, data: str = "data") -> DataFrame:
     is_obj = T.is_valid_json(p) & F.try_variant_get(parsed, "$", "map<string,variant>").isNotNull()
     out = (
         F.when(p == "", F.lit(None).cast("string"))
-        .when(single & braced, p)
+        .when(single & (braced | (p == "null")), p)
         .when(single & is_obj, F.to_json(parsed))
         .when(~single, T.compact_json_fast(p))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import delivery_outcome
-from ..plans.joins import bounded_lookup
+from ..functions.text import is_blank
 from ..plans.prefix import exclusive_running_sum, last_non_null, previous_value
 
 DAY_US = 86_400 * 1_000_000
@@ -23,19 +23,16 @@ DAY_US = 86_400 * 1_000_000
 HISTOGRAM_BOUNDS = (0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000)
 
 
-HOUR_US = 3_600 * 1_000_000
-
-
 def rolling_count(events: DataFrame, partition: Sequence[str], ts: str, id_cols: Sequence[str],
-                  window_us: int = DAY_US, out: str = "count_24h", bucket_us: int = HOUR_US) -> DataFrame:
+                  window_us: int = DAY_US, out: str = "count_24h") -> DataFrame:
     """WIN-01: per event, the number of events in ``(t - window, t]`` of its
     partition (ties at ``t`` included, an event exactly ``window`` old
     excluded).
 
     Computed as ``N(<= t) - N(<= t - window)`` where both counts are
     running sums over the union of events (weight 1) and probes (weight 0,
-    ordered after events at equal time) — two-level, bucketed by
-    ``bucket_us`` (an hour), so a hot key spreads over many tasks.
+    ordered after events at equal time), dealt by range so that a hot key
+    spreads over many tasks.
     """
     part, ids = list(partition), list(id_cols)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -44,23 +41,19 @@ def rolling_count(events: DataFrame, partition: Sequence[str], ts: str, id_cols:
     hi = base.select(*part, *ids, "_t", F.lit(0).alias("_w"), F.lit(1).alias("_kind"))
     lo = base.select(*part, *ids, (F.col("_t") - window_us).alias("_t"), F.lit(0).alias("_w"), F.lit(2).alias("_kind"))
     u = ev.unionByName(hi).unionByName(lo)
-    r = exclusive_running_sum(u, "_w", part, ["_t", "_kind", *ids], F.floor(F.col("_t") / bucket_us), "_n")
+    r = exclusive_running_sum(u, "_w", part, ["_t", "_kind", *ids], "_n")
     probes = r.where(F.col("_kind") > 0).groupBy(*part, *ids).agg(
         F.max(F.when(F.col("_kind") == 1, F.col("_n"))).alias("_hi"),
         F.max(F.when(F.col("_kind") == 2, F.col("_n"))).alias("_lo"))
     return probes.select(*part, *ids, (F.col("_hi") - F.col("_lo")).cast("long").alias(out))
 
 
-def _hour(ts: str) -> Column:
-    return F.date_trunc("hour", F.col(ts).cast("timestamp"))
-
-
 def port_drop_events(counters: DataFrame, key: str = "port", order=("ts", "event_id")) -> DataFrame:
     """WIN-02: per reading, new drops since the previous reading of the port
     (the first baseline is 0), and ``resolved`` when drops return to zero
     after being positive. The previous reading comes from a two-level lag
-    (hour buckets), so a busy port is not sorted in one task."""
-    d = previous_value(counters, F.col("drops"), [key], list(order), _hour(order[0]), "_last")
+    so a busy port is not sorted in one task."""
+    d = previous_value(counters, F.col("drops"), [key], list(order), "_last")
     last = F.coalesce(F.col("_last"), F.lit(0))
     return d.select(
         key, *[c for c in order if c != "ts"], "drops",
@@ -73,7 +66,7 @@ def service_status(readings: DataFrame, key: str = "instance", order=("ts", "eve
     drops above the previous *positive* reading; the first positive reading
     only sets the baseline) / healthy. The baseline is a two-level "last
     non-null before" over positive readings."""
-    d = last_non_null(readings, F.when(F.col("drops") > 0, F.col("drops")), [key], list(order), _hour(order[0]),
+    d = last_non_null(readings, F.when(F.col("drops") > 0, F.col("drops")), [key], list(order),
                       "_base", include_current=False)
     base = F.col("_base")
     unhealthy = (F.col("expected") > 0) & (F.col("running") == 0)
@@ -87,7 +80,7 @@ def cpu_usage(counters: DataFrame, key: str = "host", order=("ts", "event_id"))
     reading of a host, or no tick change: 0). Previous counters come from a
     two-level lag."""
     ticks = ("user", "system", "idle", "iowait")
-    d = previous_value(counters, F.struct(*ticks), [key], list(order), _hour(order[0]), "_prev")
+    d = previous_value(counters, F.struct(*ticks), [key], list(order), "_prev")
     delta = {c: F.col(c) - F.col(f"_prev.{c}") for c in ticks}
     total = delta["user"] + delta["system"] + delta["idle"] + delta["iowait"]
     idle = delta["idle"] + delta["iowait"]
@@ -111,7 +104,7 @@ def open_errors(reports: DataFrame, keys=("error_type", "dataset_id")) -> DataFr
     their (type, dataset); severity defaults to ``error``."""
     rep = reports.where(F.col("kind") == "report")
     res = reports.where(F.col("kind") == "resolve").groupBy(*keys).agg(F.max("ts").alias("resolved_at"))
-    j = bounded_lookup(rep, res, list(keys), "left")
+    j = rep.join(res, list(keys), "left")
     return j.where(F.col("resolved_at").isNull() | (F.col("ts") > F.col("resolved_at"))) \
         .withColumn("severity", F.coalesce("severity", F.lit("error")))
 
@@ -151,12 +144,17 @@ def check_summary(results: DataFrame, key: str, status: str = "check_status") ->
 
 
 def retry_pass_results(step: DataFrame) -> DataFrame:
-    """AGG-09: a retry pass summarised per tenant and in total (level 1)."""
+    """AGG-09: a retry pass summarised per tenant and in total (level 1).
+    Files that had no attempt are not processed. Rows are reduced per tenant
+    first; the rollup runs over those partials."""
     st = F.col("new_state")
-    return step.rollup("tenant_id").agg(
-        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("processed"),
-        F.count_if(st == "delivered").alias("succeeded"), F.count_if(st == "retry").alias("failed"),
-        F.count_if(st == "dlq").alias("to_dlq"))
+    done = step.where((st != "retry") | F.col("failure_reason").isNotNull())
+    per = done.groupBy("tenant_id").agg(
+        F.count(F.lit(1)).alias("processed"), F.count_if(st == "delivered").alias("succeeded"),
+        F.count_if(st == "retry").alias("failed"), F.count_if(st == "dlq").alias("to_dlq"))
+    return per.rollup("tenant_id").agg(
+        F.grouping_id().cast("int").alias("level"),
+        *[F.sum(c).cast("long").alias(c) for c in ("processed", "succeeded", "failed", "to_dlq")])
 
 
 def input_counters(df: DataFrame, key: Sequence[str], ts: str, size: str, dropped: Column) -> DataFrame:
@@ -167,12 +165,34 @@ def input_counters(df: DataFrame, key: Sequence[str], ts: str, size: str, droppe
 
 def metric_counters(step: DataFrame) -> DataFrame:
     """AGG-11: request counters by (tenant, dataset, status) and the queue
-    gauge as a signed sum (+1 enqueued, -1 per delivery)."""
-    status = F.when(F.col("new_state") == "delivered", F.lit("success")) \
-        .when(F.col("new_state") == "retry", F.lit("retry")).otherwise(F.lit("error"))
+    gauge as a signed sum (+1 enqueued, -1 per delivery). Files without an
+    attempt are ``waiting`` and count no request."""
+    st = F.col("new_state")
+    status = F.when(st == "delivered", F.lit("success")).when(st == "retry", F.lit("retry")) \
+        .when(st == "queue", F.lit("waiting")).otherwise(F.lit("error"))
     return step.groupBy("tenant_id", "dataset_id", status.alias("status")).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.sum(F.when(F.col("new_state") == "delivered", -1).otherwise(0) + 1).cast("long").alias("queue_gauge"))
+        F.count_if(st != "queue").alias("requests"),
+        F.sum(F.when(st == "delivered", -1).otherwise(0) + 1).cast("long").alias("queue_gauge"))
+
+
+def received_counters(messages: DataFrame, data: str = "data") -> DataFrame:
+    """AGG-11: packets, bytes and non-blank lines received per (tenant,
+    dataset)."""
+    lines = F.size(F.filter(F.split(F.col(data), "\n", -1), lambda l: ~is_blank(l)))
+    return messages.groupBy("tenant_id", "dataset_id").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum(F.octet_length(data)).cast("long").alias("bytes"),
+        F.sum(lines).cast("long").alias("lines"))
+
+
+def forwarded_counters(files: DataFrame, step: DataFrame) -> DataFrame:
+    """AGG-11: bytes and lines forwarded per (tenant, dataset), and the queue's
+    byte gauge as a signed sum (+ size enqueued, - size per delivery)."""
+    done = (F.col("new_state") == "delivered").cast("long")
+    j = files.select("id", "size", "line_count").join(step.select("id", "tenant_id", "dataset_id", "new_state"), "id")
+    return j.groupBy("tenant_id", "dataset_id").agg(
+        F.sum(F.col("size") * done).cast("long").alias("bytes_forwarded"),
+        F.sum(F.col("line_count") * done).cast("long").alias("lines_forwarded"),
+        F.sum(F.col("size") * (1 - done)).cast("long").alias("bytes_gauge"))
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bounds=HISTOGRAM_BOUNDS) -> DataFrame:

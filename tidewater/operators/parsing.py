@@ -13,8 +13,5 @@ def parse_syslog_messages(df: DataFrame, data: str = "data", source_ip: str = "s
                           ts: str = "ts", mode: str = "auto") -> DataFrame:
     """PAR-03: trim (NUL, whitespace), drop empty, parse, render NDJSON."""
     p = df.withColumn("_payload", T.unicode_trim(T.trim_nul(data))).where(F.col("_payload") != "")
-    return (
-        p.withColumn("parsed", S.parse_syslog("_payload", mode))
-        .withColumn("ndjson", S.syslog_to_ndjson("_payload", source_ip, ts, mode))
+    return S.with_syslog(p, "_payload", "parsed", mode).withColumn("ndjson", S.syslog_json("parsed", source_ip, ts)) \
         .drop("_payload")
-    )

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import bounded_lookup
-from ..plans.prefix import exclusive_running_sum
+from ..plans.prefix import exclusive_running_sum, running_sums
 from . import spool
 
 
@@ -22,10 +21,6 @@ def cleanup_eligible(files: DataFrame) -> DataFrame:
     return files.where((F.col("status") == "success") & (F.col("status") != "dlq"))
 
 
-def _day(ts: str) -> Column:
-    return F.to_date(F.col(ts))
-
-
 def tenant_cleanup(files: DataFrame, listing: DataFrame, max_tenant_bytes: int,
                    max_files_per_dataset: int = 0) -> DataFrame:
     """RET-02: per-tenant cleanup; returns removed files with the first pass
@@ -45,18 +40,15 @@ def tenant_cleanup(files: DataFrame, listing: DataFrame, max_tenant_bytes: int,
     after1 = tsize.join(succ, "tenant_id", "left").select(
         "tenant_id", (F.col("tenant_bytes") - F.coalesce("success_bytes", F.lit(0))).alias("size_after_success"))
     rest = cand.where(F.col("status") != "success")
-    ranked = exclusive_running_sum(rest, "size", ["tenant_id"], ["created_at", "id"], _day("created_at"), "removed_before")
-    by_size = bounded_lookup(ranked, after1, "tenant_id", "inner").where(
+    ranked = exclusive_running_sum(rest, "size", ["tenant_id"], ["created_at", "id"], "removed_before")
+    by_size = ranked.join(after1, "tenant_id").where(
         F.col("size_after_success") - F.col("removed_before") > F.lit(max_tenant_bytes)).select("id")
     removed = [cand.where(F.col("status") == "success").select("id", F.lit(1).alias("pass"))]
     removed.append(by_size.select("id", F.lit(2).alias("pass")))
     if max_files_per_dataset > 0:
         keys = ["tenant_id", "dataset_id"]
-        counts = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        r = exclusive_running_sum(rest.withColumn("one", F.lit(1)), "one", keys, ["created_at", "id"],
-                                  _day("created_at"), "older")
-        r = bounded_lookup(r, counts, keys, "inner")
-        removed.append(r.where(F.col("older") < F.col("n") - max_files_per_dataset).select("id", F.lit(3).alias("pass")))
+        r = running_sums(rest, {"newer": F.lit(1)}, keys, ["created_at", "id"], inclusive=False, descending=True)
+        removed.append(r.where(F.col("newer") >= max_files_per_dataset).select("id", F.lit(3).alias("pass")))
     u = removed[0]
     for x in removed[1:]:
         u = u.unionByName(x)
@@ -69,15 +61,15 @@ def dlq_eviction(listing: DataFrame, limit_bytes: int, per_tenant: bool = False)
     """RET-03: FIFO eviction of DLQ data files by modification time.
 
     A file is evicted iff ``total - bytes_before_it > limit`` (path breaks
-    ties); ``limit <= 0`` disables eviction. The running sum is two-level
-    (per day, then within the day). Returns the evicted files.
+    ties); ``limit <= 0`` disables eviction. The running sum is dealt
+    by range of the modification time. Returns the evicted files.
     """
     d = spool.data_files(listing).where(F.col("state") == "dlq").select("path", "tenant_id", "length", "modificationTime")
     if limit_bytes <= 0:
         return d.limit(0)
     part = ["tenant_id"] if per_tenant else []
     totals = d.groupBy(*part).agg(F.sum("length").cast("long").alias("total"))
-    ranked = exclusive_running_sum(d, "length", part, ["modificationTime", "path"], _day("modificationTime"), "before")
+    ranked = exclusive_running_sum(d, "length", part, ["modificationTime", "path"], "before")
     j = _attach_total(ranked, totals, part)
     return j.where(F.col("total") - F.col("before") > F.lit(limit_bytes)).select("path", "length", "modificationTime")
 
@@ -113,12 +105,12 @@ def ageing(files: DataFrame, as_of: str, retry_attempts: int = 5, retry_interval
     f = files.where(F.col("status") != "dlq")
     age = F.unix_timestamp(now) - F.unix_timestamp(F.col("created_at").cast("timestamp"))
     max_age = retry_attempts * retry_interval_s * 3
-    r1 = F.when(age > max_age, F.format_string("File aged out after %s (created %s ago)",
+    r1 = F.when(age > max_age, F.format_string("older than %s (age %s)",
                                                go_duration(F.lit(max_age)), go_duration(age)))
     reason = r1
     if max_age_days > 0:
         reason = F.when(age > max_age_days * 86400,
-                        F.lit(f"File exceeded max age of {max_age_days} days")).otherwise(r1)
+                        F.lit(f"older than {max_age_days} days")).otherwise(r1)
     return f.withColumn("failure_reason", reason).where(F.col("failure_reason").isNotNull()).select(
         "id", "tenant_id", "dataset_id", F.lit("dlq").alias("status"), "failure_reason",
         now.cast("timestamp_ntz").alias("last_retry"))

@@ -131,21 +131,28 @@ def directory_counts(listing: DataFrame, suffix: str = "") -> DataFrame:
 
 def detailed_stats(files: DataFrame) -> DataFrame:
     """AGG-03: per (tenant, dataset) and rolled up: count, size, oldest and
-    newest creation, and the status breakdown as columns. Rows are reduced
-    per dataset first; the rollup runs over those partials."""
-    st = F.col("status")
-    statuses = ("pending", "retry", "dlq", "success")
-    per = files.groupBy("tenant_id", "dataset_id").agg(
+    newest creation, and ``statuses``, the number of files of every status
+    that occurs. Rows are reduced per dataset and status first; the rollups
+    run over those partials."""
+    per = files.groupBy("tenant_id", "dataset_id", "status").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"),
-        F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"),
-        *[F.count_if(st == s).alias(f"n_{s}") for s in statuses])
-    return per.rollup("tenant_id", "dataset_id").agg(
-        F.grouping_id().cast("int").alias("level"),
+        F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
+    per = per.withColumn("status", F.coalesce("status", F.lit("")))
+    # Levels 0, 1 and 3: dataset, tenant, all.
+    level = F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("level")
+    sets = per.select("*", level).select(
+        F.when(F.col("level") < 3, F.col("tenant_id")).alias("tenant_id"),
+        F.when(F.col("level") == 0, F.col("dataset_id")).alias("dataset_id"),
+        "level", "status", "files", "bytes", "oldest", "newest")
+    by_status = sets.groupBy("tenant_id", "dataset_id", "level", "status").agg(
+        F.sum("files").alias("files"), F.sum("bytes").alias("bytes"),
+        F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+    return by_status.groupBy("tenant_id", "dataset_id", "level").agg(
         F.sum("files").cast("long").alias("files"),
         F.sum("bytes").cast("long").alias("bytes"),
         F.min("oldest").alias("oldest"),
         F.max("newest").alias("newest"),
-        *[F.sum(f"n_{s}").cast("long").alias(f"n_{s}") for s in statuses],
+        F.map_from_entries(F.collect_list(F.struct("status", "files"))).alias("statuses"),
     )
 
 
@@ -213,8 +220,7 @@ def oldest_first(files: DataFrame, partition=("tenant_id",)) -> DataFrame:
     rank is a two-level running count, so a large tenant is not sorted in
     one task."""
     from ..plans.prefix import exclusive_running_sum
-    r = exclusive_running_sum(files.withColumn("_one", F.lit(1)), "_one", list(partition), ["created_at", "id"],
-                              F.to_date("created_at"), "_before")
+    r = exclusive_running_sum(files.withColumn("_one", F.lit(1)), "_one", list(partition), ["created_at", "id"], "_before")
     return r.withColumn("age_rank", (F.col("_before") + 1).cast("int")).drop("_one", "_before")
 
 

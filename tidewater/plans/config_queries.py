@@ -47,21 +47,22 @@ WITH pc AS (
          ELSE sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY 1000 + user_id % 6 ORDER BY ts, event_id
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS drops
   FROM events)
-SELECT coalesce(m.dataset_id, 'unknown') AS dataset_id, count(*) AS readings, CAST(max(pc.drops) AS BIGINT) AS max_drops
-FROM pc LEFT JOIN (SELECT CAST(port AS INT) AS port, dataset_id FROM configs_flat) m
-  ON m.port = pc.port + 24 GROUP BY 1"""))
+SELECT m.tenant_id, coalesce(m.dataset_id, 'unknown') AS dataset_id, count(*) AS readings, CAST(max(pc.drops) AS BIGINT) AS max_drops
+FROM pc LEFT JOIN (SELECT CAST(port AS INT) AS port, arg_max(dataset_id, pos) AS dataset_id, arg_max(tenant_id, pos) AS tenant_id
+                   FROM configs_flat WHERE type IN ('udp', 'syslog', 'netflow', 'sflow', 'ipfix', 'ebpf') GROUP BY 1) m
+  ON m.port = pc.port + 24 GROUP BY 1, 2"""))
 def q_port_attribution(spark, sf):
     """JON-03: drop counters attributed to datasets via the port map
     (counter ports 1000..1005 map to config ports 1024..1029)."""
     pc = fx.port_counters(spark, sf).withColumn("port", F.col("port") + 24)
     j = C.attribute_ports(pc, C.port_datasets(_configs(spark, sf)))
-    return j.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("readings"), F.max("drops").cast("long").alias("max_drops"))
+    return j.groupBy("tenant_id", "dataset_id").agg(F.count(F.lit(1)).alias("readings"), F.max("drops").cast("long").alias("max_drops"))
 
 
 @register("jon04_port_conflicts", with_fixtures("""
 SELECT o.port, o.plugin AS local_plugin, n.plugin AS remote_plugin,
-  'Port ' || o.port || ': local ''' || o.plugin || ''' vs remote ''' || n.plugin || ''' - REMOTE TAKES PRECEDENCE' AS message
-FROM old_ports o JOIN new_ports n USING (port) WHERE o.port > 0"""))
+  'port ' || o.port || ' is claimed by local input ' || o.plugin || ' and remote config ' || n.plugin || '; the remote one is used' AS message
+FROM (SELECT port, arg_max(plugin, pos) AS plugin FROM old_ports GROUP BY port) o JOIN new_ports n USING (port) WHERE o.port > 0"""))
 def q_port_conflicts(spark, sf):
     """JON-04: local vs remote port conflicts."""
     old, new = fx.port_maps(spark, sf)
@@ -69,13 +70,14 @@ def q_port_conflicts(spark, sf):
 
 
 @register("jon05_port_changes", with_fixtures("""
-SELECT port, change, CASE change WHEN 'removed' THEN 'Port ' || port || ' removed (was: ' || old_plugin || ')'
-  WHEN 'added' THEN 'Port ' || port || ' added (new: ' || new_plugin || ')'
-  ELSE 'Port ' || port || ' reassigned: ' || old_plugin || ' → ' || new_plugin END AS message
+SELECT port, change, CASE change WHEN 'removed' THEN 'port ' || port || ': ' || old_plugin || ' is gone'
+  WHEN 'added' THEN 'port ' || port || ': ' || new_plugin || ' is new'
+  ELSE 'port ' || port || ': ' || old_plugin || ' gave way to ' || new_plugin END AS message
 FROM (SELECT coalesce(o.port, n.port) AS port, o.plugin AS old_plugin, n.plugin AS new_plugin,
         CASE WHEN n.plugin IS NULL THEN 'removed' WHEN o.plugin IS NULL THEN 'added'
              WHEN o.plugin <> n.plugin THEN 'reassigned' END AS change
-      FROM old_ports o FULL OUTER JOIN new_ports n USING (port))
+      FROM (SELECT port, arg_max(plugin, pos) AS plugin FROM old_ports GROUP BY port) o
+        FULL OUTER JOIN (SELECT port, arg_max(plugin, (pos, plugin)) AS plugin FROM new_ports GROUP BY port) n USING (port))
 WHERE change IS NOT NULL"""))
 def q_port_changes(spark, sf):
     """JON-05: port diff between old and new assignments."""
@@ -84,7 +86,7 @@ def q_port_changes(spark, sf):
 
 
 @register("jon06_receiver_limits", with_fixtures("""
-WITH p AS (SELECT *, regexp_replace(regexp_replace(receiver_url, '^https?://', ''), '/$', '') AS url FROM proxies),
+WITH p AS (SELECT *, regexp_replace(regexp_replace(receiver_url, '^https?://', ''), '/$', '') AS url FROM instances),
 p2 AS (SELECT *, CASE WHEN instr(url, ':') > 0 THEN split_part(url, ':', -1) ELSE '' END AS url_port FROM p),
 m AS (SELECT instance, arg_min(instance_api, r.pos) AS api, arg_min(max_payload_size, r.pos) AS lim
       FROM p2 JOIN receivers r ON contains(url, instance_api) OR contains(instance_api, url)
@@ -99,7 +101,7 @@ SELECT instance, api AS matched_receiver, lim AS receiver_limit,
 FROM j"""))
 def q_receiver_limits(spark, sf):
     """JON-06: receiver match (theta join) and batch-size clamp."""
-    return C.receiver_limits(fx.proxies(spark, sf), fx.receivers(spark, sf))
+    return C.receiver_limits(fx.instances(spark, sf), fx.receivers(spark, sf))
 
 
 @register("set01_config_union", with_fixtures("""
@@ -200,11 +202,11 @@ def q_first_offender(spark, sf):
 @register("val05_reload_errors", with_fixtures("""
 SELECT pos, type, name, array_to_string(list_filter([
     CASE WHEN port IS NOT NULL AND (coalesce(TRY_CAST(port AS INT), 0) < 1 OR coalesce(TRY_CAST(port AS INT), 0) > 65535)
-         THEN type || '[' || name || ']: invalid port ' || coalesce(TRY_CAST(port AS INT), 0) || ' (must be 1-65535)' END,
+         THEN type || '[' || name || ']: port ' || coalesce(TRY_CAST(port AS INT), 0) || ' is outside 1-65535' END,
     CASE WHEN buffer_size IS NOT NULL AND (CAST(buffer_size AS BIGINT) < 1024 OR CAST(buffer_size AS BIGINT) > 1073741824)
-         THEN type || '[' || name || ']: invalid buffer_size ' || buffer_size || ' (must be 1KB-1GB)' END,
+         THEN type || '[' || name || ']: buffer_size ' || buffer_size || ' is outside 1 KiB-1 GiB' END,
     CASE WHEN type IN ('udp', 'syslog', 'netflow', 'sflow', 'ipfix', 'ebpf') AND port IS NULL
-         THEN type || '[' || name || ']: missing required port' END], lambda x: x IS NOT NULL), '; ') AS errors
+         THEN type || '[' || name || ']: a port is needed' END], lambda x: x IS NOT NULL), '; ') AS errors
 FROM local_inputs"""))
 def q_reload_errors(spark, sf):
     """VAL-05: all reload-validation errors per input, joined."""

@@ -29,7 +29,7 @@ def q_sflow_flatten(spark, sf):
 
 @register("par04_sflow_packets", """
 SELECT o_orderkey AS packet_id, '10.' || (o_custkey % 256) || '.' || (o_orderkey % 256) || '.1' AS agent_ip,
-  o_orderkey AS sequence_number, CAST(CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 1 END AS INT) AS samples_count
+  o_orderkey AS sequence_number, CAST(CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS INT) AS samples_count
 FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def q_sflow_packets(spark, sf):
     """PAR-04: packet-level rows for packets without flow records."""
@@ -71,10 +71,13 @@ def q_ipfix(spark, sf):
 
 
 @register("par07_ipfix_lines", """
-SELECT count(*) AS flow_lines FROM lineitem WHERE l_orderkey % 9 <> 0 AND l_orderkey IN (SELECT o_orderkey FROM orders)""")
+SELECT l_orderkey AS packet_id, count(*) AS flow_lines, count(*) AS typed FROM lineitem
+WHERE l_orderkey % 9 <> 0 AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey""")
 def q_ipfix_lines(spark, sf):
     """PAR-07: one NDJSON line per flow message (template-only: none)."""
-    return flows.ipfix_ndjson(fx.ipfix_packets(spark, sf)).agg(F.count(F.lit(1)).alias("flow_lines"))
+    lines = flows.ipfix_ndjson(fx.ipfix_packets(spark, sf))
+    return lines.groupBy("packet_id").agg(F.count(F.lit(1)).alias("flow_lines"), F.count_if(
+        F.get_json_object("ndjson", "$.Type") == "IPFIX").alias("typed"))
 
 
 @register("par08_netflow", """

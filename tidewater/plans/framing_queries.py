@@ -154,12 +154,13 @@ def q_compact_fast(spark, sf):
 
 
 @register("fmt13_telemetry_accept", with_fixtures(r"""
-SELECT event_id,
-  CASE event_id % 4 WHEN 0 THEN data
-    WHEN 2 THEN regexp_replace(data, '(?s)("(?:\\.|[^"\\])*(?:"|\\?\z))|[ \t\r\n]+', '\1', 'g')
-    ELSE NULL END AS out,
-  event_id % 4 IN (0, 2) AS accepted
-FROM telemetry""", "telemetry"))
+SELECT event_id, out, out IS NOT NULL AS accepted FROM (
+  SELECT event_id,
+    CASE WHEN p = '' THEN NULL
+      WHEN NOT contains(p, chr(10)) AND ((starts_with(p, '{') AND suffix(p, '}')) OR p = 'null') THEN p
+      WHEN NOT contains(p, chr(10)) THEN CASE WHEN json_valid(p) THEN CASE WHEN json_type(p) = 'OBJECT' THEN CAST(json(p) AS VARCHAR) END END
+      ELSE regexp_replace(p, '(?s)("(?:\\.|[^"\\])*(?:"|\\?\z))|[ \t\r\n]+', '\1', 'g') END AS out
+  FROM (SELECT event_id, trim(replace(data, chr(0), '')) AS p FROM telemetry))""", "telemetry"))
 def q_telemetry_accept(spark, sf):
     """FMT-13: telemetry accept / compact / drop."""
     return framing.telemetry_accept(fx.telemetry(spark, sf)).select("event_id", "out", "accepted")
@@ -167,10 +168,10 @@ def q_telemetry_accept(spark, sf):
 
 @register("fmt14_stamp", with_fixtures("""
 SELECT seq, line_no,
-  CASE WHEN data_hint IN ('ndjson', 'json') AND obj THEN epoch_us(ts) // 1000 END AS bfts,
+  CASE WHEN data_hint IN ('ndjson', 'json') AND obj THEN epoch_us(ts) // 1000 END AS ingest_ms,
   CASE WHEN obj THEN CAST(json_extract(tl, '$.k') AS VARCHAR) END AS k,
   CASE WHEN obj AND data_hint NOT IN ('ndjson', 'json')
-       THEN CAST(json_exists(tl, '$.bfts') AS INT) + CAST(json_exists(tl, '$.BFTS') AS INT) ELSE 0 END AS variants_left
+       THEN CAST(json_exists(tl, '$.Ingest_Ms') AS INT) + CAST(json_exists(tl, '$.INGEST_MS') AS INT) ELSE 0 END AS variants_left
 FROM (SELECT *, trim(line) AS tl,
         CASE WHEN json_valid(trim(line)) THEN json_type(trim(line)) = 'OBJECT' ELSE false END AS obj
       FROM lines)"""))
@@ -181,10 +182,10 @@ def q_stamp(spark, sf):
     is_obj = F.try_variant_get(F.try_parse_json("stamped"), "$", "map<string,variant>")
     return s.select(
         "seq", "line_no",
-        F.get_json_object("stamped", "$.BfTs").cast("long").alias("bfts"),
+        F.get_json_object("stamped", "$.ingest_ms").cast("long").alias("ingest_ms"),
         F.get_json_object("stamped", "$.k").alias("k"),
         F.when(T.is_valid_json("stamped") & is_obj.isNotNull(),
-               F.size(F.filter(F.map_keys(is_obj), lambda k: F.lower(k) == "bfts") )
+               F.size(F.filter(F.map_keys(is_obj), lambda k: F.lower(k) == "ingest_ms") )
                - F.when(F.col("data_hint").isin("ndjson", "json"), 1).otherwise(0))
         .otherwise(0).cast("int").alias("variants_left"),
     )

@@ -1,8 +1,8 @@
 """The landing plan: messages -> framed, detected, wrapped, stamped lines.
 
 ``messages -> FMT-01 split -> FMT-03/06 detect -> FMT-05 wrap -> FMT-14
-stamp`` is one Spark plan: a narrow scan, one O(keys) aggregate for the
-sticky detection (broadcast back behind a size check) and projections.
+stamp`` is one Spark plan: one aggregate over whole messages for the sticky
+detection, joined to the lines by key, and projections.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..operators import framing
 def land_lines(messages: DataFrame) -> DataFrame:
     """Messages to landed lines with ``wrapped``, ``out`` and ``stamped``."""
     lines = framing.split_lines(messages, "data")
-    lines = framing.detect_and_wrap(lines)
+    lines = framing.detect_and_wrap(lines, detection=framing.message_detection(messages))
     return framing.stamp(lines, line="out", hint="data_hint", ts="ts")
 
 

@@ -132,7 +132,8 @@ SELECT tenant_id, CAST(grouping(tenant_id) AS INT) AS level, count(*) AS process
   count(*) FILTER (WHERE st = 'dlq') AS to_dlq
 FROM (SELECT f.tenant_id, CASE WHEN f.retry_count >= 5 THEN 'dlq' WHEN {outcome_sql('a.status_code')} = 'success' THEN 'delivered'
         ELSE 'retry' END AS st
-      FROM spool_files f LEFT JOIN attempts a ON a.okey = f.okey AND a.attempt_no = f.retry_count + 1 WHERE f.state = 'retry')
+      FROM spool_files f LEFT JOIN attempts a ON a.okey = f.okey AND a.attempt_no = f.retry_count + 1
+      WHERE f.state = 'retry' AND (f.retry_count >= 5 OR a.okey IS NOT NULL))
 GROUP BY ROLLUP (tenant_id)"""))
 def q_retry_results(spark, sf):
     """AGG-09: retry pass results per tenant and in total."""
@@ -156,9 +157,10 @@ def q_input_counters(spark, sf):
 
 
 @register("agg11_metric_counters", with_fixtures(f"""
-SELECT tenant_id, dataset_id, CASE WHEN o = 'success' THEN 'success' WHEN o = 'permanent' THEN 'error' ELSE 'retry' END AS status,
-  count(*) AS requests, CAST(sum(CASE WHEN o = 'success' THEN 0 ELSE 1 END) AS BIGINT) AS queue_gauge
-FROM (SELECT f.tenant_id, f.dataset_id, {outcome_sql('a.status_code')} AS o
+SELECT tenant_id, dataset_id, CASE WHEN waits THEN 'waiting' WHEN o = 'success' THEN 'success' WHEN o = 'permanent' THEN 'error'
+    ELSE 'retry' END AS status,
+  count(*) FILTER (WHERE NOT waits) AS requests, CAST(sum(CASE WHEN NOT waits AND o = 'success' THEN 0 ELSE 1 END) AS BIGINT) AS queue_gauge
+FROM (SELECT f.tenant_id, f.dataset_id, a.okey IS NULL AS waits, {outcome_sql('a.status_code')} AS o
       FROM spool_files f LEFT JOIN attempts a ON a.okey = f.okey AND a.attempt_no = 1 WHERE f.state = 'queue')
 GROUP BY ALL"""))
 def q_metric_counters(spark, sf):
@@ -180,11 +182,66 @@ def q_histogram(spark, sf):
     return monitor.histogram(fx.spool_files(spark, sf), ["tenant_id"], "line_count")
 
 
-@register("agg12_size_percentiles")
+@register("agg11_received", with_fixtures("""
+SELECT tenant_id, dataset_id, packets, bytes, coalesce(lines, 0) AS lines
+FROM (SELECT tenant_id, dataset_id, count(*) AS packets, CAST(sum(strlen(data)) AS BIGINT) AS bytes FROM messages GROUP BY ALL)
+LEFT JOIN (SELECT tenant_id, dataset_id, count(*) AS lines FROM lines GROUP BY ALL) USING (tenant_id, dataset_id)"""))
+def q_received(spark, sf):
+    """AGG-11: packets, bytes and lines received per dataset."""
+    return monitor.received_counters(fx.messages(spark, sf))
+
+
+@register("agg11_forwarded", with_fixtures(f"""
+SELECT tenant_id, dataset_id, CAST(sum(CASE WHEN ok THEN size ELSE 0 END) AS BIGINT) AS bytes_forwarded,
+  CAST(sum(CASE WHEN ok THEN line_count ELSE 0 END) AS BIGINT) AS lines_forwarded,
+  CAST(sum(CASE WHEN ok THEN 0 ELSE size END) AS BIGINT) AS bytes_gauge
+FROM (SELECT f.*, a.okey IS NOT NULL AND {outcome_sql('a.status_code')} = 'success' AS ok
+      FROM spool_files f LEFT JOIN attempts a ON a.okey = f.okey AND a.attempt_no = 1 WHERE f.state = 'queue')
+GROUP BY ALL"""))
+def q_forwarded(spark, sf):
+    """AGG-11: bytes and lines forwarded, and the byte gauge of the queue."""
+    files = fx.spool_files(spark, sf)
+    return monitor.forwarded_counters(files, delivery.queue_step(files, fx.attempts(spark, sf).where("attempt_no = 1")))
+
+
+def _histogram_sql(value: str, source: str) -> str:
+    bounds = " ".join(f"WHEN v <= {b} THEN {i}" for i, b in enumerate(monitor.HISTOGRAM_BOUNDS))
+    return f"""
+SELECT tenant_id, dataset_id, CASE {bounds} ELSE {len(monitor.HISTOGRAM_BOUNDS)} END AS bucket, count(*) AS count,
+  CAST(sum(v) AS BIGINT) AS sum, min(v) AS min, max(v) AS max
+FROM (SELECT tenant_id, dataset_id, CAST({value} AS BIGINT) AS v FROM {source}) GROUP BY ALL"""
+
+
+@register("agg12_histogram_bytes", with_fixtures(_histogram_sql("size", "spool_files")))
+def q_histogram_bytes(spark, sf):
+    """AGG-12: batch size histogram per dataset."""
+    return monitor.histogram(fx.spool_files(spark, sf), ["tenant_id", "dataset_id"], "size")
+
+
+@register("agg12_histogram_duration", with_fixtures(_histogram_sql(
+    "epoch(a.ts) - epoch(f.created_at)", "spool_files f JOIN attempts a ON a.okey = f.okey")))
+def q_histogram_duration(spark, sf):
+    """AGG-12: seconds from a batch's creation to each of its attempts, per
+    dataset."""
+    j = fx.spool_files(spark, sf).join(fx.attempts(spark, sf).select("okey", "ts"), "okey")
+    s = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("created_at").cast("timestamp"))
+    return monitor.histogram(j.withColumn("seconds", s), ["tenant_id", "dataset_id"], "seconds")
+
+
+@register("agg12_size_percentiles", with_fixtures("""
+SELECT tenant_id, true AS within FROM spool_files GROUP BY tenant_id"""))
 def q_size_percentiles(spark, sf):
-    """AGG-12: approximate batch-size quantiles per tenant (no exact oracle)."""
-    f = fx.spool_files(spark, sf)
-    return f.groupBy("tenant_id").agg(F.percentile_approx("size", [0.5, 0.9, 0.99], 10000).alias("p"))
+    """AGG-12: approximate batch-size quantiles per tenant; ``within`` tells
+    whether their true ranks miss by at most 1 % of the tenant's rows."""
+    f = fx.spool_files(spark, sf).select("tenant_id", "size")
+    q = f.groupBy("tenant_id").agg(F.percentile_approx("size", [0.5, 0.9, 0.99], 10000).alias("p"))
+    marks = q.select("tenant_id", F.posexplode("p").alias("i", "v"))
+    ranks = f.join(marks, "tenant_id").groupBy("tenant_id", "i").agg(
+        (F.count_if(F.col("size") < F.col("v")) / F.count(F.lit(1))).alias("below"),
+        (F.count_if(F.col("size") <= F.col("v")) / F.count(F.lit(1))).alias("upto"))
+    want = F.element_at(F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.col("i") + 1)
+    ok = (F.col("below") <= want + 0.01) & (F.col("upto") >= want - 0.01)
+    return ranks.groupBy("tenant_id").agg(F.bool_and(ok).alias("within"))
 
 
 def _open_batches_sql() -> str:

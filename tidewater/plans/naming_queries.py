@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import naming as N
 from ..functions import text as T
-from ..operators import admission, delivery
+from ..operators import admission, delivery, framing
 from ..sinks import spool as S
 from ..sources import adapters as A
 from ..sources import fixtures as fx
+from . import ingest
 from .catalog import register
 from .oracle_fixtures import outcome_sql, with_fixtures
 
@@ -130,16 +131,33 @@ def q_mask_config(spark, sf):
                     F.element_at("c", F.lit("dataset_id")).alias("dataset_id"))
 
 
-@register("prj10_ip_text")
+@register("prj10_ip_text", """
+SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4
+  WHEN 0 THEN ((a >> 24) & 255) || '.' || ((a >> 16) & 255) || '.' || ((a >> 8) & 255) || '.' || (a & 255)
+  WHEN 1 THEN ((b >> 24) & 255) || '.' || ((b >> 16) & 255) || '.' || ((b >> 8) & 255) || '.' || (b & 255)
+  WHEN 2 THEN '2001:db8::' || CASE WHEN l_partkey >= 65536 THEN lower(printf('%x', l_partkey >> 16)) || ':' || lower(printf('%x', l_partkey & 65535))
+                                   WHEN l_partkey > 0 THEN lower(printf('%x', l_partkey)) ELSE '' END
+  ELSE base64(unhex(printf('%010X', l_orderkey))) END AS ip
+FROM (SELECT *, l_partkey * 65537 % 4294967296 AS a, l_suppkey * 16843009 % 4294967296 AS b FROM lineitem)""")
 def q_ip_text(spark, sf):
-    """PRJ-10: address bytes built from line items rendered as text (checked
-    against a brute-force formatter in the tests)."""
+    """PRJ-10: address bytes built from line items rendered as text."""
     li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     hx = F.expr("CASE l_linenumber % 4 WHEN 0 THEN lpad(hex(l_partkey * 65537 % 4294967296), 8, '0') "
                 "WHEN 1 THEN concat('00000000000000000000FFFF', lpad(hex(l_suppkey * 16843009 % 4294967296), 8, '0')) "
                 "WHEN 2 THEN concat('20010DB8', repeat('0', 16), lpad(hex(l_partkey), 8, '0')) "
                 "ELSE lpad(hex(l_orderkey), 10, '0') END")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", N.ip_text(F.unhex(hx)).alias("ip"))
+    a = li.select("l_orderkey", "l_linenumber", "l_partkey", F.unhex(hx).alias("address"))
+    return N.with_ip_text(a, "address", "ip").drop("address")
+
+
+@register("e2e_kafka_landing", """
+SELECT 't' AS tenant_id, 'd' AS dataset_id, count(*) AS lines, 0 AS wrapped_lines, count(*) AS stamped_lines,
+  CAST(sum(strlen(props)) AS BIGINT) AS bytes_in
+FROM events""")
+def q_kafka_landing(spark, sf):
+    """SRC-02 to FMT-14 in one plan: records, messages, landed lines."""
+    m = A.kafka_to_messages(fx.kafka_records(spark, sf), "t", "d", hint="ndjson")
+    return ingest.dataset_line_summary(ingest.land_lines(m))
 
 
 @register("src02_kafka", """
@@ -208,7 +226,7 @@ FROM (SELECT *, 1 + len(list_filter({_NL_OFFSETS}, lambda o: o <= 20000)) AS lin
 def q_admission(spark, sf):
     """VAL-06: webhook admission ladder (limits: 20000 bytes, 2 lines)."""
     a = admission.admit_requests(fx.http_requests(spark, sf), bearer_token="secret", max_payload=20000, max_lines=2)
-    return a.select("seq", "code", "reason", F.octet_length(F.encode("body", "UTF-8")).cast("long").alias("body_bytes"))
+    return a.select("seq", "code", "reason", F.octet_length("body").cast("long").alias("body_bytes"))
 
 
 @register("src06_http", with_fixtures("""
@@ -270,13 +288,13 @@ FROM (SELECT *, CASE WHEN data_hint IN ('ndjson', 'json') THEN 'ndjson' WHEN dat
 def q_raw_names(spark, sf):
     """SNK-01: raw-file name parts after stamping (bytes checked for
     non-JSON hints, whose payload is not re-serialised)."""
-    from ..operators.framing import stamp_line
     m = fx.messages(spark, sf)
-    stamped = F.when(F.col("data_hint").isin("ndjson", "json"),
-                     F.array_join(F.transform(F.filter(F.split("data", "\n", -1), lambda l: ~T.is_blank(l)),
-                                              lambda l: stamp_line(l, F.unix_millis(F.col("ts").cast("timestamp")))), "\n")
-                     ).otherwise(F.col("data"))
-    r = S.raw_name_parts(m.withColumn("data", stamped))
+    lines = framing.stamp(framing.split_lines(m.where(F.col("data_hint").isin("ndjson", "json"))), line="line")
+    # The lines of one message: a bounded group.
+    joined = lines.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("line_no", "stamped"))).alias("ls")) \
+        .select("seq", F.array_join("ls.stamped", "\n").alias("again"))
+    m = m.join(joined, "seq", "left").withColumn("data", F.coalesce("again", "data")).drop("again")
+    r = S.raw_name_parts(m)
     js = F.col("data_hint").isin("ndjson", "json")
     return r.select("seq", "ext", "lines", F.when(js, F.lit(None).cast("long")).otherwise(F.col("bytes")).alias("bytes"),
                     F.when(js, F.lit(None).cast("string")).otherwise(F.col("raw_name")).alias("raw_name"))
@@ -305,20 +323,20 @@ def q_manifest(spark, sf):
     m = S.delivery_manifest(fx.spool_files(spark, sf), "https://recv.example/", global_token="g")
     h = F.col("headers")
     return m.select("id", "url", F.element_at(h, F.lit("Authorization")).alias("authorization"),
-                    F.element_at(h, F.lit("X-Proxy-Line-Count")).alias("line_count"),
-                    F.element_at(h, F.lit("X-Proxy-Original-Bytes")).alias("original_bytes"),
-                    F.element_at(h, F.lit("X-Proxy-Created-At")).alias("created_at"),
-                    F.element_at(h, F.lit("X-Proxy-Data-Hint")).alias("data_hint"),
-                    F.element_at(h, F.lit("X-Proxy-Filename")).alias("filename"))
+                    F.element_at(h, F.lit("X-Batch-Line-Count")).alias("line_count"),
+                    F.element_at(h, F.lit("X-Batch-Original-Bytes")).alias("original_bytes"),
+                    F.element_at(h, F.lit("X-Batch-Created-At")).alias("created_at"),
+                    F.element_at(h, F.lit("X-Batch-Data-Hint")).alias("data_hint"),
+                    F.element_at(h, F.lit("X-Batch-Filename")).alias("filename"))
 
 
 @register("snk06_source_archive", with_fixtures(f"""
 SELECT id, tenant_id || '/' || dataset_id || '/src/' || split_part(path, '/', 4) AS archive_path,
   md5(array_to_string(list_sort([
      'Authorization: Bearer ' || bearer_token, 'Content-Encoding: gzip', 'Content-Type: application/octet-stream',
-     'User-Agent: tidewater/0.1.0', 'X-Proxy-Batch-ID: ' || id, 'X-Proxy-Created-At: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ'),
-     'X-Proxy-Data-Hint: ' || data_hint, 'X-Proxy-Filename: ' || split_part(path, '/', 4),
-     'X-Proxy-Line-Count: ' || line_count, 'X-Proxy-Original-Bytes: ' || size]), chr(10)) || chr(10)) AS headers_md5
+     'User-Agent: tidewater/0.1.0', 'X-Batch-ID: ' || id, 'X-Batch-Created-At: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ'),
+     'X-Batch-Data-Hint: ' || data_hint, 'X-Batch-Filename: ' || split_part(path, '/', 4),
+     'X-Batch-Line-Count: ' || line_count, 'X-Batch-Original-Bytes: ' || size]), chr(10)) || chr(10)) AS headers_md5
 FROM spool_files f JOIN (SELECT okey, status_code FROM attempts WHERE attempt_no = 1) a USING (okey)
 WHERE f.state = 'queue' AND {outcome_sql('a.status_code')} = 'success'"""))
 def q_source_archive(spark, sf):

@@ -23,7 +23,7 @@ SELECT event_id AS seq,
     WHEN 1 THEN {_TXT}
     WHEN 2 THEN props || chr(10) || props
     WHEN 3 THEN {_TXT} || chr(10) || '  ' || chr(9) || chr(10) || props
-    ELSE '{{"bfts": ' || event_id || ', "BFTS": ' || user_id || ', "k": ' || (user_id % 100) || '}}' END AS data,
+    ELSE '{{"Ingest_Ms": ' || event_id || ', "INGEST_MS": ' || user_id || ', "k": ' || (user_id % 100) || '}}' END AS data,
   CASE event_id % 4 WHEN 0 THEN 'ndjson' WHEN 1 THEN 'text' WHEN 2 THEN 'csv' ELSE 'apache' END AS data_hint,
   '10.0.' || (user_id % 4) || '.' || (user_id % 250) AS source_ip
 FROM events""",
@@ -95,7 +95,8 @@ SELECT event_id, CASE event_id % 4
     WHEN 0 THEN props
     WHEN 1 THEN 'user ' || user_id || ' ' || event_type
     WHEN 2 THEN '{' || chr(10) || '  "k": ' || user_id || ',' || chr(10) || '  "t": "' || event_type || ' \"x\" y",' || chr(10) || '  "n": [1, 2]' || chr(10) || '}'
-    ELSE '[' || user_id || ', 2]' END AS data
+    ELSE CASE event_id % 20 WHEN 3 THEN ' null ' WHEN 7 THEN chr(0) || props || ' ' WHEN 11 THEN '   '
+         ELSE '[' || user_id || ', 2]' END END AS data
 FROM events""",
 })
 
@@ -149,10 +150,10 @@ SELECT l_orderkey AS okey,
   l_shipdate AS ts
 FROM lineitem""",
     "tenants": """
-SELECT 'tenant' || n_nationkey AS tenant_id,
+SELECT 'tenant' || (n_nationkey + CASE WHEN n_nationkey >= 10 THEN 1 ELSE 0 END) AS tenant_id,
   CAST(CASE WHEN n_nationkey = 5 THEN 404 WHEN n_nationkey = 6 THEN 500 ELSE 200 END AS INT) AS status_code,
   CASE WHEN n_nationkey = 5 OR n_nationkey = 6 THEN NULL ELSE n_nationkey % 4 <> 3 END AS active
-FROM nation WHERE n_nationkey < 10""",
+FROM nation""",
 })
 DEPS.update({"spool_listing": ("spool_files",)})
 
@@ -167,8 +168,8 @@ DEPS.update({"listing_p": ("spool_listing",)})
 OUTCOME_SQL = """(CASE WHEN {c} IS NULL THEN 'transient' WHEN {c} BETWEEN 200 AND 299 THEN 'success'
   WHEN {c} IN (400, 401, 403, 404, 410, 413, 422) THEN 'permanent' WHEN {c} = 429 THEN 'transient'
   WHEN {c} BETWEEN 400 AND 499 THEN 'permanent' ELSE 'transient' END)"""
-REASON_SQL = """(CASE WHEN {c} IS NULL THEN 'HTTP request failed: network error'
-  ELSE 'HTTP ' || {c} || ' from receiver: (empty response body)' END)"""
+REASON_SQL = """(CASE WHEN {c} IS NULL THEN 'no response: network error'
+  ELSE 'receiver answered ' || {c} || ': no response body' END)"""
 GATE_SQL = "coalesce(NOT (t.status_code IN (404, 410) OR (t.status_code = 200 AND t.active = false)), true)"
 
 
@@ -193,9 +194,9 @@ _SEG = ("CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'udp' WHEN 'BUILDING' THEN 'sy
 CTE.update({
     # JON-01 result, flattened: one row per active dataset with a source type.
     "configs_flat": f"""
-SELECT {_SEG} AS type, 'ds' || c_custkey || '-tenant' || n_nationkey AS name, c_custkey AS pos,
+SELECT {_SEG} AS type, 'Set ' || c_custkey || '-' || n_name AS name, c_custkey AS pos,
   CASE WHEN c_custkey % 13 = 0 THEN 'override' || c_custkey ELSE 'tenant' || n_nationkey END AS tenant_id,
-  'ds' || c_custkey AS dataset_id, 'global-token' AS bearer_token, CAST(1024 + c_custkey AS VARCHAR) AS port,
+  'ds' || c_custkey AS dataset_id, 'global-token' AS bearer_token, CAST(1024 + c_custkey % 600 AS VARCHAR) AS port,
   '0.0.0.0' AS host
 FROM customer JOIN nation ON c_nationkey = n_nationkey
 WHERE c_custkey % 4 <> 0 AND {_SEG} <> ''""",
@@ -207,14 +208,14 @@ SELECT c_custkey AS pos, {_SEG} AS type, 'in' || c_custkey AS name,
   CASE WHEN c_custkey % 4 = 0 THEN 'tok' || c_custkey END AS bearer_token,
   CASE WHEN c_custkey % 11 = 0 THEN CAST(c_custkey * 7 AS VARCHAR) END AS buffer_size
 FROM customer""",
-    "old_ports": f"SELECT CAST(1024 + c_custkey AS INT) AS port, {_SEG} || '[ds' || c_custkey || ']' AS plugin FROM customer",
+    "old_ports": f"SELECT c_custkey AS pos, CAST(1024 + c_custkey % 900 AS INT) AS port, {_SEG} || '[ds' || c_custkey || ']' AS plugin FROM customer",
     "new_ports": f"""
-SELECT CAST(1024 + c_custkey AS INT) AS port,
+SELECT c_custkey AS pos, CAST(1024 + c_custkey % 950 AS INT) AS port,
   {_SEG} || '[ds' || c_custkey || CASE WHEN c_custkey % 7 = 0 THEN '-v2' ELSE '' END || ']' AS plugin
 FROM customer WHERE c_custkey % 9 <> 0
 UNION ALL
-SELECT CAST(20000 + c_custkey AS INT), {_SEG} || '[extra' || c_custkey || ']' FROM customer WHERE c_custkey % 5 = 0""",
-    "proxies": """
+SELECT c_custkey, CAST(20000 + c_custkey AS INT), {_SEG} || '[extra' || c_custkey || ']' FROM customer WHERE c_custkey % 5 = 0""",
+    "instances": """
 SELECT 'inst' || n_nationkey AS instance, 'http://host' || (n_nationkey * 4) || ':' || (8000 + n_nationkey % 7) || '/' AS receiver_url,
   CAST(CASE n_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 5000000 ELSE 50000000 END AS BIGINT) AS max_bytes
 FROM nation""",

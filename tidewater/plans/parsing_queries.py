@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.syslog import RFC3164, RFC5424
 from ..operators import parsing
 from ..sources import fixtures as fx
 from .catalog import register
 from .oracle_fixtures import with_fixtures
 
-P5 = r"^<(\d+)>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(?:\[.*?\]\s+)?(.*)$"
-P3 = r"^<(\d+)>(\w{3}\s+\d+\s+\d+:\d+:\d+)\s+(\S+)\s+(\S+?):\s*(.*)$"
+P5, P3 = RFC5424.removeprefix("(?d)"), RFC3164.removeprefix("(?d)")
 
 _SYSLOG_ORACLE = with_fixtures(f"""
 SELECT seq,

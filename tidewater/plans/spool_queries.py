@@ -52,24 +52,27 @@ def q_dlq_stats(spark, sf):
 @register("agg02_dir_counts", with_fixtures("""
 SELECT tenant_id, dataset_id, state, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes,
   arg_min(file, (modificationTime, file)) AS oldest_file
-FROM listing_p WHERE NOT is_meta AND suffix(file, '.csv.gz') = false AND suffix(file, '.gz')
+FROM listing_p WHERE NOT is_meta AND suffix(file, '.gz')
 GROUP BY ALL"""))
 def q_dir_counts(spark, sf):
-    """AGG-02: per-directory counts with a suffix filter (``--ndjson.gz`` and
-    ``--raw.gz`` files; ``.meta`` never)."""
-    l = _listing(spark, sf).where(~F.col("file").endswith(".csv.gz"))
-    return spool.directory_counts(l, suffix=".gz")
+    """AGG-02: per-directory counts of data files (``.gz``; ``.meta`` never)."""
+    return spool.directory_counts(_listing(spark, sf), suffix=".gz")
 
 
 @register("agg03_detailed_stats", with_fixtures("""
-SELECT tenant_id, dataset_id, CAST(grouping(tenant_id, dataset_id) AS INT) AS level,
-  count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, min(created_at) AS oldest, max(created_at) AS newest,
-  count(*) FILTER (WHERE status = 'pending') AS n_pending, count(*) FILTER (WHERE status = 'retry') AS n_retry,
-  count(*) FILTER (WHERE status = 'dlq') AS n_dlq, count(*) FILTER (WHERE status = 'success') AS n_success
-FROM spool_files GROUP BY ROLLUP (tenant_id, dataset_id)"""))
+WITH sets AS (
+  SELECT tenant_id, dataset_id, CAST(grouping(tenant_id, dataset_id) AS INT) AS level, status, count(*) AS n,
+    sum(size) AS b, min(created_at) AS o, max(created_at) AS w
+  FROM (SELECT * REPLACE (CASE WHEN okey % 17 = 0 THEN 'paused' ELSE status END AS status) FROM spool_files)
+  GROUP BY GROUPING SETS ((tenant_id, dataset_id, status), (tenant_id, status), (status)))
+SELECT tenant_id, dataset_id, level, CAST(sum(n) AS BIGINT) AS files, CAST(sum(b) AS BIGINT) AS bytes,
+  min(o) AS oldest, max(w) AS newest, string_agg(status || '=' || n, ',' ORDER BY status) AS statuses
+FROM sets GROUP BY tenant_id, dataset_id, level"""))
 def q_detailed_stats(spark, sf):
-    """AGG-03: detailed statistics with status breakdown."""
-    return spool.detailed_stats(fx.spool_files(spark, sf))
+    """AGG-03: detailed statistics; some files have a status of their own."""
+    f = fx.spool_files(spark, sf).withColumn("status", F.when(F.col("okey") % 17 == 0, "paused").otherwise(F.col("status")))
+    pairs = F.array_sort(F.transform(F.map_entries("statuses"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return spool.detailed_stats(f).withColumn("statuses", F.array_join(pairs, ","))
 
 
 @register("agg04_tenant_lookup", with_fixtures("""
@@ -121,10 +124,11 @@ def q_list_dlq(spark, sf):
 
 @register("srt02_oldest_first", with_fixtures("""
 SELECT id, tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at, id) AS age_rank
-FROM spool_files WHERE state = 'retry'"""))
+FROM spool_files WHERE state <> 'dlq'"""))
 def q_oldest_first(spark, sf):
-    """SRT-02: oldest-first rank per tenant (id breaks ties)."""
-    f = fx.spool_files(spark, sf).where("state = 'retry'")
+    """SRT-02: oldest-first rank of all cleanup candidates per tenant (id
+    breaks ties)."""
+    f = fx.spool_files(spark, sf).where("state <> 'dlq'")
     return spool.oldest_first(f).select("id", "tenant_id", F.col("age_rank").cast("long").alias("age_rank"))
 
 
@@ -149,18 +153,16 @@ def q_meta_exists(spark, sf):
 
 
 @register("set02_delivery_jobs", with_fixtures("""
-SELECT stage, count(*) AS jobs, count(meta_path) AS with_meta FROM (
-  SELECT 0 AS stage, NULL AS meta_path FROM listing_p WHERE state = 'queue' AND NOT is_meta
+SELECT stage, file_path, meta_path FROM (
+  SELECT 0 AS stage, path AS file_path, NULL AS meta_path FROM listing_p WHERE state = 'queue' AND NOT is_meta
   UNION ALL
-  SELECT 1, m.path FROM listing_p m JOIN listing_p d
+  SELECT 1, d.path, m.path FROM listing_p m JOIN listing_p d
     ON m.tenant_id = d.tenant_id AND m.dataset_id = d.dataset_id
    AND regexp_replace(m.file, '\\.meta$', '') = regexp_replace(d.file, '\\.gz$', '')
-  WHERE m.state = 'retry' AND m.is_meta AND d.state = 'retry' AND NOT d.is_meta)
-GROUP BY stage"""))
+  WHERE m.state = 'retry' AND m.is_meta AND d.state = 'retry' AND NOT d.is_meta)"""))
 def q_delivery_jobs(spark, sf):
     """SET-02: queue jobs then retry jobs (UNION ALL with a stage column)."""
-    j = spool.delivery_jobs(_listing(spark, sf))
-    return j.groupBy("stage").agg(F.count(F.lit(1)).alias("jobs"), F.count("meta_path").alias("with_meta"))
+    return spool.delivery_jobs(_listing(spark, sf)).select("stage", "file_path", "meta_path")
 
 
 @register("ret01_global_cleanup", with_fixtures("""
@@ -216,8 +218,8 @@ def q_dlq_eviction_tenant(spark, sf):
 
 @register("ret04_ageing", with_fixtures(f"""
 SELECT id, tenant_id, dataset_id, 'dlq' AS status,
-  CASE WHEN age > {MAX_AGE_DAYS} * 86400 THEN 'File exceeded max age of {MAX_AGE_DAYS} days'
-       ELSE 'File aged out after 15m0s (created ' || (age // 3600) || 'h' || ((age % 3600) // 60) || 'm' || (age % 60) || 's ago)' END
+  CASE WHEN age > {MAX_AGE_DAYS} * 86400 THEN 'older than {MAX_AGE_DAYS} days'
+       ELSE 'older than 15m0s (age ' || (age // 3600) || 'h' || ((age % 3600) // 60) || 'm' || (age % 60) || 's)' END
     AS failure_reason,
   TIMESTAMP '{AS_OF}' AS last_retry
 FROM (SELECT *, CAST(epoch(TIMESTAMP '{AS_OF}') - epoch(created_at) AS BIGINT) AS age FROM spool_files)
@@ -233,12 +235,12 @@ _FIRST_ATTEMPT = "(SELECT okey, status_code, ts FROM attempts WHERE attempt_no =
 @register("stm02_queue_step", with_fixtures(f"""
 SELECT id, okey, tenant_id, dataset_id, new_state,
   CASE WHEN new_state = 'retry' THEN 1 WHEN new_state = 'dlq' THEN 0 ELSE retry_count END AS retry_count,
-  CASE WHEN NOT act THEN 'tenant inactive or not found' WHEN o = 'success' THEN NULL ELSE {reason_sql('status_code')} END AS failure_reason,
+  CASE WHEN NOT act THEN 'no active tenant' WHEN new_state = 'queue' OR o = 'success' THEN NULL ELSE {reason_sql('status_code')} END AS failure_reason,
   CASE WHEN new_state = 'dlq' THEN 'permanent_failure' WHEN new_state = 'retry' THEN 'upload_failed' ELSE trigger_reason END AS trigger_reason
 FROM (SELECT f.*, a.status_code, {GATE_SQL} AS act, {outcome_sql('a.status_code')} AS o,
-        CASE WHEN NOT {GATE_SQL} THEN 'dlq' WHEN {outcome_sql('a.status_code')} = 'success' THEN 'delivered'
+        CASE WHEN NOT {GATE_SQL} THEN 'dlq' WHEN a.okey IS NULL THEN 'queue' WHEN {outcome_sql('a.status_code')} = 'success' THEN 'delivered'
              WHEN {outcome_sql('a.status_code')} = 'permanent' THEN 'dlq' ELSE 'retry' END AS new_state
-      FROM spool_files f LEFT JOIN tenants t USING (tenant_id) LEFT JOIN {_FIRST_ATTEMPT} a USING (okey)
+      FROM spool_files f LEFT JOIN tenants t USING (tenant_id) LEFT JOIN {_FIRST_ATTEMPT} a ON a.okey = f.okey
       WHERE f.state = 'queue')"""))
 def q_queue_step(spark, sf):
     """STM-02 + VAL-07 + PRJ-07: one queue pass with first attempts."""
@@ -248,12 +250,12 @@ def q_queue_step(spark, sf):
 
 @register("stm01_retry_step", with_fixtures(f"""
 SELECT id, okey, tenant_id, dataset_id,
-  CASE WHEN retry_count >= {MAX_RETRIES} THEN 'dlq' WHEN o = 'success' THEN 'delivered' ELSE 'retry' END AS new_state,
-  CASE WHEN retry_count >= {MAX_RETRIES} OR o = 'success' THEN retry_count ELSE retry_count + 1 END AS retry_count,
-  CASE WHEN retry_count >= {MAX_RETRIES} THEN 'max_retries_exceeded' WHEN o = 'success' THEN NULL
+  CASE WHEN retry_count >= {MAX_RETRIES} THEN 'dlq' WHEN NOT waits AND o = 'success' THEN 'delivered' ELSE 'retry' END AS new_state,
+  CASE WHEN retry_count >= {MAX_RETRIES} OR waits OR o = 'success' THEN retry_count ELSE retry_count + 1 END AS retry_count,
+  CASE WHEN retry_count >= {MAX_RETRIES} THEN 'max_retries_exceeded' WHEN waits OR o = 'success' THEN NULL
        ELSE {reason_sql('status_code')} END AS failure_reason,
-  CASE WHEN retry_count >= {MAX_RETRIES} OR o = 'success' THEN NULL ELSE ts END AS last_retry
-FROM (SELECT f.*, a.status_code, a.ts, {outcome_sql('a.status_code')} AS o
+  CASE WHEN retry_count >= {MAX_RETRIES} OR waits OR o = 'success' THEN NULL ELSE ts END AS last_retry
+FROM (SELECT f.*, a.status_code, a.ts, a.okey IS NULL AS waits, {outcome_sql('a.status_code')} AS o
       FROM spool_files f LEFT JOIN attempts a ON a.okey = f.okey AND a.attempt_no = f.retry_count + 1
       WHERE f.state = 'retry')"""))
 def q_retry_step(spark, sf):
@@ -281,7 +283,7 @@ SELECT id, okey, tenant_id, dataset_id, final_state,
        WHEN fs IS NOT NULL AND fs <= {MAX_RETRIES} THEN fs ELSE least(n, {MAX_RETRIES}) END AS INT) AS attempts_used,
   CAST(CASE WHEN NOT act OR fo = 'permanent' OR n = 0 OR fo = 'success' THEN 0
        WHEN fs IS NOT NULL AND fs <= {MAX_RETRIES} THEN fs - 1 ELSE least(n, {MAX_RETRIES}) END AS INT) AS retry_count,
-  CASE WHEN NOT act THEN 'tenant inactive or not found' WHEN fo = 'permanent' THEN {reason_sql('fc')}
+  CASE WHEN NOT act THEN 'no active tenant' WHEN fo = 'permanent' THEN {reason_sql('fc')}
        WHEN final_state = 'dlq' THEN 'max_retries_exceeded' WHEN final_state = 'retry' THEN {reason_sql('lc')} END AS failure_reason
 FROM s"""))
 def q_replay(spark, sf):
@@ -303,33 +305,27 @@ def q_immediate_upload(spark, sf):
 
 
 @register("stm05_dlq_replay", with_fixtures("""
-SELECT state, status, retried, count(*) AS files, CAST(sum(retry_count) AS BIGINT) AS retry_sum,
-  count(*) FILTER (WHERE failure_reason = 'Retrieved from DLQ for retry') AS replay_reason
-FROM (SELECT CASE WHEN state = 'dlq' AND tenant_id = 'tenant3' THEN 'retry' ELSE state END AS state,
+SELECT * FROM (SELECT id, CASE WHEN state = 'dlq' AND tenant_id = 'tenant3' THEN 'retry' ELSE state END AS state,
              CASE WHEN state = 'dlq' AND tenant_id = 'tenant3' THEN 'retry' ELSE status END AS status,
              state = 'dlq' AND tenant_id = 'tenant3' AS retried,
              CASE WHEN state = 'dlq' AND tenant_id = 'tenant3' THEN 0 ELSE retry_count END AS retry_count,
-             CASE WHEN state = 'dlq' AND tenant_id = 'tenant3' THEN 'Retrieved from DLQ for retry' ELSE failure_reason END AS failure_reason
-      FROM spool_files) GROUP BY ALL"""))
+             CASE WHEN state = 'dlq' AND tenant_id = 'tenant3' THEN 'taken back from the dead-letter area' ELSE failure_reason END AS failure_reason
+      FROM spool_files)"""))
 def q_dlq_replay(spark, sf):
     """STM-05: replay one tenant's DLQ (dataset wildcard)."""
     r = delivery.dlq_replay(fx.spool_files(spark, sf), tenant="tenant3", dataset="*")
-    return r.groupBy("state", "status", "retried").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("retry_count").cast("long").alias("retry_sum"),
-        F.count_if(F.col("failure_reason") == delivery.DLQ_REPLAY_REASON).alias("replay_reason"))
+    return r.select("id", "state", "status", "retried", "retry_count", "failure_reason")
 
 
 @register("stm06_orphans", with_fixtures("""
-SELECT state, trigger_reason, count(*) AS files, CAST(sum(retry_count) AS BIGINT) AS retry_sum FROM (
-  SELECT CASE WHEN state = 'queue' THEN 'retry' ELSE state END AS state,
-         CASE WHEN state = 'queue' THEN 0 ELSE retry_count END AS retry_count,
-         CASE WHEN state = 'queue' THEN 'service_restart' ELSE trigger_reason END AS trigger_reason
-  FROM spool_files) GROUP BY ALL"""))
+SELECT id, CASE WHEN state = 'queue' THEN 'retry' ELSE state END AS state,
+  CASE WHEN state = 'queue' THEN 0 ELSE retry_count END AS retry_count,
+  CASE WHEN state = 'queue' THEN 'service_restart' ELSE trigger_reason END AS trigger_reason
+FROM spool_files"""))
 def q_orphans(spark, sf):
     """STM-06: orphaned queue files recovered into retry."""
     r = delivery.recover_orphans(fx.spool_files(spark, sf))
-    return r.groupBy("state", "trigger_reason").agg(F.count(F.lit(1)).alias("files"),
-                                                    F.sum("retry_count").cast("long").alias("retry_sum"))
+    return r.select("id", "state", "retry_count", "trigger_reason")
 
 
 @register("stm07_move_to_dlq", with_fixtures(f"""
@@ -343,16 +339,15 @@ def q_move_to_dlq(spark, sf):
 
 
 @register("stm08_dequeue", with_fixtures(f"""
-SELECT state, count(*) AS files FROM spool_files f
+SELECT id, state FROM spool_files f
 WHERE NOT EXISTS (SELECT 1 FROM {_FIRST_ATTEMPT} a WHERE a.okey = f.okey AND f.state = 'queue'
-                  AND {outcome_sql('a.status_code')} = 'success')
-GROUP BY state"""))
+                  AND {outcome_sql('a.status_code')} = 'success')"""))
 def q_dequeue(spark, sf):
     """STM-08: remove delivered queue files (left-anti join)."""
     files = fx.spool_files(spark, sf)
     step = delivery.queue_step(files, fx.attempts(spark, sf).where("attempt_no = 1"))
     delivered = step.where(F.col("new_state") == "delivered").select("id")
-    return delivery.dequeue_delivered(files, delivered).groupBy("state").agg(F.count(F.lit(1)).alias("files"))
+    return delivery.dequeue_delivered(files, delivered).select("id", "state")
 
 
 @register("alr01_dlq_alerts", with_fixtures("""

@@ -88,7 +88,12 @@ def queue_filename(batch_id: Column, tenant: Column, dataset: Column, nanos: Col
         N.batch_filename(tenant, dataset, nanos, hint))
 
 
-def delivery_manifest(files: DataFrame, base_url: str, global_token: str = "", app: str = "tidewater/0.1.0") -> DataFrame:
+# Starts the names of the batch headers; receivers may expect another one.
+HEADER_PREFIX = "X-Batch-"
+
+
+def delivery_manifest(files: DataFrame, base_url: str, global_token: str = "", app: str = "tidewater/0.1.0",
+                      prefix: str = HEADER_PREFIX) -> DataFrame:
     """SNK-05: one row per upload request: URL and headers.
 
     URL = base (``{tenantid}`` / ``{datasetid}`` placeholders substituted
@@ -108,12 +113,12 @@ def delivery_manifest(files: DataFrame, base_url: str, global_token: str = "", a
         F.create_map(
             F.lit("User-Agent"), F.lit(app), F.lit("Content-Encoding"), F.lit("gzip"),
             F.lit("Content-Type"), F.lit("application/octet-stream"),
-            F.lit("X-Proxy-Batch-ID"), F.col("id"),
-            F.lit("X-Proxy-Line-Count"), F.col("line_count").cast("string"),
-            F.lit("X-Proxy-Original-Bytes"), F.col("size").cast("string"),
-            F.lit("X-Proxy-Created-At"), TX.rfc3339("created_at"),
-            F.lit("X-Proxy-Data-Hint"), F.col("data_hint"),
-            F.lit("X-Proxy-Filename"), fname),
+            F.lit(prefix + "ID"), F.col("id"),
+            F.lit(prefix + "Line-Count"), F.col("line_count").cast("string"),
+            F.lit(prefix + "Original-Bytes"), F.col("size").cast("string"),
+            F.lit(prefix + "Created-At"), TX.rfc3339("created_at"),
+            F.lit(prefix + "Data-Hint"), F.col("data_hint"),
+            F.lit(prefix + "Filename"), fname),
         F.when(token.isNotNull(), F.create_map(F.lit("Authorization"), F.concat(F.lit("Bearer "), token)))
         .otherwise(F.create_map().cast("map<string,string>")))
     return files.select("id", "tenant_id", "dataset_id", url.alias("url"), headers.alias("headers"))
@@ -125,14 +130,15 @@ def header_text(headers: Column) -> Column:
     return F.concat(F.array_join(F.array_sort(lines), "\n"), F.lit("\n"))
 
 
-def source_archive(manifest: DataFrame, outcome: DataFrame, enabled: bool = True) -> DataFrame:
+def source_archive(manifest: DataFrame, outcome: DataFrame, enabled: bool = True,
+                   prefix: str = HEADER_PREFIX) -> DataFrame:
     """SNK-06: for successfully delivered batches (when enabled), the
     archive row: ``src/<file>`` and its ``.headers`` text."""
     if not enabled:
         return manifest.limit(0)
     ok = outcome.where(F.col("new_state") == "delivered").select("id")
     m = manifest.join(ok, "id", "left_semi")
-    fname = F.element_at("headers", F.lit("X-Proxy-Filename"))
+    fname = F.element_at("headers", F.lit(prefix + "Filename"))
     return m.select("id", "tenant_id", "dataset_id",
                     F.concat_ws("/", "tenant_id", "dataset_id", F.lit("src"), fname).alias("archive_path"),
                     header_text(F.col("headers")).alias("headers_text"))

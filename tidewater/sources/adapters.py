@@ -8,7 +8,10 @@ Message schema (SRC-01)::
 
     seq LONG, tenant_id STRING, dataset_id STRING, input STRING,
     data STRING, data_hint STRING, metadata MAP<STRING,STRING>,
-    ts TIMESTAMP_NTZ, source_ip STRING
+    ts TIMESTAMP_NTZ, source_ip STRING, data_format STRING
+
+``data_format`` is the input's mode (``ndjson``, ``text`` or auto), which each
+adapter hands on with every message.
 """
 
 from __future__ import annotations
@@ -29,9 +32,14 @@ MESSAGE_SCHEMA = T.StructType([
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
     T.StructField("ts", T.TimestampNTZType()),
     T.StructField("source_ip", T.StringType()),
+    T.StructField("data_format", T.StringType()),
 ])
 
 
+# Kafka partitions that ``seq`` tells apart.
+MOST_PARTITIONS = 1 << 14
+
+
 def read_messages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """SRC-01: read a message table with the fixed schema (no inference)."""
     return spark.read.schema(MESSAGE_SCHEMA).format(fmt).load(path)
@@ -44,26 +52,28 @@ def _map_from(pairs: list[tuple[str, Column]]) -> Column:
 
 
 def kafka_to_messages(records: DataFrame, tenant: str, dataset: str, hint: str = "raw",
-                      bearer_token: str = "") -> DataFrame:
+                      bearer_token: str = "", data_format: str = "") -> DataFrame:
     """SRC-02: Kafka records (key, value, topic, partition, offset,
     timestamp, headers) -> messages. Metadata: topic / partition / offset /
     plugin, ``key`` when non-empty, ``bearer_token`` when configured and
     ``header_<k>`` per header. Same shape as ``readStream.format('kafka')``
-    after casting key / value to string."""
+    after casting key / value to string. ``seq`` is unique and keeps each
+    partition's order: the offset, then the partition."""
     base = _map_from([("topic", F.col("topic")), ("partition", F.col("partition").cast("string")),
                       ("offset", F.col("offset").cast("string")), ("plugin", F.lit("kafka")),
                       ("key", F.col("key").cast("string")), ("bearer_token", F.lit(bearer_token))])
     hdr = F.map_from_entries(F.transform(F.coalesce("headers", F.array()), lambda h: F.struct(
         F.concat(F.lit("header_"), h["key"].cast("string")).alias("k"), h["value"].cast("string").alias("v"))))
     return records.select(
-        F.col("offset").cast("long").alias("seq"), F.lit(tenant).alias("tenant_id"), F.lit(dataset).alias("dataset_id"),
+        (F.col("offset").cast("long") * MOST_PARTITIONS + F.col("partition")).alias("seq"), F.lit(tenant).alias("tenant_id"), F.lit(dataset).alias("dataset_id"),
         F.lit("kafka").alias("input"), F.col("value").cast("string").alias("data"), F.lit(hint or "raw").alias("data_hint"),
         F.map_concat(base, hdr).alias("metadata"), F.col("timestamp").cast("timestamp_ntz").alias("ts"),
-        F.lit(None).cast("string").alias("source_ip"))
+        F.lit(None).cast("string").alias("source_ip"),
+        F.lit(data_format).alias("data_format"))
 
 
 def nats_to_messages(records: DataFrame, tenant: str, dataset: str, hint: str = "raw",
-                     queue_group: str = "", bearer_token: str = "") -> DataFrame:
+                     queue_group: str = "", bearer_token: str = "", data_format: str = "") -> DataFrame:
     """SRC-03: NATS records (subject, reply, data, headers map<string,
     array<string>>) -> messages; first value of each header."""
     base = _map_from([("subject", F.col("subject")), ("plugin", F.lit("nats")), ("reply", F.col("reply")),
@@ -73,47 +83,50 @@ def nats_to_messages(records: DataFrame, tenant: str, dataset: str, hint: str =
     return records.select(
         "seq", F.lit(tenant).alias("tenant_id"), F.lit(dataset).alias("dataset_id"), F.lit("nats").alias("input"),
         F.col("data"), F.lit(hint or "raw").alias("data_hint"), F.map_concat(base, hdr).alias("metadata"),
-        F.col("ts"), F.lit(None).cast("string").alias("source_ip"))
+        F.col("ts"), F.lit(None).cast("string").alias("source_ip"),
+        F.lit(data_format).alias("data_format"))
 
 
-def sqs_to_messages(records: DataFrame, tenant: str, dataset: str, hint: str = "raw") -> DataFrame:
+def sqs_to_messages(records: DataFrame, tenant: str, dataset: str, hint: str = "raw", data_format: str = "") -> DataFrame:
     """SRC-04: SQS messages -> messages; a NULL body is dropped (and never
     acknowledged). The delete list is the set of ``message_id`` written."""
     return records.where(F.col("body").isNotNull()).select(
         "seq", F.lit(tenant).alias("tenant_id"), F.lit(dataset).alias("dataset_id"), F.lit("sqs").alias("input"),
         F.col("body").alias("data"), F.lit(hint or "raw").alias("data_hint"),
         F.create_map(F.lit("message_id"), F.col("message_id"), F.lit("plugin"), F.lit("sqs")).alias("metadata"),
-        F.col("ts"), F.lit(None).cast("string").alias("source_ip"))
+        F.col("ts"), F.lit(None).cast("string").alias("source_ip"),
+        F.lit(data_format).alias("data_format"))
 
 
-def kinesis_to_messages(records: DataFrame, tenant: str, dataset: str, hint: str = "raw") -> DataFrame:
+def kinesis_to_messages(records: DataFrame, tenant: str, dataset: str, hint: str = "raw", data_format: str = "") -> DataFrame:
     """SRC-05: Kinesis records (shard_id, sequence_number, data) -> messages."""
     return records.select(
         F.col("sequence_number").cast("long").alias("seq"), F.lit(tenant).alias("tenant_id"),
         F.lit(dataset).alias("dataset_id"), F.lit("kinesis").alias("input"), F.col("data"),
         F.lit(hint or "raw").alias("data_hint"),
         F.create_map(F.lit("shard_id"), F.col("shard_id"), F.lit("plugin"), F.lit("kinesis")).alias("metadata"),
-        F.col("ts"), F.lit(None).cast("string").alias("source_ip"))
+        F.col("ts"), F.lit(None).cast("string").alias("source_ip"),
+        F.lit(data_format).alias("data_format"))
 
 
 def http_to_messages(requests: DataFrame, tenant: str, dataset: str, hint: str = "raw",
-                     bearer_token: str = "") -> DataFrame:
+                     bearer_token: str = "", data_format: str = "") -> DataFrame:
     """SRC-06: accepted HTTP requests -> messages. Metadata: content_type,
     user_agent, method, path, plugin; ``header_<x-…>`` (lower-cased) for
-    every header whose canonical name starts with ``X-``."""
-    hdr = F.col("headers")
+    every header whose name starts with ``X-``. Header names compare in any
+    case; ``body`` may be bytes."""
+    hdr = F.transform_keys("headers", lambda k, v: F.lower(k))
     base = F.create_map(
-        F.lit("content_type"), F.coalesce(F.element_at(hdr, F.lit("Content-Type")), F.lit("")),
-        F.lit("user_agent"), F.coalesce(F.element_at(hdr, F.lit("User-Agent")), F.lit("")),
+        F.lit("content_type"), F.coalesce(F.element_at(hdr, F.lit("content-type")), F.lit("")),
+        F.lit("user_agent"), F.coalesce(F.element_at(hdr, F.lit("user-agent")), F.lit("")),
         F.lit("method"), F.col("method"), F.lit("path"), F.col("path"), F.lit("plugin"), F.lit("http"))
     if bearer_token:
         base = F.map_concat(base, F.create_map(F.lit("bearer_token"), F.lit(bearer_token)))
-    x = F.transform_keys(F.map_filter(hdr, lambda k, v: k.startswith("X-")),
-                         lambda k, v: F.concat(F.lit("header_"), F.lower(k)))
+    x = F.transform_keys(F.map_filter(hdr, lambda k, v: k.startswith("x-")), lambda k, v: F.concat(F.lit("header_"), k))
     return requests.select(
         "seq", F.lit(tenant).alias("tenant_id"), F.lit(dataset).alias("dataset_id"), F.lit("http").alias("input"),
-        F.col("body").alias("data"), F.lit(hint or "raw").alias("data_hint"), F.map_concat(base, x).alias("metadata"),
-        F.col("ts"), F.col("remote_addr").alias("source_ip"))
+        F.make_valid_utf8(F.col("body").cast("string")).alias("data"), F.lit(hint or "raw").alias("data_hint"), F.map_concat(base, x).alias("metadata"),
+        F.col("ts"), F.col("remote_addr").alias("source_ip"), F.lit(data_format).alias("data_format"))
 
 
 def datagram_payload(data: Column) -> Column:
@@ -218,11 +231,12 @@ def read_control_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def control_to_doc(docs: DataFrame) -> DataFrame:
-    """Flatten control documents into the (tenant_id, active, datasets)
+    """Flatten control documents into the (tenant_id, tenant_name, active, datasets)
     shape consumed by ``configs.expand_control_doc``."""
     t = docs.select(F.explode("tenants").alias("t"))
     return t.select(
-        F.col("t.tenant.id").alias("tenant_id"), F.col("t.tenant.active").alias("active"),
+        F.col("t.tenant.id").alias("tenant_id"), F.col("t.tenant.name").alias("tenant_name"),
+        F.col("t.tenant.active").alias("active"),
         F.transform("t.datasets", lambda d: F.struct(
-            d["id"].alias("dataset_id"), d["active"].alias("active"), d["config"].alias("config"),
+            d["id"].alias("dataset_id"), d["name"].alias("name"), d["active"].alias("active"), d["config"].alias("config"),
             F.lit(None).cast("long").alias("pos"))).alias("datasets"))

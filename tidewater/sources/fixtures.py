@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.prefix import exclusive_running_sum, running_sum
+from ..plans.prefix import exclusive_running_sum, running_sum, running_sums
 from .tables import table
 
 E = F.expr
@@ -30,7 +30,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
         .when(E("event_id % 5 = 1"), txt)
         .when(E("event_id % 5 = 2"), F.concat("props", F.lit("\n"), "props"))
         .when(E("event_id % 5 = 3"), F.concat(txt, F.lit("\n  \t\n"), "props"))
-        .otherwise(E("concat('{\"bfts\": ', event_id, ', \"BFTS\": ', user_id, ', \"k\": ', user_id % 100, '}')"))
+        .otherwise(E("concat('{\"Ingest_Ms\": ', event_id, ', \"INGEST_MS\": ', user_id, ', \"k\": ', user_id % 100, '}')"))
     )
     return e.select(
         F.col("event_id").alias("seq"),
@@ -86,7 +86,7 @@ def syslog_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def kafka_records(spark: SparkSession, sf: str) -> DataFrame:
     """Kafka-shaped records: key, value, topic, partition, offset, headers."""
-    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "props", spread_input=False)
+    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "props")
     return (
         e.select(
             "event_id",
@@ -101,8 +101,7 @@ def kafka_records(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("_one", F.lit(1))
         # offset = rows before this one in its (topic, partition): a two-level
         # running count, so a busy partition is not sorted in one task
-        .transform(lambda d: exclusive_running_sum(d, "_one", ["topic", "partition"], ["event_id"],
-                                                   F.floor(F.col("event_id") / 65536), "offset"))
+        .transform(lambda d: exclusive_running_sum(d, "_one", ["topic", "partition"], ["event_id"], "offset"))
         .drop("_one")
     )
 
@@ -152,7 +151,7 @@ ATTEMPT_ORDER = ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quan
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     """Delivery attempts: one per line item of the order whose file it is."""
     li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-               "l_quantity", "l_extendedprice", "l_shipdate", spread_input=False)
+               "l_quantity", "l_extendedprice", "l_shipdate")
     # Attempts are numbered chronologically per file (line numbers repeat).
     w = Window.partitionBy("l_orderkey").orderBy(*ATTEMPT_ORDER)
     return li.select(
@@ -166,7 +165,7 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
 def raw_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Raw landing files: key, order key and size, for batch packing."""
     li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
-               "l_linestatus", "l_extendedprice", "l_shipdate", spread_input=False)
+               "l_linestatus", "l_extendedprice", "l_shipdate")
     return li.select(
         E("concat('t', l_suppkey % 10)").alias("tenant_id"),
         F.col("l_returnflag").alias("dataset_id"),
@@ -190,19 +189,20 @@ SEGMENT_SOURCE_SQL = (
 def control_doc(spark: SparkSession, sf: str) -> DataFrame:
     """Nested control documents: one tenant per nation, its customers as
     datasets (paged: one row per tenant and page of up to 64 datasets)."""
-    n = table(spark, sf, "nation", "n_nationkey")
-    c = table(spark, sf, "customer", "c_custkey", "c_nationkey", "c_mktsegment", spread_input=False)
+    n = table(spark, sf, "nation", "n_nationkey", "n_name")
+    c = table(spark, sf, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     ds = c.select(
         F.col("c_nationkey").alias("nk"),
         F.struct(
             E("concat('ds', c_custkey)").alias("dataset_id"),
+            E("concat('Set ', c_custkey)").alias("name"),
             E("c_custkey % 4 <> 0").alias("active"),
             F.struct(
                 F.struct(
                     E(SEGMENT_SOURCE_SQL).alias("type"),
-                    E("CASE WHEN c_custkey % 13 = 0 THEN map('port', cast(1024 + c_custkey as string), "
+                    E("CASE WHEN c_custkey % 13 = 0 THEN map('port', cast(1024 + c_custkey % 600 as string), "
                       "'tenant_id', concat('override', c_custkey)) "
-                      "ELSE map('port', cast(1024 + c_custkey as string)) END").alias("custom"),
+                      "ELSE map('port', cast(1024 + c_custkey % 600 as string)) END").alias("custom"),
                 ).alias("source"),
             ).alias("config"),
             F.col("c_custkey").alias("pos"),
@@ -213,6 +213,7 @@ def control_doc(spark: SparkSession, sf: str) -> DataFrame:
     ).groupBy("nk", "page").agg(F.collect_list("ds").alias("datasets"))
     return n.join(ds, n.n_nationkey == ds.nk, "left").select(
         E("concat('tenant', n_nationkey)").alias("tenant_id"),
+        F.col("n_name").alias("tenant_name"),
         E("n_nationkey % 5 <> 0").alias("active"),
         F.coalesce("page", F.lit(0).cast("long")).alias("page"),
         F.coalesce("datasets", E("array()").cast(ds.schema["datasets"].dataType)).alias("datasets"),
@@ -230,14 +231,14 @@ def receivers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def port_counters(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-port cumulative drop counters, reset to zero on one day (the
-    running count is two-level, bucketed by hour)."""
-    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", spread_input=False)
+    """Per-port cumulative drop counters, reset to zero on one day (a
+    running count)."""
+    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type")
     d = e.select(
         "event_id", "ts", E("cast(1000 + user_id % 6 as int)").alias("port"),
         E("CASE WHEN event_type = 'error' THEN 1 ELSE 0 END").alias("is_err"),
     )
-    d = running_sum(d, "is_err", ["port"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts").cast("timestamp")), "_n")
+    d = running_sum(d, "is_err", ["port"], ["ts", "event_id"], "_n")
     return d.select(
         "event_id", "ts", "port",
         F.when(E("to_date(ts) = date'2024-01-15'"), F.lit(0).cast("long")).otherwise(F.col("_n")).alias("drops"),
@@ -245,8 +246,8 @@ def port_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def host_counters(spark: SparkSession, sf: str) -> DataFrame:
-    """Cumulative CPU tick counters per host (two-level running sums)."""
-    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value", spread_input=False)
+    """Cumulative CPU tick counters per host (running sums)."""
+    e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value")
     v = E("cast(round(value) as bigint)")
     d = e.select(
         "event_id", "ts", E("concat('host', user_id % 5)").alias("host"),
@@ -255,9 +256,8 @@ def host_counters(spark: SparkSession, sf: str) -> DataFrame:
         F.when(E("event_type = 'purchase'"), 3).otherwise(0).alias("io"),
         F.lit(10).alias("tick"),
     )
-    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
-    for src, out in (("u", "user"), ("s", "system"), ("tick", "idle"), ("io", "iowait")):
-        d = running_sum(d, src, ["host"], ["ts", "event_id"], hour, out)
+    names = {"user": "u", "system": "s", "idle": "tick", "iowait": "io"}
+    d = running_sums(d, {out: F.col(src) for out, src in names.items()}, ["host"], ["ts", "event_id"])
     return d.select("event_id", "ts", "host", "user", "system", "idle", "iowait")
 
 
@@ -292,17 +292,18 @@ def error_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tenants(spark: SparkSession, sf: str) -> DataFrame:
-    """Tenant status lookups: tenant0..tenant9 (tenant10 missing)."""
-    n = table(spark, sf, "nation", "n_nationkey").where("n_nationkey < 10")
+    """Tenant status lookups, one per nation; tenant10 is skipped (missing)."""
+    n = table(spark, sf, "nation", "n_nationkey")
     return n.select(
-        E("concat('tenant', n_nationkey)").alias("tenant_id"),
+        E("concat('tenant', n_nationkey + CASE WHEN n_nationkey >= 10 THEN 1 ELSE 0 END)").alias("tenant_id"),
         E("CASE WHEN n_nationkey = 5 THEN 404 WHEN n_nationkey = 6 THEN 500 ELSE 200 END").cast("int").alias("status_code"),
         E("CASE WHEN n_nationkey = 5 OR n_nationkey = 6 THEN NULL ELSE n_nationkey % 4 <> 3 END").alias("active"),
     )
 
 
 def telemetry(spark: SparkSession, sf: str) -> DataFrame:
-    """Telemetry payloads: compact object, text, pretty-printed object, array."""
+    """Telemetry payloads: compact object, text, pretty-printed object, array,
+    ``null``, a padded object, blanks."""
     e = table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
     pretty = E("concat('{', '\\n', '  \"k\": ', user_id, ',', '\\n', '  \"t\": \"', event_type, "
                "' \\\\\"x\\\\\" y\",', '\\n', '  \"n\": [1, 2]', '\\n', '}')")
@@ -310,6 +311,9 @@ def telemetry(spark: SparkSession, sf: str) -> DataFrame:
         F.when(E("event_id % 4 = 0"), F.col("props"))
         .when(E("event_id % 4 = 1"), E("concat('user ', user_id, ' ', event_type)"))
         .when(E("event_id % 4 = 2"), pretty)
+        .when(E("event_id % 20 = 3"), F.lit(" null "))
+        .when(E("event_id % 20 = 7"), E("concat('\\0', props, ' ')"))
+        .when(E("event_id % 20 = 11"), F.lit("   "))
         .otherwise(E("concat('[', user_id, ', 2]')"))
     )
     return e.select("event_id", data.alias("data"))
@@ -331,8 +335,8 @@ def spool_listing(spark: SparkSession, sf: str) -> DataFrame:
     return data.unionByName(meta)
 
 
-def proxies(spark: SparkSession, sf: str) -> DataFrame:
-    """Proxy instances: receiver URL and configured batch max bytes."""
+def instances(spark: SparkSession, sf: str) -> DataFrame:
+    """Instances: receiver URL and configured batch max bytes."""
     n = table(spark, sf, "nation", "n_nationkey")
     return n.select(
         E("concat('inst', n_nationkey)").alias("instance"),
@@ -362,17 +366,18 @@ def local_inputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def port_maps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Old and new port -> plugin assignments (drops, renames, additions)."""
+    """Old and new port -> plugin assignments in order of ``pos`` (drops,
+    renames, additions; ports repeat)."""
     c = table(spark, sf, "customer", "c_custkey", "c_mktsegment")
     typ = E(SEGMENT_SOURCE_SQL)
-    old = c.select(E("cast(1024 + c_custkey as int)").alias("port"),
+    old = c.select(F.col("c_custkey").alias("pos"), E("cast(1024 + c_custkey % 900 as int)").alias("port"),
                    F.concat(typ, F.lit("[ds"), F.col("c_custkey").cast("string"), F.lit("]")).alias("plugin"))
     kept = c.where("c_custkey % 9 <> 0").select(
-        E("cast(1024 + c_custkey as int)").alias("port"),
+        F.col("c_custkey").alias("pos"), E("cast(1024 + c_custkey % 950 as int)").alias("port"),
         F.concat(typ, F.lit("[ds"), F.col("c_custkey").cast("string"),
                  F.when(E("c_custkey % 7 = 0"), F.lit("-v2")).otherwise(F.lit("")), F.lit("]")).alias("plugin"))
     added = c.where("c_custkey % 5 = 0").select(
-        E("cast(20000 + c_custkey as int)").alias("port"),
+        F.col("c_custkey").alias("pos"), E("cast(20000 + c_custkey as int)").alias("port"),
         F.concat(typ, F.lit("[extra"), F.col("c_custkey").cast("string"), F.lit("]")).alias("plugin"))
     return old, kept.unionByName(added)
 
@@ -410,9 +415,10 @@ def http_requests(spark: SparkSession, sf: str) -> DataFrame:
         F.col("page_id").alias("seq"),
         E("CASE WHEN page_id % 6 = 5 THEN 'GET' ELSE 'POST' END").alias("method"),
         F.lit("/ingest").alias("path"),
-        E("map('Authorization', CASE WHEN page_id % 7 = 3 THEN 'Bearer bad' ELSE 'Bearer secret' END, "
-          "'Content-Type', 'text/html', 'User-Agent', concat('ua/', page_id % 3), "
-          "'X-Request-Id', concat('r', page_id), 'X-Source', url)").alias("headers"),
+        E("map(CASE WHEN page_id % 3 = 0 THEN 'authorization' ELSE 'Authorization' END, CASE WHEN page_id % 7 = 3 THEN 'Bearer bad' ELSE 'Bearer secret' END, "
+          "CASE WHEN page_id % 4 = 0 THEN 'CONTENT-TYPE' ELSE 'Content-Type' END, 'text/html', 'User-Agent', concat('ua/', page_id % 3), "
+          "CASE WHEN page_id % 2 = 0 THEN 'X-Request-Id' ELSE 'x-request-id' END, concat('r', page_id), 'X-Source', url)")
+        .alias("headers"),
         E("CASE WHEN page_id % 11 = 0 THEN 100 ELSE octet_length(html) END").cast("long").alias("declared_length"),
         F.col("html").alias("body"),
         E("concat('10.1.0.', page_id % 250)").alias("remote_addr"),
@@ -472,9 +478,9 @@ SFLOW_HEADER_SQL = (
 def flow_packets(spark: SparkSession, sf: str) -> DataFrame:
     """Decoded sFlow packets: one per order, one sample with the order's
     line items as flow records (header / IPv4 / IPv6 / other)."""
-    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", spread_input=False)
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey")
     li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-               "l_extendedprice", spread_input=False)
+               "l_extendedprice")
     rec = F.struct(
         F.col("l_linenumber").alias("lno"), F.col("l_partkey").alias("pkey"), F.col("l_suppkey").alias("skey"),
         F.col("l_quantity").alias("qty"),
@@ -499,19 +505,22 @@ def flow_packets(spark: SparkSession, sf: str) -> DataFrame:
         E("cast(o_orderkey % 48 as int)").alias("input_if"),
         E("cast(o_custkey % 48 as int)").alias("output_if"),
         F.coalesce("records", F.array().cast(recs.schema["records"].dataType)).alias("records"))
+    # Agents send interface counters too; they carry records that are no flows.
+    counter = sample.withField("kind", F.lit("counter"))
     return j.select(
         F.col("o_orderkey").alias("packet_id"), F.lit(5).alias("version"),
         F.unhex(E(f"concat('0A', {_hx('o_custkey % 256')}, {_hx('o_orderkey % 256')}, '01')")).alias("agent_ip"),
         F.col("o_orderkey").alias("sequence_number"),
-        F.when(E("o_orderkey % 11 = 0"), F.slice(F.array(sample), 1, 0)).otherwise(F.array(sample)).alias("samples"))
+        F.when(E("o_orderkey % 11 = 0"), F.slice(F.array(sample), 1, 0))
+        .when(E("o_orderkey % 3 = 0"), F.array(counter, sample)).otherwise(F.array(sample)).alias("samples"))
 
 
 def ipfix_packets(spark: SparkSession, sf: str) -> DataFrame:
     """Decoded IPFIX packets: one per order, one flow message per line item;
     every ninth packet is template-only (no flows)."""
-    o = table(spark, sf, "orders", "o_orderkey", spread_input=False)
+    o = table(spark, sf, "orders", "o_orderkey")
     li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-               "l_extendedprice", "l_shipdate", spread_input=False)
+               "l_extendedprice", "l_shipdate")
     flow = F.struct(
         F.col("l_linenumber").alias("_lno"), F.col("l_partkey").alias("_pkey"), F.col("l_suppkey").alias("_skey"),
         F.lit("IPFIX").alias("Type"),
@@ -547,8 +556,8 @@ def ipfix_packets(spark: SparkSession, sf: str) -> DataFrame:
 def netflow_packets(spark: SparkSession, sf: str) -> DataFrame:
     """Decoded NetFlow v9 packets: header fields and one data flow set of
     the order's line items."""
-    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate", spread_input=False)
-    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", spread_input=False)
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     recs = li.groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("InIf"), F.col("l_partkey").alias("SrcPort"),
                                              F.col("l_quantity").cast("long").alias("Packets")))).alias("records"))

@@ -2,7 +2,7 @@
 
 Every reader names its columns so the Parquet scan only materialises what
 the plan uses (``ReadSchema`` in ``explain``); Catalyst still prunes further
-when a caller projects less.
+when a caller projects less. Tables are read as Spark splits them.
 """
 
 from __future__ import annotations
@@ -15,45 +15,9 @@ TABLES = (
 ).split()
 
 
-# Inputs above this size with fewer splits than task slots are spread
-# round-robin so CPU-bound projections use every core.
-SPREAD_MIN_BYTES = 1 << 20
-
-
-def _input_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
-
-
-def spread(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Round-robin a small-split input over the task slots.
-
-    A large table arrives as many file splits and is returned untouched; a
-    file with one big row group (a single split) would run every narrow
-    operator in one task, so it is repartitioned to the default
-    parallelism. The decision uses only file metadata (no data is read).
-    """
-    try:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= slots or _input_bytes(spark, path) < SPREAD_MIN_BYTES:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD / JVM access (e.g. a remote session): read as-is
-        return df
-    return df.repartition(slots)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread_input: bool = True) -> DataFrame:
-    """Read one driver table, optionally pruned to ``columns``.
-
-    ``spread_input=False`` when the caller shuffles right away (a window,
-    an aggregate or a fold repartitions by key anyway), so no extra
-    round-robin exchange is added.
-    """
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Read one driver table, optionally pruned to ``columns``."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    df = df.select(*columns) if columns else df
-    return spread(spark, df, path) if spread_input else df
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.select(*columns) if columns else df

@@ -23,6 +23,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,26 +129,35 @@ def land_micro_batch(batch: DataFrame, batch_id: int, state_path: str, sink: str
     batch rewrites its own output instead of duplicating it.
     """
     spark = batch.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     lines = framing.split_lines(batch)
     k = list(keys)
+    fields = T.StructType([*[batch.schema[c] for c in k], T.StructField("detected_json", T.BooleanType()),
+                           T.StructField("batch_id", T.LongType())])
     try:
-        prior = spark.read.parquet(state_path).where(F.col("batch_id") < batch_id).select(*k, "detected_json")
-    except Exception:  # noqa: BLE001 - no state written yet
-        prior = None
+        prior = spark.read.schema(fields).parquet(state_path).where(F.col("batch_id") < batch_id).select(*k, "detected_json")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        prior = None  # no state written yet
     fresh = framing.first_line_detection(lines, k)
     if prior is not None:
-        fresh = fresh.join(prior.select(*k), k, "left_anti")
-    fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch_id").parquet(state_path)
-    det = spark.read.parquet(state_path).where(F.col("batch_id") <= batch_id).select(*k, "detected_json")
-    j = framing.bounded_lookup(lines, det, k, "left")
+        known = prior.select(*[F.col(c).alias(f"_k_{c}") for c in k])
+        on = F.lit(True)
+        for c in k:
+            on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        fresh = fresh.join(known, on, "left_anti")
+    replace = {"partitionOverwriteMode": "dynamic"}
+    fresh.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").options(**replace) \
+        .partitionBy("batch_id").parquet(state_path)
+    det = spark.read.schema(fields).parquet(state_path).where(F.col("batch_id") <= batch_id).select(*k, "detected_json")
+    j = framing.with_detection(lines, det, k)
     m = F.coalesce(F.col("data_format"), F.lit(""))
     wrapped = F.when(m == "ndjson", F.lit(False)).when(m == "text", F.lit(True)).otherwise(~F.col("detected_json"))
     out = (j.withColumn("wrapped", wrapped)
            .withColumn("out", F.when(F.col("wrapped"), TX.wrap_text("line", "ts")).otherwise(F.col("line")))
            .drop("detected_json"))
     out = framing.stamp(out, line="out", hint="data_hint", ts="ts").withColumn("batch_id", F.lit(batch_id))
-    out.write.mode("overwrite").partitionBy("batch_id", "tenant_id", "dataset_id").parquet(sink)
+    out.write.mode("overwrite").options(**replace).partitionBy("batch_id", "tenant_id", "dataset_id").parquet(sink)
 
 
 def ingest_stream_batches(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
