@@ -52,4 +52,5 @@ def load_all() -> None:
         naming_queries,
         flow_queries,
         stream_queries,
+        io_queries,
     )
