@@ -269,8 +269,24 @@ def _quota_step(cap: int):
         n = len(sz)
         ok = np.zeros(n, dtype=bool)
         c = np.concatenate(([0], np.cumsum(sz)))
+        # Smallest size from each row on: below it nothing fits any more.
+        least = np.minimum.accumulate(sz[::-1])[::-1]
+
+        def next_fit(p: int, room: int) -> int:
+            """The first row from p on that fits the room, in growing looks."""
+            look = 64
+            while p < n and least[p] <= room:
+                hit = np.flatnonzero(sz[p:p + look] <= room)
+                if len(hit):
+                    return p + int(hit[0])
+                p, look = p + look, look * 2
+            return n
+
         p = 0
         while p < n:
+            p = next_fit(p, cap - int(base[p]) - used)
+            if p >= n:
+                break
             # first i >= p where base + used + (c[i+1] - c[p]) > cap
             room = cap - int(base[p]) - used
             i = int(np.searchsorted(c[1:], room + c[p], side="right"))
