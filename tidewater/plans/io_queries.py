@@ -20,7 +20,7 @@ from ..streaming import jobs
 from . import ingest
 from .catalog import register
 from .config_queries import TOKEN, _flat
-from .oracle_fixtures import with_fixtures
+from .oracle_fixtures import outcome_sql, with_fixtures
 
 _WS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
 
@@ -29,6 +29,24 @@ def _folder(spark) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/io-{uuid.uuid4().hex}"
 
 
+@register("src11_metadata_scan", with_fixtures("""
+SELECT id, tenant_id, dataset_id, size AS compressed_size, line_count, retry_count, status, trigger_reason
+FROM spool_files WHERE state <> 'dlq' AND okey % 19 <> 0"""))
+def q_metadata_scan(spark, sf):
+    """SRC-11: metadata documents of all spool files written as JSON, some of
+    them broken, some in a DLQ folder, and scanned."""
+    path = _folder(spark)
+    f = fx.spool_files(spark, sf)
+    doc = F.to_json(F.struct("id", "tenant_id", "dataset_id", F.col("size").alias("compressed_size"), "line_count",
+                             "retry_count", "status", "trigger_reason"))
+    text = f.select((F.col("state") == "dlq").alias("dead"),
+                    F.when(F.col("okey") % 19 == 0, F.substring(doc, 1, 20)).otherwise(doc).alias("value"))
+    for dead, folder in ((False, "retry"), (True, "dlq")):
+        text.where(F.col("dead") == dead).select("value").write.text(f"{path}/{folder}")
+    m = A.scan_metadata(spark, path, "part-*")
+    return m.select("id", "tenant_id", "dataset_id", "compressed_size", "line_count", "retry_count", "status", "trigger_reason")
+
+
 @register("src12_batch_files", f"""
 SELECT lang, count(*) FILTER (WHERE NOT regexp_full_match(t.l, '{_WS}*')) AS line_count,
   CAST(sum(strlen(t.l) + 1) AS BIGINT) AS uncompressed_bytes
@@ -150,3 +168,25 @@ def q_ingest_stream(spark, sf):
     messages.write.parquet(source)
     jobs.ingest_stream_batches(spark, source, messages.schema, sink, state).awaitTermination()
     return ingest.dataset_line_summary(spark.read.parquet(sink))
+
+
+@register("str04_retry_stream", with_fixtures(f"""
+WITH a AS (
+  SELECT okey, count(*) AS n, arg_min({outcome_sql('status_code')}, attempt_no) AS fo,
+    min(attempt_no) FILTER (WHERE {outcome_sql('status_code')} = 'success') AS fs
+  FROM attempts WHERE okey IN (SELECT okey FROM spool_files WHERE state = 'queue') GROUP BY okey)
+SELECT okey, CASE WHEN fo = 'success' THEN 'delivered' WHEN fo = 'permanent' THEN 'dlq'
+  WHEN fs IS NOT NULL AND fs <= 5 THEN 'delivered' WHEN n >= 5 THEN 'dlq' ELSE 'retry' END AS state
+FROM a"""))
+def q_retry_stream(spark, sf):
+    """STR-04: per-file retry state over a stream of all attempts of queue
+    files, in one run over what is there; the last state of each file."""
+    jobs.prepare_streaming(spark)
+    source, sink, state = _folder(spark), _folder(spark), _folder(spark)
+    queue = fx.spool_files(spark, sf).where("state = 'queue'").select("okey")
+    attempts = fx.attempts(spark, sf).join(queue, "okey", "left_semi")
+    attempts.write.parquet(source)
+    stream = spark.readStream.schema(attempts.schema).parquet(source)
+    jobs.retry_state_stream(stream, 5).writeStream.format("parquet").option("path", sink) \
+        .option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).groupBy("okey").agg(F.max_by("state", "attempts_used").alias("state"))

@@ -180,11 +180,11 @@ SPOOL_META_SCHEMA = T.StructType([
 ])
 
 
-def scan_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-11: every ``.meta`` JSON document outside DLQ directories;
-    unreadable documents are skipped."""
+def scan_metadata(spark: SparkSession, root: str, pattern: str = "*.meta") -> DataFrame:
+    """SRC-11: every JSON metadata document (files named like ``pattern``)
+    outside DLQ directories; unreadable documents are skipped."""
     df = (spark.read.schema(SPOOL_META_SCHEMA).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.meta")
+          .option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", pattern)
           .option("recursiveFileLookup", "true").json(root)
           .withColumn("meta_path", F.input_file_name()))
     return df.where(F.col("_corrupt_record").isNull() & ~F.col("meta_path").contains("/dlq/")).drop("_corrupt_record")
