@@ -12,10 +12,13 @@ are list keys: a passage that many documents share keys few of them. Where
 the sketch is the whole set the bound is exact. A list is split by size
 steps; documents of similar size meet in one of them.
 
-No list is expanded into all its pairs. First each list links its members to
-its smallest one; lists whose members are then in one component are done.
-What is left is compared in blocks of ``BLOCK`` members inside tasks, and
-only pairs across components that the sketches cannot rule out come out.
+No list is expanded into all its pairs. Lists with the same members are one.
+A list of many members is dealt into blocks, and each pair of blocks is a unit
+of work. A unit first compares sketches, all of its pairs at once, and names
+only the members that have a pair left, counting a pair in its most common
+list alone. The sets of those members then travel to their units, where exact
+intersections of all pairs come from one product of incidence tables; what
+comes out is a spanning forest of the links, at most one row a member.
 
 Defined results: NULL and word-less texts have the empty set and no links;
 texts shorter than a shingle are one shingle; a NULL doc_id links with
@@ -37,8 +40,16 @@ from .common import cut, keep_rows
 
 SKETCH = 48
 MISS = 1e-9
-BLOCK = 256
-PIECE_BYTES = 4 << 20
+# A block holds so many members, and so many shingles, at most (one member may
+# have more).
+BLOCK = 1536
+BLOCK_SHINGLES = 1 << 20
+# Members, or shingles, that one call to Python gets, apart from large units.
+ROWS_PER_CALL = 4000
+SHINGLES_PER_CALL = 500_000
+# Values that more members share are counted by matrix product.
+RARE = 8
+PIECE_BYTES = 1 << 20
 
 
 def _mix(x):
@@ -179,62 +190,50 @@ def _sketches(docs: DataFrame, words: int, sketch: int) -> DataFrame:
 
 
 def _keys(classes: DataFrame, percent: int, sketch: int) -> DataFrame:
-    """List memberships (v, node, n): per class its rarest retained values,
-    as many as the bound asks for, without values that no other class holds."""
+    """List memberships (v, pos in the sketch, held: classes that retain v,
+    node, n): per class its rarest retained values, as many as the bound asks
+    for, without values that no other class holds."""
     least = least_shared(sketch, percent)
-    values = classes.select("node", "n", F.explode("sketch").alias("v"))
-    common = values.groupBy("v").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    values = classes.select("node", "n", F.posexplode("sketch").alias("pos", "v"))
+    common = values.groupBy("v").agg(F.count(F.lit(1)).cast("int").alias("held")).where("held > 1")
     shared = values.join(common, "v")
     mine = Window.partitionBy("node")
     retained = F.least(F.col("n"), F.lit(sketch))
     # Whole sets in the sketch: the exact overlap bound.
     need = F.when(F.col("n") <= sketch, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(least))
     nth = F.row_number().over(mine.orderBy("held", "v")) + retained - F.count(F.lit(1)).over(mine)
-    return shared.withColumn("nth", nth).where(F.col("nth") <= retained - need + 1).select("v", "node", "n")
+    return shared.withColumn("nth", nth).where(F.col("nth") <= retained - need + 1).select("v", "pos", "held", "node", "n")
 
 
-def _stepped(keys: DataFrame, percent: int) -> DataFrame:
-    """Each membership in its own size step and the next, so that sizes
-    within the threshold's ratio share a step."""
-    step = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    return keys.withColumn("step", F.explode(F.array(step, step + 1)))
+def _lists(keys: DataFrame, percent: int) -> DataFrame:
+    """Memberships of the lists to compare, by value and size step.
 
-
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose full sets reach the threshold."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct()
-    narrow = docs.select(F.col("doc_id").cast("long").alias("_k"), F.col("text").cast("string").alias("text"))
-    used = narrow.join(ends.hint("shuffle_hash"), "_k", "left_semi")
-
-    def sets(parts: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        hasher = WordHasher()
-        for part in parts:
-            for at, texts in tokens.batches(part.column("text")):
-                found = [s.tobytes() for s in shingle_sets(texts, words, hasher)]
-                yield pa.RecordBatch.from_arrays([part.column("_k").slice(at, len(texts)), pa.array(found, pa.binary())],
-                                                 names=["node", "hashes"])
-
-    full = cut(used.mapInArrow(sets, "node long, hashes binary"))
-    left = full.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-    right = full.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-
-    def check(parts: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for part in parts:
-            ok = []
-            for x, y in zip(part.column("ha").to_pylist(), part.column("hb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= percent * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(ok))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long")
+    Each class is in its own size step and the next, so that sizes within the
+    threshold's ratio share a step; a pair belongs to the larger of its two
+    own steps. Of lists with the same members the most common value's is kept.
+    """
+    own = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    stepped = keys.drop("pos").withColumn("own_step", own) \
+        .withColumn("step", F.explode(F.array(F.col("own_step"), F.col("own_step") + 1)))
+    same = ["members", "mix", "lo", "hi", "step"]
+    kept = stepped.groupBy("v", "step").agg(
+        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("node")).alias("mix"), F.min("node").alias("lo"),
+        F.max("node").alias("hi"), F.max("own_step").alias("top"), F.max("held").alias("held"), F.sum("n").alias("shingles")) \
+        .where("members > 1 AND lo < hi AND top = step") \
+        .groupBy(*same).agg(F.max(F.struct("held", "v", "shingles")).alias("one")) \
+        .select("step", "members", F.col("one.v").alias("v"), F.col("one.shingles").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    kept = kept.select("v", "step", blocks.alias("blocks"))
+    return stepped.join(kept, ["v", "step"]).select("v", "step", "blocks", "node", "n", "own_step")
+
+
+def _marked(classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """Per node the sketch and, for each of its values, how many classes hold
+    it if it is one of the node's keys, else 0."""
+    held = keys.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("pos", "held"))).alias("_held"))
+    spots = F.sequence(F.lit(0), F.size("sketch") - 1)
+    return classes.join(held, "node").select(
+        "node", "sketch", F.transform(spots, lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0))).alias("held"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,60 +257,167 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, percent: int, sketch: int) -> DataFrame:
-    """Drop pairs that the sketch of the union rules out."""
-    least = least_shared(sketch, percent)
-    one = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    two = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch)
-    shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    need = F.when(F.size(F.array_union("sa", "sb")) < sketch, F.size(F.array_union("sa", "sb")) * percent / 100).otherwise(least)
-    return both.where(shared >= need).select("a", "b")
-
-
-def _across(lists: DataFrame, classes: DataFrame, percent: int, sketch: int) -> DataFrame:
-    """Pairs across components within each list that the sketches cannot rule
-    out. A list of many members is dealt into blocks, and each pair of blocks
-    is one group of at most about 2 * BLOCK rows."""
-    least = least_shared(sketch, percent)
-    sizes = lists.groupBy("v", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = lists.join(sizes, ["v", "step"]) \
-        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")) \
+def _shared_counts(m: int, owner, values):
+    """m x m: how many ``values`` two owners share; an owner has a value once."""
+    import numpy as np
+
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    start = np.concatenate(([True], values[1:] != values[:-1]))
+    group = np.cumsum(start) - 1
+    times = np.bincount(group)
+    # Whole numbers stay exact: float32 holds those below 2 ** 24.
+    kind = np.float32 if len(values) < 1 << 24 else np.float64
+    count = np.zeros((m, m), dtype=kind)
+    few = times[group] <= RARE
+    v, o = group[few], owner[few]
+    for d in range(1, RARE):
+        hit = v[d:] == v[:-d]
+        if not hit.any():
+            break
+        np.add.at(count, (o[d:][hit], o[:-d][hit]), 1)
+    count += count.T
+    many = ~few
+    if many.any():
+        col = np.cumsum(times > RARE) - 1
+        c, o = col[group[many]], owner[many]
+        step = 4096
+        for lo in range(0, int(c.max()) + 1, step):
+            table = np.zeros((m, step), dtype=kind)
+            part = (c >= lo) & (c < lo + step)
+            table[o[part], c[part] - lo] = 1
+            count += table @ table.T
+    return count
+
+
+def _dealt_units(lists: DataFrame) -> DataFrame:
+    """Memberships by unit: a list's block with each of its other blocks.
+    Pairs inside a block belong to its unit with the next one (``within``)."""
+    one = F.col("blocks") == 1
+    return lists.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("v", "step", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own",
-                "node", "n", "component")
-    full = dealt.join(classes.select("node", "sketch"), "node")
+        .where(one | (F.col("block") != F.col("other"))) \
+        .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}) \
+        .withColumn("unit", F.xxhash64("v", "step", "x", "y")) \
+        .withColumn("within", one | ((F.col("block") + 1) % F.col("blocks") == F.col("other"))) \
+        .select("unit", "v", "step", "within", "block", "node", "n", "own_step")
+
+
+def _allowed(node, n, own, step, block, within, percent):
+    """Pairs of a unit that belong to it: size, step and blocks."""
+    import numpy as np
+
+    low = n * (percent / 100) - 1e-6
+    ok = np.greater_equal.outer(n, low)
+    ok &= ok.T
+    ok &= np.not_equal.outer(node, node)
+    ok &= np.maximum.outer(own, own) == step
+    ok &= np.not_equal.outer(block, block) | within[:, None]
+    return ok
+
+
+def _open_members(lists: DataFrame, marked: DataFrame, percent: int, sketch: int) -> DataFrame:
+    """The memberships by unit that have a pair which the sketches cannot rule
+    out and whose most common list this is."""
+    least = least_shared(sketch, percent)
+    units = _dealt_units(lists)
+    full = units.join(marked, "node")
+    calls = max(1, lists.count() // ROWS_PER_CALL)
 
     def compare(rows):
         import numpy as np
-        import pyarrow as pa
 
-        node = rows.column("node").to_numpy()
-        n = rows.column("n").to_numpy()
-        comp = rows.column("component").to_numpy()
-        own = rows.column("own").to_numpy()
-        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
+        rows = rows.sort_by([(c, "ascending") for c in ("unit", "v", "step")]).combine_chunks()
+        unit, v, step, node, n, own, block = (rows.column(c).to_numpy() for c in (
+            "unit", "v", "step", "node", "n", "own_step", "block"))
+        within = rows.column("within").to_numpy()
         col = rows.column("sketch").combine_chunks()
-        lens = np.diff(col.offsets.to_numpy())
-        values = col.flatten().to_numpy()
-        owner = np.repeat(np.arange(len(node)), lens)
-        values, owner = values[(order := np.argsort(values, kind="stable"))], owner[order]
-        count = np.zeros((len(node), len(node)), dtype=np.int16)
-        cuts = np.flatnonzero(np.diff(values)) + 1
-        for members in np.split(owner, cuts):
-            if len(members) > 1:
-                count[np.ix_(members, members)] += 1
-        small, big = np.minimum.outer(n, n), np.maximum.outer(n, n)
-        whole = np.maximum.outer(lens, lens) < sketch
-        need = np.where(whole, np.ceil(big * percent / 100), least)
-        ok = (count >= need) & (100 * small >= percent * big) & np.not_equal.outer(comp, comp) & np.less.outer(node, node)
-        if x != y:
-            ok &= np.not_equal.outer(own, own)
-        a, b = np.nonzero(ok)
-        return pa.table({"a": node[a], "b": node[b]})
-
-    return full.groupBy("v", "step", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+        held = rows.column("held").combine_chunks().flatten().to_numpy()
+        values, at = col.flatten().to_numpy(), col.offsets.to_numpy() - col.offsets.to_numpy()[0]
+        lens = np.diff(at)
+        keep = np.zeros(len(node), dtype=bool)
+        edges = np.flatnonzero((np.diff(unit) != 0) | (np.diff(v) != 0) | (np.diff(step) != 0)) + 1
+        for s, e in zip([0, *edges], [*edges, len(unit)]):
+            ok = _allowed(node[s:e], n[s:e], own[s:e], step[s], block[s:e], within[s:e], percent)
+            if not ok.any():
+                continue
+            m, vals, marks = e - s, values[at[s]:at[e]], held[at[s]:at[e]]
+            owner = np.repeat(np.arange(m), lens[s:e])
+            shared = _shared_counts(m, owner, vals)
+            whole = lens[s:e] < sketch
+            # Whole sets on both sides: the exact bound of the larger one.
+            bound = np.ceil(n[s:e] * percent / 100)
+            both = whole[:, None] & whole[None, :]
+            ok &= np.where(both, (shared >= bound[:, None]) & (shared >= bound[None, :]), shared >= least)
+            # Keys that are more common than this list's value.
+            mine = marks[vals == v[s]].max()
+            better = (marks > mine) | ((marks == mine) & (vals > v[s]))
+            if better.any():
+                ok &= _shared_counts(m, owner[better], vals[better]) == 0
+            keep[s:e] = ok.any(axis=1)
+        return rows.filter(keep).select(["unit", "v", "step", "within", "block", "node", "n", "own_step"])
+
+    return full.withColumn("call", F.pmod(F.xxhash64("unit"), F.lit(calls))).groupBy("call").applyInArrow(
+        compare, "unit long, v long, step int, within boolean, block int, node long, n long, own_step int")
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): the full shingle sets of ``nodes``."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    used = narrow.join(nodes.hint("shuffle_hash"), "node", "left_semi")
+
+    def sets(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        hasher = WordHasher()
+        for part in parts:
+            for at, texts in tokens.batches(part.column("text")):
+                found = [s.tobytes() for s in shingle_sets(texts, words, hasher)]
+                yield pa.RecordBatch.from_arrays([part.column("node").slice(at, len(texts)), pa.array(found, pa.binary())],
+                                                 names=["node", "hashes"])
+
+    return used.mapInArrow(sets, "node long, hashes binary")
+
+
+def _links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the exact links within each unit."""
+    calls = max(1, (members.agg(F.sum("n")).first()[0] or 0) // SHINGLES_PER_CALL)
+    full = members.join(_sets_of(docs, members.select("node").distinct(), words), "node")
+
+    def check(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = rows.sort_by([(c, "ascending") for c in ("unit", "v", "step", "node")]).combine_chunks()
+        unit, v, step, node, n, own, block = (rows.column(c).to_numpy() for c in (
+            "unit", "v", "step", "node", "n", "own_step", "block"))
+        within, raw = rows.column("within").to_numpy(), rows.column("hashes")
+        out = []
+        edges = np.flatnonzero((np.diff(unit) != 0) | (np.diff(v) != 0) | (np.diff(step) != 0)) + 1
+        for s, e in zip([0, *edges], [*edges, len(unit)]):
+            sets = [np.frombuffer(raw[i].as_buffer(), np.uint64) for i in range(s, e)]
+            sizes = np.array([len(x) for x in sets])
+            owner = np.repeat(np.arange(e - s), sizes)
+            same = _shared_counts(e - s, owner, np.concatenate(sets))
+            # 100 * same >= percent * (sum of sizes - same), in whole numbers.
+            linked = same.astype(np.float64) * (100 + percent) >= np.add.outer(percent * sizes, percent * sizes)
+            linked &= _allowed(node[s:e], n[s:e], own[s:e], step[s], block[s:e], within[s:e], percent)
+            # Rows that share a doc_id are one document.
+            linked |= np.equal.outer(node[s:e], node[s:e])
+            label = np.arange(e - s)
+            while True:
+                low = np.where(linked, label[None, :], e - s).min(axis=1)
+                low = np.minimum(low, low[low])
+                if (low == label).all():
+                    break
+                label = low
+            far = label != np.arange(e - s)
+            out.append((node[s:e][label[far]], node[s:e][far]))
+        a, b = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"a": a, "b": b})
+
+    return full.withColumn("call", F.pmod(F.xxhash64("unit"), F.lit(calls))).groupBy("call") \
+        .applyInArrow(check, "a long, b long").where("a <> b")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:
@@ -321,25 +427,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, sketch: int
     classes = cut(made.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class")
                   .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     keys = cut(_keys(classes, percent, sketch))
-    lists = _stepped(keys, percent)
-
-    # Members against the smallest of their list.
-    heads = lists.groupBy("v", "step").agg(F.min(F.struct("node", "n")).alias("head"))
-    pairs = lists.join(heads, ["v", "step"]).where(
-        (F.col("node") != F.col("head.node"))
-        & (100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n"))) \
-        .select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
-    first = cut(_verified(docs, cut(_estimated(pairs, classes, percent, sketch)), words, percent))
-    groups = components(first)
-
-    # Lists that still hold several components.
-    labelled = cut(keys.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    labelled = _stepped(labelled, percent)
-    mixed = labelled.groupBy("v", "step").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo < hi").select("v", "step")
-    rest = cut(labelled.join(mixed, ["v", "step"]))
-    second = _verified(docs, cut(_across(rest, classes, percent, sketch)), words, percent)
-    groups = components(first.union(second))
+    lists = cut(_lists(keys, percent))
+    members = cut(_open_members(lists, _marked(classes, keys), percent, sketch))
+    groups = components(_links(docs, members, words, percent))
 
     nodes = classes.select("class", "node")
     return made.join(nodes, "class", "left").join(groups, "node", "left") \
