@@ -7,13 +7,25 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, prepare
 
 # White space of the word rules: space and the ASCII control range 0x09-0x0D.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+# Batches handed to Python workers: long texts make the usual number of rows
+# too large.
+ARROW_BATCH = "8m"
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    """The session settings that the operators need."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read as Spark splits it."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
 from . import ann, chat, exact_dedup, langid, mixing, near_dedup, packing, secret_scan, token_files, token_output
-from .common import table
+from .common import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,8 +16,7 @@ ORACLE: dict[str, str] = {}
 def register(name: str, oracle: str | None = None):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare(spark)
-            return fn(spark, sf_dir)
+            return fn(settle(spark), sf_dir)
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[name] = run

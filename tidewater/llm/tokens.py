@@ -2,20 +2,20 @@
 
 The word tokenizer never merges across white space, so a text's ids are the
 ids of its white-space-separated units one after the other. Each Python
-worker keeps the ids of the units it has met in a bounded memo, and units it
-has not met are encoded together. ASCII letters are lower-cased before the
-lookup: the tokenizer's own normaliser does so too, and the memo gets fewer
-entries.
+worker keeps the ids of the units it has met in a bounded memo. ASCII letters
+are lower-cased before the look-up: the tokenizer's own normaliser does so
+too, and the memo gets fewer entries. A new unit of plain letters, digits and
+signs is cut where the tokenizer's own splitter cuts, and its parts go
+straight to the tokenizer's model; any other unit goes through the whole
+tokenizer.
 """
 
 from __future__ import annotations
 
-MEMO_UNITS = 800_000
-MEMO_PARTS = 500_000
-# Longer units are encoded by themselves and not remembered.
+MEMO_UNITS = 350_000
+MEMO_PARTS = 250_000
+# Longer units are not remembered.
 MEMO_UNIT_BYTES = 64
-# Stands between units encoded in one call; a unit that holds it goes alone.
-MARK = "\x02"
 
 
 def default_path() -> str:
@@ -25,6 +25,14 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level tokenizer names each byte: visible
+    Latin-1 characters stand for themselves, the others follow from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class UnitEncoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
@@ -38,88 +46,63 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path or default_path())
         # plain: the strings of special ids are ordinary text.
         self.tokenizer.encode_special_tokens = plain
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
-        # The memo below does better than the model's own, which locks.
-        self.tokenizer.model._resize_cache(0)
-        self.memo: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.model_ids = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        # Strings that the tokenizer takes as single ids before it lower-cases.
+        self.special = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Visible ASCII without the apostrophe (contractions), Latin-1 letters.
         self.plain_text = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
         self.parts_of = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
-        # Strings that the tokenizer takes as single ids before it lower-cases.
-        self.special = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _alone(self, unit: bytes) -> bytes:
-        import numpy as np
-
-        ids = self.tokenizer.encode(unit.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _together(self, units: list[str]) -> list[bytes]:
-        """Ids of short units without the mark, many to a call."""
-        import numpy as np
-
-        out = []
-        for i in range(0, len(units), 400 * 64):
-            part = units[i:i + 400 * 64]
-            groups = [part[j:j + 400] for j in range(0, len(part), 400)]
-            texts = [f" {MARK} ".join(g) for g in groups]
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                ids = np.array(e.ids, dtype="<u4")
-                ends = np.flatnonzero(ids == self.mark) * 4
-                raw = ids.tobytes()
-                starts = [0, *(ends + 4).tolist()]
-                out += [raw[s:t] for s, t in zip(starts, [*ends.tolist(), len(raw)])]
-        return out
-
-    def _learn(self, units: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new units. Those of plain letters, digits and signs are cut
-        where the tokenizer cuts, and their parts have a memo of their own:
-        words come with many different signs."""
-        out, short, cut = {}, [], []
-        for u in units:
-            if len(u) > MEMO_UNIT_BYTES or b"\x02" in u:
-                out[u] = self._alone(u)
-                continue
-            text = u.decode("utf-8", "replace")
-            if self.plain_text(text) and not (self.special and "<|" in text):
-                cut.append((u, self.parts_of(text.lower())))
-            else:
-                short.append((u, text))
-        for (u, _), raw in zip(short, self._together([t for _, t in short]), strict=True):
-            out[u] = raw
-        if len(self.parts) > MEMO_PARTS:
-            self.parts = {}
-        new = list({p for _, parts in cut for p in parts if p not in self.parts})
-        self.parts.update(zip(new, self._together(new), strict=True))
-        known = self.parts
-        for u, parts in cut:
-            out[u] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
-        return out
+        self.forget()
+
+    def forget(self) -> None:
+        learn = self._learn
+
+        class Memo(dict):
+            def __missing__(self, unit):
+                ids = learn(unit)
+                if len(unit) <= MEMO_UNIT_BYTES:
+                    self[unit] = ids
+                return ids
+
+        self.memo, self.parts = Memo(), {}
+
+    def _part(self, part: str) -> bytes:
+        from array import array
+
+        known = self.parts.get(part)
+        if known is None:
+            name = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            known = array("I", [t.id for t in self.model_ids(name)]).tobytes()
+            if len(part) <= MEMO_UNIT_BYTES:
+                self.parts[part] = known
+        return known
+
+    def _learn(self, unit: bytes) -> bytes:
+        from array import array
+
+        if unit.isalpha():
+            return self._part(unit.decode())
+        text = unit.decode("utf-8", "replace")
+        if self.plain_text(text) and not (self.special and "<|" in text):
+            return b"".join(map(self._part, self.parts_of(text.lower())))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: bytes | None) -> bytes:
+        """The ids of a UTF-8 text; NULL counts as empty."""
+        if not text:
+            return b""
+        if self.special and b"<|" in text:
+            # Lower-casing must neither make nor break a special string.
+            units = [u if b"<|" in u else u.lower() for u in text.split()]
+        else:
+            units = text.lower().split()
+        return b"".join(map(self.memo.__getitem__, units))
 
     def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each UTF-8 text; NULL counts as empty."""
-        split = []
-        for t in texts:
-            if not t:
-                split.append([])
-            elif self.special and b"<|" in t:
-                # Lower-casing must neither make nor break a special string.
-                split.append([u if b"<|" in u else u.lower() for u in t.split()])
-            else:
-                split.append(t.lower().split())
-        seen = set()
-        for units in split:
-            seen.update(units)
-        if len(self.memo) > MEMO_UNITS:
-            self.memo = {}
-        memo = self.memo
-        new = self._learn([u for u in seen if u not in memo])
-        once = {u: v for u, v in new.items() if len(u) > MEMO_UNIT_BYTES}
-        memo.update((u, v) for u, v in new.items() if u not in once)
-        if once:
-            return [b"".join([memo[u] if u in memo else once[u] for u in units]) for units in split]
-        return [b"".join(map(memo.__getitem__, units)) for units in split]
+        if len(self.memo) > MEMO_UNITS or len(self.parts) > MEMO_PARTS:
+            self.forget()
+        return list(map(self.encode, texts))
 
 
 def worker_encoder(path: str | None, plain: bool = False) -> UnitEncoder:
