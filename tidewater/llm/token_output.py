@@ -127,8 +127,9 @@ def materialise(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int
     counts = stage.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))
     total = stage.count()
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    # One row a scan task.
-    offsets = counts.select("task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("before"))
+    # One row a scan task. Written, its size is known to the planner, which
+    # broadcasts it if it is small; the staged ids are then not shuffled for it.
+    offsets = cut(counts.select("task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("before")))
 
     def place(parts: Iterator) -> Iterator:
         import pyarrow as pa
