@@ -32,6 +32,7 @@ class Settings:
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 16
     per_language: int = 1200
+    salts: int = 64
     excerpt: int = 512
     epochs: int = 4
     batch: int = 64
@@ -49,9 +50,13 @@ def training_sample(docs: DataFrame, s: Settings) -> list[tuple[str, bytes]]:
     chosen and placed by a hash of the id."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     order = F.xxhash64(F.col("doc_id"), F.lit(s.seed))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("_nth", nth).where(F.col("_nth") <= s.per_language) \
-        .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    salt = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(s.seed + 2)), F.lit(s.salts))
+    ids = known.select("doc_id", "lang", salt.alias("_salt"))
+    # In two levels: a frequent language's rows never meet in one task.
+    for level in (["lang", "_salt"], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*level).orderBy(order, "doc_id"))
+        ids = ids.withColumn("_nth", nth).where(F.col("_nth") <= s.per_language).drop("_nth")
+    ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     at = F.pmod(F.xxhash64(F.col("_id"), F.lit(s.seed + 1)), F.greatest(F.length("text") - s.excerpt + 1, F.lit(1)))
     # per_language rows a language at most: a proven bound for the broadcast.
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))) \
