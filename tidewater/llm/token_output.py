@@ -164,9 +164,10 @@ def materialise(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int
 
 
 def read_slots(spark: SparkSession, path: str, length: int = LENGTH, per_shard: int = PER_SHARD,
-               first: int = 0, stop: int | None = None) -> DataFrame:
+               first: int = 0, stop: int | None = None, summary: bool = False) -> DataFrame:
     """The records of slots ``first`` up to ``stop``: slot, shard,
-    byte_offset, ids. Only the shards that hold them are read."""
+    byte_offset, ids. Only the shards that hold them are read. ``summary``
+    gives ids_crc32 and n_ends (end ids) instead of the ids."""
     stride = 2 * (length + 1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path) \
         .where(F.col("shard") >= first // per_shard)
@@ -174,6 +175,9 @@ def read_slots(spark: SparkSession, path: str, length: int = LENGTH, per_shard:
         files = files.where(F.col("shard") <= (max(stop, 1) - 1) // per_shard)
 
     def run(parts: Iterator) -> Iterator:
+        import zlib
+
+        import numpy as np
         import pyarrow as pa
 
         for part in parts:
@@ -181,14 +185,19 @@ def read_slots(spark: SparkSession, path: str, length: int = LENGTH, per_shard:
                 raw = memoryview(part.column("content")[i].as_buffer())
                 for at in range(0, len(raw), stride * 512):
                     spots = range(at, min(at + stride * 512, len(raw)), stride)
+                    ids = [raw[s:s + 2 * length] for s in spots]
+                    if summary:
+                        last = [pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                                pa.array([int((np.frombuffer(x, "<u2") == END_ID).sum()) for x in ids], pa.int64())]
+                    else:
+                        last = [pa.array([bytes(x) for x in ids], pa.binary())]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([shard * per_shard + s // stride for s in spots], pa.int64()),
-                         pa.array([shard] * len(spots), pa.int64()), pa.array(list(spots), pa.int64()),
-                         pa.array([bytes(raw[s:s + 2 * length]) for s in spots], pa.binary())],
-                        names=["slot", "shard", "byte_offset", "ids"])
+                         pa.array([shard] * len(spots), pa.int64()), pa.array(list(spots), pa.int64()), *last],
+                        names=["slot", "shard", "byte_offset", *(["ids_crc32", "n_ends"] if summary else ["ids"])])
 
     rows = files.select(F.col("shard").cast("long").alias("shard"), "content") \
-        .mapInArrow(run, "slot long, shard long, byte_offset long, ids binary")
+        .mapInArrow(run, "slot long, shard long, byte_offset long, " + ("ids_crc32 long, n_ends long" if summary else "ids binary"))
     rows = rows.where(F.col("slot") >= first)
     return rows if stop is None else rows.where(F.col("slot") < stop)
 
@@ -204,19 +213,5 @@ def shard_digest(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHA
         return placed.select("slot", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("long").alias("byte_offset"),
                              F.lit(None).cast("long").alias("n_ends"), F.lit(None).cast("long").alias("ids_crc32"), "doc_id")
 
-    back = read_slots(docs.sparkSession, path, length, per_shard)
-    # The checksum is Spark's own; the ids do not leave the task.
-    sums = back.select("slot", "shard", "byte_offset", F.crc32("ids").alias("ids_crc32"), "ids")
-
-    def fold(parts: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for part in parts:
-            ends = [int((np.frombuffer(x, "<u2") == END_ID).sum()) for x in part.column("ids").to_pylist()]
-            names = ["slot", "shard", "byte_offset", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(ends, pa.int64())],
-                                             names=[*names, "n_ends"])
-
-    read = sums.mapInArrow(fold, "slot long, shard long, byte_offset long, ids_crc32 long, n_ends long")
+    read = read_slots(docs.sparkSession, path, length, per_shard, summary=True)
     return read.join(placed, "slot").select("slot", "shard", "byte_offset", "n_ends", "ids_crc32", "doc_id")

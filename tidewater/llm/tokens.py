@@ -12,8 +12,8 @@ tokenizer.
 
 from __future__ import annotations
 
-MEMO_UNITS = 350_000
-MEMO_PARTS = 250_000
+MEMO_UNITS = 250_000
+MEMO_PARTS = 180_000
 # Longer units are not remembered.
 MEMO_UNIT_BYTES = 64
 
