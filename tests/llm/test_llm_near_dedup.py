@@ -112,6 +112,41 @@ def test_graded_copies_chains_and_passages(spark, monkeypatch, block):
     agree(documents(spark, rows), rows, 4)
 
 
+def test_set_sizes_around_the_sketch(spark):
+    """Isolated pairs of which one or both fit the sketch, at and around the
+    threshold: passages of a text, and texts that differ on both sides."""
+    rng = random.Random(3)
+    rows = []
+
+    def words(n):
+        return ["w%d" % rng.randrange(10**12) for _ in range(n)]
+
+    for small in range(40, 56):
+        for large in range(small, 63):
+            if not 79 * large <= 100 * small <= 85 * large:
+                continue
+            for _ in range(4):
+                base = words(large + 3)
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:small + 3]))]
+            # One value of the smaller set is new.
+            base = words(large + 3)
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:small + 2] + words(1)))]
+    rng.shuffle(rows)
+    agree(documents(spark, [(i, t, None, None) for i, t in rows]), rows, 4)
+
+
+def test_bound_of_whole_sets_holds():
+    """Over all values' orders at the threshold, by the worst one."""
+    for sketch, percent in ((48, 80), (16, 50), (48, 90)):
+        least = near_dedup.least_shared(sketch, percent)
+        for n in range(1, sketch + 1):
+            need = near_dedup.least_of_whole(n, sketch, percent)
+            for m in range(n, n * 100 // percent + 1):
+                for same in range(1, n + 1):
+                    if 100 * same >= percent * (n + m - same):
+                        assert need <= max(least if m > sketch else 0, same - max(0, m - sketch))
+
+
 def test_odd_rows(spark):
     rows = mixed_bag()
     agree(documents(spark, rows), rows, 4)

@@ -9,8 +9,9 @@ Losing no link. A pair at or above the threshold shares at least ``least``
 retained values, except with probability ``MISS``; so it also shares one of
 the (retained - least + 1) values that the fewest sketches hold. Only those
 are list keys: a passage that many documents share keys few of them. Where
-the sketch is the whole set the bound is exact. A list is split by size
-steps; documents of similar size meet in one of them.
+the sketch is the whole set the bound is exact, less what a partner beyond the
+sketch may have dropped. A list is split by size steps; documents of similar
+size meet in one of them.
 
 No list is expanded into all its pairs. Lists with the same members are one.
 A list of many members is dealt into blocks, and each pair of blocks is a unit
@@ -165,6 +166,19 @@ def least_shared(sketch: int, percent: int, miss: float = MISS) -> int:
     return sketch
 
 
+def least_of_whole(n: int, sketch: int, percent: int) -> int:
+    """Retained values that a set of ``n`` <= ``sketch`` values shares at
+    least with a partner at the threshold. A partner that fits the sketch too
+    shares all of the overlap. A larger one drops so many values as it has
+    beyond the sketch, the whole overlap's at worst; ``least_shared`` holds
+    for it as well."""
+    need, least = -(-n * percent // 100), least_shared(sketch, percent)
+    for m in range(sketch + 1, n * 100 // percent + 1):
+        overlap = -(-(n + m) * percent // (100 + percent))
+        need = min(need, max(least, overlap - (m - sketch)))
+    return need
+
+
 def _sketches(docs: DataFrame, words: int, sketch: int) -> DataFrame:
     def run(parts: Iterator) -> Iterator:
         import hashlib
@@ -199,8 +213,9 @@ def _keys(classes: DataFrame, percent: int, sketch: int) -> DataFrame:
     shared = values.join(common, "v")
     mine = Window.partitionBy("node")
     retained = F.least(F.col("n"), F.lit(sketch))
-    # Whole sets in the sketch: the exact overlap bound.
-    need = F.when(F.col("n") <= sketch, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(least))
+    # Whole sets in the sketch: by their size.
+    whole = F.array(*[F.lit(least_of_whole(n, sketch, percent)) for n in range(1, sketch + 1)])
+    need = F.when(F.col("n") <= sketch, F.try_element_at(whole, retained.cast("int"))).otherwise(F.lit(least))
     nth = F.row_number().over(mine.orderBy("held", "v")) + retained - F.count(F.lit(1)).over(mine)
     return shared.withColumn("nth", nth).where(F.col("nth") <= retained - need + 1).select("v", "pos", "held", "node", "n")
 
