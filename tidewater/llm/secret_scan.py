@@ -5,7 +5,11 @@ key characters in a sensitive context is a candidate: its novelty is the
 number of bytes that it adds to the zstandard frame of the text around it,
 with a compressor primed with a dictionary of common identifiers. Words,
 paths and names repeat what surrounds them or what the dictionary holds and
-add few bytes; random keys add nearly their own length and are reported.
+add few bytes; random keys add nearly their own length and are reported,
+letter-only ones too. The context is sensitive if one of its words stands in
+the candidate or shortly before it, on this line or an earlier one, or in the
+header of the PEM block around it (one without an end line reaches to the next
+header or the end of the text).
 
 All work is one pass over the texts inside the scan tasks; nothing is
 shuffled.
@@ -36,6 +40,9 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 RUN = r"[A-Za-z0-9+/_=.~-]{16,}"
 SENSITIVE = r"passw|pwd|secret|token|key|auth|bearer|credential|private|session|signature|license|login|cookie"
 
+# The lines that open and close a PEM block.
+PEM = r"-----(BEGIN|END)([^\n-]{0,64})-----"
+
 IDENTIFIERS = """
 account action address admin alias append apply argument array assert async await backend base64 batch boolean
 bucket buffer build bytes cache callback cancel catch channel class client close cluster code column commit compile
@@ -56,7 +63,7 @@ script search secret select sequence serialize server service session
 @dataclass(frozen=True)
 class Novelty:
     """How much text around a candidate primes the compressor, how far before
-    it (on its line) a sensitive word may stand, and the least share of its
+    it a sensitive word may stand, and the least share of its
     own length that a reported string adds to the frame."""
 
     around: int = 1024
@@ -74,6 +81,7 @@ class Scanner:
         self.assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
         self.access, self.hex, self.run = re.compile(ACCESS), re.compile(HEX), re.compile(RUN)
         self.sensitive = re.compile(SENSITIVE, re.IGNORECASE | re.ASCII)
+        self.pem = re.compile(PEM)
         words = " ".join(IDENTIFIERS).encode()
         primer = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.frame = zstandard.ZstdCompressor(level=6, dict_data=primer, write_content_size=False, write_dict_id=False)
@@ -86,6 +94,14 @@ class Scanner:
         more = len(self.frame.compress(side + b"\n" + cand.encode())) - len(self.frame.compress(side + b"\n"))
         return more / max(1, end - start)
 
+    def blocks(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the bodies of PEM blocks with a sensitive header."""
+        if "-----BEGIN" not in text:
+            return []
+        marks = [(m.start(), m.end(), m[1] == "BEGIN" and self.sensitive.search(m[2])) for m in self.pem.finditer(text)]
+        stops = [start for start, _, _ in marks[1:]] + [len(text)]
+        return [(end, stop) for (_, end, opens), stop in zip(marks, stops) if opens]
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of all spans of a text, in order."""
         out = []
@@ -95,12 +111,14 @@ class Scanner:
         for s, e in runs:
             out += [(m.start(), 1, m.end()) for m in self.access.finditer(text, s, e) if m.end() - m.start() >= LEAST["access"]]
             out += [(m.start(), 2, m.end()) for m in self.hex.finditer(text, s, e) if m.end() - m.start() >= LEAST["hex"]]
-        base = sorted(out)
+        base, blocks, at = sorted(out), self.blocks(text), 0
         for s, e in runs:
-            if not any(c.isdigit() for c in text[s:e]) or any(a < e and s < b for a, _, b in base):
+            if any(a < e and s < b for a, _, b in base):
                 continue
-            line = text.rfind("\n", 0, s) + 1
-            if self.sensitive.search(text, max(line, s - self.novelty.reach), e) and self.marginal(text, s, e) >= self.novelty.least:
+            while at < len(blocks) and blocks[at][1] <= s:
+                at += 1
+            inside = at < len(blocks) and blocks[at][0] < e
+            if (inside or self.sensitive.search(text, max(0, s - self.novelty.reach), e)) and self.marginal(text, s, e) >= self.novelty.least:
                 out.append((s, 3, e))
         return sorted(out)
 
