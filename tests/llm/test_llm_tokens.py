@@ -86,6 +86,23 @@ def test_shards_hold_all_ids_in_slot_order(spark, ids_of):
     assert all(bytes(r.ids) == bytes(back[r.slot].ids) for r in some)
 
 
+def test_slot_order_survives_spills(spark, ids_of):
+    rows = rows_with_marks()
+    path = tempfile.mkdtemp(prefix="tw-shards-") + "/out"
+    df = documents(spark, rows).coalesce(1)
+    conf = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().conf()
+    name = "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(name, "20")
+    try:
+        n = token_output.materialise(df, path, length=32, per_shard=300).count()
+    finally:
+        conf.remove(name)
+    back = {r.slot: r.ids for r in token_output.read_slots(spark, path, 32, 300).collect()}
+    flat = np.frombuffer(b"".join(back[s] for s in token_output.Feistel(n)(np.arange(n))), "<u2").tolist()
+    want = [t for r in df.collect() for t in [*ids_of(r.text), token_files.END_ID]]
+    assert n > 900 and flat[:len(want)] == want
+
+
 def test_digest(spark, ids_of):
     rows = rows_with_marks()
     out = token_output.shard_digest(documents(spark, rows).repartition(3), length=64, per_shard=7).collect()

@@ -149,16 +149,19 @@ def materialise(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int
             for at in range(0, part.num_rows, 1024):
                 some = part.slice(at, 1024)
                 ids = [grow(x) for x in some.column("packed").to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column("shard"), pa.array(ids, pa.binary())], names=["shard", "ids"])
+                yield pa.RecordBatch.from_arrays([some.column("shard"), some.column("slot"), pa.array(ids, pa.binary())],
+                                                 names=["shard", "slot", "ids"])
 
     numbered = stage.join(offsets, "task").withColumn("number", F.col("before") + F.col("nth"))
     if total:
         shards = -(-total // per_shard)
         slotted = numbered.select("packed", "number").mapInArrow(place, "packed binary, slot long") \
             .withColumn("shard", F.expr(f"slot div {per_shard}"))
-        # Whole shards to a task, in slot order.
-        dealt = slotted.repartition(min(shards, 10_000), "shard").sortWithinPartitions("shard", "slot")
-        dealt.select("shard", "packed").mapInArrow(unpack, "shard long, ids binary") \
+        # Whole shards to a task. Sorted right before the write: the writer
+        # takes this order, and adds no sort by shard alone, whose spills would
+        # lose the order of slots.
+        dealt = slotted.repartition(min(shards, 10_000), "shard").select("shard", "slot", "packed")
+        dealt.mapInArrow(unpack, "shard long, slot long, ids binary").sortWithinPartitions("shard", "slot") \
             .select(F.col("ids").cast("string"), "shard").write.partitionBy("shard").options(**separator()).text(path)
     return numbered.select("doc_id", "number").mapInArrow(place, "doc_id long, slot long")
 
