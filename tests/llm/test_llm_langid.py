@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -72,3 +73,26 @@ def test_stage_keeps_rows_with_a_language(spark):
     assert out.columns == df.columns
     want = [r[0] for r in rows if r[1] and any(c.isalpha() for c in r[1])]
     assert sorted(map(str, (r.doc_id for r in out.collect()))) == sorted(map(str, want))
+
+
+def test_stage_without_labelled_rows_keeps_texts(spark):
+    rows = [(r[0], r[1], None, r[3]) for r in mixed_bag()]
+    want = [r[0] for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    assert sorted(map(str, (r.doc_id for r in langid.keep_known(documents(spark, rows)).collect()))) == sorted(map(str, want))
+
+
+def test_stage_rejects_by_the_network(spark):
+    rng = random.Random(5)
+    kinds = {"aa": "nalo temi rusa kopi dela vomi".split(), "bb": "schrund pfech zwyk thrax bluft gnorr".split()}
+
+    def text(words, n=60):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    clean = [(i, text(kinds["aa" if i % 2 else "bb"]), "aa" if i % 2 else "bb", "s") for i in range(1500)]
+    strange = [(2000 + i, "的一是不了人我在有他 " * (20 + i), None, "s") for i in range(20)]
+    strange += [(2100 + i, text(kinds["aa"]) + " " + text(kinds["bb"]), None, "s") for i in range(20)]
+    assert sum(held(i) for i, *_ in clean) >= langid.Settings().least_rows
+    kept = {r.doc_id for r in langid.keep_known(documents(spark, clean + strange)).collect()}
+    assert {i for i, *_ in clean if held(i)} <= kept
+    assert sum(i in kept for i, *_ in clean) >= 0.99 * len(clean)
+    assert not kept & {i for i, *_ in strange}

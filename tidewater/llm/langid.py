@@ -8,6 +8,12 @@ labelled rows (``Settings.per_language`` documents a language, one excerpt of
 text inside the scan tasks: a document's log-probabilities are the mean over
 its windows, weighted by their bytes. Nothing is shuffled for it.
 
+The corpus stage drops texts without a letter, and texts that the network is
+less sure of than of any held-out labelled document in a bounded sample: a
+clean document falls below that score once in (sample size + 1) times. Below
+``Settings.least_rows`` such documents this bound says little, and the score
+drops nothing; nor does it where there is no labelled row to learn from.
+
 Defined results: NULL texts and texts without a letter are ``und`` with score
 0; so is every text when no labelled row exists. A NULL doc_id is neither held
 out nor learned from. Repeated rows are predicted one by one; ties go to the
@@ -38,6 +44,8 @@ class Settings:
     batch: int = 64
     rate: float = 0.01
     seed: int = 7
+    calibrate: int = 4096
+    least_rows: int = 300
 
 
 def held_out(doc_id: Column) -> Column:
@@ -254,8 +262,26 @@ def predict_languages(docs: DataFrame, settings: Settings = Settings()) -> DataF
                         F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.0, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` without the documents whose language is unknown or whose
-    score is below ``least_score``; all columns stay."""
-    found = classify(docs, fit(docs, settings), docs.columns)
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least_score)).drop("_lang", "_score")
+def lowest_score(docs: DataFrame, model: dict) -> float:
+    """The lowest score of the held-out documents with a learned label, over
+    about ``Settings.calibrate`` of them chosen by a hash of the id; 0 where
+    fewer than ``Settings.least_rows`` are there."""
+    s = model["settings"]
+    known = held_out(F.col("doc_id")) & F.col("lang").isin(model["languages"])
+    there = docs.where(known).count()
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(s.seed + 3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, s.calibrate / max(1, there)))
+    seen = classify(docs.where(known & part), model, ["doc_id"]).where(F.col("_lang") != UNKNOWN) \
+        .agg(F.count_distinct("doc_id").alias("n"), F.min("_score").alias("low")).first()
+    # Sums in another order may differ by this much.
+    return max(0.0, seen["low"] - 1e-4) if seen["n"] >= s.least_rows else 0.0
+
+
+def keep_known(docs: DataFrame, least_score: float | None = None, settings: Settings = Settings()) -> DataFrame:
+    """``docs`` without the documents that have no letter or whose score is
+    below ``least_score`` (``lowest_score`` if not given); all columns stay."""
+    model = fit(docs, settings)
+    if not model["languages"]:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    least = lowest_score(docs, model) if least_score is None else least_score
+    found = classify(docs, model, docs.columns)
+    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score")
