@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, exact_dedup, langid, mixing, near_dedup, packing, secret_scan, token_files, token_output
+from . import (ann, bpe, chat, chat_repair, exact_dedup, langid, merkle, mixing, near_dedup, oracles, packing, secret_scan,
+               token_files, token_output)
 from .common import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +112,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth vector."""
     return ann.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
+@register("op11_structure_repair", oracles.REPAIR)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and then repaired at least cost."""
+    return chat_repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+@register("op12_byte_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and the texts they decode to, as digests."""
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
+@register("op13_merkle_manifest", oracles.MERKLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents, held against an altered copy."""
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
