@@ -1,21 +1,16 @@
 """Ordered folds: size-bounded batch packing, trigger batching, quotas.
 
-These operators are sequential by definition (each decision depends on
-the running state of the current batch), so they are the one place where
-Python runs over rows. The shape is fixed:
-
-1. a *narrow* projection (keys, order columns, sizes) — payloads never
-   enter Python;
-2. ``repartition(keys)`` + ``sortWithinPartitions(keys, order)``: Spark's
-   external sort, spilling as needed, keeps each key contiguous;
-3. ``mapInArrow``: streams Arrow batches with O(1) state per key. Batch
-   boundaries are found with prefix sums and ``searchsorted`` — one numpy
-   call per *output batch*, not one Python step per input row;
-4. the assignment (keys, order, batch_no) is joined back to the payload
-   table when the payload is needed (``SNK-03``).
-
-A key's fold runs in one task (the order dependency cannot be split
-exactly); it streams, so a hot key costs time in that task, never memory.
+Each decision depends on the rows before it, so these are the one place where
+Python runs over rows, in numpy and on a *narrow* projection (keys, order
+columns, sizes); payloads never enter Python. Size and trigger packing run
+through ``split_fold``, which spreads a hot key over tasks exactly: a closed
+batch leaves nothing behind. The assignment (keys, order, batch_no) is joined
+back to the payload table when the payload is needed (``SNK-03``).
+
+Quotas have no such reset. Everything a tenant writes before its quota first
+overflows is admitted by running sums, and what does not fit the room left
+then never will; only the writes that might still fit are folded one after
+the other (``ordered_fold``: one task a tenant, in constant memory).
 """
 
 from __future__ import annotations
@@ -29,24 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import LINE_BASED_HINTS
+from ..plans.prefix import exclusive_running_sum
+from .split_fold import SizeRule, TriggerRule, key_starts, split_fold
 
 # Default batch limit and the assumed compression ratio.
 DEFAULT_MAX_BATCH_BYTES = 9 * 1024 * 1024
 COMPRESSION_RATIO = 5
 
 
-def _key_runs(cols: list[np.ndarray]) -> np.ndarray:
-    """Start indices of runs of equal keys in a sorted batch."""
-    n = len(cols[0])
-    if n == 0:
-        return np.zeros(0, dtype=np.int64)
-    change = np.zeros(n, dtype=bool)
-    change[0] = True
-    for c in cols:
-        change[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(change)
-
-
 def ordered_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -57,8 +42,8 @@ def ordered_fold(
     out_fields: Sequence[T.StructField],
     keep_values: bool = False,
 ) -> DataFrame:
-    """Run ``step`` over each key's rows in order; returns keys, order and
-    the step's output columns.
+    """Run ``step`` over each key's rows in order, a key in one task; returns
+    keys, order and the step's output columns.
 
     ``step(state, arrays) -> (state, outputs)`` is called with the arrays
     of one contiguous run of a key (a key can span several Arrow batches;
@@ -78,12 +63,11 @@ def ordered_fold(
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            kcols = [rb.column(k).to_numpy(zero_copy_only=False) for k in keys]
             vals = {c: rb.column(c).to_numpy(zero_copy_only=False) for c in values}
-            starts = list(_key_runs(kcols)) + [rb.num_rows]
+            starts = [*key_starts(rb, keys), rb.num_rows]
             outs: dict[str, list[np.ndarray]] = {f.name: [] for f in out_fields}
             for a, b in zip(starts[:-1], starts[1:]):
-                k = tuple(c[a] for c in kcols)
+                k = tuple(rb.column(c)[a].as_py() for c in keys)
                 if k != cur_key:
                     cur_key, state = k, init()
                 state, o = step(state, {c: v[a:b] for c, v in vals.items()})
@@ -110,37 +94,6 @@ def _arrow_type(t: T.DataType) -> pa.DataType:
 # --- PAK-01: greedy size packing -------------------------------------------------
 
 
-def _size_step(limit: int):
-    """Close before item i when acc > 0 and (acc + len_i) // ratio > limit,
-    i.e. acc + len_i > ratio * limit + ratio - 1. ``w`` (len plus an added
-    newline) is what accumulates."""
-    thresh = COMPRESSION_RATIO * limit + COMPRESSION_RATIO - 1
-
-    def step(state, v):
-        acc, bn = state
-        ln, w = v["len"].astype(np.int64), v["w"].astype(np.int64)
-        n = len(ln)
-        c = np.concatenate(([0], np.cumsum(w)))
-        d = c[:-1] + ln  # non-decreasing because w >= len
-        out = np.empty(n, dtype=np.int64)
-        p, a = 0, acc
-        while p < n:
-            i_size = int(np.searchsorted(d, thresh + c[p] - a, side="right"))
-            i_pos = int(np.searchsorted(c[:-1], c[p] - a, side="right"))
-            i = max(i_size, i_pos, p)
-            if i >= n:
-                out[p:] = bn
-                a = a + int(c[n] - c[p])
-                p = n
-            else:
-                out[p:i] = bn
-                bn += 1
-                p, a = i, 0
-        return (a, bn), {"batch_no": out}
-
-    return step
-
-
 def pack_by_size(
     raw: DataFrame,
     keys: Sequence[str] = ("tenant_id", "dataset_id", "data_hint"),
@@ -172,49 +125,12 @@ def pack_by_size(
     d = raw.withColumn("len", F.col(size).cast("long")).withColumn(
         "w", F.col(size).cast("long") + F.when(add_nl, 1).otherwise(0))
     fold_keys = list(keys) + ([sub_key] if sub_key else [])
-    return ordered_fold(d, fold_keys, order, ["len", "w"], _size_step(limit), lambda: (0, 0),
-                        [T.StructField("batch_no", T.LongType())], keep_values=keep_sizes)
+    rule = SizeRule(COMPRESSION_RATIO * limit + COMPRESSION_RATIO - 1)
+    return split_fold(d, fold_keys, order, ["len", "w"], rule, keep_values=keep_sizes)
 
 
 # --- PAK-02: trigger packing ------------------------------------------------------
 
-def _trigger_step(max_lines: int, max_bytes: int, timeout_us: int):
-    """Batches split at idle gaps (static) and, inside a gap-free run, after
-    the row where the count or byte trigger fires (found by searchsorted)."""
-
-    def step(state, v):
-        cnt, byt, last_ts, bn = state
-        ts, ln = v["ts_us"].astype(np.int64), v["len"].astype(np.int64)
-        n = len(ts)
-        bno = np.empty(n, dtype=np.int64)
-        trig = np.zeros(n, dtype=np.int64)
-        c = np.concatenate(([0], np.cumsum(ln)))
-        if timeout_us > 0:
-            gaps = np.flatnonzero(np.diff(ts) > timeout_us) + 1
-            if cnt > 0 and ts[0] - last_ts > timeout_us:
-                bn, cnt, byt = bn + 1, 0, 0
-        else:
-            gaps = np.zeros(0, dtype=np.int64)
-        bounds = [0, *gaps.tolist(), n]
-        for s, e in zip(bounds[:-1], bounds[1:]):
-            if s > 0 and cnt > 0:
-                bn, cnt, byt = bn + 1, 0, 0
-            p = s
-            while p < e:
-                i_lines = p + (max_lines - cnt) - 1 if max_lines > 0 else n
-                i_bytes = int(np.searchsorted(c[1:], max_bytes - byt + c[p], side="left")) if max_bytes > 0 else n
-                i = min(i_lines, i_bytes)
-                if i < e:
-                    bno[p:i + 1] = bn
-                    trig[i] = 1 if i == i_lines else 2
-                    bn, cnt, byt, p = bn + 1, 0, 0, i + 1
-                else:
-                    bno[p:e] = bn
-                    cnt, byt, p = cnt + (e - p), byt + int(c[e] - c[p]), e
-        return (cnt, byt, int(ts[-1]), bn), {"batch_no": bno, "close": trig}
-
-    return step
-
 
 def pack_by_triggers(
     messages: DataFrame,
@@ -237,11 +153,8 @@ def pack_by_triggers(
     """
     d = messages.withColumn("ts_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
         "len", F.col(size).cast("long"))
-    timeout_us = int(timeout_s) * 1_000_000
-    rows = ordered_fold(d, keys, order, ["ts_us", "len"], _trigger_step(max_lines, max_bytes, timeout_us),
-                        lambda: (0, 0, 0, 0),
-                        [T.StructField("batch_no", T.LongType()), T.StructField("close", T.LongType())],
-                        keep_values=True)
+    rule = TriggerRule(max_lines, max_bytes, int(timeout_s) * 1_000_000)
+    rows = split_fold(d, keys, order, ["ts_us", "len"], rule, keep_values=True)
     ts_type = messages.schema[ts].dataType.simpleString()
     per = rows.groupBy(*keys, "batch_no").agg(
         F.count(F.lit(1)).alias("messages"), F.sum("len").cast("long").alias("bytes"),
@@ -263,41 +176,41 @@ def pack_by_triggers(
 
 
 def _quota_step(cap: int):
+    """Rows that may still fit, from the bytes admitted before the first."""
+
     def step(state, v):
-        used = state
         sz, base = v["size"].astype(np.int64), v["current"].astype(np.int64)
+        used = int(v["used"][0]) if state is None else state
         n = len(sz)
         ok = np.zeros(n, dtype=bool)
         c = np.concatenate(([0], np.cumsum(sz)))
-        # Smallest size from each row on: below it nothing fits any more.
-        least = np.minimum.accumulate(sz[::-1])[::-1]
+        need = base + sz
+        # Least need from each row on: with less room nothing fits any more.
+        least = np.minimum.accumulate(need[::-1])[::-1]
 
         def next_fit(p: int, room: int) -> int:
             """The first row from p on that fits the room, in growing looks."""
             look = 64
             while p < n and least[p] <= room:
-                hit = np.flatnonzero(sz[p:p + look] <= room)
+                hit = np.flatnonzero(need[p:p + look] <= room)
                 if len(hit):
                     return p + int(hit[0])
                 p, look = p + look, look * 2
             return n
 
+        # need + bytes admitted in a row of admissions, for a searchsorted
+        # when all rows start from the same size.
+        flat = bool((base == base[0]).all())
         p = 0
         while p < n:
-            p = next_fit(p, cap - int(base[p]) - used)
+            p = next_fit(p, cap - used)
             if p >= n:
                 break
-            # first i >= p where base + used + (c[i+1] - c[p]) > cap
-            room = cap - int(base[p]) - used
-            i = int(np.searchsorted(c[1:], room + c[p], side="right"))
-            i = max(i, p)
-            if i >= n:
-                ok[p:] = True
-                used += int(c[n] - c[p])
-                break
+            i = int(np.searchsorted(c[1:], cap - used - int(base[p]) + c[p], side="right")) if flat else p + 1
+            i = max(i, p + 1)
             ok[p:i] = True
             used += int(c[i] - c[p])
-            p = i + 1  # item i rejected; admitted bytes do not grow
+            p = i
         return used, {"admitted": ok}
 
     return step
@@ -316,6 +229,24 @@ def quota_admission(
     ``current`` is the size already on disk for the key (after cleanup);
     only admitted writes accumulate. Returns keys, order and ``admitted``.
     """
-    d = writes.withColumn("size", F.col(size).cast("long")).withColumn("current", F.col(current).cast("long"))
-    return ordered_fold(d, keys, order, ["size", "current"], _quota_step(int(max_bytes)), lambda: 0,
-                        [T.StructField("admitted", T.BooleanType())])
+    keys, order, cap = list(keys), list(order), int(max_bytes)
+    d = writes.select(*keys, *order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"),
+                      F.coalesce(F.col(current).cast("long"), F.lit(0)).alias("current"))
+    alone = F.col("current") + F.col("size") <= cap
+    # Writes above the cap by themselves are out, and take nothing.
+    offered = exclusive_running_sum(d.withColumn("_take", F.when(alone, F.col("size")).otherwise(0)), "_take", keys, order, "used") \
+        .drop("_take")
+    over = alone & (F.col("current") + F.col("used") + F.col("size") > cap)
+    at = F.struct(*order)
+    firsts = offered.where(over).groupBy(*keys).agg(F.min(F.struct(at.alias("at"), "used")).alias("_over"))
+    firsts = firsts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_over")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    told = offered.join(firsts, same, "left").drop(*[f"_k{i}" for i in range(len(keys))]) \
+        .withColumn("_late", F.coalesce(at > F.col("_over.at"), F.lit(False))) \
+        .withColumn("_may", F.col("_late") & (F.col("current") + F.col("_over.used") + F.col("size") <= cap))
+    early = told.where(~F.col("_may")).select(*keys, *order, (alone & ~over & ~F.col("_late")).alias("admitted"))
+    late = ordered_fold(told.where("_may").withColumn("used", F.col("_over.used")), keys, order, ["size", "current", "used"],
+                        _quota_step(cap), lambda: None, [T.StructField("admitted", T.BooleanType())])
+    return early.unionByName(late)
