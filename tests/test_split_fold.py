@@ -24,11 +24,11 @@ RULES = [
     (SizeRule(100), lambda rng, t: (s := rng.choice([0, 1, 7, 30, 99, 100, 101, 250]), s + rng.choice([0, 1]))),
     (SizeRule(100), lambda rng, t: (25, 25)),
     (SizeRule(5), lambda rng, t: (0, 0)),
-    (TriggerRule(5, 0, 0), lambda rng, t: (t, 3)),
-    (TriggerRule(0, 40, 0), lambda rng, t: (t, rng.choice([0, 1, 10, 41]))),
-    (TriggerRule(0, 0, 5), lambda rng, t: (t, 1)),
-    (TriggerRule(6, 60, 5), lambda rng, t: (t, rng.choice([0, 1, 10, 41]))),
-    (TriggerRule(1, 0, 5), lambda rng, t: (t, 1)),
+    (TriggerRule(5, 0, 0), lambda rng, t: (t, 3, 1)),
+    (TriggerRule(0, 40, 0), lambda rng, t: (t, rng.choice([0, 1, 10, 41]), 1)),
+    (TriggerRule(0, 0, 5), lambda rng, t: (t, 1, 1)),
+    (TriggerRule(6, 60, 5), lambda rng, t: (t, rng.choice([0, 1, 10, 41]), rng.choice([1, 1, 2, 7]))),
+    (TriggerRule(1, 0, 5), lambda rng, t: (t, 1, 1)),
 ]
 
 

@@ -151,25 +151,51 @@ def pack_by_triggers(
     flushed (``service_shutdown``). Zero disables a trigger. Returns one row
     per batch: keys, batch_no, messages, bytes, first/last ts, trigger.
     """
-    d = messages.withColumn("ts_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "len", F.col(size).cast("long"))
-    rule = TriggerRule(max_lines, max_bytes, int(timeout_s) * 1_000_000)
-    rows = split_fold(d, keys, order, ["ts_us", "len"], rule, keep_values=True)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    d = messages.select(*keys, *order, us.alias("ts_us"), us.alias("first_us"), F.col(size).cast("long").alias("len"),
+                        F.lit(1).cast("long").alias("lines"))
+    per = batches_of(d, keys, order, TriggerRule(max_lines, max_bytes, int(timeout_s) * 1_000_000))
     ts_type = messages.schema[ts].dataType.simpleString()
-    per = rows.groupBy(*keys, "batch_no").agg(
-        F.count(F.lit(1)).alias("messages"), F.sum("len").cast("long").alias("bytes"),
-        F.min("ts_us").alias("_f"), F.max("ts_us").alias("_l"), F.max("close").alias("close")) \
-        .withColumn("first_ts", F.timestamp_micros("_f").cast(ts_type)) \
-        .withColumn("last_ts", F.timestamp_micros("_l").cast(ts_type)).drop("_f", "_l")
-    # A batch not closed by count/bytes was closed by the idle gap before the
-    # next batch of its key, or is the last open batch (flushed at shutdown).
-    nxt = per.select(*keys, (F.col("batch_no") - 1).alias("batch_no"), F.lit(True).alias("has_next"))
-    per = per.join(nxt, list(keys) + ["batch_no"], "left")
-    trig = (F.when(F.col("close") == 1, F.lit("line_limit_reached"))
-            .when(F.col("close") == 2, F.lit("size_limit_reached"))
-            .when(F.col("has_next"), F.lit("timeout"))
-            .otherwise(F.lit("service_shutdown")))
-    return per.select(*keys, "batch_no", "messages", "bytes", "first_ts", "last_ts", trig.alias("trigger_reason"))
+    return per.select(*keys, "batch_no", "messages", "bytes",
+                      F.timestamp_micros("first_us").cast(ts_type).alias("first_ts"),
+                      F.timestamp_micros("last_us").cast(ts_type).alias("last_ts"),
+                      F.coalesce("trigger_reason", F.lit("service_shutdown")).alias("trigger_reason"))
+
+
+def batches_of(rows: DataFrame, keys: Sequence[str], order: Sequence[str], rule: TriggerRule) -> DataFrame:
+    """One row per batch of ``rows`` (keys, order, ts_us, first_us, len,
+    lines): keys, batch_no, messages, bytes, first_us, last_us and
+    trigger_reason, NULL for the batch of each key that is still open."""
+    told = split_fold(rows, keys, order, ["ts_us", "len", "lines", "first_us"], _Narrow(rule), keep_values=True)
+    per = told.groupBy(*keys, "batch_no").agg(
+        F.sum("lines").cast("long").alias("messages"), F.sum("len").cast("long").alias("bytes"),
+        F.min("first_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.max("close").alias("close"))
+    # A batch not closed by count or bytes was closed by the idle gap before
+    # the next batch of its key, or is the last and open.
+    on = F.col("batch_no") == F.col("_no")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    nxt = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("batch_no") - 1).alias("_no"),
+                     F.lit(True).alias("has_next"))
+    reason = (F.when(F.col("close") == 1, F.lit("line_limit_reached"))
+              .when(F.col("close") == 2, F.lit("size_limit_reached"))
+              .when(F.col("has_next"), F.lit("timeout")))
+    return per.join(nxt, on, "left").select(*keys, "batch_no", "messages", "bytes", "first_us", "last_us",
+                                            reason.alias("trigger_reason"))
+
+
+class _Narrow:
+    """A trigger rule that takes the first time along without reading it."""
+
+    def __init__(self, rule: TriggerRule):
+        self.rule, self.outputs, self.fresh = rule, rule.outputs, rule.fresh
+        self.unknown, self.after = rule.unknown, rule.after
+
+    def step(self, state, ts, ln, lines, first):
+        return self.rule.step(state, ts, ln, lines)
+
+    def feed(self, known, ts, ln, lines, first):
+        return self.rule.feed(known, ts, ln, lines)
 
 
 # --- PAK-03: quota admission ------------------------------------------------------

@@ -130,28 +130,35 @@ class SizeRule:
 
 
 class TriggerRule:
-    """Close after a row when the batch has ``max_lines`` rows or
+    """Close after a row when the batch has ``max_lines`` lines or
     ``max_bytes`` bytes, and before a row that comes more than ``gap``
-    microseconds after the last; 0 disables. Values: ts_us, len.
+    microseconds after the last; 0 disables. Values: ts_us, len, lines (of
+    the row; at least one).
 
-    State: (rows, bytes, time of the last row, batch number)."""
+    State: (lines, bytes, time of the last row, batch number)."""
 
     outputs = (T.StructField("batch_no", T.LongType()), T.StructField("close", T.LongType()))
     fresh = (0, 0, 0, 0)
 
     def __init__(self, max_lines: int, max_bytes: int, gap: int):
-        self.max_lines, self.max_bytes, self.gap = max_lines, max_bytes, gap
+        self.limits, self.gap = (max_lines, max_bytes), gap
 
     def _parts(self, ts) -> list[tuple[int, int]]:
         gaps = (np.flatnonzero(np.diff(ts) > self.gap) + 1).tolist() if self.gap > 0 else []
         return list(zip([0, *gaps], [*gaps, len(ts)]))
 
-    def step(self, state, ts, ln):
+    def _closing(self, sums, p, held) -> list:
+        """Per limit the first row whose lines (bytes) reach it, for batches
+        that hold ``held`` before row ``p``; FAR without a limit."""
+        return [np.searchsorted(c[1:], limit - h + c[p], side="left") if limit > 0 else np.zeros_like(p) + FAR
+                for c, limit, h in zip(sums, self.limits, held)]
+
+    def step(self, state, ts, ln, lines):
         cnt, byt, last_ts, bn = state
         n = len(ts)
         bno = np.empty(n, dtype=np.int64)
         trig = np.zeros(n, dtype=np.int64)
-        c = np.concatenate(([0], np.cumsum(ln)))
+        sums = [np.concatenate(([0], np.cumsum(x))) for x in (lines, ln)]
         if self.gap > 0 and cnt > 0 and ts[0] - last_ts > self.gap:
             bn, cnt, byt = bn + 1, 0, 0
         for s, e in self._parts(ts):
@@ -159,8 +166,7 @@ class TriggerRule:
                 bn, cnt, byt = bn + 1, 0, 0
             p = s
             while p < e:
-                i_lines = p + (self.max_lines - cnt) - 1 if self.max_lines > 0 else n
-                i_bytes = int(np.searchsorted(c[1:], self.max_bytes - byt + c[p], side="left")) if self.max_bytes > 0 else n
+                i_lines, i_bytes = map(int, self._closing(sums, np.int64(p), (cnt, byt)))
                 i = min(i_lines, i_bytes)
                 if i < e:
                     bno[p:i + 1] = bn
@@ -168,82 +174,74 @@ class TriggerRule:
                     bn, cnt, byt, p = bn + 1, 0, 0, i + 1
                 else:
                     bno[p:e] = bn
-                    cnt, byt, p = cnt + (e - p), byt + int(c[e] - c[p]), e
+                    cnt, byt, p = cnt + int(sums[0][e] - sums[0][p]), byt + int(sums[1][e] - sums[1][p]), e
         return (cnt, byt, int(ts[-1]), bn), [bno, trig]
 
     def unknown(self) -> dict:
-        """Rows that may be the first to close (bytes up to each), and for
-        each, as for the first gap, its way on (rows, bytes) and its closes."""
+        """Rows that may be the first to close (lines and bytes up to each),
+        and for each, as for the first gap, its way on and its closes; a way
+        on is the lines and bytes of the open batch."""
         none = np.zeros(0, dtype=np.int64)
-        return {"rows": 0, "bytes": 0, "first": None, "last": 0, "sealed": False, "gapped": False, "upto": none,
-                "way": none, "closed": none, "cnt": none, "byt": none}
+        return {"total": (0, 0), "first": None, "last": 0, "sealed": False, "gapped": False, "upto": (none, none),
+                "way": none, "closed": none, "held": (none, none)}
 
-    def feed(self, known: dict, ts, ln) -> dict:
+    def feed(self, known: dict, ts, ln, lines) -> dict:
         k = dict(known)
-        c = np.concatenate(([0], np.cumsum(ln)))
+        sums = [np.concatenate(([0], np.cumsum(x))) for x in (lines, ln)]
         for s, e in self._parts(ts):
             before = k["last"] if s == 0 else ts[s - 1]
-            if self.gap > 0 and k["rows"] + s > 0 and ts[s] - before > self.gap:
-                k["closed"] = k["closed"] + (k["cnt"][k["way"]] > 0)
+            if self.gap > 0 and (s > 0 or k["first"] is not None) and ts[s] - before > self.gap:
+                k["closed"] = k["closed"] + (k["held"][0][k["way"]] > 0)
                 if not k["sealed"]:
                     k["sealed"] = k["gapped"] = True
                     k["closed"], k["way"] = np.append(k["closed"], 1), np.append(k["way"], 0)
-                k["way"], k["cnt"], k["byt"] = np.zeros_like(k["way"]), np.zeros(1, np.int64), np.zeros(1, np.int64)
-            p = np.full(len(k["cnt"]), s, dtype=np.int64)
+                k["way"], k["held"] = np.zeros_like(k["way"]), (np.zeros(1, np.int64), np.zeros(1, np.int64))
+            held = [h.copy() for h in k["held"]]
+            p = np.full(len(held[0]), s, dtype=np.int64)
             if not k["sealed"]:
-                seen, size = k["rows"] + s, k["bytes"] + c[s + 1:e + 1]
-                rows = np.arange(seen + 1, seen + e - s + 1)
+                upto = [t + c[s + 1:e + 1] for t, c in zip(k["total"], sums)]
                 full = np.zeros(e - s, dtype=bool)
-                if self.max_lines > 0:
-                    full |= rows >= self.max_lines
-                if self.max_bytes > 0:
-                    full |= size >= self.max_bytes
-                m = int(np.argmax(full)) + 1 if full.any() else e - s
-                if self.max_lines <= 0 and self.max_bytes <= 0:
-                    m = 0
+                for limit, u in zip(self.limits, upto):
+                    if limit > 0:
+                        full |= u >= limit
+                m = (int(np.argmax(full)) + 1 if full.any() else e - s) if max(self.limits) > 0 else 0
                 k["sealed"] = bool(full.any())
-                k["upto"] = np.concatenate([k["upto"], size[:m]])
-                k["way"] = np.concatenate([k["way"], len(k["cnt"]) + np.arange(m)])
+                k["upto"] = tuple(np.concatenate([a, u[:m]]) for a, u in zip(k["upto"], upto))
+                k["way"] = np.concatenate([k["way"], len(p) + np.arange(m)])
                 k["closed"] = np.concatenate([k["closed"], np.ones(m, dtype=np.int64)])
-                zeros = np.zeros(m, dtype=np.int64)
-                k["cnt"], k["byt"] = np.concatenate([k["cnt"], zeros]), np.concatenate([k["byt"], zeros])
+                held = [np.concatenate([h, np.zeros(m, dtype=np.int64)]) for h in held]
                 p = np.concatenate([p, s + 1 + np.arange(m)])
-            cnt, byt, closes = k["cnt"].copy(), k["byt"].copy(), np.zeros(len(p), dtype=np.int64)
+            closes = np.zeros(len(p), dtype=np.int64)
             live = np.flatnonzero(p < e)
             while len(live):
-                i = np.full(len(live), FAR)
-                if self.max_lines > 0:
-                    i = p[live] + self.max_lines - cnt[live] - 1
-                if self.max_bytes > 0:
-                    i = np.minimum(i, np.searchsorted(c[1:], self.max_bytes - byt[live] + c[p[live]], side="left"))
+                i = np.minimum(*self._closing(sums, p[live], [h[live] for h in held]))
                 stay, go = live[i >= e], live[i < e]
-                cnt[stay] += e - p[stay]
-                byt[stay] += c[e] - c[p[stay]]
+                for h, c in zip(held, sums):
+                    h[stay] += c[e] - c[p[stay]]
+                    h[go] = 0
                 p[go] = i[i < e] + 1
-                cnt[go], byt[go] = 0, 0
                 closes[go] += 1
                 live = go[p[go] < e]
             k["closed"] = k["closed"] + closes[k["way"]]
-            if len(cnt):
-                ways, of = np.unique(np.stack([cnt, byt]), axis=1, return_inverse=True)
-                k["cnt"], k["byt"], k["way"] = ways[0], ways[1], of.reshape(-1)[k["way"]]
+            if len(p):
+                ways, of = np.unique(np.stack(held), axis=1, return_inverse=True)
+                held, k["way"] = (ways[0], ways[1]), of.reshape(-1)[k["way"]]
+            k["held"] = tuple(held)
         k["first"] = int(ts[0]) if k["first"] is None else k["first"]
-        k["rows"], k["bytes"], k["last"] = k["rows"] + len(ts), k["bytes"] + int(c[-1]), int(ts[-1])
+        k["total"], k["last"] = tuple(t + int(c[-1]) for t, c in zip(k["total"], sums)), int(ts[-1])
         return k
 
     def after(self, known: dict, state):
         cnt, byt, last_ts, bn = state
         if self.gap > 0 and cnt > 0 and known["first"] - last_ts > self.gap:
             cnt, byt, bn = 0, 0, bn + 1
-        m = len(known["upto"])
-        i = self.max_lines - cnt - 1 if self.max_lines > 0 else m
-        if self.max_bytes > 0:
-            i = min(i, int(np.searchsorted(known["upto"], self.max_bytes - byt, side="left")))
+        m = len(known["upto"][0])
+        i = min([int(np.searchsorted(u, limit - h, side="left"))
+                 for u, limit, h in zip(known["upto"], self.limits, (cnt, byt)) if limit > 0], default=m)
         if i >= m and not known["gapped"]:
-            return cnt + known["rows"], byt + known["bytes"], known["last"], bn
-        i = min(i, m)  # the gap comes after the rows that may close
-        w = known["way"][i]
-        return int(known["cnt"][w]), int(known["byt"][w]), known["last"], bn + int(known["closed"][i])
+            return cnt + known["total"][0], byt + known["total"][1], known["last"], bn
+        w = known["way"][i]  # the gap comes after the rows that may close
+        return int(known["held"][0][w]), int(known["held"][1][w]), known["last"], bn + int(known["closed"][i])
 
 
 # --- the fold -----------------------------------------------------------------

@@ -22,6 +22,7 @@ import json
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import text as TX
 from ..functions.naming import PERMANENT_CODES
 from ..operators import framing
+from ..operators.split_fold import TriggerRule
 from ..session import checkpoint_dir, prepare
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -182,16 +184,21 @@ BATCH_EVENT_SCHEMA = T.StructType([
 ])
 
 
+REASONS = {1: "line_limit_reached", 2: "size_limit_reached"}
+
+
 class TriggerBatchProcessor(StatefulProcessor):
     """STR-02: per (tenant, dataset) open batch (number, count, bytes).
 
     Each message is assigned to the open batch; after adding, the count or
     byte trigger closes it. Every input refreshes an idle timer; when it
     fires, the open batch closes with ``timeout``. Rows: assignments (seq
-    set, trigger NULL) and close events (seq NULL, trigger set)."""
+    set, trigger NULL) and close events (seq NULL, trigger set). A key's rows
+    of one micro-batch are sorted in one worker; ``batching`` has the form
+    that spreads them."""
 
     def __init__(self, max_lines: int = 0, max_bytes: int = 0, timeout_ms: int = 0):
-        self.max_lines, self.max_bytes, self.timeout_ms = max_lines, max_bytes, timeout_ms
+        self.rule, self.timeout_ms = TriggerRule(max_lines, max_bytes, 0), timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -200,15 +207,9 @@ class TriggerBatchProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
         bn, cnt, byt, timer = self.batch.get() if self.batch.exists() else (0, 0, 0, 0)
-        out = []
-        for seq, size in zip(pdf["seq"].tolist(), pdf["size"].tolist()):
-            out.append((key[0], key[1], bn, seq, size, None))
-            cnt, byt = cnt + 1, byt + size
-            reason = ("line_limit_reached" if self.max_lines > 0 and cnt >= self.max_lines else
-                      "size_limit_reached" if self.max_bytes > 0 and byt >= self.max_bytes else None)
-            if reason:
-                out.append((key[0], key[1], bn, None, None, reason))
-                bn, cnt, byt = bn + 1, 0, 0
+        size = pdf["size"].to_numpy("int64")
+        nothing = np.zeros(len(pdf), "int64")
+        (cnt, byt, _, bn), (number, close) = self.rule.step((cnt, byt, 0, bn), nothing, size, nothing + 1)
         if timer:
             self.handle.deleteTimer(timer)
             timer = 0
@@ -216,7 +217,12 @@ class TriggerBatchProcessor(StatefulProcessor):
             timer = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
             self.handle.registerTimer(timer)
         self.batch.update((bn, cnt, byt, timer))
-        yield pd.DataFrame(out, columns=[f.name for f in BATCH_EVENT_SCHEMA.fields])
+        assigned = pd.DataFrame({"batch_no": number, "seq": pdf["seq"], "size": size, "trigger_reason": None})
+        closed = pd.DataFrame({"batch_no": number[close > 0], "seq": None, "size": None,
+                               "trigger_reason": [REASONS[c] for c in close[close > 0]]})
+        for events in (assigned, closed):
+            if len(events):
+                yield events.assign(tenant_id=key[0], dataset_id=key[1])[[f.name for f in BATCH_EVENT_SCHEMA.fields]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.batch.exists():
