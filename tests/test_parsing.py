@@ -31,7 +31,7 @@ def test_syslog_rules(spark):
 
 def _hdr(spark, hexes):
     df = spark.createDataFrame([(h,) for h in hexes], "h string")
-    return [r[0] for r in df.select(flows.decode_ipv4_header(F.unhex("h"))).collect()]
+    return [r.hdr for r in flows.with_decoded_header(df, F.unhex("h")).collect()]
 
 
 ETH = "AABBCCDDEEFF112233445566"

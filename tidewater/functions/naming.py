@@ -166,7 +166,7 @@ def with_ip_text(df: DataFrame, src: str, out: str) -> DataFrame:
     lower-case hex without leading zeros and the longest run of two or more
     zero groups (the first on ties) becomes ``::``. No UDF.
 
-    Intermediate values (hex, group string, the seven run positions) are
+    Intermediate values (hex, group string, the longest run and its place) are
     separate projections, so each is computed once per row and the
     generated code stays small when several addresses are rendered in one
     operator.
@@ -175,26 +175,25 @@ def with_ip_text(df: DataFrame, src: str, out: str) -> DataFrame:
     x = F.col(src)
     d = df.withColumn(f"{t}_h", F.hex(x))
     hx = F.col(f"{t}_h")
-    d = d.withColumn(f"{t}_g", F.concat_ws(":", *[F.lower(F.conv(F.substring(hx, 4 * i + 1, 4), 16, 16))
-                                                  for i in range(8)]))
+    groups = [F.ltrim(F.substring(hx, 4 * i + 1, 4), F.lit("0")) for i in range(8)]
+    six = F.lower(F.concat_ws(":", *[F.when(g == "", F.lit("0")).otherwise(g) for g in groups]))
+    d = d.withColumn(f"{t}_g", F.when(F.length(hx) == 32, six))
     d = d.withColumn(f"{t}_f", F.concat(F.lit(":"), F.col(f"{t}_g"), F.lit(":")))
-    framed = F.col(f"{t}_f")
-    d = d.select("*", *[F.locate(":" + "0:" * ln, framed).alias(f"{t}_p{ln}") for ln in range(8, 1, -1)])
-    v6 = None
-    for ln in range(8, 1, -1):
-        pos = F.col(f"{t}_p{ln}")
-        right = F.substring(framed, pos + (2 * ln + 1), F.lit(64))
-        text = F.concat(F.substring(framed, F.lit(2), pos - 2), F.lit("::"),
-                        F.substring(right, F.lit(1), F.length(right) - 1))
-        v6 = F.when(pos > 0, text) if v6 is None else v6.when(pos > 0, text)
-    v6 = v6.otherwise(F.col(f"{t}_g"))
+    framed, run, pos = F.col(f"{t}_f"), F.col(f"{t}_r"), F.col(f"{t}_p")
+    longest = F.coalesce(*[F.when(framed.contains(":" + "0:" * ln), F.lit(ln)) for ln in range(8, 1, -1)], F.lit(0))
+    d = d.withColumn(f"{t}_r", F.when(framed.isNotNull(), longest))
+    d = d.withColumn(f"{t}_p", F.instr(framed, F.concat(F.lit(":"), F.repeat(F.lit("0:"), run))))
+    right = F.substring(framed, pos + run * 2 + 1, F.lit(64))
+    squeezed = F.concat(F.substring(framed, F.lit(2), pos - 2), F.lit("::"), F.substring(right, F.lit(1), F.length(right) - 1))
+    v6 = F.when(run > 0, squeezed).otherwise(F.col(f"{t}_g"))
     n = F.length(hx) / 2
 
-    def byte(i: int) -> Column:
-        return F.conv(F.substring(hx, 2 * i + 1, 2), 16, 10)
+    def dotted(at: int) -> Column:
+        number = F.conv(F.substring(hx, at, 8), 16, 10).cast("long")
+        return F.concat_ws(".", *[F.shiftright(number, bits).bitwiseAND(255).cast("string") for bits in (24, 16, 8, 0)])
 
     mapped = F.substring(hx, 1, 24) == F.lit("00000000000000000000FFFF")
-    text = (F.when(n == 4, F.concat_ws(".", *[byte(i) for i in range(4)]))
-            .when((n == 16) & mapped, F.concat_ws(".", *[byte(i) for i in range(12, 16)]))
+    text = (F.when(n == 4, dotted(1))
+            .when((n == 16) & mapped, dotted(25))
             .when(n == 16, v6).otherwise(F.base64(x)))
-    return d.withColumn(out, text).drop(f"{t}_h", f"{t}_g", f"{t}_f", *[f"{t}_p{ln}" for ln in range(8, 1, -1)])
+    return d.withColumn(out, text).drop(f"{t}_h", f"{t}_g", f"{t}_f", f"{t}_r", f"{t}_p")

@@ -15,56 +15,49 @@ from pyspark.sql import functions as F
 from ..functions.naming import with_ip_text
 
 
-def _hex_byte(hx: Column, pos: Column | int) -> Column:
-    """Unsigned byte at 0-based ``pos`` of a hex string (NULL past the end)."""
+def _number(hx: Column, pos: Column | int, size: int) -> Column:
+    """The unsigned big-endian number of ``size`` bytes at 0-based ``pos`` of a
+    hex string (NULL past the end)."""
     p = F.lit(pos) if isinstance(pos, int) else pos
-    two = F.substring(hx, p * 2 + 1, F.lit(2))
-    return F.when(F.length(two) == 2, F.conv(two, 16, 10).cast("int"))
+    part = F.substring(hx, p * 2 + 1, F.lit(2 * size))
+    return F.when(F.length(part) == 2 * size, F.conv(part, 16, 10).cast("long"))
 
 
-def _header_fields(hx: Column, off: Column) -> Column:
-    n = F.length(hx) / 2
-    v = _hex_byte(hx, off)
-    ok = (n >= off + 20) & (F.shiftright(v, 4) == 4)
-    ihl = v.bitwiseAND(F.lit(15)) * 4
-    proto = _hex_byte(hx, off + 9)
-
-    def ip(start: int) -> Column:
-        return F.concat_ws(".", *[_hex_byte(hx, off + start + i).cast("string") for i in range(4)])
-
-    has_ports = (n >= off + ihl + 4) & proto.isin(6, 17)
-    sport = F.conv(F.substring(hx, (off + ihl) * 2 + 1, F.lit(4)), 16, 10).cast("int")
-    dport = F.conv(F.substring(hx, (off + ihl + 2) * 2 + 1, F.lit(4)), 16, 10).cast("int")
-    return F.when(ok, F.struct(
-        ip(12).alias("src_ip"), ip(16).alias("dst_ip"),
-        F.when(has_ports & (sport != 0), sport).alias("src_port"),
-        F.when(has_ports & (dport != 0), dport).alias("dst_port")))
+def _dotted(number: Column) -> Column:
+    return F.concat_ws(".", *[F.shiftright(number, bits).bitwiseAND(255).cast("string") for bits in (24, 16, 8, 0)])
 
 
 def _header_offset(hx: Column) -> Column:
     n = F.length(hx) / 2
-    b12, b13 = _hex_byte(hx, 12), _hex_byte(hx, 13)
-    return F.when(n >= 14, F.when((b12 == 8) & (b13 == 0), 14).when(b12 == 0x45, 0).otherwise(14)).otherwise(0)
+    ethertype = F.substring(hx, 25, 4)
+    return F.when(n >= 14, F.when(ethertype == "0800", 14).when(F.substring(ethertype, 1, 2) == "45", 0).otherwise(14)).otherwise(0)
 
 
-def decode_ipv4_header(h: Column) -> Column:
+def with_decoded_header(df: DataFrame, header: Column, out: str = "hdr") -> DataFrame:
     """PAR-05: addresses and TCP/UDP ports from a raw sampled header.
 
     Offset: 14 when bytes 12-13 are the IPv4 ethertype, 0 when byte 12 is
     0x45, else 14 (headers shorter than 14 bytes start at 0). NULL unless
     20 header bytes follow the offset and the version nibble is 4. Ports
     need IHL + 4 bytes and protocol 6 or 17; zero ports are dropped.
-    """
-    hx = F.hex(h)
-    return _header_fields(hx, _header_offset(hx))
-
 
-def with_decoded_header(df: DataFrame, header: Column, out: str = "hdr") -> DataFrame:
-    """PAR-05 as a DataFrame step: the hex form and the offset are computed
-    once per row in their own projections, keeping generated code small."""
+    The hex form, the offset and each number are read once per row, in
+    projections of their own.
+    """
+    hx, off = F.col("_hx"), F.col("_off")
     d = df.withColumn("_hx", F.hex(header))
-    d = d.withColumn("_off", _header_offset(F.col("_hx")))
-    return d.withColumn(out, _header_fields(F.col("_hx"), F.col("_off"))).drop("_hx", "_off")
+    d = d.withColumn("_off", _header_offset(hx))
+    d = d.withColumn("_ver", F.when(F.length(hx) / 2 >= off + 20, _number(hx, off, 1)))
+    d = d.withColumn("_ver", F.when(F.shiftright("_ver", 4) == 4, F.col("_ver")))
+    ver = F.col("_ver")
+    transport = F.substring(hx, (off + 9) * 2 + 1, F.lit(2)).isin("06", "11")
+    d = d.withColumns({"_src": F.when(ver.isNotNull(), _number(hx, off + 12, 4)),
+                       "_dst": F.when(ver.isNotNull(), _number(hx, off + 16, 4)),
+                       "_ports": F.when(ver.isNotNull() & transport, _number(hx, off + ver.bitwiseAND(15) * 4, 4))})
+    sport, dport = F.shiftright("_ports", 16).cast("int"), F.col("_ports").bitwiseAND(65535).cast("int")
+    fields = F.struct(_dotted(F.col("_src")).alias("src_ip"), _dotted(F.col("_dst")).alias("dst_ip"),
+                      F.when(sport != 0, sport).alias("src_port"), F.when(dport != 0, dport).alias("dst_port"))
+    return d.withColumn(out, F.when(ver.isNotNull(), fields)).drop("_hx", "_off", "_ver", "_src", "_dst", "_ports")
 
 
 def flatten_sflow(packets: DataFrame) -> DataFrame:
