@@ -73,5 +73,14 @@ def test_snapshots_ties_and_nulls(spark, monkeypatch, block):
     assert got(frame(spark, rows)) == brute(rows)
 
 
+def test_a_hot_conversation_without_turn_numbers(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 16)
+    rows = [(None, None, "user", f"line {i}") for i in range(300)] + [(7, i % 3, "user", f"line {i}") for i in range(300)]
+    df = frame(spark, rows)
+    assert got(df) == brute(rows)
+    placed, _ = chat.prefixes(df)
+    assert max(r["count"] for r in placed.groupBy("conv_id", "block").count().collect()) == 16
+
+
 def test_empty(spark):
     assert got(frame(spark, [])) == []

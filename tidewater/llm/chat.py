@@ -6,10 +6,12 @@ a key; a conversation whose whole is a proper prefix of another one is
 dropped by an anti-join, equal conversations stay once, and what is maximal is
 rendered with a chat template. DataFrame operations only.
 
-The prefix hash is a running sum of hashes of (position, turn), so it is built
-in two levels: inside blocks of ``BLOCK`` turn numbers, then over the blocks'
-totals. A conversation with a third of all rows is many blocks, and its
-rendering is many parts of ``PART`` turns; no task holds it whole.
+Turns get their positions from running sums that are dealt by range, whatever
+their numbers are. The prefix hash is a running sum of hashes of (position,
+turn), so it is built in two levels: inside blocks of ``BLOCK`` positions, then
+over the blocks' totals. A conversation with a third of all rows is many
+blocks, and its rendering is many parts of ``PART`` turns; no task holds it
+whole.
 
 Defined results: turns go by turn number, NULL last, ties by the SHA-256 of
 role and text; a NULL role or text is empty; a row repeated within a
@@ -23,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.prefix import running_sums
 from .common import cut
 
 BLOCK = 256
@@ -35,8 +38,7 @@ TEMPLATE = "<|im_start|>%s\n%s<|im_end|>\n"
 def _running(rows: DataFrame, values: dict[str, str]) -> DataFrame:
     """Sums of ``values`` up to and including each row (new name: column)
     within a conversation, in two levels."""
-    inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_last(), "digest") \
-        .rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("conv_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("conv_id", "block").agg(*[F.sum(c).alias(f"_{k}") for k, c in values.items()])
     totals = totals.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"),
@@ -55,9 +57,9 @@ def prefixes(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.sha2(F.concat("role", F.lit("\n"), "text"), 256)) \
-        .withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 62)))) \
-        .dropDuplicates(["conv_id", "turn", "digest"]).withColumn("one", F.lit(1).cast("long"))
-    placed = cut(_running(rows, {"upto": "one"}).withColumn("position", F.col("upto") - 1).drop("one", "upto"))
+        .groupBy("conv_id", "turn", "digest").agg(F.min("role").alias("role"), F.min("text").alias("text"))
+    placed = running_sums(rows, {"position": F.lit(1)}, ["conv_id"], [F.col("turn").isNull(), "turn", "digest"], inclusive=False)
+    placed = cut(placed.withColumn("block", F.floor(F.col("position") / BLOCK)))
     h, g = F.xxhash64("position", "digest"), F.xxhash64("digest", "position", F.lit(1))
     hashed = placed.drop("text", "role").withColumns(
         {"h0": F.shiftright(h, 32), "h1": h.bitwiseAND(MASK), "h2": F.shiftright(g, 32), "h3": g.bitwiseAND(MASK)})
