@@ -77,3 +77,11 @@ def test_unusable_rows(spark):
     assert results(df.where("vec_id < 0")) == {}
     assert results(df.where("vec_id = 0")) == {}
     assert results(df.where("vec_id in (1, 7)")) == {}
+
+
+def test_blocks_of_rows_and_queries_meet(spark):
+    rows = [(i, v) for i, v in enumerate(np.random.default_rng(5).normal(size=(900, 6)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    small = ann.Settings(block=100, ask_block=7, recall=2.0)  # takes everything
+    got, want = results(df, settings=small), brute(rows)
+    assert {q: [v for v, _ in f] for q, f in got.items()} == {q: [v for v, _ in f] for q, f in want.items()}

@@ -19,7 +19,8 @@ precision.
   each query its stopping level before anything is shuffled. Rows and queries
   then meet by (tree, prefix). Inside, strings are a sorted array and a prefix
   is a range of it. A prefix with many rows is dealt into blocks of about
-  ``Settings.block`` rows; its queries visit every block.
+  ``Settings.block`` rows and its queries into blocks of about
+  ``Settings.ask_block``; every pair of them is one group.
 * Equal vectors are one entry that carries its smallest ids, as many as a
   result can hold, so copies cost one vector.
 
@@ -51,6 +52,7 @@ class Settings:
     calibrate: int = 128
     recall: float = 0.95
     block: int = 16_384
+    ask_block: int = 65_536
     seed: int = 3
 
 
@@ -209,11 +211,17 @@ def search(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec
     probes = probes.where("stop > 0 OR tree = 0")
     index = index if longest else index.where("tree = 0")
     prefix = F.shiftright("code", bits - shortest)
+    # A group is a block of rows with a block of queries of one prefix.
     blocks = max(1, -(-total // (s.block << shortest)))
-    index = index.select("tree", prefix.alias("prefix"), F.pmod(F.xxhash64("gid"), F.lit(blocks)).cast("int").alias("block"),
-                         F.lit(False).alias("asks"), "code", "stop", "gid", "vec")
-    probes = probes.select("tree", prefix.alias("prefix"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-                           F.lit(True).alias("asks"), "code", "stop", "gid", "vec")
+    asking = max(1, -(-wanted.count() // (s.ask_block << shortest)))
+
+    def dealt(rows: DataFrame, asks: bool) -> DataFrame:
+        sides = [F.pmod(F.xxhash64("gid", F.lit(n)), F.lit(n)).cast("int") if own else
+                 F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n, own in ((blocks, not asks), (asking, asks))]
+        return rows.select("tree", prefix.alias("prefix"), sides[0].alias("block"), F.lit(asks).alias("asks"), "code", "stop",
+                           "gid", "vec").select("*", sides[1].alias("ask_block"))
+
+    index, probes = dealt(index, False), dealt(probes, True)
     keep = k + 1
 
     def score(rows):
@@ -254,7 +262,7 @@ def search(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec
                              "score": pa.array([], pa.float64())})
         return pa.table({"query": np.concatenate(out_q), "gid": np.concatenate(out_g), "score": np.concatenate(out_s)})
 
-    found = index.unionByName(probes).groupBy("tree", "prefix", "block") \
+    found = index.unionByName(probes).groupBy("tree", "prefix", "block", "ask_block") \
         .applyInArrow(score, "query long, gid long, score double")
     found = found.groupBy("query", "gid").agg(F.max("score").alias("score"))
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "gid"))
