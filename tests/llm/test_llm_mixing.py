@@ -79,16 +79,34 @@ def test_expected_copies_are_kept(spark, monkeypatch):
     assert max(ones.values()) <= 7
 
 
-def test_empty_and_rows(spark):
-    assert mixing.mix(documents(spark, [])).collect() == []
-    rows = mixed_bag()
-    df = documents(spark, rows)
+def decided(df):
+    """Copies of all rows of a doc_id, source and size."""
+    out = Counter()
+    for r in mixing.mix(df).collect():
+        out[r.doc_id, r.source, r.size] += r.copies
+    return +out
+
+
+def assert_rows_follow(df):
     out = mixing.mixed_rows(df)
     assert out.columns == df.columns
-    copies = {}
-    for r in mixing.mix(df).collect():
-        copies[r.doc_id] = max(copies.get(r.doc_id, 0), r.copies)
-    want = Counter()
-    for r in rows:
-        want[r[0]] += copies[r[0]]
-    assert Counter(r.doc_id for r in out.collect()) == +want
+    got = out.collect()
+    assert Counter((r.doc_id, r.source, size(r.text)) for r in got) == decided(df)
+    return Counter((r.doc_id, r.source, r.text) for r in got)
+
+
+def test_empty_and_rows(spark):
+    assert mixing.mix(documents(spark, [])).collect() == []
+    assert mixing.mixed_rows(documents(spark, [])).collect() == []
+    assert_rows_follow(documents(spark, mixed_bag()))
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    rows = [(None, f"text {i} " + "w " * (i % 7), "en", f"s{i % 3}") for i in range(120)]
+    rows += [(None, None, None, "s0"), (None, "", None, "s1"), (None, "same text", "en", "s0"), (1, "same text", "en", "s0")]
+    rows += [(None, "alike in all", "en", "s2")] * 9 + [(7, "alike in all", "en", "s2")] * 5
+    got = assert_rows_follow(documents(spark, rows))
+    # Rows that ask for the same number of copies differ by one at most.
+    for s, n in {(s, size(x)) for _, x, _, s in rows}:
+        copies = [got[None, s, x] for x in {x for i, x, _, t in rows if i is None and t == s and size(x) == n and x != "alike in all"}]
+        assert not copies or max(copies) - min(copies) <= 1

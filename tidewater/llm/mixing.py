@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.prefix import running_sums
 from .common import cut, word_count
 
 WEIGHTS = (5, 2, 1)
@@ -165,13 +166,41 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
                        copies.alias("copies"))
 
 
+KEYS = ["_id", "_src", "_words"]
+
+
+def _shares(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``KEYS``, _told (hash of the text), n, c: the copies of the n rows of
+    each text among the rows that share ``KEYS``. The copies of those go
+    round by hash; ``copies`` has a row for each."""
+    texts = rows.groupBy(*KEYS, "_told").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_sums(texts, {"before": F.col("n")}, KEYS, ["_told"], inclusive=False)
+    side = copies.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z")) \
+        .agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_r"))
+    on = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_words") == F.col("_z"))
+    # The first c % r rows take one more than the others.
+    more = F.greatest(F.lit(0), F.least(F.col("n"), F.expr("_c % _r") - F.col("before")))
+    return placed.join(side, on).select(*KEYS, "_told", "n", (F.col("n") * F.expr("_c div _r") + more).alias("c")).where("c > 0")
+
+
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; all columns stay.
 
-    Rows that share a doc_id are one document here and get the copies of
-    their first row.
+    A row takes the copies decided for its doc_id, source and size; rows that
+    agree in these (those without an id, say) are told apart by their texts,
+    and rows of one text too are numbered.
     """
-    copies = mix(docs, weights, most).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    side = copies.withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id"))) \
-        .withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_id", "_copies", "_nth")
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_src": F.col("source"),
+                              "_words": word_count(F.col("text")), "_told": F.xxhash64("text")})
+    shares = cut(_shares(keyed.select(*KEYS, "_told"), mix(docs, weights, most)))
+    side = shares.withColumnsRenamed({k: f"{k}_" for k in [*KEYS, "_told"]})
+    on = F.col("_told") == F.col("_told_")
+    for k in KEYS:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    alone = keyed.join(side.where("n = 1").hint("shuffle_hash"), on).withColumn("_copies", F.col("c"))
+    # Usually no row: only rows that agree in everything so far are numbered.
+    several = keyed.join(side.where("n > 1"), on)
+    several = running_sums(several, {"_at": F.lit(1)}, [*KEYS, "_told"], [F.xxhash64(*docs.columns)], inclusive=False) \
+        .withColumn("_copies", F.expr("c div n") + (F.col("_at") < F.expr("c % n")).cast("long"))
+    both = alone.select(*docs.columns, "_copies").unionByName(several.select(*docs.columns, "_copies")).where("_copies > 0")
+    return both.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
