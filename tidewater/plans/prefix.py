@@ -12,7 +12,9 @@ Nothing runs while a plan is built. Both uses of the dealt rows read one
 exchange: the rows travel as one struct, which both uses count, so column
 pruning cannot tell the two apart, and the number of ranges is explicit, so
 runtime coalescing cannot either. Rows whose bucket and carry disagree fail
-the query.
+the query: ``dropDuplicates`` on some of the columns right before a running
+sum would do that (Spark plans it anew for each use, and so deals twice);
+group by these columns instead.
 """
 
 from __future__ import annotations
