@@ -12,6 +12,7 @@ from ..functions import ident
 from ..operators import configs as C
 from ..operators import framing
 from ..session import checkpoint_dir
+from ..sinks import batch_table
 from ..sinks import spool as S
 from ..sources import adapters as A
 from ..sources import fixtures as fx
@@ -190,3 +191,58 @@ def q_retry_stream(spark, sf):
     jobs.retry_state_stream(stream, 5).writeStream.format("parquet").option("path", sink) \
         .option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(sink).groupBy("okey").agg(F.max_by("state", "attempts_used").alias("state"))
+
+
+SHIP_BYTES = 2_000
+_SHIP = f"""
+WITH RECURSIVE items AS (
+  SELECT event_type AS topic, ts, user_id % 4 AS part, event_id,
+    strlen(replace(props, ' ', '')) + strlen(',"ingest_ms":' || (epoch_us(ts) // 1000)) + 1 AS size
+  FROM events),
+numbered AS (
+  SELECT i.*, off * 65536 + part AS seq, row_number() OVER (PARTITION BY topic ORDER BY ts, off * 65536 + part) AS rn
+  FROM (SELECT *, row_number() OVER (PARTITION BY topic, part ORDER BY event_id) - 1 AS off FROM items) i),
+packed AS (
+  SELECT topic, rn, ts, seq, size, size AS acc, CAST(0 AS BIGINT) AS batch_no FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT n.topic, n.rn, n.ts, n.seq, n.size,
+    CASE WHEN (p.acc + n.size) // 5 > {SHIP_BYTES} THEN n.size ELSE p.acc + n.size END,
+    CASE WHEN (p.acc + n.size) // 5 > {SHIP_BYTES} THEN p.batch_no + 1 ELSE p.batch_no END
+  FROM packed p JOIN numbered n ON n.topic = p.topic AND n.rn = p.rn + 1)
+SELECT topic AS dataset_id, batch_no, 'https://recv.example/t/' || topic AS url, count(*) AS line_count,
+  CAST(sum(size) AS BIGINT) AS total_bytes,
+  't--' || topic || '--' || arg_min(epoch_us(ts) * 1000 + seq % 1000, rn) || '--ndjson.gz' AS filename
+FROM packed GROUP BY topic, batch_no"""
+
+
+def _by_topic(spark, sf):
+    """Kafka-shaped events as messages of one tenant, a dataset per topic."""
+    m = A.kafka_to_messages(fx.kafka_records(spark, sf), "t", "d", hint="ndjson", data_format="ndjson")
+    return m.withColumn("dataset_id", F.element_at("metadata", F.lit("topic")))
+
+
+@register("e2e_kafka_to_manifest", _SHIP)
+def q_kafka_to_manifest(spark, sf):
+    """SRC-02 to SNK-05: Kafka-shaped events landed, stamped, packed into
+    gzip batches in a batch table, and one upload request per batch."""
+    made = ingest.ship(_by_topic(spark, sf), _folder(spark), "https://recv.example", "g", SHIP_BYTES)
+    return made.select("dataset_id", "batch_no", "url", "line_count", "total_bytes",
+                       F.element_at("headers", F.lit("X-Batch-Filename")).alias("filename"))
+
+
+@register("snk03_batch_table", with_fixtures("""
+SELECT tenant_id || '--' || dataset_id AS source, data_hint, seq // 1000 AS batch_no, count(*) AS line_count,
+  md5(string_agg(line, chr(10) ORDER BY seq, line_no)) AS content
+FROM lines GROUP BY ALL"""))
+def q_batch_table(spark, sf):
+    """SNK-03: batches as gzip rows of one table, read back line by line."""
+    path = _folder(spark)
+    lines = framing.split_lines(fx.messages(spark, sf)).withColumn("batch_no", F.expr("seq div 1000")) \
+        .withColumn("nanos", F.expr("seq div 1000"))
+    batch_table.write_batch_table(batch_table.compress_batches(lines), path)
+    back = batch_table.scan_batch_table(spark, path).groupBy("id").agg(
+        F.count(F.lit(1)).alias("line_count"), F.first("batch_no").alias("batch_no"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    part = F.split("id", "--")
+    return back.select(F.concat_ws("--", part[0], part[1]).alias("source"), part[3].alias("data_hint"), "batch_no", "line_count",
+                       F.md5("text").alias("content"))

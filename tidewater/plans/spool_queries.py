@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import alerts, delivery, retention, spool
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
+from ..streaming import delivery_cycle
 from .catalog import register
 from .oracle_fixtures import GATE_SQL, outcome_sql, reason_sql, with_fixtures
 
@@ -266,7 +270,7 @@ def q_retry_step(spark, sf):
     return delivery.retry_step(f, nxt.select("okey", "status_code", "ts"), MAX_RETRIES)
 
 
-@register("stm03_replay", with_fixtures(f"""
+_REPLAY = with_fixtures(f"""
 WITH pf AS (
   SELECT okey, count(*) AS n, arg_min({outcome_sql('status_code')}, attempt_no) AS fo,
     arg_min_null(status_code, attempt_no) AS fc,
@@ -285,7 +289,10 @@ SELECT id, okey, tenant_id, dataset_id, final_state,
        WHEN fs IS NOT NULL AND fs <= {MAX_RETRIES} THEN fs - 1 ELSE least(n, {MAX_RETRIES}) END AS INT) AS retry_count,
   CASE WHEN NOT act THEN 'no active tenant' WHEN fo = 'permanent' THEN {reason_sql('fc')}
        WHEN final_state = 'dlq' THEN 'max_retries_exceeded' WHEN final_state = 'retry' THEN {reason_sql('lc')} END AS failure_reason
-FROM s"""))
+FROM s""")
+
+
+@register("stm03_replay", _REPLAY)
 def q_replay(spark, sf):
     """STM-03: final state of every queue file from its attempt history."""
     return delivery.replay(fx.spool_files(spark, sf), fx.attempts(spark, sf), fx.tenants(spark, sf), MAX_RETRIES)
@@ -374,3 +381,22 @@ def q_space_alerts(spark, sf):
     u = spool.tenant_sizes(_listing(spark, sf)).where("level = 0").select(
         "tenant_id", F.col("bytes").alias("used_bytes"), F.lit(340_000_000).cast("long").alias("max_bytes"))
     return alerts.space_alerts(u)
+
+
+@register("stm09_delivery_cycle", _REPLAY)
+def q_delivery_cycle(spark, sf):
+    """STM-01, 02, 07 and 08 as the delivery job runs them, pass by pass,
+    against a receiver that answers as the attempts say; the end is that of
+    the replay of the whole history."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cycle-{uuid.uuid4().hex}"
+    attempts = fx.attempts(spark, sf).select("okey", "attempt_no", "status_code", "ts")
+
+    def answer(due, number):
+        return due.join(attempts, ["okey", "attempt_no"]).select("okey", "status_code", "ts")
+
+    queue = fx.spool_files(spark, sf).where("state = 'queue'").withColumn("retry_count", F.lit(0)) \
+        .withColumn("failure_reason", F.lit(None).cast("string"))
+    delivery_cycle.start(queue, path)
+    last = delivery_cycle.run_cycle(spark, path, answer, fx.tenants(spark, sf), MAX_RETRIES)
+    return delivery_cycle.state_after(spark, path, last).select(
+        "id", "okey", "tenant_id", "dataset_id", F.col("state").alias("final_state"), "attempts_used", "retry_count", "failure_reason")
