@@ -200,7 +200,7 @@ WITH RECURSIVE items AS (
     strlen(replace(props, ' ', '')) + strlen(',"ingest_ms":' || (epoch_us(ts) // 1000)) + 1 AS size
   FROM events),
 numbered AS (
-  SELECT i.*, off * 65536 + part AS seq, row_number() OVER (PARTITION BY topic ORDER BY ts, off * 65536 + part) AS rn
+  SELECT i.*, off * 16384 + part AS seq, row_number() OVER (PARTITION BY topic ORDER BY ts, off * 16384 + part) AS rn
   FROM (SELECT *, row_number() OVER (PARTITION BY topic, part ORDER BY event_id) - 1 AS off FROM items) i),
 packed AS (
   SELECT topic, rn, ts, seq, size, size AS acc, CAST(0 AS BIGINT) AS batch_no FROM numbered WHERE rn = 1
