@@ -151,22 +151,25 @@ def receiver_limits(instances: DataFrame, receivers: DataFrame) -> DataFrame:
     url = F.regexp_replace(F.regexp_replace(F.col("receiver_url"), r"^https?://", ""), r"/$", "")
     p = instances.withColumn("url", url).withColumn(
         "url_port", F.when(F.instr("url", ":") > 0, F.substring_index("url", ":", -1)).otherwise(F.lit("")))
-    r = receivers.select(F.col("pos").alias("r_pos"), "instance_api", "max_payload_size")
-    cand = ["instance", "r_pos", "instance_api", "max_payload_size"]
+    every = receivers.select(F.col("pos").alias("r_pos"), "instance_api", "max_payload_size")
+    won = F.struct("r_pos", "instance_api", "max_payload_size")
+    # Of the receivers that a rule cannot tell apart the first one wins, so
+    # each join meets one receiver a key.
+    by_name = every.groupBy("instance_api").agg(F.min(won).alias("m"))
     in_url = p.select("instance", F.explode(_fragments(F.col("url"))).alias("frag")).join(
-        r, F.col("frag") == F.col("instance_api")).select(*cand)
-    in_api = r.select("*", F.explode(_fragments(F.col("instance_api"))).alias("frag")).join(
-        p.select("instance", "url"), F.col("frag") == F.col("url")).select(*cand)
-    by_port = p.where(F.col("url_port") != "").select("instance", "url_port").join(
-        r.withColumn("api_port", F.when(F.instr("instance_api", ":") > 0, F.substring_index("instance_api", ":", -1))),
-        F.col("url_port") == F.col("api_port")).select(*cand)
-    matched = in_url.unionByName(in_api).unionByName(by_port).groupBy("instance").agg(
-        F.min_by(F.struct("instance_api", "max_payload_size"), F.col("r_pos")).alias("m"))
-    # One scalar: the smallest positive receiver limit (fallback for unmatched instances).
-    min_limit = r.where("max_payload_size > 0").agg(F.min("max_payload_size")).first()[0]
+        by_name.withColumnRenamed("instance_api", "frag"), "frag").select("instance", "m")
+    r = by_name.select("m.*")
+    parts = r.select(won.alias("m"), F.explode(_fragments(F.col("instance_api"))).alias("url")).groupBy("url").agg(F.min("m").alias("m"))
+    in_api = p.select("instance", "url").join(parts, "url").select("instance", "m")
+    ports = r.withColumn("url_port", F.when(F.instr("instance_api", ":") > 0, F.substring_index("instance_api", ":", -1))) \
+        .groupBy("url_port").agg(F.min(won).alias("m"))
+    by_port = p.where(F.col("url_port") != "").select("instance", "url_port").join(ports, "url_port").select("instance", "m")
+    matched = in_url.unionByName(in_api).unionByName(by_port).groupBy("instance").agg(F.min("m").alias("m"))
+    # One row: the smallest positive receiver limit (fallback for unmatched instances).
+    least = every.where("max_payload_size > 0").agg(F.min("max_payload_size").alias("least")).withColumn("_k", F.lit(1))
     cur = F.when(F.col("max_bytes") <= 0, F.lit(DEFAULT_BATCH_BYTES)).otherwise(F.col("max_bytes"))
-    j = p.join(matched, "instance", "left")
-    limit = F.coalesce(F.col("m.max_payload_size"), F.lit(min_limit).cast("long"))
+    j = p.join(matched, "instance", "left").withColumn("_k", F.lit(1)).join(F.broadcast(least), "_k")
+    limit = F.coalesce(F.col("m.max_payload_size"), F.col("least").cast("long"))
     thresh = (limit.cast("double") * F.lit(0.95).cast("double")).cast("long")
     eff = (limit.cast("double") * F.lit(0.90).cast("double")).cast("long")
     new = F.when((limit > 0) & (cur >= thresh), eff).otherwise(F.col("max_bytes"))

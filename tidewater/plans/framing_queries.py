@@ -219,3 +219,38 @@ def q_detect_with_reset(spark, sf):
     """FMT-07: the memo cleared every 2500 messages (epoch in the key)."""
     lines = framing.split_lines(fx.messages(spark, sf)).withColumn("epoch", (F.col("seq") / 2500).cast("long"))
     return framing.detection_table(lines, epoch="epoch")
+
+
+# A JSON object as its sorted "key=value" pairs, as both engines can say it.
+_PAIRS_SQL = """list_sort(list_transform(json_keys({0}), lambda k: k || '=' || json_extract({0}, '$."' || k || '"')))"""
+
+
+def _pairs(text: str):
+    obj = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
+    return F.array_join(F.array_sort(F.transform(F.map_entries(obj), lambda e: F.concat(e["key"], F.lit("="), F.to_json(e["value"])))), ",")
+
+
+@register("fmt14_stamp_documents", with_fixtures(f"""
+SELECT seq, line_no, CASE WHEN NOT obj THEN line
+  WHEN data_hint NOT IN ('ndjson', 'json') THEN array_to_string({_PAIRS_SQL.format('tl')}, ',')
+  ELSE array_to_string(list_sort(list_append(list_filter(list_transform(json_keys(tl),
+         lambda k: CASE WHEN lower(k) <> 'ingest_ms' THEN k || '=' || json_extract(tl, '$."' || k || '"') END), lambda x: x IS NOT NULL),
+         'ingest_ms=' || (epoch_us(ts) // 1000))), ',') END AS document
+FROM (SELECT *, trim(line) AS tl,
+        CASE WHEN json_valid(trim(line)) THEN json_type(trim(line)) = 'OBJECT' ELSE false END AS obj
+      FROM lines)"""))
+def q_stamp_documents(spark, sf):
+    """FMT-14: every key and value of the stamped documents; lines that are
+    no object stay as they are."""
+    s = framing.stamp(framing.split_lines(fx.messages(spark, sf)), line="line", hint="data_hint", ts="ts")
+    pairs = _pairs("stamped")
+    return s.select("seq", "line_no", F.coalesce(F.when(T.is_valid_json("stamped"), pairs), F.col("stamped")).alias("document"))
+
+
+@register("fmt08_ndjson_documents", with_fixtures(f"""
+SELECT seq, line_no, CASE WHEN json_valid(trim(line)) THEN array_to_string({_PAIRS_SQL.format('trim(line)')}, ',') END AS document,
+  json_valid(trim(line)) AS ok FROM lines"""))
+def q_ndjson_documents(spark, sf):
+    """FMT-08: every key and value of the normalised documents."""
+    out = framing.split_lines(fx.messages(spark, sf)).withColumn("norm", T.ndjson_normalise("line"))
+    return out.select("seq", "line_no", _pairs("norm").alias("document"), F.col("norm").isNotNull().alias("ok"))
