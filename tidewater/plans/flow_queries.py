@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import flows
+from ..functions.naming import with_ip_text
+from ..operators import flow_wire, flows
 from ..sources import fixtures as fx
 from .catalog import register
 from .oracle_fixtures import with_fixtures
@@ -91,3 +92,57 @@ def q_netflow(spark, sf):
     return j.select("packet_id", g("$.Version", "int").alias("version"), g("$.Count", "int").alias("count"),
                     g("$.SequenceNumber", "long").alias("sequence_number"), g("$.SourceId", "long").alias("source_id"),
                     F.json_array_length(F.get_json_object("ndjson", "$.FlowSets")).alias("flowsets"))
+
+
+_DOTTED = "({0} >> 24) || '.' || (({0} >> 16) & 255) || '.' || (({0} >> 8) & 255) || '.' || ({0} & 255)"
+
+
+@register("par06_wire_flows", with_fixtures(f"""
+SELECT doc_id AS packet_id, record_no, CASE WHEN v9 THEN 'NETFLOW_V9' ELSE 'IPFIX' END AS "Type", exporter AS "SamplerAddress",
+  sampling AS "SamplingRate", nullif(doc_id, 0) AS "SequenceNum", nullif(domain, 0) AS "ObservationDomainId",
+  CASE layout WHEN 0 THEN {_DOTTED.format("w0")} ELSE {_DOTTED.format("w1")} END AS "SrcAddr",
+  CASE layout WHEN 0 THEN {_DOTTED.format("w1")} ELSE {_DOTTED.format("w0")} END AS "DstAddr",
+  nullif(CASE layout WHEN 0 THEN w2 ELSE w3 END >> 16, 0) AS "SrcPort", nullif(CASE layout WHEN 0 THEN w2 ELSE w3 END & 65535, 0) AS "DstPort",
+  nullif(CASE layout WHEN 0 THEN w3 ELSE w2 END, 0) AS "Bytes"
+FROM wire_words"""))
+def q_wire_flows(spark, sf):
+    """PAR-06 from the wire: flow rows of NetFlow v9 and IPFIX datagrams under
+    the templates and sampling rates in force."""
+    found = flow_wire.messages(flow_wire.records(fx.datagrams(spark, sf)))
+    return flows.ipfix_rows(found).select(
+        "packet_id.packet_id", F.col("packet_id.record_no").cast("long").alias("record_no"),
+        *[f"row.{c}" for c in ("Type", "SamplerAddress", "SamplingRate", "SequenceNum", "ObservationDomainId", "SrcAddr",
+                               "DstAddr", "SrcPort", "DstPort", "Bytes")])
+
+
+@register("par08_wire_packets", with_fixtures("""
+SELECT doc_id AS packet_id, 1 + n % 23 + CASE WHEN told IS NULL THEN 0 ELSE 1 END + CASE WHEN rate IS NULL THEN 0 ELSE 2 END AS count,
+  doc_id AS sequence_number, domain AS source_id, CASE WHEN layout IS NULL THEN 0 ELSE 1 END + CASE WHEN rate IS NULL THEN 0 ELSE 1 END AS flowsets,
+  rate AS first_rate
+FROM wire_packets WHERE v9 AND error IS NULL"""))
+def q_wire_packets(spark, sf):
+    """PAR-08 from the wire: one JSON line per NetFlow v9 datagram (read back)."""
+    j = flows.netflow_ndjson(flow_wire.netflow_packets(fx.datagrams(spark, sf)))
+    g = lambda p, t: F.get_json_object("ndjson", p).cast(t)
+    told = F.unbase64(F.get_json_object("ndjson", "$.FlowSets[0].Records[0].Values[1].Value"))
+    is_rate = F.get_json_object("ndjson", "$.FlowSets[0].Id") == "301"
+    return j.select("packet_id", g("$.Count", "long").alias("count"), g("$.SequenceNumber", "long").alias("sequence_number"),
+                    g("$.SourceId", "long").alias("source_id"),
+                    F.json_array_length(F.get_json_object("ndjson", "$.FlowSets")).cast("long").alias("flowsets"),
+                    F.when(is_rate, F.conv(F.hex(told), 16, 10).cast("long")).alias("first_rate"))
+
+
+@register("par06_wire_outcomes", with_fixtures("""
+SELECT exporter, coalesce(error, 'sound') AS outcome, count(*) AS packets,
+  count(*) FILTER (error IS NULL AND layout IS NULL) AS unresolved_sets
+FROM wire_packets GROUP BY ALL"""))
+def q_wire_outcomes(spark, sf):
+    """Datagrams per exporter that decode or not, and why; data sets that came
+    before their template."""
+    heads = flow_wire.packets(fx.datagrams(spark, sf))
+    sets = flow_wire.resolved_sets(flow_wire.sets(heads)).where("template IS NULL")
+    lost = sets.select("exporter", F.lit("sound").alias("outcome"), F.lit(0).alias("packets"), F.lit(1).alias("unresolved"))
+    both = heads.select("exporter", F.coalesce("error", F.lit("sound")).alias("outcome"), F.lit(1).alias("packets"),
+                        F.lit(0).alias("unresolved")).unionByName(lost)
+    sums = both.groupBy("exporter", "outcome").agg(F.sum("packets").alias("packets"), F.sum("unresolved").alias("unresolved_sets"))
+    return with_ip_text(sums, "exporter", "_text").select(F.col("_text").alias("exporter"), "outcome", "packets", "unresolved_sets")

@@ -299,3 +299,22 @@ SELECT o_orderkey AS packet_id, l_linenumber AS lno, l_partkey AS pkey, l_suppke
 FROM (SELECT *, l_linenumber % 4 AS k, (l_partkey // 3) % 4 AS v FROM lineitem) l
 JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey % 11 <> 0""",
 })
+
+# What the datagrams of the documents hold: sound ones, the layout and the
+# sampling rate in force, and the four words of each record.
+CTE.update({
+    "wire_packets": """
+SELECT *, last_value(told IGNORE NULLS) OVER (PARTITION BY src, v9, domain ORDER BY doc_id) AS layout,
+  last_value(rate IGNORE NULLS) OVER (PARTITION BY src, v9, domain ORDER BY doc_id) AS sampling
+FROM (SELECT doc_id, coalesce(source, '') AS src, coalesce(n_chars, 0) AS n, doc_id % 2 = 0 AS v9, doc_id // 2 % 3 AS domain,
+        CASE WHEN doc_id % 89 = 3 THEN 'version' WHEN doc_id % 97 <> 5 THEN NULL WHEN doc_id % 2 = 0 THEN 'set length' ELSE 'short' END AS error,
+        CASE WHEN doc_id % 7 = 0 AND error IS NULL THEN doc_id // 7 % 2 END AS told,
+        CASE WHEN doc_id % 21 = 0 AND error IS NULL THEN 100 + doc_id % 900 END AS rate,
+        array_to_string(list_transform([1, 3, 5, 7], lambda i: ('0x' || md5(coalesce(source, ''))[i:i + 1])::BIGINT), '.') AS exporter
+      FROM documents WHERE doc_id IS NOT NULL)""",
+    "wire_words": """
+SELECT *, r - 1 AS record_no, 167772160 + (doc_id * 31 + r) % 16777216 AS w0, 3232235520 + (doc_id + r * 7) % 65536 AS w1,
+  (doc_id * 13 + r) % 65536 * 65536 + 443 AS w2, (n * 97 + r * 1500) % 2147483648 AS w3
+FROM (SELECT *, unnest(range(1, 2 + n % 23)) AS r FROM wire_packets WHERE error IS NULL AND layout IS NOT NULL)""",
+})
+DEPS.update({"wire_words": ("wire_packets",)})

@@ -570,3 +570,43 @@ def netflow_packets(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("SequenceNumber"), (F.col("o_custkey") % 16).alias("SourceId"),
         F.when(F.col("records").isNull(), F.array().cast("array<struct<Id:int,Records:array<struct<InIf:int,SrcPort:bigint,Packets:bigint>>>>"))
         .otherwise(F.array(F.struct(F.lit(256).alias("Id"), F.col("records").alias("Records")))).alias("FlowSets"))
+
+
+def _u(expr: str, size: int) -> str:
+    """SQL: a number as ``size`` bytes in hex."""
+    return f"lpad(hex({expr}), {2 * size}, '0')"
+
+
+# Two layouts of the 16 bytes that the datagrams' records share.
+WIRE_LAYOUTS = ("00080004000C000400070002000B000200010004", "000C0004000800040001000400070002000B0002")
+
+
+def datagrams(spark: SparkSession, sf: str) -> DataFrame:
+    """NetFlow v9 and IPFIX datagrams: one per document with an id, exported
+    by its source, with up to 23 records. Every seventh (by id) announces one
+    of two layouts, every twenty-first a sampling rate; some are cut short or
+    of an older version."""
+    d = table(spark, sf, "documents", "doc_id", "source", "n_chars").where("doc_id IS NOT NULL").select(
+        "doc_id", F.unhex(F.substring(F.md5(F.coalesce("source", F.lit("")).cast("binary")), 1, 8)).alias("exporter"),
+        F.coalesce("n_chars", F.lit(0)).cast("long").alias("n"), E("doc_id % 2 = 0").alias("v9"), E("doc_id % 7 = 0").alias("tells"),
+        E("doc_id % 21 = 0").alias("samples"))
+    name = "if(v9, '', concat('04', hex(concat('eth', cast(r % 10 as string)))))"
+    record = (f"concat({_u('167772160 + (doc_id * 31 + r) % 16777216', 4)}, {_u('3232235520 + (doc_id + r * 7) % 65536', 4)}, "
+              f"{_u('(doc_id * 13 + r) % 65536', 2)}, '01BB', {_u('(n * 97 + r * 1500) % 2147483648', 4)}, {name})")
+    d = d.withColumn("flows", E(f"array_join(transform(sequence(1, 1 + n % 23), r -> {record}), '')"))
+
+    def sent(set_id: str, body: str) -> str:
+        return f"concat({_u(set_id, 2)}, {_u(f'4 + length({body}) div 2', 2)}, {body})"
+
+    layout = f"concat('012C', if(v9, '0005', '0006'), if(doc_id div 7 % 2 = 0, '{WIRE_LAYOUTS[0]}', '{WIRE_LAYOUTS[1]}'), if(v9, '', '0052FFFF'))"
+    option = "concat('012D', if(v9, '0004000400010004', '0002000100820004'), '00220004', '0000')"
+    rate = f"concat('0A000001', {_u('100 + doc_id % 900', 4)})"
+    d = d.withColumn("sets", E(f"""concat(if(tells, {sent("if(v9, 0, 2)", layout)}, ''),
+        if(samples, concat({sent("if(v9, 1, 3)", option)}, {sent("301", rate)}), ''), {sent("300", "flows")})"""))
+    count = "1 + n % 23 + cast(tells as int) + 2 * cast(samples as int)"
+    head = (f"if(v9, concat('0009', {_u(count, 2)}, {_u('doc_id % 100000', 4)}, {_u('1600000000 + doc_id', 4)}), "
+            f"concat('000A', {_u('16 + length(sets) div 2', 2)}, {_u('1600000000 + doc_id', 4)}))")
+    whole = f"concat(if(doc_id % 89 = 3, '0005', substring({head}, 1, 4)), substring({head}, 5), {_u('doc_id', 4)}, {_u('doc_id div 2 % 3', 4)}, sets)"
+    payload = F.unhex(E(whole))
+    return d.select(F.col("doc_id").alias("packet_id"), "exporter", F.col("doc_id").alias("received"),
+                    F.when(E("doc_id % 97 = 5"), F.substring(payload, F.lit(1), F.octet_length(payload) - 3)).otherwise(payload).alias("payload"))
