@@ -165,22 +165,25 @@ def _cells() -> Column:
     fixed = (f"transform(sequence(0, {size} div {width} - 1), r -> transform(template.fields, "
              f"f -> substring(body, r * {width} + f.at + 1, f.len)))")
     # One field a step; a value of variable length names it in one byte, or
-    # in two after 255.
+    # in two after 255. A record takes ``least`` bytes at least.
+    count = "size(template.fields)"
+    least = f"aggregate(template.fields, 0, (n, f) -> n + if(f.len = {VARIABLE}, 1, f.len))"
     field = "template.fields[size(a.values)]"
     one = "cast(conv(hex(substring(body, a.pos + 1, 1)), 16, 10) as int)"
-    varies = f"{field}.len = {VARIABLE}"
-    skip = f"if({varies}, if({one} = 255, 3, 1), 0)"
-    long = f"if({varies}, if({one} = 255, {_int('body', 'a.pos + 1')}, {one}), {field}.len)"
-    value = f"substring(body, a.pos + {skip} + 1, {long})"
-    put = f"array_append(a.values, {value})"
+    long = f"case when {field}.len < {VARIABLE} then {field}.len when {one} < 255 then {one} else {_int('body', 'a.pos + 1')} end"
+    skip = f"if({field}.len < {VARIABLE}, 0, if({one} < 255, 1, 3))"
+    grown = "array_append(a.values, substring(body, a.pos + x.skip + 1, x.long))"
+    end = f"named_struct('pos', {size}, 'values', a.values, 'out', a.out)"
+    full = f"size(v) = {count}"
+    state = (f"named_struct('pos', a.pos + x.skip + x.long, 'values', if({full}, cast(array() as array<binary>), v), "
+             f"'out', if({full}, array_append(a.out, v), a.out))")
+    # ``get(transform(array(y), x -> ..), 0)`` computes y once.
+    step = (f"get(transform(array(named_struct('skip', {skip}, 'long', {long})), x -> if(x.long is null or a.pos + x.skip + x.long > {size}, "
+            f"{end}, get(transform(array({grown}), v -> {state}), 0))), 0)")
     walked = f"""
-        aggregate(sequence(1, {size}),
+        aggregate(sequence(1, greatest(1, {size} div {least} * {count})),
           named_struct('pos', 0, 'values', cast(array() as array<binary>), 'out', cast(array() as array<array<binary>>)),
-          (a, i) -> if(a.pos >= {size} or a.pos + {skip} + {long} > {size} or {long} is null,
-            named_struct('pos', {size}, 'values', a.values, 'out', a.out),
-            named_struct('pos', a.pos + {skip} + {long},
-              'values', if(size(a.values) + 1 = size(template.fields), cast(array() as array<binary>), {put}),
-              'out', if(size(a.values) + 1 = size(template.fields), array_append(a.out, {put}), a.out)))).out"""
+          (a, i) -> if(a.pos >= {size}, a, {step})).out"""
     none = "cast(array() as array<array<binary>>)"
     return F.expr(f"case when template is null or {size} = 0 or {width} = 0 or {width} > {size} then {none} "
                   f"when {width} is not null then {fixed} else {walked} end")
