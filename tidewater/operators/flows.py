@@ -1,8 +1,8 @@
 """Flow records (sFlow / IPFIX / NetFlow) to flat NDJSON rows (PAR-04..08).
 
-Wire decoding of the flow protocols is a third-party concern; these
-operators start from *decoded* packet structs (as a flow collector or a
-Python data source would produce them) and do the projection work:
+These operators start from *decoded* packet structs (``flow_wire`` decodes
+NetFlow v9 and IPFIX datagrams; sFlow comes from a collector) and do the
+projection work:
 flattening nested samples, decoding raw packet headers with binary
 functions, dropping zero / empty fields and rendering addresses.
 """
