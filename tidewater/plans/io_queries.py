@@ -108,9 +108,9 @@ def q_batch_objects(spark, sf):
     lines = framing.split_lines(fx.messages(spark, sf)).withColumn("batch_no", F.expr("seq div 1000"))
     keys = ["tenant_id", "dataset_id", "data_hint", "batch_no"]
     S.write_batches(lines.select(*keys, "seq", "line_no", "line"), path)
-    back = spark.read.text(path, wholetext=True)
+    back = S.read_batches(spark, path)
     text = F.regexp_replace("value", "\n$", "")
-    return back.select(*[F.col(k).cast("string").alias(k) for k in keys[:3]], F.col("batch_no").cast("long").alias("batch_no"),
+    return back.select(*keys,
                        (F.size(F.split("value", "\n", -1)) - 1).cast("long").alias("line_count"),
                        F.octet_length("value").cast("long").alias("uncompressed_bytes"), F.md5(text).alias("content"))
 

@@ -3,18 +3,20 @@ manifests and the source archive (SNK-01..06).
 
 Writers use Spark's partitioned file writers (one task writes each file;
 the committer makes the write atomic and retry-safe), so a lost executor
-re-runs its tasks without duplicating output.
+re-runs its tasks without duplicating output. Batch objects, which are many
+and small, are written by ``objects`` where tasks can open the folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming as N
 from ..functions import text as TX
+from . import objects
 
 # SNK-02 layout presets: partition columns of the landing table.
 LAYOUT_COLUMNS = {
@@ -72,15 +74,32 @@ def write_batches(lines: DataFrame, path: str, keys: Sequence[str] = ("tenant_id
     """SNK-03: one gzip text object per batch (lines in order).
 
     ``repartition`` on (keys, batch) routes each batch to one task and
-    ``sortWithinPartitions`` restores line order; the text writer gzips
-    (level 6 is the codec default) and the partition directories carry the
-    batch identity.
+    ``sortWithinPartitions`` restores line order; gzip is of level 6 (the
+    codec default) and the partition directories carry the batch identity.
+    An object costs more than its bytes, so the number of tasks is explicit:
+    runtime coalescing goes by bytes.
     """
     cols = list(keys) + [batch]
-    d = lines.repartition(*cols).sortWithinPartitions(*cols, *order).select(*cols, F.col(line).alias("value"))
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = lines.repartition(n, *cols).sortWithinPartitions(*cols, *order).select(*cols, F.col(line).alias("value"))
+    folder = objects.shared_folder(lines.sparkSession, path)
+    if folder is not None and mode == "append":
+        objects.write_objects(d.withColumns({c: F.col(c).cast("string") for c in cols}), folder, cols)
+        return
     d.write.mode(mode).option("compression", "gzip").partitionBy(*cols).text(path)
 
 
+def read_batches(spark: SparkSession, path: str, keys: Sequence[str] = ("tenant_id", "dataset_id", "data_hint"),
+                 batch: str = "batch_no") -> DataFrame:
+    """The objects of ``write_batches``: whole text (``value``), keys (as
+    written: no type is guessed from the folders' names) and batch number."""
+    folder = objects.shared_folder(spark, path)
+    if folder is not None:
+        return objects.read_objects(spark, folder, [*keys, batch]).withColumn(batch, F.col(batch).cast("long"))
+    kinds = [f"`{c}` string" for c in keys] + [f"`{batch}` long"]
+    return spark.read.schema(", ".join(["value string", *kinds])).text(path, wholetext=True)
+
+
 def queue_filename(batch_id: Column, tenant: Column, dataset: Column, nanos: Column, hint: Column) -> Column:
     """SNK-04: queue file name: ids containing ``--`` become ``id.gz``;
     anything else gets a generated ``tenant--dataset--nanos--hint.gz``."""
