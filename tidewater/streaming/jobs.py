@@ -19,7 +19,6 @@ State stores use RocksDB; checkpoints go under ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -271,57 +270,89 @@ RETRY_STATE_SCHEMA = T.StructType([
 ])
 
 
-def _outcome(code) -> str:
-    if code is None or (isinstance(code, float) and math.isnan(code)):
-        return "transient"
-    c = int(code)
-    if 200 <= c < 300:
-        return "success"
-    if c in PERMANENT_CODES or (400 <= c < 500 and c != 429):
-        return "permanent"
-    return "transient"
+# Buckets of files; a checkpoint keeps the number that it was begun with.
+RETRY_BUCKETS = 1024
+STATES = ("queue", "retry", "delivered", "dlq")
+QUEUE, RETRY, DELIVERED, DLQ = range(4)
+# The files of a bucket as columns: key, whether it is NULL, state, attempts
+# used, retry count, last code and whether there is none.
+_KEPT = (("key", "<i8"), ("null", "?"), ("state", "<i1"), ("used", "<i4"), ("cnt", "<i4"), ("code", "<i4"), ("none", "?"))
+_NO_ATTEMPT = (1 << 63) - 1
+
+
+def retry_states(kept: dict, key, null, code, none, max_retries: int) -> tuple[dict, np.ndarray]:
+    """Advance ``kept`` by attempts whose rows of a file are neighbours and in
+    order; returns the new columns, in order of (NULL, key), and where the
+    files that had attempts are. All files take a step at once; a file is done
+    after ``max_retries`` steps at most, however many attempts it has."""
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (null[1:] != null[:-1]))))
+    end = np.concatenate((first[1:], [len(key)]))
+    new = {c: np.zeros(len(first), t) for c, t in _KEPT} | {"key": key[first], "null": null[first], "none": np.ones(len(first), bool)}
+    both = {c: np.concatenate((kept[c], new[c])) for c, _ in _KEPT}
+    order = np.lexsort((both["key"], both["null"]))  # stable: what is kept comes before a new row of its file
+    again = np.zeros(len(order), bool)
+    again[1:] = (both["key"][order][1:] == both["key"][order][:-1]) & (both["null"][order][1:] == both["null"][order][:-1])
+    s = {c: v[order][~again] for c, v in both.items()}
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(~again) - 1
+    touched = place[len(kept["key"]):]
+    at, live = first.copy(), np.arange(len(first))
+    while len(live):
+        live = live[(at[live] < end[live]) & (s["state"][touched[live]] < DELIVERED)]
+        row, f = at[live], touched[live]
+        c, no = code[row], none[row]
+        good = ~no & (c >= 200) & (c < 300)
+        hard = ~no & ~good & (np.isin(c, PERMANENT_CODES) | ((c >= 400) & (c < 500) & (c != 429)))
+        queued = s["state"][f] == QUEUE
+        s["used"][f] += 1
+        s["code"][f], s["none"][f] = np.where(no, 0, c), no
+        s["cnt"][f] = np.where(queued, np.where(good | hard, 0, 1), s["cnt"][f] + ~good)
+        state = np.where(good, DELIVERED, np.where(queued & hard, DLQ, RETRY))
+        s["state"][f] = np.where((state == RETRY) & (s["cnt"][f] >= max_retries), DLQ, state)
+        at[live] += 1
+    return s, touched
 
 
 class RetryStateProcessor(StatefulProcessor):
-    """STR-04: the queue / retry / DLQ state of one file, advanced by each
-    attempt in order (queue step first, then retry steps; a file reaching
-    the retry limit moves to the DLQ; attempts after a final state are
-    ignored). Emits the file's state after each micro-batch."""
+    """STR-04: the queue / retry / DLQ state of the files of one bucket, each
+    advanced by its attempts in order (queue step first, then retry steps; a
+    file reaching the retry limit moves to the DLQ; attempts after a final
+    state are ignored). Emits the state of each file that had attempts in the
+    micro-batch. A bucket's states are read and written as columns, once."""
 
     def __init__(self, max_retries: int = 5):
         self.max_retries = max_retries
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.st = handle.getValueState("st", "state string, used int, cnt int, code int")
+        self.st = handle.getValueState("files", ", ".join(f"`{c}` binary" for c, _ in _KEPT))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("attempt_no", kind="stable")
-        state, used, cnt, code = self.st.get() if self.st.exists() else ("queue", 0, 0, None)
-        for c in pdf["status_code"].tolist():
-            if state in ("delivered", "dlq"):
-                break
-            o = _outcome(c)
-            code = None if o == "transient" and (c is None or (isinstance(c, float) and math.isnan(c))) else int(c)
-            used += 1
-            if state == "queue":
-                state, cnt = {"success": ("delivered", 0), "permanent": ("dlq", 0)}.get(o, ("retry", 1))
-            else:
-                if o == "success":
-                    state = "delivered"
-                else:
-                    cnt += 1
-            if state == "retry" and cnt >= self.max_retries:
-                state = "dlq"
-        self.st.update((state, used, cnt, code))
-        yield pd.DataFrame([(key[0], state, used, cnt, code)], columns=[f.name for f in RETRY_STATE_SCHEMA.fields])
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["no_key", "okey", "attempt_no"], kind="stable")
+        held = self.st.get() if self.st.exists() else [b""] * len(_KEPT)
+        kept = {c: np.frombuffer(bytes(v), t) for (c, t), v in zip(_KEPT, held)}
+        s, touched = retry_states(kept, *[pdf[c].to_numpy() for c in ("okey", "no_key", "status_code", "no_code")], self.max_retries)
+        self.st.update(tuple(s[c].astype(t).tobytes() for c, t in _KEPT))
+        t = {c: v[touched] for c, v in s.items()}
+        yield pd.DataFrame({
+            "okey": pd.arrays.IntegerArray(t["key"].astype("int64"), t["null"].copy()),
+            "state": np.array(STATES, object)[t["state"]], "attempts_used": t["used"], "retry_count": t["cnt"],
+            "last_code": pd.arrays.IntegerArray(t["code"].astype("int32"), t["none"].copy())})
 
     def close(self) -> None:
         pass
 
 
-def retry_state_stream(attempts: DataFrame, max_retries: int = 5) -> DataFrame:
-    """STR-04 over an attempts stream keyed by file."""
-    return attempts.select("okey", "attempt_no", "status_code").groupBy("okey").transformWithStateInPandas(
+def retry_state_stream(attempts: DataFrame, max_retries: int = 5, buckets: int = RETRY_BUCKETS) -> DataFrame:
+    """STR-04 over an attempts stream keyed by file. The files are dealt into
+    ``buckets`` by a hash of the key: a worker holds the states and the
+    micro-batch's attempts of one bucket."""
+    zero = F.lit(0)
+    d = attempts.select(
+        F.pmod(F.xxhash64("okey"), F.lit(buckets)).alias("bucket"),
+        F.coalesce(F.col("okey").cast("long"), zero.cast("long")).alias("okey"), F.col("okey").isNull().alias("no_key"),
+        F.coalesce(F.col("attempt_no").cast("long"), F.lit(_NO_ATTEMPT)).alias("attempt_no"),
+        F.coalesce(F.col("status_code").cast("int"), zero).alias("status_code"), F.col("status_code").isNull().alias("no_code"))
+    return d.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=RetryStateProcessor(max_retries), outputStructType=RETRY_STATE_SCHEMA,
         outputMode="Append", timeMode="None")
 
