@@ -68,14 +68,25 @@ def q_control_documents(spark, sf):
     """SRC-13 + JON-01: control documents written as JSON files, one a file,
     read with the fixed schema and expanded."""
     path = _folder(spark)
-    doc = fx.control_doc(spark, sf)
+    docs = _account_documents(fx.control_doc(spark, sf))
+    # A file costs more than its bytes: the number of tasks is explicit, as
+    # runtime coalescing goes by bytes.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs.repartition(n).write.option("maxRecordsPerFile", 1).json(path)
+    docs = A.control_to_doc(A.read_control_documents(spark, path))
+    return _flat(C.expand_control_doc(docs, bearer_token=TOKEN)).drop("pos")
+
+
+def _account_documents(doc):
+    """Control documents of the account form: one per page, with the datasets
+    that each tenant has on it. A tenant without datasets gets its own, so a
+    document is as large as its page's datasets at most."""
     tenant = F.struct(F.col("tenant_id").alias("id"), F.col("tenant_name").alias("name"), "active")
     sets = F.transform("datasets", lambda d: F.struct(d["dataset_id"].alias("id"), d["name"].alias("name"),
                                                       d["active"].alias("active"), d["config"].alias("config")))
-    doc.select(F.array(F.struct(tenant.alias("tenant"), sets.alias("datasets"))).alias("tenants")) \
-        .write.option("maxRecordsPerFile", 1).json(path)
-    docs = A.control_to_doc(A.read_control_documents(spark, path))
-    return _flat(C.expand_control_doc(docs, bearer_token=TOKEN)).drop("pos")
+    alone = F.when(F.size("datasets") == 0, F.col("tenant_id")).alias("alone")
+    return doc.groupBy("page", alone).agg(F.collect_list(F.struct(tenant.alias("tenant"), sets.alias("datasets"))).alias("tenants")) \
+        .select("tenants")
 
 
 @register("snk02_layouts", with_fixtures("""
