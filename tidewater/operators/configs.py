@@ -159,7 +159,10 @@ def receiver_limits(instances: DataFrame, receivers: DataFrame) -> DataFrame:
     in_url = p.select("instance", F.explode(_fragments(F.col("url"))).alias("frag")).join(
         by_name.withColumnRenamed("instance_api", "frag"), "frag").select("instance", "m")
     r = by_name.select("m.*")
-    parts = r.select(won.alias("m"), F.explode(_fragments(F.col("instance_api"))).alias("url")).groupBy("url").agg(F.min("m").alias("m"))
+    # A receiver has a hundred parts or more; only those that are some
+    # instance's URL are grouped.
+    parts = r.select(won.alias("m"), F.explode(_fragments(F.col("instance_api"))).alias("url")) \
+        .join(p.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min("m").alias("m"))
     in_api = p.select("instance", "url").join(parts, "url").select("instance", "m")
     ports = r.withColumn("url_port", F.when(F.instr("instance_api", ":") > 0, F.substring_index("instance_api", ":", -1))) \
         .groupBy("url_port").agg(F.min(won).alias("m"))
