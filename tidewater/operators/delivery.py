@@ -43,6 +43,33 @@ def with_tenant_gate(files: DataFrame, tenants: DataFrame) -> DataFrame:
         .withColumn("tenant_active", F.coalesce("tenant_active", F.lit(True)))
 
 
+def with_attempt(files: DataFrame, attempt: DataFrame, key: str = "okey") -> DataFrame:
+    """Files with their attempt of a pass: status_code, attempt_ts, and
+    ``attempted`` (NULL for a file without one)."""
+    a = attempt.select(key, "status_code", F.col("ts").alias("attempt_ts"), F.lit(True).alias("attempted"))
+    return files.join(a, key, "left")
+
+
+def queue_moves() -> dict[str, Column]:
+    """What the queue step makes of a queue file ``with_attempt`` and
+    ``with_tenant_gate``."""
+    o = delivery_outcome(F.col("status_code"))
+    inactive = ~F.col("tenant_active")
+    waits = F.col("attempted").isNull()
+    new_state = (
+        F.when(inactive, F.lit("dlq")).when(waits, F.lit("queue")).when(o == "success", F.lit("delivered"))
+        .when(o == "permanent", F.lit("dlq")).otherwise(F.lit("retry"))
+    )
+    return {
+        "new_state": new_state,
+        "retry_count": F.when(new_state == "retry", F.lit(1)).when(new_state == "dlq", F.lit(0)).otherwise(F.col("retry_count")),
+        "failure_reason": F.when(inactive, F.lit(INACTIVE_REASON)).when(waits | (o == "success"), F.lit(None).cast("string"))
+        .otherwise(failure_reason(F.col("status_code"))),
+        "trigger_reason": F.when(new_state == "dlq", F.lit("permanent_failure")).when(new_state == "retry", F.lit("upload_failed"))
+        .otherwise(F.col("trigger_reason")),
+    }
+
+
 def queue_step(files: DataFrame, attempt: DataFrame, tenants: DataFrame | None = None,
                key: str = "okey") -> DataFrame:
     """STM-02: one pass over queue files with their next attempt outcome.
@@ -57,24 +84,26 @@ def queue_step(files: DataFrame, attempt: DataFrame, tenants: DataFrame | None =
         q = with_tenant_gate(q, tenants)
     else:
         q = q.withColumn("tenant_active", F.lit(True))
-    a = attempt.select(key, "status_code", F.col("ts").alias("attempt_ts"), F.lit(True).alias("attempted"))
-    j = q.join(a, key, "left")
-    o = delivery_outcome(F.col("status_code"))
-    inactive = ~F.col("tenant_active")
+    return with_attempt(q, attempt, key).select("id", key, "tenant_id", "dataset_id",
+                                                *[c.alias(n) for n, c in queue_moves().items()])
+
+
+def retry_moves(max_retries: int = 5, strict_permanent: bool = False, last_retry: Column | None = None) -> dict[str, Column]:
+    """What the retry step makes of a retry file ``with_attempt``."""
     waits = F.col("attempted").isNull()
-    new_state = (
-        F.when(inactive, F.lit("dlq")).when(waits, F.lit("queue")).when(o == "success", F.lit("delivered"))
-        .when(o == "permanent", F.lit("dlq")).otherwise(F.lit("retry"))
-    )
-    return j.select(
-        "id", key, "tenant_id", "dataset_id", new_state.alias("new_state"),
-        F.when(new_state == "retry", F.lit(1)).when(new_state == "dlq", F.lit(0))
-        .otherwise(F.col("retry_count")).alias("retry_count"),
-        F.when(inactive, F.lit(INACTIVE_REASON)).when(waits | (o == "success"), F.lit(None).cast("string"))
-        .otherwise(failure_reason(F.col("status_code"))).alias("failure_reason"),
-        F.when(new_state == "dlq", F.lit("permanent_failure")).when(new_state == "retry", F.lit("upload_failed"))
-        .otherwise(F.col("trigger_reason")).alias("trigger_reason"),
-    )
+    o = F.when(~waits, delivery_outcome(F.col("status_code")))
+    exhausted = F.col("retry_count") >= max_retries
+    new_state = F.when(exhausted, F.lit("dlq")).when(o == "success", F.lit("delivered"))
+    if strict_permanent:
+        new_state = new_state.when(o == "permanent", F.lit("dlq"))
+    return {
+        "new_state": new_state.otherwise(F.lit("retry")),
+        "retry_count": F.when(exhausted | waits | (o == "success"), F.col("retry_count")).otherwise(F.col("retry_count") + 1),
+        "failure_reason": F.when(exhausted, F.lit("max_retries_exceeded")).when(waits | (o == "success"), F.lit(None).cast("string"))
+        .otherwise(failure_reason(F.col("status_code"))),
+        "last_retry": F.when(exhausted | waits | (o == "success"), F.lit(None) if last_retry is None else last_retry)
+        .otherwise(F.col("attempt_ts")),
+    }
 
 
 def retry_step(files: DataFrame, attempt: DataFrame, max_retries: int = 5, key: str = "okey",
@@ -87,25 +116,9 @@ def retry_step(files: DataFrame, attempt: DataFrame, max_retries: int = 5, key:
     unless ``strict_permanent``. A file without an attempt in this pass stays
     as it is.
     """
-    r = files.where(F.col("state") == "retry")
-    a = attempt.select(key, "status_code", F.col("ts").alias("attempt_ts"), F.lit(True).alias("attempted"))
-    j = r.join(a, key, "left")
-    waits = F.col("attempted").isNull()
-    o = F.when(~waits, delivery_outcome(F.col("status_code")))
-    exhausted = F.col("retry_count") >= max_retries
-    new_state = F.when(exhausted, F.lit("dlq")).when(o == "success", F.lit("delivered"))
-    if strict_permanent:
-        new_state = new_state.when(o == "permanent", F.lit("dlq"))
-    new_state = new_state.otherwise(F.lit("retry"))
-    return j.select(
-        "id", key, "tenant_id", "dataset_id", new_state.alias("new_state"),
-        F.when(exhausted | waits | (o == "success"), F.col("retry_count"))
-        .otherwise(F.col("retry_count") + 1).alias("retry_count"),
-        F.when(exhausted, F.lit("max_retries_exceeded")).when(waits | (o == "success"), F.lit(None).cast("string"))
-        .otherwise(failure_reason(F.col("status_code"))).alias("failure_reason"),
-        F.when(exhausted | waits | (o == "success"), F.col("last_retry") if "last_retry" in files.columns else F.lit(None))
-        .otherwise(F.col("attempt_ts")).alias("last_retry"),
-    )
+    j = with_attempt(files.where(F.col("state") == "retry"), attempt, key)
+    moves = retry_moves(max_retries, strict_permanent, F.col("last_retry") if "last_retry" in files.columns else None)
+    return j.select("id", key, "tenant_id", "dataset_id", *[c.alias(n) for n, c in moves.items()])
 
 
 def replay(files: DataFrame, attempts: DataFrame, tenants: DataFrame | None = None, max_retries: int = 5,

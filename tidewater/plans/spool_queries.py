@@ -389,10 +389,17 @@ def q_delivery_cycle(spark, sf):
     against a receiver that answers as the attempts say; the end is that of
     the replay of the whole history."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/cycle-{uuid.uuid4().hex}"
-    attempts = fx.attempts(spark, sf).select("okey", "attempt_no", "status_code", "ts")
+    # The history is numbered once and laid out by the pass that may ask for
+    # it; what no pass asks for lies in the last folder.
+    turn = F.least("attempt_no", F.lit(MAX_RETRIES + 1)).alias("turn")
+    attempts = fx.attempts(spark, sf).select("okey", "attempt_no", "status_code", "ts", turn)
+    attempts.write.partitionBy("turn").parquet(f"{path}/history")
+    attempts = spark.read.schema(attempts.schema).parquet(f"{path}/history")
 
     def answer(due, number):
-        return due.join(attempts, ["okey", "attempt_no"]).select("okey", "status_code", "ts")
+        # A file that got no answer to an attempt has none in the history.
+        now = F.col("turn") == min(number, MAX_RETRIES + 1)
+        return due.join(attempts.where(now), ["okey", "attempt_no"]).select("okey", "status_code", "ts")
 
     queue = fx.spool_files(spark, sf).where("state = 'queue'").withColumn("retry_count", F.lit(0)) \
         .withColumn("failure_reason", F.lit(None).cast("string"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import delivery
@@ -56,23 +56,26 @@ def run_pass(spark: SparkSession, path: str, number: int, send: Sender, tenants:
     answers = send(due, number).select(key, "status_code", F.col("ts").cast("timestamp").alias("ts"))
     answers.write.mode("overwrite").parquet(f"{path}/attempts/pass={number}")
     answers = spark.read.schema(answers.schema).parquet(f"{path}/attempts/pass={number}")
-    queued = delivery.queue_step(before, answers, tenants, key) \
-        .withColumn("last_retry", F.lit(None).cast("timestamp"))
-    again = delivery.retry_step(before, answers, max_retries, key, strict_permanent) \
-        .withColumn("trigger_reason", F.lit(None).cast("string"))
-    moved = queued.unionByName(again).select(
-        F.col(key).alias("_key"), "new_state", F.col("retry_count").cast("int").alias("_count"), F.col("failure_reason").alias("_why"),
-        F.col("trigger_reason").alias("_trigger"), F.col("last_retry").alias("_at"))
-    tried = answers.select(F.col(key).alias("_tried"), F.lit(1).alias("_one"))
+    # Files and answers meet once: both steps are read off the joined rows.
+    told = delivery.with_attempt(before, answers, key)
+    told = delivery.with_tenant_gate(told, tenants) if tenants is not None else told.withColumn("tenant_active", F.lit(True))
+    queued, again = delivery.queue_moves(), delivery.retry_moves(max_retries, strict_permanent, F.col("last_retry"))
+
+    def move(name: str) -> Column:
+        """What the step of the file's state says; NULL where there is none."""
+        said = [F.when(F.col("state") == state, moves[name]) for state, moves in zip(OPEN, (queued, again)) if name in moves]
+        return F.coalesce(*said)
+
+    told = told.withColumns({"_state": move("new_state"), "_count": move("retry_count").cast("int"), "_why": move("failure_reason"),
+                             "_trigger": move("trigger_reason"), "_at": move("last_retry")})
     # A file keeps the reason it has until a step says another.
-    waits = F.col("new_state") == F.col("state")
-    kept = waits & F.col("_why").isNull()
-    after = before.join(moved, F.col(key) == F.col("_key"), "left").join(tried, F.col(key) == F.col("_tried"), "left").select(
-        key, "id", "tenant_id", "dataset_id", F.coalesce("new_state", "state").alias("state"),
+    kept = F.col("_state").isNull() | ((F.col("_state") == F.col("state")) & F.col("_why").isNull())
+    after = told.select(
+        key, "id", "tenant_id", "dataset_id", F.coalesce("_state", "state").alias("state"),
         F.coalesce("_count", "retry_count").alias("retry_count"),
-        F.when(F.col("_key").isNull() | kept, F.col("failure_reason")).otherwise(F.col("_why")).alias("failure_reason"),
+        F.when(kept, F.col("failure_reason")).otherwise(F.col("_why")).alias("failure_reason"),
         F.coalesce("_trigger", "trigger_reason").alias("trigger_reason"), F.coalesce("_at", "last_retry").alias("last_retry"),
-        (F.col("attempts_used") + F.coalesce("_one", F.lit(0))).alias("attempts_used"))
+        (F.col("attempts_used") + F.coalesce(F.col("attempted").cast("int"), F.lit(0))).alias("attempts_used"))
     after.write.mode("overwrite").parquet(f"{path}/state/pass={number}")
 
 
@@ -95,14 +98,19 @@ def run_cycle(spark: SparkSession, path: str, send: Sender, tenants: DataFrame |
     """Run passes until nothing waits, no file was tried, or ``most_passes``;
     goes on after the last finished pass. Returns the number of the last."""
     number = last_pass(spark, path, most_passes)
-    while number < most_passes:
-        state = state_after(spark, path, number)
-        if state.where(F.col("state").isin(*OPEN)).isEmpty():
-            break
+    at = _progress(state_after(spark, path, number))
+    while number < most_passes and at[0]:
         number += 1
         run_pass(spark, path, number, send, tenants, max_retries, strict_permanent, key)
-        changed = state_after(spark, path, number).select(key, "state", "attempts_used") \
-            .exceptAll(state.select(key, "state", "attempts_used"))
-        if changed.isEmpty():
+        before, at = at, _progress(state_after(spark, path, number))
+        if at == before:
             break
     return number
+
+
+def _progress(state: DataFrame) -> tuple[int, int, int]:
+    """Files that wait, those of them in the queue, and tries. A file goes
+    from queue to retry or out, never back, and its tries only grow: a pass
+    that leaves these sums as they are has left every file as it was."""
+    return tuple(state.agg(F.count_if(F.col("state").isin(*OPEN)), F.count_if(F.col("state") == OPEN[0]),
+                           F.coalesce(F.sum("attempts_used"), F.lit(0))).first())
