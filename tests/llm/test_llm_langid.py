@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from llm_cases import documents, mixed_bag
 from tidewater.llm import langid
@@ -96,3 +97,18 @@ def test_stage_rejects_by_the_network(spark):
     assert {i for i, *_ in clean if held(i)} <= kept
     assert sum(i in kept for i, *_ in clean) >= 0.99 * len(clean)
     assert not kept & {i for i, *_ in strange}
+
+
+def test_threshold_reads_every_held_out_document(spark):
+    """The least certain document counts wherever a hash of its id lies."""
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    high = "pmod(xxhash64(doc_id, 10L), 1073741824)"
+    ids = spark.range(24000).withColumnRenamed("id", "doc_id").where(langid.held_out(F.col("doc_id")))
+    odd = ids.selectExpr(f"max_by(doc_id, {high}) AS m").first().m
+    lang = model["languages"][0]
+    docs = ids.selectExpr("doc_id", f"if(doc_id = {odd}, 'zq#x 91 k%v', 'one and the same text of a plain kind') AS text", f"'{lang}' AS lang")
+    low = langid.classify(docs, model, ["doc_id"]).agg(F.min("_score")).first()[0]
+    alone = langid.classify(docs.where(F.col("doc_id") == odd), model, ["doc_id"]).first()._score
+    # Sums in another order differ a little.
+    assert docs.count() > 5000 and abs(alone - low) < 1e-6
+    assert abs(langid.lowest_score(docs, model) - (low - 1e-4)) < 1e-6

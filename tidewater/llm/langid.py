@@ -9,8 +9,8 @@ text inside the scan tasks: a document's log-probabilities are the mean over
 its windows, weighted by their bytes. Nothing is shuffled for it.
 
 The corpus stage drops texts without a letter, and texts that the network is
-less sure of than of any held-out labelled document in a bounded sample: a
-clean document falls below that score once in (sample size + 1) times. Below
+less sure of than of any held-out labelled document, all of which are scored:
+a clean document falls below that score once in (their number + 1) times. Below
 ``Settings.least_rows`` such documents this bound says little, and the score
 drops nothing; nor does it where there is no labelled row to learn from.
 
@@ -44,7 +44,6 @@ class Settings:
     batch: int = 64
     rate: float = 0.01
     seed: int = 7
-    calibrate: int = 4096
     least_rows: int = 300
 
 
@@ -263,14 +262,11 @@ def predict_languages(docs: DataFrame, settings: Settings = Settings()) -> DataF
 
 
 def lowest_score(docs: DataFrame, model: dict) -> float:
-    """The lowest score of the held-out documents with a learned label, over
-    about ``Settings.calibrate`` of them chosen by a hash of the id; 0 where
+    """The lowest score of all held-out documents with a learned label; 0 where
     fewer than ``Settings.least_rows`` are there."""
     s = model["settings"]
     known = held_out(F.col("doc_id")) & F.col("lang").isin(model["languages"])
-    there = docs.where(known).count()
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(s.seed + 3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, s.calibrate / max(1, there)))
-    seen = classify(docs.where(known & part), model, ["doc_id"]).where(F.col("_lang") != UNKNOWN) \
+    seen = classify(docs.where(known), model, ["doc_id"]).where(F.col("_lang") != UNKNOWN) \
         .agg(F.count_distinct("doc_id").alias("n"), F.min("_score").alias("low")).first()
     # Sums in another order may differ by this much.
     return max(0.0, seen["low"] - 1e-4) if seen["n"] >= s.least_rows else 0.0
