@@ -24,7 +24,7 @@ them and takes the sampling rate that they told. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.prefix import last_non_null
@@ -37,6 +37,7 @@ HEADER = {NETFLOW: 20, IPFIX: 16}
 TEMPLATE_SETS, OPTION_SETS, FIRST_DATA = (0, 2), (1, 3), 256
 VARIABLE = 65535
 NTP_EPOCH = 2208988800
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
 
 KEY = ["exporter", "version", "domain", "set_id"]
 ORDER = ["received", "packet_id", "set_no", "item_no"]
@@ -60,9 +61,18 @@ def _once(walk: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, walk)
 
 
+def _keep_compiled(spark: SparkSession) -> None:
+    """The JVM never compiles methods above 8,000 bytes of bytecode, and a
+    stage that renders all fields of a flow is one: such stages go without
+    whole-stage code, in small methods, unless the caller has set a limit."""
+    if spark.conf.get(HUGE_METHOD, None) is None:
+        spark.conf.set(HUGE_METHOD, "8000")
+
+
 def packets(datagrams: DataFrame) -> DataFrame:
     """Header, ``error`` (NULL if none) and sets (id, at, size) of every
     datagram."""
+    _keep_compiled(datagrams.sparkSession)
     d = datagrams.select("packet_id", "exporter", "received", "payload").withColumns({
         "version": F.expr(_int("payload", "0")), "_second": F.expr(_int("payload", "2")),
         "_bytes": F.octet_length("payload")})
