@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,13 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 # Batches handed to Python workers: long texts make the usual number of rows
 # too large.
 ARROW_BATCH = "8m"
+# For a scan that only hands whole texts on to Python: the reader decodes so
+# many rows at a time and a worker gets so many bytes at a time. Larger buffers
+# make an executor's heap grow and are no faster, as the workers set the pace.
+SMALL_BATCHES = {
+    "spark.sql.parquet.columnarReaderBatchSize": "256",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "1m",
+}
 
 
 def settle(spark: SparkSession) -> SparkSession:
@@ -26,6 +35,22 @@ def settle(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def holding(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs that run inside; the former ones return."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read as Spark splits it."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

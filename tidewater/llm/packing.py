@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut
+from .common import SMALL_BATCHES, cut, holding
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # Pieces of one length are ranked in this many rows at a time.
@@ -190,4 +190,6 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None = None,
                    end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their place in the packed sequences."""
-    return pack(cut(cut_pieces(docs, capacity, tokenizer_path, end_id, with_ids)), capacity)
+    with holding(docs.sparkSession, SMALL_BATCHES):
+        pieces = cut(cut_pieces(docs, capacity, tokenizer_path, end_id, with_ids))
+    return pack(pieces, capacity)
